@@ -27,6 +27,8 @@ from starloom.llm.common import WORD_JAVA, free_name, written
 BLOCK = 4096
 #: Units of the landing problem, besides the two that a flight leaves: 2^14 choices are compared.
 LANDING = 12
+#: Sources whose table is broadcast, at most.
+SMALL = 10_000
 NEAR = 1e-9
 
 
@@ -127,7 +129,7 @@ def decide(units: DataFrame, per_source: dict[int, int], seed: int, block: int)
     while True:
         blocks = {sid: -(-n // block) for sid, n in per_source.items()}
         last = max(blocks.values(), default=1) <= 1
-        table = spark.createDataFrame([*blocks.items()] or [(-1, 1)], "sid int, blocks long")
+        table = small(spark.createDataFrame([*blocks.items()] or [(-1, 1)], "sid int, blocks long"), len(blocks))
         dealt = units.join(table, "sid").withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed + level)), "blocks")).drop("blocks")
         moved = written(one_round(dealt, last, seed + level).drop("block"))
         done.append(moved.where("p <= 0 OR p >= 1"))
@@ -143,6 +145,11 @@ def decide(units: DataFrame, per_source: dict[int, int], seed: int, block: int)
     return out
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of sources, broadcast while it has at most SMALL rows; Spark joins a longer one by shuffling, splitting what is skewed."""
+    return F.broadcast(table) if rows <= SMALL else table
+
+
 def plan(base: DataFrame, weights: Sequence[float], most: float, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
     """For base(doc_id, source, size, h): copies of each unit (doc_id, h, source, copies) and the sources' table.
 
@@ -155,7 +162,7 @@ def plan(base: DataFrame, weights: Sequence[float], most: float, seed: int, bloc
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
     ratio = [g / n if n else 0.0 for g, n in zip(goal, sizes, strict=True)]
     rows = [(i, r["source"], n, g, int(q + NEAR), max(0.0, q - int(q + NEAR))) for i, (r, n, g, q) in enumerate(zip(found, sizes, goal, ratio, strict=True))]
-    table = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, whole int, p double")
+    table = small(spark.createDataFrame(rows, "sid int, source string, source_size long, target double, whole int, p double"), len(rows))
     units = base.groupBy("doc_id", "source", "h").agg((F.first("size") * F.count("*")).alias("words"), F.count("*").alias("m"))
     named = units.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     sampled = decide(named.select("doc_id", "h", "sid", "words", "m", "p"), {i: max(r["n"], 1) for i, r in enumerate(found)}, seed, block)
