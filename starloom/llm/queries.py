@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import bpe, langid, mixing, neighbours, pii, substring, suffix
+from starloom.llm import bpe, langid, mixing, neighbours, pii, quality, substring, suffix
 from starloom.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix": op1_suffix,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
+    "op6_quality": op6_quality,
     "op7_substring": op7_substring,
     "op8_langid": op8_langid,
     "op9_mixing": op9_mixing,
