@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import bpe, langid, mixing, neighbours, pii, quality, substring, suffix
+from starloom.llm import bpe, langid, mixing, neardup, neighbours, pii, quality, substring, suffix
 from starloom.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(read(spark, sf_dir, "documents"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,6 +55,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix": op1_suffix,
+    "op2_neardup": op2_neardup,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op6_quality": op6_quality,
