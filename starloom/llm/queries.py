@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import bpe, langid, mixing, neardup, neighbours, pii, quality, substring, suffix
+from starloom.llm import bpe, chat, langid, mixing, neardup, neighbours, pii, quality, substring, suffix
 from starloom.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read(spark, sf_dir, "conversations"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
+    "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_substring": op7_substring,
     "op8_langid": op8_langid,
