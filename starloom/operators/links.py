@@ -73,9 +73,9 @@ def link_counts(groups: DataFrame, prog: DataFrame, desc: DataFrame) -> DataFram
     """groups with n_progs and n_descs; 0 where a link was looked for and none found, null where there is no such snapshot."""
     p = prog.groupBy("snap_ord", "halo_id").agg(F.count("*").alias("n_progs"))
     d = desc.groupBy("snap_ord", "halo_id").agg(F.count("*").alias("n_descs"))
-    ends = groups.agg(F.min("snap_ord").alias("first"), F.max("snap_ord").alias("last"))
-    g = groups.join(p, ["snap_ord", "halo_id"], "left").join(d, ["snap_ord", "halo_id"], "left").crossJoin(F.broadcast(ends))  # one row
-    return g.withColumn("n_progs", F.when(F.col("snap_ord") > F.col("first"), F.coalesce("n_progs", F.lit(0)))).withColumn("n_descs", F.when(F.col("snap_ord") < F.col("last"), F.coalesce("n_descs", F.lit(0)))).drop("first", "last")
+    first, last = groups.agg(F.min("snap_ord"), F.max("snap_ord")).first()
+    g = groups.join(p, ["snap_ord", "halo_id"], "left").join(d, ["snap_ord", "halo_id"], "left")
+    return g.withColumn("n_progs", F.when(F.col("snap_ord") > first, F.coalesce("n_progs", F.lit(0)))).withColumn("n_descs", F.when(F.col("snap_ord") < last, F.coalesce("n_descs", F.lit(0))))
 
 
 def transient_counts(counted: DataFrame) -> DataFrame:
