@@ -32,9 +32,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and the digest of what they decode to."""
-    path = tokenizer_path()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
-    out = bpe.decode(ids.drop("text"), path)
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), decoded="decoded")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

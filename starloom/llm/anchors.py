@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Items of a piece; a longer document is cut into pieces that overlap by a window less one item.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Low bits of a key that hold a position; they are more than a batch of pieces needs.
 PLACE = np.uint64(24)
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -33,7 +33,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n powers of a multiplier and of its inverse modulo 2^64."""
     known = _powers.get(which)
     if known is None or len(known[0]) < n:
-        n = max(n, PIECE * 2)
+        n = 1 << max(12, int(n - 1).bit_length())
         m = int(MULTIPLIERS[which])
         up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
         up[1:], down[1:] = np.uint64(m), np.uint64(pow(m, -1, 1 << 64))

@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import chain
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from starloom.llm.common import free_name
+from starloom.llm.common import free_name, small_batches
 
 #: Unicode's White_Space property, at which the tokenizer cuts.
 CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -37,7 +38,7 @@ WORD_END = "</w>"
 #: Added to the code point of a word's last symbol.
 LAST = 0x1000
 #: Chunks that an encoder remembers at least; it remembers twice as many at most.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 NEVER = float("inf")
 
 
@@ -66,6 +67,10 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Codec:
     """Encoder and decoder of a tokenizers file with a BPE model, byte alphabet and word ends."""
@@ -208,22 +213,38 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """docs and their ids (array of int)."""
+@contextmanager
+def borrowed(path: str) -> Iterator[Codec]:
+    """A codec for a task. Afterwards the process lets go of it: the worker may serve other operators next, and building takes half a second."""
+    c = codec(path)
+    try:
+        yield c
+    finally:
+        c.chunks.forget()
+        c.compatible.clear()
+        codec.cache_clear()
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs and their ids (array of int); also what they decode to, in a column named by `decoded`, if it is given."""
     out = free_name(docs, to)
+    back = free_name(docs, decoded) if decoded else None
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        c, kind = codec(path), pa.list_(pa.int32())
-        for b in batches:
-            texts = b.column(text)
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = pa.array([c.encode(t) for t in texts.slice(at, 256).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
+        kind = pa.list_(pa.int32())
+        with borrowed(path) as c:
+            for b in batches:
+                texts = b.column(b.schema.names.index(text))
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    ids = [c.encode(t) for t in texts.slice(at, 256).to_pylist()]
+                    more = {out: pa.array(ids, kind)} | ({back: pa.array([c.decode(i) for i in ids], pa.string())} if back else {})
+                    yield pa.RecordBatch.from_arrays([*part.columns, *more.values()], names=[*part.schema.names, *more])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType()))]))
+    fields = [StructField(out, ArrayType(IntegerType())), *([StructField(back, StringType())] if back else [])]
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *fields]))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -233,15 +254,15 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        c = codec(path)
-        for b in batches:
-            column = b.column(ids)
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = pa.array([c.decode(np.array(x or [], np.int64)) for x in column.slice(at, 256).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
+        with borrowed(path) as c:
+            for b in batches:
+                column = b.column(b.schema.names.index(ids))
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    texts = pa.array([c.decode(np.array(x or [], np.int64)) for x in column.slice(at, 256).to_pylist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -252,16 +273,16 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
         import pyarrow as pa
 
-        c = codec(path)
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for at in range(0, b.num_rows, 256):
-                for t in b.column("text").slice(at, 256).to_pylist():
-                    ids = c.encode(t)
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(c.gather(ids, c.digits)).hexdigest())
-                    text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        with borrowed(path) as c:
+            for b in batches:
+                n, ids_sha, text_sha = [], [], []
+                for at in range(0, b.num_rows, 256):
+                    for t in b.column("text").slice(at, 256).to_pylist():
+                        ids = c.encode(t)
+                        n.append(len(ids))
+                        ids_sha.append(hashlib.sha256(c.gather(ids, c.digits)).hexdigest())
+                        text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

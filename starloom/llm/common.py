@@ -39,6 +39,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Rows of an Arrow batch, at most: the session's default would put thousands of whole texts into one.
+BATCH = 512
+
+
+def small_batches(df: DataFrame, rows: int = BATCH) -> DataFrame:
+    """df; its session hands Python at most so many rows at a time from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    known = int(df.sparkSession.conf.get(key))
+    if known <= 0 or known > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def spread(spark: SparkSession, least: int = 1) -> int:
     """How many partitions a shuffle of this session has."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

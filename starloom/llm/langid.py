@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from starloom.llm.common import free_name
+from starloom.llm.common import free_name, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: N-grams of a language's profile, and of a document's.
@@ -29,7 +29,7 @@ PROFILE = 400
 OWN = 300
 BLANK = 32
 #: Counts that a task holds before it hands them on.
-PENDING = 400_000
+PENDING = 100_000
 UNKNOWN = "und"
 
 
@@ -78,7 +78,7 @@ def counted(batches: Iterator, text: str, lang: str) -> Iterator:
 
 def learn(taught: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> list[tuple[str, list[int]]]:
     """(language, its most frequent n-grams in order) from all rows with a language."""
-    rows = taught.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = small_batches(taught).where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = rows.mapInArrow(lambda bs: counted(bs, "text", "lang"), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", first).where(F.col("rank") <= size).collect()
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], text: str =
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], *new], names=[*kept, to, score])
 
-    asked = docs.select(*dict.fromkeys([*kept, text]))
+    asked = small_batches(docs).select(*dict.fromkeys([*kept, text]))
     return asked.mapInArrow(run, StructType([*[docs.schema[c] for c in kept], StructField(to, StringType()), StructField(score, DoubleType())]))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from starloom.llm import anchors
-from starloom.llm.common import free_name
+from starloom.llm.common import free_name, small_batches
 
 LABELLED = 20_000
 WINDOW = 8
@@ -97,7 +97,7 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], *[pa.array(x) for x in new]], names=[*kept, *names.values()])
 
     schema = StructType([*[docs.schema[c] for c in kept], *[StructField(n, LongType()) for n in names.values()]])
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema), names
+    return small_batches(docs).select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema), names
 
 
 def ratio(name: str, names: dict[str, str]) -> Column:

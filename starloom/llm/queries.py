@@ -70,4 +70,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_neardup": "WITH RECURSIVE " + WORDS + """,
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[s + 1 : s + 5], ' ') k FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, least(len(ws), 1)))) s FROM w)),
+n AS (SELECT doc_id, count(*) n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id a, b.doc_id b, count(*) m FROM g a JOIN g b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * m >= 4 * (x.n + y.n - m)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a),
+tops AS (SELECT doc_id, min(reach) class_id FROM r GROUP BY doc_id),
+deg AS (SELECT a doc_id, count(*) n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) n_links,
+CAST(CASE WHEN len(ws) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY array_to_string(ws, ' ')) END AS BIGINT) copies
+FROM w JOIN tops USING (doc_id) LEFT JOIN deg USING (doc_id)""",
+    "op7_substring": "WITH " + WORDS + """,
+win AS (SELECT doc_id, unnest(range(0, len(ws) - 19)) s, ws FROM w),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s + 1 : s + 20], ' ') ORDER BY doc_id, s) rn FROM win),
+gone AS (SELECT DISTINCT doc_id, s + o i FROM k, (SELECT unnest(range(0, 20)) o) WHERE rn > 1),
+word AS (SELECT doc_id, unnest(ws) word, generate_subscripts(ws, 1) - 1 i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) t, count(*) n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+}

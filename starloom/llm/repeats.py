@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import anchors
+from starloom.llm.common import small_batches
 
 SHARD = 1 << 21
 #: Counters for each anchor expected, at least.
@@ -60,7 +61,7 @@ def texts(batches: Iterator) -> Iterator[tuple[int, int, bytes]]:
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
-    return keyed(docs, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return keyed(small_batches(docs), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
 def found(batches: Iterator, items: Callable[[bytes], np.ndarray], window: int, gram: int) -> Iterator[tuple[list, tuple]]:
