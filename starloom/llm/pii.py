@@ -219,9 +219,11 @@ def detect(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
 
     Patterns run once over the texts; the table of texts and spans is written, and read again to train and to classify.
     """
-    base, wider, out = free_name(docs, "base_spans"), free_name(docs, "wider_spans"), free_name(docs, to)
-    table = written(found(docs, text, base, wider))
-    return final(table, base, wider, fit(table, base, wider), out).select(*docs.columns, out)
+    # The input's columns travel in a struct, where their names can't clash with those used here.
+    out = free_name(docs, to)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    table = written(found(rows, "text", "base_spans", "wider_spans").drop("text"))
+    return final(table, "base_spans", "wider_spans", fit(table, "base_spans", "wider_spans"), "spans").select("row.*", F.col("spans").alias(out))
 
 
 def final(spans: DataFrame, base: str, wider: str, w: list[float], to: str) -> DataFrame:
@@ -246,7 +248,11 @@ def digest(docs: DataFrame) -> DataFrame:
     table = written(found(docs.select("doc_id", "text"), "text", "base_spans", "wider_spans").select("doc_id", "base_spans", "wider_spans"))
     out = final(table, "base_spans", "wider_spans", fit(table, "base_spans", "wider_spans"), "spans")
     base = F.filter("spans", lambda s: ~s["added"])
-    n = [F.size(F.filter("spans", lambda s, k=k: ~s["added"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: ~s["added"] & (s["kind"] == kind))).cast("long").alias(f"n_{KINDS[kind]}")
+
+    n = [count(k) for k in range(len(KINDS))]
     added = F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added")
     return out.select("doc_id", *n, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), added)
 
