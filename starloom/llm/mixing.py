@@ -8,8 +8,8 @@ next round with its last two, until one block a source is left, where they land
 
 Defined results: a null text has no words; a document without words is taken 0 words, whatever its copies. Documents without a
 source form a source of their own, the last. Rows alike in doc_id, source and text are taken alike. Reruns agree: blocks, order
-and random numbers come from hashes of the rows. An empty table gives an empty result. Columns of the input are kept by mix();
-new ones whose names clash get underscores before them.
+and random numbers come from hashes of the rows. An empty table gives an empty result. mix() keeps the
+columns of the input.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WORD_JAVA, free_name, written
+from starloom.llm.common import WORD_JAVA, written
 
 #: Documents of a block, about.
 BLOCK = 4096
@@ -170,9 +170,12 @@ def plan(base: DataFrame, weights: Sequence[float], most: float, seed: int, bloc
     return copies, table
 
 
+def row_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull(), "source", "doc_id")
+
+
 def base_of(docs: DataFrame) -> DataFrame:
-    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull(), "source", "doc_id")
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_JAVA)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_JAVA)), F.lit(0)).cast("long").alias("size"), row_hash().alias("h"))
 
 
 def allot(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
@@ -190,10 +193,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """Rows of docs as often as the mix takes them, with all their columns."""
-    h = free_name(docs, "row_hash")
-    base = base_of(docs)
-    copies, _ = plan(written(base), weights, most, seed, block)
+    copies, _ = plan(written(base_of(docs)), weights, most, seed, block)
     c = copies.where("copies > 0").select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "copies")
-    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull(), "source", "doc_id"))
-    kept = keyed.join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col(h) == F.col("c_h")))
-    return kept.withColumn(h, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # The input's columns travel in a struct, where their names can't clash with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", row_hash().alias("h"))
+    kept = rows.join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")))
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
