@@ -179,7 +179,8 @@ def asked_texts(docs: DataFrame, segs: DataFrame) -> DataFrame:
 def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """(id, place) of runs of repeated windows."""
     s = written(repeats.suspected(docs, byte_items, window, gram, 1.0))
-    seg = s.groupBy("h", "k").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first"))
+    # Written, so that the join below shuffles both sides anew: Spark splits a hot key there, but not where one side is an aggregate.
+    seg = written(s.groupBy("h", "k").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")))
     again = s.join(seg.where("n > 1").select("h", "k"), ["h", "k"], "left_semi").select("id", "place")
     several = seg.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
     edge = written(seg.join(several, "h").select("h", F.col("first")["id"].alias("id"), F.col("first")["place"].alias("place"), (F.col("different") > hot).alias("hot")))
@@ -191,7 +192,7 @@ def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = H
         out = out.unionByName(dealt.groupBy("bucket").applyInArrow(constructed(window), "id long, place long"))
     if size.get(True):
         w = written(asked_texts(docs, edge.where("hot")).mapInArrow(window_rows(window), repeats.SEGMENTS))
-        many = w.groupBy("h", "k").agg(F.count("*").alias("n")).where("n > 1").select("h", "k")
+        many = written(w.groupBy("h", "k").agg(F.count("*").alias("n")).where("n > 1").select("h", "k"))
         out = out.unionByName(w.join(many, ["h", "k"], "left_semi").select("id", "place"))
     return out
 
