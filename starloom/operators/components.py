@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges up to which one task finds components; more go through the distributed rounds.
+FEW_EDGES = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session, or a temporary one where that is unset."""
@@ -50,7 +54,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def _large_star(e: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the least of the node and its neighbours."""
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    # Written, so that the join shuffles both sides anew and Spark can split a node that most others link to.
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
     return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
@@ -61,3 +66,32 @@ def _small_star(e: DataFrame) -> DataFrame:
     down = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
     return down.unionByName(own).distinct()
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(node, component) of (src, dst): in one task while the edges are few, by distributed rounds beyond."""
+    kept = written(edges.select("src", "dst"))
+    if kept.count() > few:
+        return connected_components(kept)
+    return kept.coalesce(1).mapInArrow(_union_find, "node long, component long")
+
+
+def _union_find(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = sorted(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.components import connected_components, written
+from starloom.operators.components import components, written
 from starloom.operators.links import REAL_SIZE, ranked
 
 
@@ -84,9 +84,9 @@ def graphs(groups: DataFrame, prog: DataFrame, desc: DataFrame) -> DataFrame:
     p = prog.select(node().alias("src"), (F.col("snap_ord") - 1).cast("long").alias("o"), "other_id")
     d = desc.select(node().alias("src"), (F.col("snap_ord") + 1).cast("long").alias("o"), "other_id")
     edges = p.unionByName(d).select("src", (F.col("o") * SPAN + F.col("other_id")).alias("dst"))
-    c = connected_components(edges)
+    c = components(edges)
     g = groups.withColumn("node", node())
-    return g.join(c, "node", "left").select(F.coalesce("component", "node").alias("graph_id"), "snap_ord", "halo_id", "npart", "real")
+    return written(g.join(c, "node", "left").select(F.coalesce("component", "node").alias("graph_id"), "snap_ord", "halo_id", "npart", "real"))
 
 
 def rooted(all_graphs: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.spatial import components, near_pairs
+from starloom.operators.components import components
+from starloom.operators.spatial import near_pairs
 
 SPEED = ("vx", "vy", "vz")
 #: Groups below this size end in phase space.

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.components import connected_components, written
+from starloom.operators.components import components
 
 AXES = ("x", "y", "z")
-#: Edges up to which one task finds components; more go through the distributed rounds.
-FEW_EDGES = 200_000
 
 
 def cell_count(box: float, radius: float) -> int:
@@ -98,35 +95,6 @@ def near_pairs(parts: DataFrame, radius: float, box: float, periodic: bool = Tru
     return out if half else out.distinct()
 
 
-def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
-    """(node, component) of (src, dst): in one task while the edges are few, by distributed rounds beyond."""
-    kept = written(edges.select("src", "dst"))
-    if kept.count() > few:
-        return connected_components(kept)
-    return kept.coalesce(1).mapInArrow(_union_find, "node long, component long")
-
-
-def _union_find(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x, y = top(x), top(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    nodes = sorted(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])
-
-
 def friends(parts: DataFrame, radius: float, box: float, periodic: bool = True, within: str | None = None) -> DataFrame:
     """parts with halo_id: the smallest pid of the friends-of-friends group, null for particles alone."""
     c = components(near_pairs(parts, radius, box, periodic, within))

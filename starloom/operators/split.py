@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.components import connected_components, written
+from starloom.operators.components import components, written
 from starloom.operators.links import shared
 
 GLUE = 0.85
@@ -90,4 +90,4 @@ def split_back(members: DataFrame, threshold: int = 10) -> DataFrame:
 
 def fragment_components(links: DataFrame) -> DataFrame:
     """Components of fragments over glue links (src, dst)."""
-    return connected_components(links)
+    return components(links)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators import graph, links, phase, properties, spatial, split, stats
+from starloom.operators.components import written
 from starloom.sources import sinks
 from starloom.sources.tables import cohorts, converted, load, members, neighbours, particles, species, subset, with_flow
 
@@ -53,8 +54,9 @@ def flagged(m: DataFrame) -> DataFrame:
     return links.halos(m).withColumn("real", F.col("halo_id") % 3 != 0)
 
 
-def linked(spark: SparkSession, sf_dir: str, threshold: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    m = members(spark, sf_dir)
+def linked(spark: SparkSession, sf_dir: str, threshold: int = 10, kept: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members, groups and links; kept: members as a table, for plans of several jobs."""
+    m = written(members(spark, sf_dir)) if kept else members(spark, sf_dir)
     return m, flagged(m), links.progenitors(m, threshold), links.descendants(m, threshold)
 
 
@@ -177,20 +179,20 @@ REAL = """, really(snap_ord, halo_id) AS (SELECT snap_ord, halo_id FROM grp WHER
 
 @query(WR + PAIRED + REAL + """ SELECT g.snap_ord, g.halo_id, g.npart, g."real", r.halo_id IS NOT NULL linked_real FROM grp g LEFT JOIN really r USING (snap_ord, halo_id)""")
 def temporal_real_flags(spark, sf_dir):
-    _, g, p, _ = linked(spark, sf_dir)
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
     return graph.temporal_flags(g, p).select("snap_ord", "halo_id", "npart", "real", "linked_real")
 
 
 @query(WR + PAIRED + REAL + """ SELECT p.snap_ord, p.halo_id, p.other_id, CAST(row_number() OVER (PARTITION BY p.snap_ord, p.halo_id ORDER BY n_shared DESC, other_id) AS INTEGER) AS "rank", n_shared
 FROM prog p JOIN really r ON r.snap_ord = p.snap_ord - 1 AND r.halo_id = p.other_id""")
 def cleaned_progenitors(spark, sf_dir):
-    _, g, p, _ = linked(spark, sf_dir)
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
     return graph.cleaned_progenitors(p, graph.temporal_flags(g, p)).select(*LINK)
 
 
 @query(WR + PAIRED + REAL + """ SELECT g.snap_ord, g.halo_id, g.npart, r.halo_id IS NOT NULL "real" FROM grp g LEFT JOIN really r USING (snap_ord, halo_id)""")
 def flags_replaced(spark, sf_dir):
-    _, g, p, _ = linked(spark, sf_dir)
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
     return sinks.replace_flags(g, graph.temporal_flags(g, p)).select("snap_ord", "halo_id", "npart", "real")
 
 
@@ -201,13 +203,13 @@ br AS (SELECT root halo_id, npart, CAST(max(length) AS BIGINT) length FROM walk
 
 @query(WR + PAIRED + BRANCH + " SELECT * FROM br")
 def main_branch_length(spark, sf_dir):
-    _, g, p, _ = linked(spark, sf_dir)
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
     return graph.main_branches(g, p)
 
 
 @query(WR + PAIRED + BRANCH + " SELECT CAST(CASE WHEN npart >= 1000 THEN 2 WHEN npart >= 100 THEN 1 ELSE 0 END AS INTEGER) size_class, length, count(*) n FROM br GROUP BY ALL")
 def main_branch_hist(spark, sf_dir):
-    _, g, p, _ = linked(spark, sf_dir)
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
     return stats.branch_histogram(graph.main_branches(g, p))
 
 
@@ -217,13 +219,13 @@ UNION SELECT t.root, p.snap_ord - 1, p.other_id FROM tree t JOIN prog p ON p.sna
 
 @query(WR + PAIRED + TREE + " SELECT root, CAST(snap_ord AS INTEGER) snap_ord, halo_id FROM tree")
 def progenitor_tree(spark, sf_dir):
-    _, g, p, _ = linked(spark, sf_dir)
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
     return graph.trees(g, p)
 
 
 @query(WR + PAIRED + TREE + " SELECT n_trees, count(*) n_halos FROM (SELECT count(*) n_trees FROM tree GROUP BY snap_ord, halo_id) GROUP BY ALL")
 def tree_appearances(spark, sf_dir):
-    _, g, p, _ = linked(spark, sf_dir)
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
     return graph.appearances(graph.trees(g, p))
 
 
@@ -238,7 +240,7 @@ num AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY snap_ord, np
 
 
 def merged(spark, sf_dir):
-    _, g, p, d = linked(spark, sf_dir)
+    _, g, p, d = linked(spark, sf_dir, kept=True)
     return graph.graphs(g, p, d), p
 
 
@@ -288,7 +290,7 @@ def split_by_descendant(spark, sf_dir):
 
 @query()
 def split_backwards(spark, sf_dir):
-    return split.split_back(members(spark, sf_dir))
+    return split.split_back(written(members(spark, sf_dir)))
 
 
 @query(W + MEMBERS + """, n AS (SELECT snap_ord, halo_id, count(*) stride FROM mem GROUP BY ALL)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from starloom.operators import phase, properties, spatial
-from starloom.operators.components import connected_components
+from starloom.operators.components import components, connected_components
 from starloom.sources import sinks, tables
 
 COLUMNS = "pid long, x double, y double, z double, vx double, vy double, vz double, mass double, part_type int"
@@ -86,7 +86,7 @@ def test_components(spark, edges):
     random.Random(1).shuffle(edges)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == partition(edges, {x for e in edges for x in e})
-    few = {r.node: r.component for r in spatial.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    few = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert few == got
 
 
