@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: A word, as the contracts define it: a maximal run without blank, tab, LF, VT, FF or CR.
-WORD = re.compile("[^\x20\x09-\x0d]+")
-#: The same for Java's regular expressions.
-WORD_JAVA = r"[^\x20\x09-\x0D]+"
+from starloom.operators.components import written
 
-MIX_A = 0x9E3779B97F4A7C15
-MIX_B = 0xBF58476D1CE4E5B9
-MIX_C = 0x94D049BB133111EB
+__all__ = ["BATCH", "WORD_JAVA", "free_name", "read", "small_batches", "spread", "written"]
+
+#: A word, as the contracts define it, for Java: a maximal run without blank, tab, LF, VT, FF and CR.
+WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage: the session's spark.checkpoint.dir, a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="starloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: it survives lost executors and isn't computed twice."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 #: Rows of an Arrow batch, at most: the session's default would put thousands of whole texts into one.
 BATCH = 512
 
