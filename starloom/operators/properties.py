@@ -126,6 +126,14 @@ def shell_energy(c: DataFrame, factor: float, key: str = "halo_id") -> DataFrame
     return ke.join(ge, key)
 
 
+def equal_mass_energy(parts: DataFrame, softening: float, particle_mass: float, redshift: float, h: float, g: float, key: str = "halo_id") -> DataFrame:
+    """(key, ke, ge, e) for particles of one mass: kinetic from velocity variances / (1 + z), potential over all pairs x h (1 + z)."""
+    n = parts.groupBy(key).agg((0.5 * particle_mass / (1 + redshift) * F.count("*") * sum((F.var_pop(a) for a in SPEED[1:]), F.var_pop(SPEED[0]))).alias("ke"))
+    one = parts.withColumn("mass", F.lit(1.0))
+    j = n.join(potential(one, softening, g * particle_mass**2 * h * (1 + redshift), key), key)
+    return j.withColumn("e", F.col("ke") - F.col("ge"))
+
+
 def catalogue(parts: DataFrame, softening: float, factor: float, g: float, types: tuple[int, ...] = (0, 1, 4, 5), key: str = "halo_id") -> DataFrame:
     """One row a group with all of the above."""
     c = centred(parts, key)

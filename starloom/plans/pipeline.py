@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators import graph, links, phase, properties, spatial
+from starloom.operators.components import written
 
 
 @dataclass(frozen=True)
@@ -18,15 +19,25 @@ class Catalogue:
     sub_groups: DataFrame | None = None
 
 
-def find_groups(parts: DataFrame, box: float, linking: float, velocity_factor: float, softening: float, factor: float, g: float = 1.0, least: int = 10, periodic: bool = True, start: float = 10.0, end: float = 0.8, decrement: float = 0.01, sub_linking: float | None = None, sub_velocity_factor: float | None = None) -> Catalogue:
-    """Friends of friends, refined in phase space until bound; with sub_linking the same inside each group."""
+def find_groups(parts: DataFrame, box: float, linking: float, velocity_factor: float, softening: float, factor: float, g: float = 1.0, least: int = 10, periodic: bool = True, start: float = 10.0, end: float = 0.8, decrement: float = 0.01, sub_linking: float | None = None, sub_velocity_factor: float | None = None, baryon_linking: float | None = None) -> Catalogue:
+    """Friends of friends, refined in phase space until bound; with sub_linking the same inside each group.
+
+    With baryon_linking, groups of dark matter (part_type 1) and of all other species are joined where they touch.
+    """
     cols = ["pid", "x", "y", "z", "vx", "vy", "vz", "mass", "part_type"]
-    spatial_groups = spatial.at_least(spatial.friends(parts.select(*cols), linking, box, periodic), least)
+    p = parts.select(*cols)
+    if baryon_linking is None:
+        found = spatial.friends(p, linking, box, periodic)
+    else:
+        joint = spatial.joint_groups(p.where("part_type = 1"), p.where("part_type <> 1"), linking, baryon_linking, box, periodic)
+        found = p.join(joint, "pid")
+    spatial_groups = spatial.at_least(found, least)
     whole = properties.wrapped(spatial_groups, box) if periodic else spatial_groups
 
     def refined(found: DataFrame, length: float, v: float) -> tuple[DataFrame, DataFrame]:
-        r = phase.refine(found, length, v, softening, factor, start, end, decrement, least)
-        members = found.drop("halo_id").join(r.select("pid", "halo_id", "host_id", "exit_alpha"), "pid")
+        # Tables: refinement is the costly step, and properties read its members several times.
+        r = written(phase.refine(found, length, v, softening, factor, start, end, decrement, least))
+        members = written(found.drop("halo_id").join(r.select("pid", "halo_id", "host_id", "exit_alpha"), "pid"))
         exits = r.groupBy("halo_id").agg(F.first("host_id").alias("host_id"), F.first("exit_alpha").alias("exit_alpha"))
         return members, properties.catalogue(members, softening, factor, g).join(exits, "halo_id")
 
@@ -38,6 +49,11 @@ def find_groups(parts: DataFrame, box: float, linking: float, velocity_factor: f
     return Catalogue(members, groups, sub_members, sub_groups)
 
 
+def assigned_hosts(c: Catalogue) -> DataFrame:
+    """(host_id, n_subs, n_hosts) of a catalogue with subgroups."""
+    return spatial.occupancy(c.sub_members, c.members)
+
+
 @dataclass(frozen=True)
 class History:
     progenitors: DataFrame

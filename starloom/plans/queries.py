@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from starloom.operators import graph, links, phase, properties, spatial, split, stats
 from starloom.operators.components import written
 from starloom.sources import sinks
-from starloom.sources.tables import cohorts, converted, load, members, neighbours, particles, species, subset, with_flow
+from starloom.sources.tables import cohorts, converted, load, members, neighbours, particles, row_range, species, subset, with_flow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -500,6 +500,11 @@ def read_subset(spark, sf_dir):
     return subset(particles(spark, sf_dir), load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pid")), "x", "mass")
 
 
+@query(W + PARTS + " SELECT pid, x FROM p ORDER BY pid LIMIT 50 OFFSET 100")
+def read_range(spark, sf_dir):
+    return row_range(particles(spark, sf_dir), 100, 150).select("pid", "x")
+
+
 @query(W + PARTS + " SELECT pid, " + ", ".join(f"{s6(f'v{a} + 0.7 * ({a} - 0.5)')} v{a}" for a in "xyz") + " FROM p")
 def hubble_flow(spark, sf_dir):
     return rounded(with_flow(particles(spark, sf_dir), 0.7, BOX).select("pid", "vx", "vy", "vz"), "vx", "vy", "vz")
@@ -578,6 +583,11 @@ def shell_energy(spark, sf_dir):
     return rounded(properties.shell_energy(properties.centred(grouped(spark, sf_dir)), FACTOR), "ke_disp", "ge_shell")
 
 
+@query(WR + GROUPED + f", k AS (SELECT halo_id, 0.5 * 2.0 / 1.5 * count(*) * (var_pop(vx) + var_pop(vy) + var_pop(vz)) ke FROM m GROUP BY halo_id), g AS (SELECT a.halo_id, sum(1 / sqrt({D2} + {SOFT} * {SOFT})) * (1e-4 * 4.0 * 0.7 * 1.5) ge FROM m a JOIN m b ON a.halo_id = b.halo_id AND a.pid < b.pid GROUP BY a.halo_id) SELECT halo_id, {s6('ke')} ke, {s6('ge')} ge, {s6('ke - ge')} e FROM k JOIN g USING (halo_id)")
+def equal_mass_energy(spark, sf_dir):
+    return rounded(properties.equal_mass_energy(grouped(spark, sf_dir), SOFT, 2.0, 0.5, 0.7, 1e-4), "ke", "ge", "e")
+
+
 @query(WR + GROUPED + " SELECT " + s6("max(sqrt(mean_vx*mean_vx + mean_vy*mean_vy + mean_vz*mean_vz))") + " top_speed FROM mean")
 def top_speed(spark, sf_dir):
     c = properties.centres(grouped(spark, sf_dir))
@@ -606,6 +616,20 @@ def halo_catalogue(spark, sf_dir):
     return find_groups(particles(spark, sf_dir), BOX, RADIUS, VFACTOR, SOFT, FACTOR, GRAVITY).groups
 
 
+@query()
+def sub_catalogue(spark, sf_dir):
+    from starloom.plans.pipeline import find_groups
+
+    return find_groups(particles(spark, sf_dir), BOX, WIDE * 2**0.5, VFACTOR, SOFT, FACTOR, GRAVITY, sub_linking=NARROW * 2**0.5, least=5).sub_groups
+
+
+@query()
+def joint_catalogue(spark, sf_dir):
+    from starloom.plans.pipeline import find_groups
+
+    return find_groups(particles(spark, sf_dir), BOX, RADIUS * 2**0.5, VFACTOR, SOFT, FACTOR, GRAVITY, baryon_linking=RADIUS).groups
+
+
 FRAG = PARTS + """, q AS (SELECT *, label % 4 fragment FROM p), mean AS (SELECT fragment, count(*) npart, """ + ", ".join(f"avg({a}) m{a}" for a in ("x", "y", "z", "vx", "vy", "vz")) + """ FROM q GROUP BY fragment),
 ext AS (SELECT fragment, sqrt(5.0/3 * avg((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) radius, sqrt(5.0/3 * avg((vx-mvx)*(vx-mvx)+(vy-mvy)*(vy-mvy)+(vz-mvz)*(vz-mvz))) vr FROM q JOIN mean USING (fragment) GROUP BY fragment),
 e AS (SELECT *, row_number() OVER (ORDER BY npart DESC, fragment) rn FROM mean JOIN ext USING (fragment)),
