@@ -38,7 +38,7 @@ WORD_END = "</w>"
 #: Added to the code point of a word's last symbol.
 LAST = 0x1000
 #: Chunks that an encoder remembers at least; it remembers twice as many at most.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 NEVER = float("inf")
 
 
@@ -142,7 +142,7 @@ class Codec:
     def fits(self, a: int, b: int) -> bool:
         known = self.compatible.get((a, b))
         if known is None:
-            if len(self.compatible) > 4 * REMEMBERED:
+            if len(self.compatible) > REMEMBERED:
                 self.compatible.clear()
             known = self.compatible[a, b] = self._crossing(a, b, NEVER) is None
         return known
@@ -215,14 +215,12 @@ def codec(path: str) -> Codec:
 
 @contextmanager
 def borrowed(path: str) -> Iterator[Codec]:
-    """A codec for a task. Afterwards the process lets go of it: the worker may serve other operators next, and building takes half a second."""
+    """The process's codec for a task, which afterwards remembers no chunks: the worker may serve other operators next."""
     c = codec(path)
     try:
         yield c
     finally:
         c.chunks.forget()
-        c.compatible.clear()
-        codec.cache_clear()
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids", decoded: str | None = None) -> DataFrame:
