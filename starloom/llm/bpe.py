@@ -215,12 +215,14 @@ def codec(path: str) -> Codec:
 
 @contextmanager
 def borrowed(path: str) -> Iterator[Codec]:
-    """The process's codec for a task, which afterwards remembers no chunks: the worker may serve other operators next."""
+    """A codec for a task. Afterwards the process lets go of it: the worker may serve other operators next, and building takes half a second."""
     c = codec(path)
     try:
         yield c
     finally:
         c.chunks.forget()
+        c.compatible.clear()
+        codec.cache_clear()
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids", decoded: str | None = None) -> DataFrame:
