@@ -75,7 +75,7 @@ def signature_rows(n: int, size: int) -> Callable[[Iterator], Iterator]:
             sets = [h[3] for h in held if len(h[3])]
             sig = iter(minhashes(sets, size)) if sets else iter(())
             cols = [h[0] for h in held], [h[1] for h in held], [h[2] for h in held], [next(sig).tobytes() if len(h[3]) else None for h in held]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["id", "tag", "node", "signature"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["id", "tag", "node", "signature"])
 
         held, weight = [], 0
         for i, tag, text in repeats.texts(batches):
@@ -249,7 +249,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int =
     """(id, tag, group, group_tag, n_links, copies) for each row of docs; id and tag as in repeats.keyed()."""
     size, k = trees * depth, prefix_length(threshold, trees, depth, target)
     least = threshold - SLACK * (threshold * (1 - threshold) / size) ** 0.5
-    rows = written(repeats.text_rows(docs).mapInArrow(signature_rows(n, size), "id long, tag int, node long, signature binary"))
+    rows = written(repeats.text_rows(docs).mapInArrow(signature_rows(n, size), "id long, tag binary, node long, signature binary"))
     at = F.struct("id", "tag")
     classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(at).alias("first"), F.count("*").alias("copies")))
     one_each = rows.join(classes.select("node", "first"), "node").where((F.col("id") == F.col("first")["id"]) & (F.col("tag") == F.col("first")["tag"])).select("node", "signature").dropDuplicates(["node"])

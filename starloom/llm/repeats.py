@@ -27,31 +27,27 @@ ROOM = 16
 #: Anchors that a task counts before it hands its sketch on.
 FLUSH = 1 << 20
 NO_ID = (1 << 63) - 1
-#: Layout of `place`, which orders the windows of a doc_id: hash of the text, first window, number of windows less one.
-TAG_BITS, FIRST_BITS, COUNT_BITS = 18, 36, 9
-SEGMENTS = "h long, k long, id long, place long"
+#: Layout of `place`, which orders the windows of a document: first window, number of windows less one.
+FIRST_BITS, COUNT_BITS = 36, 9
+SEGMENTS = "h long, k long, id long, tag binary, place long"
 
 
 def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
-    """id and tag, which tell documents apart, with more columns."""
+    """id and tag, 128 bits of the text's SHA-256, which tell documents apart, with more columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tag = F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).cast("int")
+    tag = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tag.alias("tag"), *more)
 
 
-def tag_of(place: Column) -> Column:
-    return F.shiftright(place, FIRST_BITS + COUNT_BITS).cast("int")
-
-
 def first_of(place: Column) -> Column:
-    return F.shiftright(place, COUNT_BITS).bitwiseAND(F.lit((1 << FIRST_BITS) - 1))
+    return F.shiftright(place, COUNT_BITS)
 
 
 def count_of(place: Column) -> Column:
     return place.bitwiseAND(F.lit((1 << COUNT_BITS) - 1)) + 1
 
 
-def texts(batches: Iterator) -> Iterator[tuple[int, int, bytes]]:
+def texts(batches: Iterator) -> Iterator[tuple[int, bytes, bytes]]:
     """(id, tag, text in UTF-8) of the rows of (id, tag, text binary)."""
     for b in batches:
         ids, tags = b.column("id").to_pylist(), b.column("tag").to_pylist()
@@ -66,7 +62,7 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 def found(batches: Iterator, items: Callable[[bytes], np.ndarray], window: int, gram: int) -> Iterator[tuple[list, tuple]]:
     """([(id, tag)], arrays of segments), the arrays' document being a place in the list."""
-    seen: list[tuple[int, int]] = []
+    seen: list[tuple[int, bytes]] = []
 
     def documents() -> Iterator[tuple[int, np.ndarray]]:
         for i, tag, text in texts(batches):
@@ -121,13 +117,14 @@ def all_segments(batches: Iterator, items: Callable, window: int, gram: int) ->
     import pyarrow as pa
 
     for seen, (doc, first, n, h, k, _, _) in found(batches, items, window, gram):
-        whose = np.array(seen, np.int64)[doc]
-        place = whose[:, 1] << (FIRST_BITS + COUNT_BITS) | first << COUNT_BITS | (n - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k.view(np.int64)), pa.array(whose[:, 0]), pa.array(place)], names=["h", "k", "id", "place"])
+        some, which = np.unique(doc, return_inverse=True)
+        ids, tags = (pa.array(c, t).take(pa.array(which)) for c, t in zip(zip(*(seen[d] for d in some), strict=True), (pa.int64(), pa.binary()), strict=True))
+        place = first << COUNT_BITS | (n - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k.view(np.int64)), ids, tags, pa.array(place)], names=["h", "k", "id", "tag", "place"])
 
 
 def suspected(docs: DataFrame, items: Callable[[bytes], np.ndarray], window: int, gram: int, bytes_an_item: float) -> DataFrame:
-    """(h, k, id, place): segments whose anchor (h) is estimated to occur at least twice; k is the segment's own hash."""
+    """(h, k, id, tag, place): segments whose anchor (h) is estimated to occur at least twice; k is the segment's own hash."""
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     expected = 2 * size / bytes_an_item / (window - gram + 2)
     width = max(SHARD, 1 << int(np.ceil(np.log2(max(1.0, ROOM * expected)))))
@@ -150,4 +147,4 @@ def packed(docs: DataFrame) -> DataFrame:
             out = [c.compress(t or b"") for at in range(0, b.num_rows, 64) for t in b.column("text").slice(at, 64).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tag"), pa.array(out, pa.binary())], names=["id", "tag", "text"])
 
-    return text_rows(docs).mapInArrow(run, "id long, tag int, text binary")
+    return text_rows(docs).mapInArrow(run, "id long, tag binary, text binary")

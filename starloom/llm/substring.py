@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm import anchors, repeats
 from starloom.llm.common import written
-from starloom.llm.repeats import count_of, first_of, tag_of
+from starloom.llm.repeats import count_of, first_of
 
 WINDOW = 20
 GRAM = 6
@@ -37,7 +37,7 @@ def word_items(text: bytes) -> np.ndarray:
 
 
 def window_rows(window: int) -> Callable[[Iterator], Iterator]:
-    """(w1, w2, id, place): the windows of segments, one row each, from rows (id, tag, text, segments)."""
+    """(w1, w2, id, tag, place): the windows of segments, one row each, from rows (id, tag, text, segments)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -49,32 +49,32 @@ def window_rows(window: int) -> Callable[[Iterator], Iterator]:
             for i, tag, text, places in zip(*(b.column(c).to_pylist() for c in ("id", "tag", "text", "places")), strict=True):
                 items = word_items(d.decompress(text))
                 p = np.array(places, np.int64)
-                first, n = p >> repeats.COUNT_BITS & ((1 << repeats.FIRST_BITS) - 1), (p & ((1 << repeats.COUNT_BITS) - 1)) + 1
+                first, n = p >> repeats.COUNT_BITS, (p & ((1 << repeats.COUNT_BITS) - 1)) + 1
                 starts = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 one, two = anchors.Rolling(items, 0), anchors.Rolling(items, 1)
-                place = tag << (repeats.FIRST_BITS + repeats.COUNT_BITS) | starts << repeats.COUNT_BITS
-                out.append((one.at(starts, starts + window).view(np.int64), two.at(starts, starts + window).view(np.int64), np.full(len(starts), i, np.int64), place))
+                columns = one.at(starts, starts + window).view(np.int64), two.at(starts, starts + window).view(np.int64), np.full(len(starts), i, np.int64)
+                out.append((*map(pa.array, columns), pa.repeat(pa.scalar(tag, pa.binary()), len(starts)), pa.array(starts << repeats.COUNT_BITS)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["w1", "w2", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=["w1", "w2", "id", "tag", "place"])
 
     return run
 
 
 def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, place) of segments whose windows all begin earlier too; a document may have several."""
+    """(id, tag, place) of segments whose windows all begin earlier too; a document may have several."""
     s = written(repeats.suspected(docs, word_items, window, gram, 6.0))
-    at = F.struct("id", "place")
+    at = F.struct("id", "tag", "place")
     # Written, so that the joins below shuffle both sides anew: Spark splits a hot key there, but not where one side is an aggregate.
     seg = written(s.groupBy("h", "k").agg(F.min(at).alias("first"), F.count("*").alias("n")))
-    again = s.join(seg.where("n > 1"), ["h", "k"]).where((F.col("first")["id"] != F.col("id")) | (F.col("first")["place"] != F.col("place"))).select("id", "place")
+    again = s.join(seg.where("n > 1"), ["h", "k"]).where(F.col("first") != at).select("id", "tag", "place")
     # Equal windows have equal anchors, so where an anchor has one segment only there is nothing else to find.
     several = seg.groupBy("h").agg(F.count("*").alias("different")).where("different > 1").select("h")
-    edge = seg.join(several, "h", "left_semi").select(F.col("first")["id"].alias("id"), F.col("first")["place"].alias("place"))
-    asked = edge.groupBy("id", tag_of(F.col("place")).alias("tag")).agg(F.collect_set("place").alias("places"))
-    rows = repeats.packed(docs).join(asked, ["id", "tag"]).mapInArrow(window_rows(window), "w1 long, w2 long, id long, place long")
+    edge = seg.join(several, "h", "left_semi").select("first.*")
+    asked = edge.groupBy("id", "tag").agg(F.collect_set("place").alias("places"))
+    rows = repeats.packed(docs).join(asked, ["id", "tag"]).mapInArrow(window_rows(window), "w1 long, w2 long, id long, tag binary, place long")
     w = written(rows)
     first = written(w.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = w.join(first, ["w1", "w2"]).where((F.col("first")["id"] != F.col("id")) | (F.col("first")["place"] != F.col("place"))).select("id", "place")
+    later = w.join(first, ["w1", "w2"]).where(F.col("first") != at).select("id", "tag", "place")
     return again.unionByName(later)
 
 
@@ -82,7 +82,7 @@ def ranges(cover: DataFrame, window: int) -> DataFrame:
     """(id, tag, ranges): one row for each document that has covers, a range being first item and end."""
     first = first_of(F.col("place"))
     span = F.struct(first.alias("a"), (first + count_of(F.col("place")) + (window - 1)).alias("b"))
-    return cover.select("id", tag_of(F.col("place")).alias("tag"), span.alias("r")).groupBy("id", "tag").agg(F.collect_list("r").alias("ranges"))
+    return cover.select("id", "tag", span.alias("r")).groupBy("id", "tag").agg(F.collect_list("r").alias("ranges"))
 
 
 def with_ranges(docs: DataFrame, cover: DataFrame, window: int) -> DataFrame:

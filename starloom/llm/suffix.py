@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from starloom.llm import anchors, repeats
 from starloom.llm.common import written
-from starloom.llm.repeats import tag_of
 from starloom.llm.substring import with_ranges
 
 WINDOW = 400
@@ -97,7 +96,7 @@ def least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def constructed(window: int) -> Callable:
-    """A bucket's pieces -> (id, place) of runs of repeated windows."""
+    """A bucket's pieces -> (id, tag, place) of runs of repeated windows."""
 
     def run(rows):
         import pyarrow as pa
@@ -108,15 +107,14 @@ def constructed(window: int) -> Callable:
         edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
         end = np.nonzero(edge == -1)[1]
-        tag, base = place >> (repeats.FIRST_BITS + repeats.COUNT_BITS), place >> repeats.COUNT_BITS & ((1 << repeats.FIRST_BITS) - 1)
-        out = tag[row] << (repeats.FIRST_BITS + repeats.COUNT_BITS) | (base[row] + first) << repeats.COUNT_BITS | (end - first - 1)
-        return pa.table({"id": pa.array(rows.column("id").to_numpy()[row]), "place": pa.array(out)})
+        out = ((place >> repeats.COUNT_BITS)[row] + first) << repeats.COUNT_BITS | (end - first - 1)
+        return pa.table({"id": rows.column("id").take(pa.array(row)), "tag": rows.column("tag").take(pa.array(row)), "place": pa.array(out)})
 
     return run
 
 
-def parts_of(batches: Iterator) -> Iterator[tuple[int, bytes, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, text, asked segments, their first windows, numbers of windows, tags) from rows (id, text, asked)."""
+def parts_of(batches: Iterator) -> Iterator[tuple[int, bytes, bytes, list, np.ndarray, np.ndarray]]:
+    """(id, tag, text, asked segments, their first windows, numbers of windows) from rows (id, tag, text, asked)."""
     import zstandard
 
     d = zstandard.ZstdDecompressor()
@@ -124,12 +122,12 @@ def parts_of(batches: Iterator) -> Iterator[tuple[int, bytes, list, np.ndarray,
         for at in range(b.num_rows):
             asked = b.column("asked")[at].as_py()
             p = np.array([a["place"] for a in asked], np.int64)
-            first, n = p >> repeats.COUNT_BITS & ((1 << repeats.FIRST_BITS) - 1), (p & ((1 << repeats.COUNT_BITS) - 1)) + 1
-            yield b.column("id")[at].as_py(), d.decompress(b.column("text")[at].as_py()), asked, first, n, p >> (repeats.FIRST_BITS + repeats.COUNT_BITS)
+            first, n = p >> repeats.COUNT_BITS, (p & ((1 << repeats.COUNT_BITS) - 1)) + 1
+            yield b.column("id")[at].as_py(), b.column("tag")[at].as_py(), d.decompress(b.column("text")[at].as_py()), asked, first, n
 
 
 def piece_rows(window: int, gram: int) -> Callable[[Iterator], Iterator]:
-    """(h, id, place, at, piece) of asked segments; at: where the anchor begins in the piece."""
+    """(h, id, tag, place, at, piece) of asked segments; at: where the anchor begins in the piece."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -137,14 +135,14 @@ def piece_rows(window: int, gram: int) -> Callable[[Iterator], Iterator]:
         held: list[tuple] = []
 
         def rows() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["h", "id", "place", "at", "piece"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["h", "id", "tag", "place", "at", "piece"])
 
-        for i, text, asked, first, n, _ in parts_of(batches):
+        for i, tag, text, asked, first, n in parts_of(batches):
             for a, f, m in zip(asked, first.tolist(), n.tolist(), strict=True):
                 piece = text[f : f + m + window - 1]
                 grams = anchors.Rolling(byte_items(piece), 0).every(gram)[: window - gram + 1]
-                held.append((a["h"], i, a["place"], int(np.argmin(grams >> anchors.PLACE)), piece))
+                held.append((a["h"], i, tag, a["place"], int(np.argmin(grams >> anchors.PLACE)), piece))
             if len(held) > 4000:
                 yield rows()
                 held.clear()
@@ -155,45 +153,44 @@ def piece_rows(window: int, gram: int) -> Callable[[Iterator], Iterator]:
 
 
 def window_rows(window: int) -> Callable[[Iterator], Iterator]:
-    """(h, k, id, place): the windows of asked segments one by one, with two hashes of their content."""
+    """(h, k, id, tag, place): the windows of asked segments one by one, with two hashes of their content."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for i, text, _, first, n, tag in parts_of(batches):
+        for i, tag, text, _, first, n in parts_of(batches):
             items = byte_items(text)
             one, two = anchors.Rolling(items, 0), anchors.Rolling(items, 1)
             s = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            place = np.repeat(tag, n) << (repeats.FIRST_BITS + repeats.COUNT_BITS) | s << repeats.COUNT_BITS
-            columns = two.at(s, s + window).view(np.int64), one.at(s, s + window).view(np.int64), np.full(len(s), i, np.int64), place
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "k", "id", "place"])
+            columns = two.at(s, s + window).view(np.int64), one.at(s, s + window).view(np.int64), np.full(len(s), i, np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.repeat(pa.scalar(tag, pa.binary()), len(s)), pa.array(s << repeats.COUNT_BITS)], names=["h", "k", "id", "tag", "place"])
 
     return run
 
 
 def asked_texts(docs: DataFrame, segs: DataFrame) -> DataFrame:
-    asked = segs.groupBy("id", tag_of(F.col("place")).alias("tag")).agg(F.collect_set(F.struct("h", "place")).alias("asked"))
-    return repeats.packed(docs).join(asked, ["id", "tag"]).select("id", "text", "asked")
+    asked = segs.groupBy("id", "tag").agg(F.collect_set(F.struct("h", "place")).alias("asked"))
+    return repeats.packed(docs).join(asked, ["id", "tag"]).select("id", "tag", "text", "asked")
 
 
 def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
-    """(id, place) of runs of repeated windows."""
+    """(id, tag, place) of runs of repeated windows."""
     s = written(repeats.suspected(docs, byte_items, window, gram, 1.0))
     # Written, so that the join below shuffles both sides anew: Spark splits a hot key there, but not where one side is an aggregate.
-    seg = written(s.groupBy("h", "k").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")))
-    again = s.join(seg.where("n > 1").select("h", "k"), ["h", "k"], "left_semi").select("id", "place")
+    seg = written(s.groupBy("h", "k").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "place")).alias("first")))
+    again = s.join(seg.where("n > 1").select("h", "k"), ["h", "k"], "left_semi").select("id", "tag", "place")
     several = seg.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
-    edge = written(seg.join(several, "h").select("h", F.col("first")["id"].alias("id"), F.col("first")["place"].alias("place"), (F.col("different") > hot).alias("hot")))
+    edge = written(seg.join(several, "h").select("h", "first.*", (F.col("different") > hot).alias("hot")))
     size = {r["hot"]: r["n"] for r in edge.groupBy("hot").agg(F.count("*").alias("n")).collect()}
     out = again
     if size.get(False):
-        pieces = asked_texts(docs, edge.where("NOT hot")).mapInArrow(piece_rows(window, gram), "h long, id long, place long, at long, piece binary")
+        pieces = asked_texts(docs, edge.where("NOT hot")).mapInArrow(piece_rows(window, gram), "h long, id long, tag binary, place long, at long, piece binary")
         dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(-(-size[False] // bucket))))
-        out = out.unionByName(dealt.groupBy("bucket").applyInArrow(constructed(window), "id long, place long"))
+        out = out.unionByName(dealt.groupBy("bucket").applyInArrow(constructed(window), "id long, tag binary, place long"))
     if size.get(True):
         w = written(asked_texts(docs, edge.where("hot")).mapInArrow(window_rows(window), repeats.SEGMENTS))
         many = written(w.groupBy("h", "k").agg(F.count("*").alias("n")).where("n > 1").select("h", "k"))
-        out = out.unionByName(w.join(many, ["h", "k"], "left_semi").select("id", "place"))
+        out = out.unionByName(w.join(many, ["h", "k"], "left_semi").select("id", "tag", "place"))
     return out
 
 

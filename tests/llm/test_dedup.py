@@ -197,6 +197,29 @@ def test_empty_clashing_and_null_ids(spark, digest):
     assert sorted(str(r.doc_id) for r in digest(df).collect()) == ["1", "1", "1", "None", "None"]
 
 
+def alike_in_18_bits(words):
+    """Two texts without a common passage whose 64-bit hashes end alike."""
+    import xxhash
+
+    rng, seen = random.Random(12), {}
+    while True:
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(words))
+        key = xxhash.xxh64_intdigest(text.encode(), 42) % (1 << 18)
+        if key in seen:
+            return seen[key], text
+        seen[key] = text
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    one, two = alike_in_18_bits(60)
+    rows = [(None, one), (None, two), (1, two[210:])]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(r.text for r in neardup.deduplicate(df).collect()) == sorted(t for _, t in rows)
+    numbered = [(2, one), (3, two), rows[2]]
+    assert sorted(tuple(r)[1:] for r in suffix.digest(df, 40, 8).collect()) == sorted(plain_bytes(numbered, 40).values())
+    assert sorted(tuple(r)[1:] for r in substring.digest(df).collect()) == sorted(plain_words(numbered, 20).values())
+
+
 def test_all_null_texts_are_alone(spark):
     df = spark.createDataFrame([(i, None) for i in range(4)], DOCS)
     assert sorted(tuple(r) for r in neardup.digest(df).collect()) == [(i, i, 0, 1) for i in range(4)]
