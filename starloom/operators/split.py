@@ -72,8 +72,9 @@ def split_back(members: DataFrame, threshold: int = 10) -> DataFrame:
     """All snapshots split from the last one backwards: a group that has several descendants becomes its fragments.
 
     (snap_ord, pid, original_id, halo_id): each snapshot is split by the groups that the next one was split into, so the snapshots
-    are walked through in order; within one, everything is a join and a window. Groups without descendant leave, but in the last
-    snapshot. New ids are the first of the fragment's particles.
+    are walked through in order; within one, everything is a join and a window. Of a fragment only the particles that are in its
+    descendant go on; a group with one descendant keeps all. Groups without descendant leave, but in the last snapshot. New ids
+    are the first of the fragment's particles.
     """
     first, last = members.agg(F.min("snap_ord"), F.max("snap_ord")).first()
     now = written(members.where(F.col("snap_ord") == last).select("snap_ord", "pid", F.col("halo_id").alias("original_id"), "halo_id"))
@@ -81,9 +82,12 @@ def split_back(members: DataFrame, threshold: int = 10) -> DataFrame:
     for snap in range(last - 1, first - 1, -1):
         here = members.where(F.col("snap_ord") == snap).select("snap_ord", "pid", F.col("halo_id").alias("original_id"))
         with_next = here.join(now.select("pid", F.col("halo_id").alias("desc_id")), "pid", "left")
-        w = Window.partitionBy("original_id", "desc_id")
-        counted = with_next.withColumn("n", F.when(F.col("desc_id").isNotNull(), F.count("*").over(w))).where(F.col("n") >= threshold)
-        now = written(counted.withColumn("halo_id", F.min("pid").over(w)).select("snap_ord", "pid", "original_id", "halo_id"))
+        n = F.when(F.col("desc_id").isNotNull(), F.count("*").over(Window.partitionBy("original_id", "desc_id")))
+        counted = with_next.withColumn("counted", F.when(n >= threshold, F.col("desc_id")))
+        w = Window.partitionBy("original_id")
+        single = counted.withColumn("single", F.min("counted").over(w) == F.max("counted").over(w))
+        kept = single.where(F.col("single") | F.col("counted").isNotNull()).withColumn("part", F.when(~F.col("single"), F.col("counted")))
+        now = written(kept.withColumn("halo_id", F.min("pid").over(Window.partitionBy("original_id", "part"))).select("snap_ord", "pid", "original_id", "halo_id"))
         out = out.unionByName(now)
     return out
 

@@ -94,6 +94,41 @@ def test_fragments_share_out_all_mass(spark):
     assert sorted((r["halo_id"], r["count"]) for r in back) == [(0, 18), (18, 10)]
 
 
+def walked_back(rows, threshold):
+    """Splitting by plain sets, from the last snapshot backwards: {(snap, pid): (original id, new id)}; and the groups with one descendant that keep more than it has."""
+    groups, out, whole = {}, {}, 0
+    for s, h, p, *_ in rows:
+        groups.setdefault(s, {}).setdefault(h, set()).add(p)
+    after = {}
+    for s in sorted(groups, reverse=True):
+        now = {}
+        for h, pids in groups[s].items():
+            descs = {}
+            for p in pids & after.keys():
+                descs.setdefault(after[p], set()).add(p)
+            parts = [d for d in descs.values() if len(d) >= threshold]
+            if s == max(groups):
+                now |= dict.fromkeys(pids, h)
+            elif len(parts) == 1:
+                whole += parts[0] != pids
+                now |= dict.fromkeys(pids, min(pids))
+            else:
+                for d in parts:
+                    now |= dict.fromkeys(d, min(d))
+            out |= {(s, p): (h, now[p]) for p in pids if p in now}
+        after = now
+    return out, whole
+
+
+@pytest.mark.parametrize("seed, threshold", [(1, 10), (2, 8), (3, 3)])
+def test_split_back_follows_the_walk(spark, seed, threshold):
+    rows = history(seed)
+    want, whole = walked_back(rows, threshold)
+    got = split.split_back(spark.createDataFrame(rows, MEMBERS), threshold).collect()
+    assert {(r.snap_ord, r.pid): (r.original_id, r.halo_id) for r in got} == want and len(got) == len(want)
+    assert whole or threshold < 8
+
+
 def test_parameters_and_cosmology():
     p = read_params("parameters:\n  link_threshold: 7\nflags:\n  DMO: 0\n")
     assert p.parameters["link_threshold"] == 7 and p.parameters["part_threshold"] == 10
