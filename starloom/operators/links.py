@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators.components import written
+
 TYPES = (0, 1, 4, 5)
 #: Groups below this size are real only if an earlier one says so.
 REAL_SIZE = 20
@@ -93,10 +95,10 @@ def main_descendants(members: DataFrame, groups: DataFrame, threshold: int = 10,
 
 
 def legacy_flags(groups: DataFrame, prog: DataFrame, desc: DataFrame, least: int = 10) -> DataFrame:
-    """The older writer's verdict on real groups of at least `least` particles.
+    """The older writer's verdict on real groups of at least `least` particles, once, on the flags as they come.
 
-    Without a real progenitor and a descendant: not real. Without a real progenitor and small: not real. Else kept, and its best
-    descendant is real too.
+    Without a real progenitor and a descendant: not real. Without a real progenitor and small: not real. Else kept. What that
+    changes in the flags of other groups is left out; legacy_chain() has it.
     """
     real = groups.where("real").select((F.col("snap_ord") + 1).alias("snap_ord"), F.col("halo_id").alias("other_id"))
     real_progs = prog.join(real, ["snap_ord", "other_id"], "left_semi").groupBy("snap_ord", "halo_id").agg(F.count("*").alias("n_real_progs"))
@@ -107,6 +109,45 @@ def legacy_flags(groups: DataFrame, prog: DataFrame, desc: DataFrame, least: int
     return g.select("snap_ord", "halo_id", "npart", n.cast("long").alias("n_real_progs"), "desc_id", state.alias("state"))
 
 
+def legacy_chain(groups: DataFrame, prog: DataFrame, desc: DataFrame, least: int = 10) -> DataFrame:
+    """The older writer's verdict with flags carried on, for each group of at least `least` particles that is real when its turn comes.
+
+    States are those of legacy_flags(). A kept group makes its best descendant real, an unlinked or small one stops being real, and
+    the next snapshot is judged by these flags; so snapshots are walked through in order, within one everything is a join.
+    The first snapshot has no progenitors to look for (n_real_progs is null) and the last no descendants, so nothing is unlinked
+    there, nor small in the first. `prog` and `desc` are links before any ranking by flags.
+    """
+    first, last = groups.agg(F.min("snap_ord"), F.max("snap_ord")).first()
+    groups = written(groups.select("snap_ord", "halo_id", "npart", "real"))
+    prog = written(large_other(prog, groups, -1, least).select("snap_ord", "halo_id", "other_id"))
+    best = written(ranked(large_other(desc, groups, 1, least)).where("rank = 1").select("snap_ord", "halo_id", F.col("other_id").alias("desc_id")))
+    out = before = promoted = None
+    for snap in range(first, last + 1) if first is not None else ():
+        here = groups.where(F.col("snap_ord") == snap)
+        if promoted is not None:
+            here = here.join(promoted, "halo_id", "left").withColumn("real", F.col("real") | F.col("promoted").isNotNull()).drop("promoted")
+        here = written(here.where("real"))
+        n = F.lit(None).cast("long")
+        g = here.where(F.col("npart") >= least).join(best.where(F.col("snap_ord") == snap).drop("snap_ord"), "halo_id", "left")
+        if before is not None:
+            count = prog.where(F.col("snap_ord") == snap).join(before, "other_id", "left_semi").groupBy("halo_id").agg(F.count("*").alias("n"))
+            g, n = g.join(count, "halo_id", "left"), F.coalesce("n", F.lit(0))
+        linked = F.lit(snap != first or first == last) & F.lit(snap != last or first == last)
+        state = F.when(linked & (F.coalesce(n, F.lit(0)) == 0) & F.col("desc_id").isNull(), "unlinked").when((n == 0) & (F.col("npart") < REAL_SIZE), "small").otherwise("kept")
+        g = written(g.select("snap_ord", "halo_id", "npart", n.alias("n_real_progs"), "desc_id", state.alias("state")))
+        out = g if out is None else out.unionByName(g)
+        kept = g.where("state = 'kept'")
+        before = here.where(F.col("npart") < least).select(F.col("halo_id").alias("other_id")).unionByName(kept.select(F.col("halo_id").alias("other_id")))
+        promoted = kept.where("desc_id IS NOT NULL").select(F.col("desc_id").alias("halo_id"), F.lit(True).alias("promoted")).distinct()
+    return legacy_flags(groups, prog, ranked(desc), least).limit(0) if out is None else out
+
+
+def large_other(links: DataFrame, groups: DataFrame, step: int, least: int) -> DataFrame:
+    """links to groups of at least `least` particles, `step` snapshots away."""
+    o = groups.where(F.col("npart") >= least).select((F.col("snap_ord") - step).alias("snap_ord"), F.col("halo_id").alias("other_id"))
+    return links.join(o, ["snap_ord", "other_id"], "left_semi")
+
+
 def cut(prog: DataFrame, desc: DataFrame) -> DataFrame:
     """Progenitor links whose progenitor has this group as its main descendant."""
     main = desc.where("rank = 1").select((F.col("snap_ord") + 1).alias("snap_ord"), F.col("halo_id").alias("other_id"), F.col("other_id").alias("halo_id"))

@@ -136,6 +136,12 @@ def legacy_flag_chain(spark, sf_dir):
     return links.legacy_flags(g, p, d)
 
 
+@query()
+def legacy_flag_propagation(spark, sf_dir):
+    _, g, p, d = linked(spark, sf_dir, kept=True)
+    return links.legacy_chain(g, p, d)
+
+
 @query(W + PAIRED + """ SELECT p.snap_ord, p.halo_id, p.other_id, p.n_shared FROM prog p JOIN des d ON d."rank" = 1 AND d.snap_ord = p.snap_ord - 1 AND d.halo_id = p.other_id AND d.other_id = p.halo_id""")
 def cut_links(spark, sf_dir):
     _, _, p, d = linked(spark, sf_dir)

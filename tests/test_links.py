@@ -129,6 +129,46 @@ def test_split_back_follows_the_walk(spark, seed, threshold):
     assert whole or threshold < 8
 
 
+def chained(rows, real, threshold, least):
+    """The older writer, group by group, snapshot by snapshot, with flags written back: {(snap, group): (real progenitors, descendant, state)}."""
+    groups = {}
+    for s, h, p, *_ in rows:
+        groups.setdefault((s, h), set()).add(p)
+    flag = {k: real(*k) for k in groups}
+    first, last = min(s for s, _ in groups), max(s for s, _ in groups)
+    out = {}
+    for s, h in sorted(groups):
+        if not flag[s, h] or len(groups[s, h]) < least:
+            continue
+
+        def others(t):
+            n = {o: len(groups[s, h] & groups[u, o]) for u, o in groups if u == t and len(groups[u, o]) >= least}  # noqa: B023
+            return {o: m for o, m in n.items() if m >= threshold}
+
+        nprog = -1 if s == first else sum(flag[s - 1, o] for o in others(s - 1))
+        after = others(s + 1)
+        ndesc = -1 if s == last else min(1, len(after))
+        desc = min(after, key=lambda o: (-after[o], o)) if after else None
+        state = "unlinked" if nprog == ndesc and nprog in (-1, 0) else "small" if nprog == 0 and len(groups[s, h]) < links.REAL_SIZE else "kept"
+        flag[s, h] = state == "kept"
+        if state == "kept" and desc is not None:
+            flag[s + 1, desc] = True
+        out[s, h] = (None if nprog < 0 else nprog, desc, state)
+    return out
+
+
+@pytest.mark.parametrize("seed, threshold, least", [(1, 5, 10), (4, 8, 10), (6, 10, 14)])
+def test_legacy_flags_are_carried_on(spark, seed, threshold, least):
+    rows = history(seed, snaps=6, particles=130)
+    m = spark.createDataFrame(rows, MEMBERS)
+    g = links.halos(m).selectExpr("*", "(halo_id + snap_ord) % 3 = 0 AS real")
+    got = links.legacy_chain(g, links.progenitors(m, threshold), links.descendants(m, threshold), least).collect()
+    want = chained(rows, lambda s, h: (h + s) % 3 == 0, threshold, least)
+    assert {(r.snap_ord, r.halo_id): (r.n_real_progs, r.desc_id, r.state) for r in got} == want and len(got) == len(want)
+    assert any((h + s) % 3 for s, h in want)  # real by a progenitor only
+    assert {v[2] for v in want.values()} > {"kept"}
+
+
 def test_parameters_and_cosmology():
     p = read_params("parameters:\n  link_threshold: 7\nflags:\n  DMO: 0\n")
     assert p.parameters["link_threshold"] == 7 and p.parameters["part_threshold"] == 10
