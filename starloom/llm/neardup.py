@@ -1,9 +1,8 @@
-"""Similarity join on word n-grams: MinHash LSH forest, then exact verification.
+"""Similarity join on word n-grams: MinHash banding by fixed prefixes, then exact verification.
 
-Texts alike are one class from the start. Each class has a signature of TREES x DEPTH MinHash values; a tree of the forest sorts
-the classes by their DEPTH values, so that subtrees are classes with a common prefix. The matched prefix starts at DEPTH and is
-shortened, value by value, until a pair at the threshold shares one in some tree with probability TARGET. Inside a subtree, pairs
-whose whole signatures agree too little to be at the threshold are left out, and what remains is joined to groups; each
+Texts alike are one class from the start. Each class has a signature of TREES x DEPTH MinHash values. Of each tree's DEPTH values a
+prefix is the key of a band, and a subtree is the classes with one key; the prefix is the longest with which a pair at the threshold
+shares a key in some tree with probability TARGET, a constant whatever the data. Inside a subtree, pairs whose whole signatures agree too little to be at the threshold are left out, and what remains is joined to groups; each
 group is verified exactly, block against block, on the n-gram sets themselves. Pairs are counted where they are verified and never
 become rows: a block yields a number of links for each class, and links that span its components.
 
