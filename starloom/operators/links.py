@@ -88,12 +88,20 @@ def transient_counts(counted: DataFrame) -> DataFrame:
 
 
 def main_descendants(members: DataFrame, groups: DataFrame, threshold: int = 10, least: int = 10) -> DataFrame:
-    """The older linker: of groups of at least `least` particles, real progenitors and the single best descendant."""
+    """The older linker: of real groups of at least `least` particles the single best descendant of that size."""
     sized = groups.where(F.col("npart") >= least)
-    d = descendants(members, threshold).where("rank = 1").select("snap_ord", "halo_id", "other_id", "n_shared")
+    d = ranked(large_other(descendants(members, threshold), groups, 1, least)).where("rank = 1").select("snap_ord", "halo_id", "other_id", "n_shared")
     return d.join(sized.where("real").select("snap_ord", "halo_id"), ["snap_ord", "halo_id"], "left_semi")
 
 
+def real_progenitors(members: DataFrame, groups: DataFrame, threshold: int = 10, least: int = 10) -> DataFrame:
+    """The older linker's other half: of real groups of at least `least` particles the real progenitors of that size, ranked anew."""
+    real = groups.where("real").where(F.col("npart") >= least).select("snap_ord", "halo_id")
+    other = real.select((F.col("snap_ord") + 1).alias("snap_ord"), F.col("halo_id").alias("other_id"))
+    p = progenitors(members, threshold).join(other, ["snap_ord", "other_id"], "left_semi").join(real, ["snap_ord", "halo_id"], "left_semi")
+    return ranked(p.select("snap_ord", "halo_id", "other_id", "n_shared"))
+
+
 def legacy_flags(groups: DataFrame, prog: DataFrame, desc: DataFrame, least: int = 10) -> DataFrame:
     """The older writer's verdict on real groups of at least `least` particles, once, on the flags as they come.
 

@@ -124,6 +124,12 @@ def legacy_main_descendant(spark, sf_dir):
     return links.main_descendants(m, flagged(m))
 
 
+@query()
+def legacy_real_progenitors(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return links.real_progenitors(m, flagged(m))
+
+
 LEGACY = """ SELECT g.snap_ord, g.halo_id, g.npart, coalesce(r.n, 0) n_real_progs, d.other_id desc_id,
 CASE WHEN coalesce(r.n, 0) = 0 AND d.other_id IS NULL THEN 'unlinked' WHEN coalesce(r.n, 0) = 0 AND g.npart < 20 THEN 'small' ELSE 'kept' END state
 FROM grp g LEFT JOIN (SELECT p.snap_ord, p.halo_id, count(*) n FROM prog p JOIN grp o ON o.snap_ord = p.snap_ord - 1 AND o.halo_id = p.other_id AND o."real" GROUP BY ALL) r USING (snap_ord, halo_id)

@@ -169,6 +169,29 @@ def test_legacy_flags_are_carried_on(spark, seed, threshold, least):
     assert {v[2] for v in want.values()} > {"kept"}
 
 
+@pytest.mark.parametrize("threshold, least", [(3, 15), (5, 10)])
+def test_legacy_links_by_size_and_flag(spark, threshold, least):
+    rows = history(8)
+    m = spark.createDataFrame(rows, MEMBERS)
+    g = links.halos(m).selectExpr("*", "(halo_id + snap_ord) % 3 <> 0 AS real")
+    groups = {}
+    for s, h, p, *_ in rows:
+        groups.setdefault((s, h), set()).add(p)
+    large = {k for k in groups if len(groups[k]) >= least}
+    real = {(s, h) for s, h in large if (s + h) % 3}
+    n = {(s, h, t, o): len(groups[s, h] & groups[t, o]) for s, h in real for t, o in large if abs(s - t) == 1}
+    prog, desc = {}, {}
+    for (s, h, t, o), shared in n.items():
+        if shared >= threshold and (t > s or (t, o) in real):
+            (desc if t > s else prog).setdefault((s, h), []).append((-shared, o))
+    want = {(s, h, o, k + 1, -c) for (s, h), others in prog.items() for k, (c, o) in enumerate(sorted(others))}
+    cols = ["snap_ord", "halo_id", "other_id", "rank", "n_shared"]
+    assert {tuple(r) for r in links.real_progenitors(m, g, threshold, least).select(*cols).collect()} == want
+    best = {(s, h, min(others)[1], -min(others)[0]) for (s, h), others in desc.items()}
+    got = links.main_descendants(m, g, threshold, least).select("snap_ord", "halo_id", "other_id", "n_shared").collect()
+    assert {tuple(r) for r in got} == best and want and best
+
+
 def test_parameters_and_cosmology():
     p = read_params("parameters:\n  link_threshold: 7\nflags:\n  DMO: 0\n")
     assert p.parameters["link_threshold"] == 7 and p.parameters["part_threshold"] == 10
