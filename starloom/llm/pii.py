@@ -8,12 +8,15 @@ classifier is sure of, and that overlaps no base match, is added; base matches a
 
 The driver holds counts of vote patterns, whose number is bounded by the labelers' votes (KINDS x 3^5 x DIGIT_STEPS), never
 spans. Defined results: a null or empty text has no spans. Texts are searched whole, and no pattern steps back over a long
-run. Positions are code points, ends exclusive. Columns of the input are kept; clashing new ones get underscores before them.
+run; the time for a text's matches grows little faster than their number. Positions are code points, ends exclusive. Rows alike
+have results alike; of added spans that overlap, those of the first kind stay. An empty table gives an empty result. Columns of
+the input are kept; clashing new ones get underscores before them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,25 +54,75 @@ NEEDED_WIDER = {"email": "at", "ip": "(.)|[.]", "card": None, "phone": None}
 LABELERS = ("strict", "valid", "gazetteer", "context", "border")
 DIGIT_STEPS = 5
 CONTEXT = 32
+#: Elements of a block of running values, and of a block of pieces between masked spans.
+SCAN = 128
+CUTS = (4096, 64)
+FAR = 1 << 62
 #: How sure the classifier must be of a span that it adds.
 SURE = 0.9
 SPAN = "array<struct<kind:int,start:long,end:long,value:string,left:string,right:string,base:boolean>>"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once: inside lambdas Spark would compute an expression anew for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def blocks(items: Column, size: int) -> Column:
+    """An array in arrays of `size` elements."""
+    last = F.floor((F.size(items) - 1) / size).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * size + 1, F.lit(size)))
+    return F.when(F.size(items) > 0, cut).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def running(numbers: Column, combine: Callable[[Column, Column], Column], first: int) -> Column:
+    """For each element of an array of longs, all up to it combined, `first` included.
+
+    An array grows by copying, so each block of SCAN elements has its own running values, and the blocks' ends theirs.
+    """
+    zero = F.array(F.lit(first).cast("long"))
+    scan = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+    tail = lambda xs: F.slice(xs, F.lit(2), F.size(xs))
+
+    def together(parts: Column) -> Column:
+        before = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, b: F.transform(tail(p), lambda v: combine(b, v))))
+
+    return let(numbers, lambda xs: let(F.transform(blocks(xs, SCAN), scan), together))
+
+
 def matches(text: Column, kind: int, pattern: str, base: bool) -> Column:
     """All leftmost matches that don't overlap. The gaps that split() gives between them tell where they are."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    rows = F.arrays_zip(found.alias("value"), F.slice(gaps, F.lit(1), F.size(found)).alias("left"), F.slice(gaps, F.lit(2), F.size(found)).alias("right"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["left"])
-        end = begin + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"), F.substring(x["left"], -CONTEXT, CONTEXT).alias("left"), F.substring(x["right"], 1, CONTEXT).alias("right"), F.lit(base).alias("base"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(SPAN).alias("out"))
+    def spans(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda x: (F.length(x["left"]) + F.length(x["value"])).cast("long")), lambda a, b: a + b, 0)
+
+        def span(x: Column, end: Column) -> Column:
+            begin = end - F.length(x["value"])
+            return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"), F.substring(x["left"], -CONTEXT, CONTEXT).alias("left"), F.substring(x["right"], 1, CONTEXT).alias("right"), F.lit(base).alias("base"))
+
+        return F.zip_with(rows, ends, span).cast(SPAN)
+
+    def rows(found: Column) -> Column:
+        n = F.size(found)
+        both = let(F.split(text, pattern, -1), lambda gaps: F.arrays_zip(found.alias("value"), F.slice(gaps, F.lit(1), n).alias("left"), F.slice(gaps, F.lit(2), n).alias("right")))
+        return F.when(n > 0, let(both.cast("array<struct<value:string,left:string,right:string>>"), spans)).otherwise(F.array().cast(SPAN))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rows)
 
-    return F.when(F.size(found) > 0, F.aggregate(rows, start, step)["out"]).otherwise(F.array().cast(SPAN))
+
+def clear_of(spans: Column, others: Column) -> Column:
+    """The spans, in order of start, that overlap none of the others: both are put in order together and reached from both sides."""
+    mark = lambda own: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(own).alias("own"))
+
+    def checked(both: Column) -> Column:
+        reach = running(F.transform(both, lambda s: F.when(s["own"], F.lit(0)).otherwise(s["end"]).cast("long")), lambda a, b: F.greatest(a, b), 0)
+        ahead = F.reverse(running(F.reverse(F.transform(both, lambda s: F.when(s["own"], F.lit(FAR)).otherwise(s["start"]).cast("long"))), lambda a, b: F.least(a, b), FAR))
+        rows = F.arrays_zip(both.alias("s"), reach.alias("reach"), ahead.alias("ahead")).cast("array<struct<s:struct<start:long,end:long,kind:int,own:boolean>,reach:long,ahead:long>>")
+        free = F.filter(rows, lambda x: x["s"]["own"] & (x["reach"] <= x["s"]["start"]) & (x["ahead"] >= x["s"]["end"]))
+        return F.transform(free, lambda x: F.struct(x["s"]["kind"].alias("kind"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end")))
+
+    return let(F.sort_array(F.concat(F.transform(spans, mark(True)), F.transform(others, mark(False)))), checked)
 
 
 def digits(value: Column) -> Column:
@@ -207,11 +260,11 @@ def fit(spans: DataFrame, base: str, wider: str) -> list[float]:
 
 
 def classified(base: Column, wider: Column, w: list[float]) -> tuple[Column, Column]:
-    """(base spans that pass their checks, added spans): arrays of struct(kind, start, end) in order."""
+    """(base spans that pass their checks, wider ones that the classifier is sure of): arrays of struct(kind, start, end) in order."""
     short = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    kept = F.array_sort(F.transform(F.filter(base, lambda s: valid(s["kind"], s["value"])), short))
+    kept = F.sort_array(F.transform(F.filter(base, lambda s: valid(s["kind"], s["value"])), short))
     sure = F.filter(wider, lambda s: (likelihood(s, w) >= SURE) & valid(s["kind"], s["value"]))
-    return kept, F.array_sort(F.transform(sure, short))
+    return kept, F.sort_array(F.transform(sure, short))
 
 
 def detect(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
@@ -230,12 +283,13 @@ def final(spans: DataFrame, base: str, wider: str, w: list[float], to: str) -> D
     """spans and the array `to` of base matches that pass and of added spans that overlap none of them."""
     kept, sure = classified(F.col(base), F.col(wider), w)
     step = spans.withColumn("kept_spans", kept).withColumn("sure_spans", sure)
-    free = F.filter("sure_spans", lambda s: ~F.exists("kept_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    step = step.withColumn("sure_spans", free)
-    # Of added spans that overlap, the first in order stays.
-    alone = F.filter("sure_spans", lambda s: ~F.exists("sure_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & (F.struct(b["kind"], b["start"]) < F.struct(s["kind"], s["start"]))))
     mark = lambda added: lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(added).alias("added"))
-    return step.withColumn(to, F.array_sort(F.concat(F.transform("kept_spans", mark(False)), F.transform(alone, mark(True)))))
+    step = step.withColumn("free_spans", F.when(F.size("sure_spans") > 0, clear_of(F.col("sure_spans"), F.col("kept_spans"))).otherwise(F.col("sure_spans")))
+    # Of added spans that overlap, those of the first kind stay; spans of one kind come from one pattern and never overlap.
+    of = lambda k: F.filter("free_spans", lambda s: s["kind"] == k)
+    alone = F.concat(of(0), *[clear_of(of(k), F.filter("free_spans", lambda s, k=k: s["kind"] < k)) for k in range(1, len(KINDS))])
+    added = F.sort_array(F.concat(F.transform("kept_spans", mark(False)), F.transform(alone, mark(True))))
+    return step.withColumn(to, F.when(F.size("free_spans") > 0, added).otherwise(F.transform("kept_spans", mark(False))))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -257,21 +311,39 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *n, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), added)
 
 
+def between(text: Column, offset: Column, cuts: Column, sizes: tuple[int, ...]) -> Column:
+    """text, whose first character is at `offset`, from the first cut's a to the last one's b, with each cut's name after its piece a..b.
+
+    A string is counted from its beginning, so cuts go by blocks: a block's stretch of text is taken first, and cut itself.
+    """
+    if not sizes:
+        piece = lambda c: F.concat(text.substr((c["a"] - offset + 1).cast("int"), (c["b"] - c["a"]).cast("int")), c["name"])
+        return F.array_join(F.transform(cuts, piece), "")
+
+    def stretch(block: Column) -> Column:
+        a, b = block[0]["a"], F.element_at(block, -1)["b"]
+        return let(text.substr((a - offset + 1).cast("int"), (b - a).cast("int")), lambda t: between(t, a, block, sizes[1:]))
+
+    return F.array_join(F.transform(blocks(cuts, sizes[0]), stretch), "")
+
+
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with <KIND> in the place of each span; overlapping spans become one, of the first one's kind."""
-    to, masked = free_name(docs, "pii"), free_name(docs, "masked")
+    to = free_name(docs, "pii")
     found_ = detect(docs, text, to)
-    by_place = F.array_sort(F.transform(to, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    name = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    t = F.col(text)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = t.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.get(name, s["kind"])))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(by_place, start, step)
-    rest = t.substr((F.col(masked)["at"] + 1).cast("int"), F.length(t))
-    new = F.when(F.col(masked).isNull(), t).otherwise(F.concat(F.array_join(F.col(masked)["out"], ""), rest))
-    return found_.withColumn(masked, F.when(F.size(to) > 0, done)).withColumn(text, new).select(*docs.columns)
+    t, name = F.col(text), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+
+    def masked(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), 0)
+
+        def done(reach: Column) -> Column:
+            before = F.concat(F.array(F.lit(0).cast("long")), F.slice(reach, F.lit(1), F.size(reach) - 1))
+            cuts = F.zip_with(spans, before, lambda s, a: F.struct(a.alias("a"), s["start"].alias("b"), F.get(name, s["kind"]).alias("name")))
+            fresh = F.filter(cuts, lambda c: c["b"] >= c["a"])
+            rest = t.substr((F.element_at(reach, -1) + 1).cast("int"), F.length(t))
+            return F.concat(let(fresh, lambda cs: between(t, F.lit(0), cs, CUTS)), rest)
+
+        return let(reach, done)
+
+    by_place = F.sort_array(F.transform(to, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return found_.withColumn(text, F.when(F.size(to) > 0, let(by_place, masked)).otherwise(t)).select(*docs.columns)

@@ -5,6 +5,7 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -95,6 +96,43 @@ def test_long_texts_take_no_quadratic_time(spark):
     assert pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
 
 
+def test_many_matches_in_a_text(spark):
+    n = 30_000
+    text = " ".join(f"a{i}@mail.com" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    assert got[1].n_email == n and got[1].base_sha256 == hashlib.sha256(joined(plain_pii(text)).encode()).hexdigest()
+    assert {r.doc_id: r.text for r in pii.mask(df).collect()} == {1: " ".join(["<EMAIL>"] * n), 2: "x"}
+    assert time.perf_counter() - began < 60  # twice 10 s and more a pass where a match costs time for each match before it
+
+
+@pytest.mark.parametrize("scan", [2, 128])
+def test_running_values_and_free_spans(spark, monkeypatch, scan):
+    monkeypatch.setattr(pii, "SCAN", scan)
+    rng = random.Random(3)
+    rows, kind = [], "array<struct<kind:int,start:long,end:long>>"
+    for _ in range(150):
+        of = lambda n, w: [(rng.randrange(4), a, a + rng.randint(1, w)) for a in (rng.randrange(60) for _ in range(rng.randint(0, n)))]
+        rows.append((of(5, 6), of(6, 9), [rng.randint(0, 9) for _ in range(rng.randint(0, 9))]))
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}, n array<long>")
+    out = df.select("a", "b", "n", pii.running(F.col("n"), lambda x, y: x + y, 0).alias("sums"), pii.clear_of(F.col("a"), F.col("b")).alias("free"), pii.blocks(F.col("n"), 4).alias("blocks")).collect()
+    for r in out:
+        assert r.sums == [sum(r.n[: i + 1]) for i in range(len(r.n))]
+        assert [x for b in r.blocks for x in b] == r.n and all(len(b) == 4 for b in r.blocks[:-1])
+        want = [tuple(s) for s in r.a if not any(o.start < s.end and s.start < o.end for o in r.b)]
+        assert sorted(map(tuple, r.free)) == sorted(want)
+
+
+def test_pieces_between_cuts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CUTS", (6, 2))
+    rng, texts = random.Random(6), []
+    for n in range(40):
+        texts.append("é🙂 ".join(f"ann{i}@mail.example.com" if rng.random() < 0.7 else "word" for i in range(n)))
+    got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: re.sub(r"ann\d+@mail\.example\.com", "<EMAIL>", t) for i, t in enumerate(texts)}
+
+
 def test_masking(spark):
     rows = [(1, "write to ann@mail.example.com or 10.0.0.1 now 🙂", "k", "x", 1), (2, "nothing 1.2 here", None, None, None), (3, None, "", "", 2), (4, "ann@mail.example.com", "m", "m", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, masked string, kept_spans string, pii int")
