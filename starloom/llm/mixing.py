@@ -3,11 +3,15 @@
 Each source has a target number of words; its documents are taken floor(target / size of the source) times, and once more with
 the fraction that is left as inclusion probability. The cube method's flight phase moves these probabilities along the
 null space of two constraints (words taken, documents taken) until each is 0 or 1, but for two at most. It runs in blocks of
-a source side by side. A dozen documents of each block, taken evenly over the sizes, sit the flight out and go on to the
-next round with its last two, until one block a source is left, where they land on the choice nearest to the target.
+a source side by side. Documents far longer than the others fly first, each against all others at once along the null space of the
+words alone: its length goes to or comes from all of them, and no few others could make up for it later. A dozen of the rest,
+taken evenly over the sizes, sit the flight out and go on to the next round with its last two, until one block a source is left,
+where they land on the choice nearest to the target. A document that is too long to be taken, or to be left out, with the target
+still in reach isn't dealt by lot.
 
 Defined results: a null text has no words; a document without words is taken 0 words, whatever its copies. Documents without a
-source form a source of their own, the last. Rows alike in doc_id, source and text are taken alike. Reruns agree: blocks, order
+source form a source of their own, the last; a null doc_id is an id as any other. Texts count whole, of any length. Documents of
+one length are in the order of their hashes. Rows alike in doc_id, source and text are taken alike. Reruns agree: blocks, order
 and random numbers come from hashes of the rows. An empty table gives an empty result. mix() keeps the
 columns of the input.
 """
@@ -27,6 +31,8 @@ from starloom.llm.common import WORD_JAVA, written
 BLOCK = 4096
 #: Units of the landing problem, besides the two that a flight leaves: 2^14 choices are compared.
 LANDING = 12
+#: A document of so many times the mean length of those still open flies against all others.
+LONG = 4.0
 #: Sources whose table is broadcast, at most.
 SMALL = 10_000
 NEAR = 1e-9
@@ -91,33 +97,65 @@ def flight(p: np.ndarray, words: np.ndarray, count: np.ndarray, rng: np.random.G
 def landing(p: np.ndarray, words: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The 0s and 1s for the few units that are left that come nearest to their expected words and, with less weight, documents."""
     out = p.copy()
-    rest = np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
+    rest = open_of(p)
     bits = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
     off = np.abs(bits @ words[rest] - p[rest] @ words[rest]) + 0.1 * words[rest].sum() / max(1, len(rest)) * np.abs(bits @ count[rest] - p[rest] @ count[rest])
     out[rest] = bits[int(np.argmin(off))]
     return np.round(out)
 
 
+def open_of(p: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
+
+
+def long_first(p: np.ndarray, words: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """p after the flight of the long units; rows in order of words, longest first.
+
+    A long unit moves by all of what it lacks, up or down, and the others together by the same number of words the other way, each
+    in proportion to p (1 - p). That is a step in the null space of the words which ends at the long unit's bound, unless
+    another one is reached first; of two bounds out of reach the unit stays open, and of one the other is taken.
+    """
+    out = p.astype(float).copy()
+    for i in open_of(out).tolist():
+        rest = open_of(out)
+        rest = rest[rest != i]
+        if len(rest) < LANDING or words[i] <= LONG * words[rest].mean():
+            break
+        share = out[rest] * (1 - out[rest])
+        by = share * (words[i] / (share @ words[rest])) if share @ words[rest] > 0 else np.full(len(rest), np.inf)
+        up, down = 1 - out[i], out[i]
+        with np.errstate(invalid="ignore"):
+            may_up, may_down = bool((out[rest] - up * by >= 0).all()), bool((out[rest] + down * by <= 1).all())
+        if not (may_up or may_down):
+            continue
+        to = up if may_up and (not may_down or rng.random() < out[i]) else -down
+        out[i] = 1.0 if to > 0 else 0.0
+        out[rest] = np.clip(out[rest] - to * by, 0.0, 1.0)
+    return out
+
+
 def held(p: np.ndarray) -> np.ndarray:
     """Units kept from a flight for the landing problem: LANDING of those still open, evenly over the order by size."""
-    rest = np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
+    rest = open_of(p)
     return rest[np.unique(np.linspace(0, len(rest) - 1, LANDING).astype(int))] if len(rest) else rest
 
 
+def settled(p: np.ndarray, words: np.ndarray, count: np.ndarray, last: bool, rng: np.random.Generator) -> np.ndarray:
+    """p of a block, longest units first, after their flight; the last one lands too, at once if few units are open."""
+    if not last or len(open_of(p)) > LANDING + 2:
+        p = long_first(p, words, rng)
+        free = np.setdiff1d(np.arange(len(p)), held(p))
+        p[free] = flight(p[free], words[free], count[free], rng)
+    return landing(p, words, count) if last else p
+
+
 def one_round(units: DataFrame, last: bool, seed: int) -> DataFrame:
     """units(..., sid, block, words, m, p) after the flight of each (sid, block); the last round lands too."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # Large documents first: those that are left for landing are small ones.
         rows = rows.sort_values(["words", "h", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(rows["sid"][0]), int(rows["block"][0]), len(rows)])
-        words, count = rows["words"].to_numpy(), rows["m"].to_numpy()
-        p = rows["p"].to_numpy().copy()
-        free = np.setdiff1d(np.arange(len(p)), held(p))
-        p[free] = flight(p[free], words[free], count[free], rng)
-        if last:
-            p = landing(p, words, count)
-        rows["p"] = p
+        rows["p"] = settled(rows["p"].to_numpy().copy(), rows["words"].to_numpy().astype(float), rows["m"].to_numpy(), last, rng)
         return rows
 
     return units.groupBy("sid", "block").applyInPandas(run, units.schema)
@@ -156,14 +194,15 @@ def plan(base: DataFrame, weights: Sequence[float], most: float, seed: int, bloc
     The driver holds one row for each source, not for each document.
     """
     spark = base.sparkSession
-    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.countDistinct("doc_id", "h").alias("n")).collect()
+    units = base.groupBy("doc_id", "source", "h").agg((F.first("size") * F.count("*")).alias("words"), F.count("*").alias("m"))
+    # Rows of units, so that those without a doc_id count as well: a block holds as many of them as of any others.
+    found = units.groupBy("source").agg(F.sum("words").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"] or 0) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
     ratio = [g / n if n else 0.0 for g, n in zip(goal, sizes, strict=True)]
     rows = [(i, r["source"], n, g, int(q + NEAR), max(0.0, q - int(q + NEAR))) for i, (r, n, g, q) in enumerate(zip(found, sizes, goal, ratio, strict=True))]
     table = small(spark.createDataFrame(rows, "sid int, source string, source_size long, target double, whole int, p double"), len(rows))
-    units = base.groupBy("doc_id", "source", "h").agg((F.first("size") * F.count("*")).alias("words"), F.count("*").alias("m"))
     named = units.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     sampled = decide(named.select("doc_id", "h", "sid", "words", "m", "p"), {i: max(r["n"], 1) for i, r in enumerate(found)}, seed, block)
     copies = sampled.join(table.drop("p"), "sid").select("doc_id", "h", "source", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))

@@ -347,6 +347,40 @@ def test_flight_keeps_balance():
     assert out @ words == pytest.approx(p @ words) and out.sum() == pytest.approx(p.sum())
 
 
+def test_a_dominant_document_is_balanced():
+    rng = np.random.default_rng(8)
+    for seed in range(40):
+        words = np.sort(np.r_[20_000, rng.integers(20, 600, 300)])[::-1].astype(float)
+        for p in (0.2, 0.5, 0.85):
+            out = mixing.settled(np.full(301, p), words, np.ones(301), True, np.random.default_rng(seed))
+            assert set(out) <= {0.0, 1.0}
+            assert abs(out @ words - p * words.sum()) < 60
+    taken = [mixing.long_first(np.full(301, 0.5), words, np.random.default_rng(s))[0] for s in range(400)]
+    assert 0.4 < np.mean(taken) < 0.6
+
+
+def test_a_document_too_long_for_its_target():
+    words = np.r_[5000.0, np.full(40, 100.0)]
+    out = mixing.settled(np.full(41, 0.1), words, np.ones(41), True, np.random.default_rng(1))
+    assert out[0] == 0 and abs(out @ words - 900) <= 50
+
+
+def test_mixing_comes_near_every_target(spark):
+    rows = mixing.allot(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(rows) > 10 and all(abs(r.taken - r.target) <= 0.005 * r.target for r in rows)
+
+
+def test_null_ids_are_dealt_into_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, f"w{i} " * (i % 30 + 1), None) for i in range(1500)] + [(5, "a b", "s")] * 3, "doc_id long, text string, source string")
+    seen = []
+    one_round = mixing.one_round
+    monkeypatch.setattr(mixing, "one_round", lambda units, last, seed: (seen.append(units.groupBy("sid", "block").count().agg(F.max("count")).first()[0]), one_round(units, last, seed))[1])
+    rows = mixing.allot(docs, block=100).collect()
+    assert len(rows) == 1503 and seen[0] < 200
+    by = [r for r in rows if r.source is None]
+    assert abs(sum(r.size * r.copies for r in by) - by[0].target) < 20
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, "a b", "s", "x"), (1, "a b", "s", "x"), (2, None, None, "x"), (3, "", "t", None), (None, "c d e", None, "y"), (4, "a b c d", "", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
