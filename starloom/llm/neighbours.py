@@ -5,7 +5,8 @@ value in each, and widens them all together by virtual rehashing; only what a wi
 THRESHOLD of the windows is verified: its distance is computed on the original vectors. Widening ends when a vector as far as
 the k-th best one would have collided often enough with probability SURE: a difference at distance s projects to a normal
 variable of deviation s, so its number of collisions is binomial. What one segment found bounds the search in the next one,
-whose windows open at that width at once.
+whose windows open at that width at once; windows otherwise begin at the least width that a query needed there. Rows are in the
+order of vec_id, so that reruns agree.
 
 Every vector is indexed and meets every query, in one pass: queries are dealt into sets and vectors into slices, and each pair of
 both is a group of rows, queries first. A task holds a set's queries (COMPONENTS numbers at most), their best vectors and one segment, however many
@@ -71,6 +72,8 @@ class Segment:
         # One ascending array: each projection's values begin a gap higher than the last one's.
         self.flat = (sorted_values - low + np.arange(len(axes))[:, None] * self.gap).ravel()
         self.typical = float(values.std()) or 1.0
+        #: The least distance to a k-th best vector that a search here ended with.
+        self.least = 0.0
 
     def search(self, query: np.ndarray, own: int, at: np.ndarray, k: int, threshold: int, z: float, best_d: np.ndarray, best_i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances and ids of the k nearest found, here or before (best_d, best_i), in order."""
@@ -80,7 +83,8 @@ class Segment:
         left = right = np.searchsorted(self.flat, centre)
         hits = np.zeros(n, np.int64)
         checked = np.zeros(n, bool)
-        half = z * best_d[-1] if len(best_d) == k else self.typical / 16
+        # What was found before bounds the window; else no query here has needed a narrower one than `least` gives.
+        half = z * best_d[-1] if len(best_d) == k else z * self.least or self.typical / 16
         while True:
             new_left = np.maximum(np.searchsorted(self.flat, centre - half, "left"), base)
             new_right = np.minimum(np.searchsorted(self.flat, centre + half, "right"), base + n)
@@ -100,6 +104,8 @@ class Segment:
                 once = np.r_[True, (best_i[1:] != best_i[:-1]) | (best_d[1:] != best_d[:-1])][: len(best_d)]
                 best_d, best_i = best_d[once][:k], best_i[once][:k]
             if (len(best_d) == k and half >= z * best_d[-1]) or checked.all():
+                if len(best_d) == k:
+                    self.least = min(self.least or best_d[-1], best_d[-1])
                 return best_d, best_i
             half *= WIDER
 
@@ -204,7 +210,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
     data = used.withColumn("slice", dealt(slices)).withColumn("set", every(sets)).select(pair, F.lit(False).alias("asks"), "vec_id", "vector")
     both = queries.unionByName(data)
     # A pair a partition: with as many keys as partitions, a hash would leave some empty.
-    placed = both.repartitionById(sets * slices, "pair").sortWithinPartitions("pair", F.desc("asks"))
+    placed = both.repartitionById(sets * slices, "pair").sortWithinPartitions("pair", F.desc("asks"), "vec_id")
     out = small_batches(placed, 4096).mapInArrow(lambda bs: answered(bs, k, projections, threshold, sure), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return out.dropDuplicates().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
