@@ -1,16 +1,22 @@
-"""Similarity join on word n-grams: MinHash banding by fixed prefixes, then exact verification.
+"""Similarity join on word n-grams: a forest of MinHash tries, then exact verification.
 
-Texts alike are one class from the start. Each class has a signature of TREES x DEPTH MinHash values. Of each tree's DEPTH values a
-prefix is the key of a band, and a subtree is the classes with one key; the prefix is the longest with which a pair at the threshold
-shares a key in some tree with probability TARGET, a constant whatever the data. Inside a subtree, pairs whose whole signatures agree too little to be at the threshold are left out, and what remains is joined to groups; each
-group is verified exactly, block against block, on the n-gram sets themselves. Pairs are counted where they are verified and never
-become rows: a block yields a number of links for each class, and links that span its components.
+Texts alike are one class from the start. Each class has a signature of TREES x DEPTH MinHash values, and each of the TREES tries
+holds all classes by their label there, DEPTH values long. A trie is its labels in order, dealt by range (the class itself is
+the last sort key, so that a label of any number of classes is split): what two neighbours have in common is a path, and a node
+of depth x is a run with x values in common. Pairs meet in the deepest nodes first. In how many tries pairs of one
+similarity meet tells how many there are and how many of them meet in none, so after the deepest level matched prefixes are shortened,
+value by value, until the share that meets somewhere reaches TARGET; the nodes at that depth are joined where they hold classes
+of different groups. By then any pair at the threshold has met with that probability at the latest (prefix_length).
 
-A subtree or group of any size is dealt out as pairs of blocks, so no task holds more than two blocks of it.
+Inside a node, pairs whose whole signatures agree too little to be at the threshold are left out, and what remains is joined to
+groups; each group is verified exactly, block against block, on the n-gram sets themselves. Pairs are counted where they are
+verified and never become rows: a block yields a number of links for each class, and links that span its components. A node or
+group of any size is dealt out as pairs of blocks, so no task holds more than two blocks of it.
 
 Defined results: n-grams are sets of `n` consecutive words; a text of fewer words has itself as its only n-gram; a text without
-words (null, empty) is alone and has no links. Classes are told apart by 64-bit hashes of their words. Repeated rows are copies.
-n_links counts the other rows, copies too, at the threshold or above. The group of a row is the smallest doc_id that links reach.
+words (null, empty) is alone and has no links. Texts count whole. Classes are told apart by 64-bit hashes of their words. Repeated
+rows are copies. n_links counts the other rows, copies too, at the threshold or above. The group of a row is the smallest doc_id
+that links reach; of rows with that doc_id, the one whose text has the smallest hash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,22 +36,43 @@ N = 5
 THRESHOLD = 0.8
 TREES = 20
 DEPTH = 6
-TARGET = 0.9995
-#: Classes of a block, in subtrees and in groups.
+TARGET = 0.9999
+#: Classes of a block, in nodes and in groups.
 TREE_BLOCK = 2048
 BLOCK = 512
 #: Standard deviations that a signature's agreement may lie below the threshold before a pair is left out.
 SLACK = 5.0
 
 
+def meets(s, x: int, trees: int = TREES):
+    """Probability that a pair of similarity s has a prefix of x values in common in some tree."""
+    return 1 - (1 - s**x) ** trees
+
+
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix that keeps the recall at the threshold."""
+    """The longest prefix in which a pair at the threshold meets with probability `target`, whatever the data: no shorter one is needed."""
     k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < target:
+    while k > 1 and meets(threshold, k, trees) < target:
         k -= 1
     return k
 
 
+def recall(met: dict[int, int], x: int, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> float:
+    """The share of pairs that meet in a prefix of x values, from how often pairs met in prefixes of `depth` values.
+
+    met[m] is how often, over all trees, a pair met whose signatures agree in m values: a pair of similarity s does so trees * s^depth times
+    on average, so met / (trees * s^depth) is the number of such pairs, those that never met included. Agreement strays around
+    the similarity, so pairs one standard deviation below the threshold count too.
+    """
+    size, pairs, missed = trees * depth, 0.0, 0.0
+    for m, n in met.items():
+        s = m / size
+        if s >= threshold - (threshold * (1 - threshold) / size) ** 0.5:
+            n = n / (trees * s**depth)
+            pairs, missed = pairs + n, missed + n * (1 - meets(s, x, trees))
+    return 1 - missed / pairs if pairs else 1.0
+
+
 def ngrams(text: bytes, n: int) -> np.ndarray:
     """Hashes of the n-gram set of a text."""
     items = word_items(text)
@@ -113,28 +140,97 @@ def grouped(batches: Iterator, keys: list[str]) -> Iterator:
         yield held
 
 
-class Sets:
-    """Union-find over places in a block."""
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that the pairs (a, b) connect it with."""
+    low = np.arange(n)
+    while len(a):
+        least = np.minimum(low[a], low[b])
+        before = low.copy()
+        np.minimum.at(low, low[a], least)
+        np.minimum.at(low, low[b], least)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == before).all():
+            break
+    return low
+
+
+def label_names(depth: int) -> list[str]:
+    return [f"l{j}" for j in range(-(-depth // 2))]
+
+
+def label_rows(trees: int, depth: int) -> Callable[[Iterator], Iterator]:
+    """(tree, label as longs of two values each, node): a row for each class and tree."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = label_names(depth)
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, trees, depth).astype(np.uint64)
+            if depth % 2:
+                sig = np.concatenate([sig, np.zeros((*sig.shape[:2], 1), np.uint64)], axis=2)
+            two = (sig[:, :, ::2] << np.uint64(32) | sig[:, :, 1::2]).view(np.int64).reshape(-1, len(names))
+            tree, node = np.tile(np.arange(trees, dtype=np.int32), len(sig)), np.repeat(b.column("node").to_numpy(), trees)
+            yield pa.RecordBatch.from_arrays([pa.array(tree), *(pa.array(two[:, j]) for j in range(len(names))), pa.array(node)], names=["tree", *names, "node"])
+
+    return run
+
+
+def in_common(tree: np.ndarray, labels: np.ndarray, depth: int) -> np.ndarray:
+    """How many values each label has in common with the next one."""
+    low = np.uint64(0xFFFFFFFF)
+    values = np.stack([labels >> np.uint64(32), labels & low], axis=2).reshape(len(labels), -1)[:, :depth]
+    same = np.logical_and.accumulate(values[1:] == values[:-1], axis=1)
+    return same.sum(axis=1) * (tree[1:] == tree[:-1])
+
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def node_rows(least: int, depth: int) -> Callable[[Iterator], Iterator]:
+    """(depth, key, node): the classes of all nodes from depth `least` on that hold two classes at least, from a part of the sorted tries.
 
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    The first and last label of a part may have neighbours in the next one, so they are taken for members of all their nodes.
+    """
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.top(x), self.top(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = label_names(depth)
+        held = None
+
+        def rows(tree: np.ndarray, labels: np.ndarray, node: np.ndarray, before: int, after: np.ndarray) -> pa.RecordBatch:
+            shared = np.maximum(np.r_[before, after[:-1]], after)
+            out = []
+            for x in range(least, depth + 1):
+                at = np.flatnonzero(shared >= x)
+                key = anchors.mixed(tree[at].astype(np.uint64) << np.uint64(8) | np.uint64(x))
+                for j in range(-(-x // 2)):
+                    part = labels[at, j] if 2 * j + 2 <= x else labels[at, j] >> np.uint64(32)
+                    key = anchors.mixed(key ^ part)
+                out.append((np.full(len(at), x, np.int32), key.view(np.int64), node[at]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["depth", "key", "node"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, node = b.column("tree").to_numpy(), b.column("node").to_numpy()
+            labels = np.stack([b.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
+            before = depth
+            if held is not None:
+                tree, labels, node, before = np.r_[held[0], tree], np.concatenate([held[1], labels]), np.r_[held[2], node], held[3]
+            common = in_common(tree, labels, depth)
+            if len(common):
+                yield rows(tree[:-1], labels[:-1], node[:-1], before, common)
+                before = int(common[-1])
+            held = tree[-1:], labels[-1:], node[-1:], before
+        if held is not None:
+            yield rows(*held, np.array([depth]))
+
+    return run
 
 
-def alike(sig: np.ndarray, mine: np.ndarray, other: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places (mine[i], other[j]), mine below other, whose signatures agree in `least` of their values."""
-    a_out, b_out = [], []
+def alike(sig: np.ndarray, mine: np.ndarray, other: np.ndarray, least: float, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places (mine[i], other[j]) whose signatures agree in the share `least` of their values, and in how many; `once`: mine below other only."""
+    out = [(np.empty(0, int),) * 3]
     size = sig.shape[1]
     for at in range(0, len(mine), 64):
         part = mine[at : at + 64]
@@ -142,10 +238,12 @@ def alike(sig: np.ndarray, mine: np.ndarray, other: np.ndarray, least: float) ->
         for j in range(size):
             same += sig[part, j][:, None] == sig[other, j][None, :]
         x, y = np.nonzero(same >= least * size)
-        keep = part[x] < other[y]
-        a_out.append(part[x][keep])
-        b_out.append(other[y][keep])
-    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.empty(0, int), np.empty(0, int))
+        if once:
+            below = part[x] < other[y]
+            x, y = x[below], y[below]
+        out.append((part[x], other[y], same[x, y].astype(int)))
+    a, b, n = zip(*out, strict=True)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(n)
 
 
 def sides(block: np.ndarray, one: int, two: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,26 +251,28 @@ def sides(block: np.ndarray, one: int, two: int) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(block == one), np.flatnonzero(block == two)
 
 
-def subtree_links(least: float, size: int) -> Callable[[Iterator], Iterator]:
-    """(src, dst): links that span what agrees in a pair of blocks of a subtree."""
+def met(least: float, size: int) -> Callable[[Iterator], Iterator]:
+    """(src, dst, agree, n): links that span what agrees in a pair of blocks of a node; and, without src, how many pairs agreed in how many values."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names, kinds = ["src", "dst", "agree", "n"], (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        seen = np.zeros(size + 1, np.int64)
         for t in grouped(batches, ["key", "one", "two"]):
             node = t.column("node").to_numpy()
             sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, size)
-            mine, other = sides(t.column("block").to_numpy(), t.column("one")[0].as_py(), t.column("two")[0].as_py())
-            a, b = alike(sig, mine, other, least)
-            if t.column("one")[0].as_py() != t.column("two")[0].as_py():
-                c, d = alike(sig, other, mine, least)
-                a, b = np.r_[a, c], np.r_[b, d]
-            sets = Sets(len(node))
-            sets.join(a, b)
-            top = np.array([sets.top(x) for x in range(len(node))])
+            one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+            a, b, agree = alike(sig, *sides(t.column("block").to_numpy(), one, two), least, one == two)
+            seen += np.bincount(agree, minlength=size + 1)
+            top = joined(len(node), a, b)
             moved = np.flatnonzero(top != np.arange(len(node)))
             if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[top[moved]])], names=["src", "dst"])
+                none = pa.nulls(len(moved), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[top[moved]]), none, none], names=names)
+        some = np.flatnonzero(seen)
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip((none, none, pa.array(some), pa.array(seen[some])), kinds, strict=True)], names=names)
 
     return run
 
@@ -189,7 +289,7 @@ def together(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(spread(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
-def verified(n: int, threshold: float, size: int, least: float) -> Callable[[Iterator], Iterator]:
+def verified(n: int, threshold: float) -> Callable[[Iterator], Iterator]:
     """(node, links, dst): for each class of a pair of blocks, the rows that it links to there and a link of the spanning forest."""
 
     def run(batches: Iterator) -> Iterator:
@@ -207,9 +307,7 @@ def verified(n: int, threshold: float, size: int, least: float) -> Callable[[Ite
                 keep = a < b
                 a, b = a[keep], b[keep]
             links = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
-            forest = Sets(len(node))
-            forest.join(a, b)
-            top = np.array([forest.top(x) for x in range(len(node))])
+            top = joined(len(node), a, b)
             hit = np.flatnonzero(links)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit].astype(np.int64)), pa.array(node[top[hit]])], names=["node", "links", "dst"])
@@ -244,27 +342,58 @@ def jaccard_pairs(sets: list[np.ndarray], mine: np.ndarray, other: np.ndarray, t
     return a[exact], b[exact]
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, tree_block: int = TREE_BLOCK, block: int = BLOCK) -> DataFrame:
-    """(id, tag, group, group_tag, n_links, copies) for each row of docs; id and tag as in repeats.keyed()."""
-    size, k = trees * depth, prefix_length(threshold, trees, depth, target)
+def candidates(classes: DataFrame, threshold: float, trees: int, depth: int, target: float, tree_block: int, report: dict | None) -> DataFrame:
+    """(node, component): candidate groups of classes(node, signature) by the forest; only classes that met another one."""
+    spark, size, floor = classes.sparkSession, trees * depth, prefix_length(threshold, trees, depth, target)
     least = threshold - SLACK * (threshold * (1 - threshold) / size) ** 0.5
+    order = ["tree", *label_names(depth), "node"]
+    labels = classes.mapInArrow(label_rows(trees, depth), ", ".join(["tree int", *(f"{c} long" for c in label_names(depth)), "node long"]))
+    tries = labels.repartitionByRange(spread(spark), *order).sortWithinPartitions(*order)
+    nodes = written(tries.mapInArrow(node_rows(floor, depth), "depth int, key long, node long"))
+
+    def met_at(members: DataFrame, several: DataFrame) -> DataFrame:
+        pairs = block_pairs(members, several, "key", tree_block).join(classes, "node")
+        return written(together(pairs, ["key", "one", "two"]).mapInArrow(met(least, size), "src long, dst long, agree long, n long"))
+
+    deepest = nodes.where(F.col("depth") == depth).select("key", "node")
+    found = met_at(deepest, deepest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    seen = {r["agree"]: r["n"] for r in found.where("agree IS NOT NULL").groupBy("agree").agg(F.sum("n").alias("n")).collect()}
+    x = depth
+    while x > floor and recall(seen, x, threshold, trees, depth) < target:
+        x -= 1
+    if report is not None:
+        report |= {"prefix": x, "recall": recall(seen, x, threshold, trees, depth)}
+    links = found.where("src IS NOT NULL").select("src", "dst")
+    groups = written(connected_components(links))
+    if x == depth:
+        return groups
+    # Shorter prefixes bring something new only where a node holds classes of different groups.
+    members = nodes.where(F.col("depth") == x).select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
+    more = met_at(members.select("key", "node"), several).where("src IS NOT NULL").select("src", "dst")
+    group_of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
+    between = more.join(group_of("src"), "src", "left").join(group_of("dst"), "dst", "left").select(F.coalesce("src_group", "src").alias("src"), F.coalesce("dst_group", "dst").alias("dst")).where("src <> dst")
+    merged = connected_components(between).withColumnsRenamed({"node": "group", "component": "into"})
+    old = groups.unionByName(more.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(groups, "node", "left_anti").withColumn("component", F.col("node")))
+    return written(old.join(merged, F.col("component") == F.col("group"), "left").select("node", F.coalesce("into", "component").alias("component")))
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, tree_block: int = TREE_BLOCK, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """(id, tag, group, group_tag, n_links, copies) for each row of docs; id and tag as in repeats.keyed().
+
+    report, if given, gets the prefix length at which the forest stopped and the recall estimated there.
+    """
+    size = trees * depth
     rows = written(repeats.text_rows(docs).mapInArrow(signature_rows(n, size), "id long, tag binary, node long, signature binary"))
     at = F.struct("id", "tag")
     classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(at).alias("first"), F.count("*").alias("copies")))
     one_each = rows.join(classes.select("node", "first"), "node").where((F.col("id") == F.col("first")["id"]) & (F.col("tag") == F.col("first")["tag"])).select("node", "signature").dropDuplicates(["node"])
-    # A subtree: tree and prefix of k values.
-    prefix = lambda t: F.xxhash64(F.lit(t), F.substring("signature", 1 + 4 * depth * t, 4 * k))
-    in_trees = written(one_each.select("node", F.array(*[prefix(t) for t in range(trees)]).alias("keys"), "signature"))
-    keys = in_trees.select("node", F.explode("keys").alias("key"))
-    subtrees = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = block_pairs(keys, subtrees, "key", tree_block).join(in_trees.select("node", "signature"), "node")
-    candidates = together(members, ["key", "one", "two"]).mapInArrow(subtree_links(least, size), "src long, dst long")
-    groups = written(connected_components(candidates))
+    groups = candidates(written(one_each), threshold, trees, depth, target, tree_block, report)
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     texts = repeats.packed(docs)
     first = classes.join(groups, "node").select("node", "component", "copies", F.col("first")["id"].alias("id"), F.col("first")["tag"].alias("tag"))
     asked = texts.join(first, ["id", "tag"]).dropDuplicates(["node"]).select("node", "component", "copies", "text")
-    checked = written(together(block_pairs(asked, sizes, "component", block), ["component", "one", "two"]).mapInArrow(verified(n, threshold, size, least), "node long, links long, dst long"))
+    checked = written(together(block_pairs(asked, sizes, "component", block), ["component", "one", "two"]).mapInArrow(verified(n, threshold), "node long, links long, dst long"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     linked = connected_components(checked.select(F.col("node").alias("src"), "dst"))
     named = classes.join(links, "node", "left").join(linked, "node", "left").select("node", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))

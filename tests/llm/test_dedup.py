@@ -169,8 +169,10 @@ def copies(seed):
 @pytest.mark.parametrize("blocks", [{}, {"tree_block": 16, "block": 16}])
 def test_near_duplicates(spark, blocks):
     rows = copies(7)
-    got = {r.id: (r.group, r.n_links) for r in neardup.join(spark.createDataFrame(rows, DOCS), **blocks).collect()}
+    report = {}
+    got = {r.id: (r.group, r.n_links) for r in neardup.join(spark.createDataFrame(rows, DOCS), report=report, **blocks).collect()}
     assert got == plain_join(rows)
+    assert report["recall"] >= neardup.TARGET
 
 
 def test_prefix_is_shortened_until_the_recall_is_met():
@@ -179,6 +181,79 @@ def test_prefix_is_shortened_until_the_recall_is_met():
     assert neardup.prefix_length(0.99) == neardup.DEPTH
 
 
+def test_prefixes_are_shortened_by_what_met():
+    size = neardup.TREES * neardup.DEPTH
+    close, far = {size - 2: 1000}, {size - 2: 1000, int(0.8 * size): 5000}
+    assert neardup.recall(close, neardup.DEPTH) > neardup.TARGET > neardup.recall(far, neardup.DEPTH)
+    assert neardup.recall(far, neardup.DEPTH) < neardup.recall(far, neardup.DEPTH - 1) < neardup.recall(far, neardup.DEPTH - 2)
+    assert neardup.recall({}, 1) == 1.0 and neardup.recall({size // 2: 9}, neardup.DEPTH) == 1.0
+    # Sightings of many simulated pairs give back how many there are, and how many of them met nowhere.
+    rng = np.random.default_rng(2)
+    agree = rng.random((20_000, neardup.TREES, neardup.DEPTH)) < 0.82
+    tries = agree.all(axis=2)
+    seen = collections.Counter()
+    for n, t in zip(agree.sum(axis=(1, 2)).tolist(), tries.sum(axis=1).tolist(), strict=True):
+        seen[n] += t
+    assert 1 - neardup.recall(seen, neardup.DEPTH) == pytest.approx((~tries.any(axis=1)).mean(), abs=0.002)
+
+
+@pytest.mark.parametrize("target, prefix", [(0.5, 6), (0.99999, 3)])
+def test_forest_goes_as_far_as_the_target_asks(spark, target, prefix):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(9999)}" for _ in range(120)] for _ in range(30)]
+    rows = []
+    for i in range(300):
+        w = list(base[i % 30])
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(999)}"
+        rows.append((i, " ".join(w)))
+    report = {}
+    got = {r.id: (r.group, r.n_links) for r in neardup.join(spark.createDataFrame(rows, DOCS), target=target, report=report).collect()}
+    want = plain_join(rows)
+    assert report["prefix"] >= prefix and report["recall"] >= target
+    assert sum(got[i] == want[i] for i in want) >= target * 0.99 * len(want)
+
+
+def test_nodes_are_runs_of_sorted_labels():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for depth in (3, 6):
+        sig = rng.integers(0, 2, (60, 4, depth), dtype=np.uint32)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(60)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "signature"])
+        t = pa.Table.from_batches(neardup.label_rows(4, depth)(iter([batch]))).sort_by([(c, "ascending") for c in ("tree", *neardup.label_names(depth), "node")])
+        parts = [t.slice(0, 70).to_batches(max_chunksize=9), t.slice(70).to_batches(max_chunksize=50)]
+        members = collections.defaultdict(set)
+        for part in parts:
+            for b in neardup.node_rows(2, depth)(iter(part)):
+                for x, k, n in zip(*(b.column(c).to_pylist() for c in ("depth", "key", "node")), strict=True):
+                    members[x, k].add(n)
+        got = sorted((x, sorted(m)) for (x, _), m in members.items() if len(m) > 1)
+        runs = collections.defaultdict(list)
+        for n in range(60):
+            for tree in range(4):
+                for x in range(2, depth + 1):
+                    runs[tree, x, tuple(sig[n, tree, :x].tolist())].append(n)
+        assert got == sorted((x, m) for (_, x, _), m in runs.items() if len(m) > 1)
+
+
+def test_joined_places():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        a, b = rng.integers(0, 40, (2, 30))
+        up = list(range(40))
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+        assert neardup.joined(40, a, b).tolist() == [top(x) for x in range(40)]
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(i, t, "x") for i, t in copies(9)] + [(3, copies(9)[3][1], "x"), (None, "q w e r t y u", "x"), (None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, id string")
