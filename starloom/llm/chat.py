@@ -3,14 +3,17 @@
 A legal conversation is an optional system turn, then user and assistant turns in alternation, beginning with the user and
 ending with the assistant. Each turn may be kept, relabelled, merged into the turn before it, and preceded by one inserted empty
 turn; the end may need empty turns too. Dynamic programming over the automaton's states finds the cheapest repair. Costs of a
-run of turns are a small matrix from state to state, and matrices multiply in (min, +); so a conversation is cut into chunks of
-CHUNK turn numbers, chunks become matrices side by side, each conversation's few matrices are walked through to fix the states at the
-chunks' borders, and chunks are then repaired and rendered side by side. No task holds more than a chunk's turns.
-
-Defined results: turns are in the order of (turn, role, text), rows without a turn number last; repeated rows are turns of their own.
-Null and unknown roles are relabelled at less cost than wrong ones. A null text is rendered empty. Rows with a null conv_id are
-one conversation. Of equally cheap repairs the first in the order keep, relabel, merge, insert is taken within a chunk, and the
-first state at a chunk's border. An empty table gives an empty result.
+run of turns are a small matrix from state to state, and matrices multiply in (min, +).
+
+Rows are put in order by range, however many of them a conversation or a turn number has, and cut into chunks of CHUNK rows (or
+BYTES of text) where they lie. Chunks become matrices side by side, each conversation's matrices are walked through to fix the
+states at the chunks' borders, and chunks are then repaired and rendered side by side. No task holds more of a conversation's
+turns than a chunk, and of its matrices, 16 numbers for a chunk, one task holds all.
+
+Defined results: turns are in the order of (turn, role, hash of the text), rows without a turn number last; repeated rows are turns of
+their own. Null and unknown roles are relabelled at less cost than wrong ones. A null text is rendered empty. Texts are rendered
+whole. Rows with a null conv_id are one conversation. Of equally cheap repairs the first in the order keep, relabel, merge, insert
+is taken within a chunk, and the first state at a chunk's border. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import spread
+from starloom.llm.common import small_batches, spread, written
 
 CHUNK = 4096
+#: Bytes of text in a chunk, about.
+BYTES = 1 << 24
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: The automaton: state -> {role: next state}. A state other than START is named by the role of the turn that led there.
@@ -121,10 +126,33 @@ def runs(batches: Iterator, keys: list[str]) -> Iterator[list[dict]]:
         yield held
 
 
+def chunk_rows(chunk: int) -> Callable[[Iterator], Iterator]:
+    """(conv_id, turn, role, text, chunk, place): rows in order, numbered; chunks of later partitions have larger numbers."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        number, place, size, last = (TaskContext.get().partitionId() << 32) - 1, 0, 0, ()
+        for b in batches:
+            numbers, places = [], []
+            for conv, length in zip(b.column("conv_id").to_pylist(), pc.binary_length(b.column("text")).to_pylist(), strict=True):
+                if last != (conv,) or place >= chunk or size > BYTES:
+                    number, place, size, last = number + 1, 0, 0, (conv,)
+                numbers.append(number)
+                places.append(place)
+                place, size = place + 1, size + (length or 0)
+            kept = [b.column(c) for c in ("conv_id", "turn", "role", "text")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int64()), pa.array(places, pa.int64())], names=["conv_id", "turn", "role", "text", "chunk", "place"])
+
+    return run
+
+
 def matrix_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    out = [(r[0]["conv_id"], r[0]["chunk"], [c for row in matrix([role_of(x["role"]) for x in r]) for c in row]) for r in runs(batches, ["conv_id", "chunk"])]
+    out = [(r[0]["conv_id"], r[0]["chunk"], [c for row in matrix([role_of(x["role"]) for x in r]) for c in row]) for r in runs(batches, ["chunk"])]
     if out:
         c, k, m = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(m, pa.list_(pa.int64()))], names=["conv_id", "chunk", "costs"])
@@ -136,10 +164,10 @@ def border_rows(batches: Iterator) -> Iterator:
     out = []
     for r in runs(batches, ["conv_id"]):
         states = borders([[x["costs"][4 * a : 4 * a + 4] for a in range(4)] for x in r])
-        out += [(x["conv_id"], x["chunk"], *s, k == len(r) - 1) for k, (x, s) in enumerate(zip(r, states, strict=True))]
+        out += [(x["chunk"], *s, k == len(r) - 1) for k, (x, s) in enumerate(zip(r, states, strict=True))]
     if out:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "chunk", "before", "after", "last"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "before", "after", "last"])
 
 
 OUT = "conv_id long, turn long, role string, new_role string, merged boolean, inserted string, cost int, rendered string"
@@ -155,7 +183,7 @@ def repaired_rows(batches: Iterator) -> Iterator:
     def rows() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    for r in runs(batches, ["conv_id", "chunk"]):
+    for r in runs(batches, ["chunk"]):
         steps = repaired([role_of(x["role"]) for x in r], r[0]["before"], r[0]["after"])
         for k, (x, s) in enumerate(zip(r, steps, strict=True)):
             closes = x["last"] and k == len(r) - 1
@@ -175,13 +203,16 @@ def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     A conversation's pieces in the order of its turns, put together, are the formatted conversation.
     """
     spark = turns.sparkSession
-    # Rows without a turn number get a chunk behind all others.
-    number = F.coalesce(F.floor(F.col("turn") / chunk), F.lit((1 << 62))).cast("long")
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), number.alias("chunk"))
-    order = ["conv_id", "chunk", "turn", "role"]
-    dealt = rows.select(*order).repartition(spread(spark), "conv_id", "chunk").sortWithinPartitions(*order)
-    costs = dealt.mapInArrow(matrix_rows, "conv_id long, chunk long, costs array<long>")
-    ways = costs.repartition(spread(spark), "conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(border_rows, "conv_id long, chunk long, before int, after int, last boolean")
-    s = ways.select(F.col("conv_id").alias("s_id"), F.col("chunk").alias("s_chunk"), "before", "after", "last")
-    whole = rows.join(s, F.col("conv_id").eqNullSafe(F.col("s_id")) & (F.col("chunk") == F.col("s_chunk"))).select(*order, "text", "before", "after", "last")
-    return whole.repartition(spread(spark), "conv_id", "chunk").sortWithinPartitions(*order, "text").mapInArrow(repaired_rows, OUT)
+    text, role = F.col("text").cast("string"), F.col("role").cast("string")
+    # The number of a row tells repeated ones apart, so that any number of them is dealt out; read from files it stays what it is.
+    rows = small_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = ["conv_id", F.col("turn").asc_nulls_last(), "role", "h", "row"]
+    placed = rows.repartitionByRange(spread(spark), *order).sortWithinPartitions(*order)
+    chunks = written(placed.mapInArrow(chunk_rows(chunk), "conv_id long, turn long, role string, text string, chunk long, place long"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(spread(spark), "chunk").sortWithinPartitions("chunk", "place")
+
+    costs = dealt(chunks.select("conv_id", "chunk", "place", "role")).mapInArrow(matrix_rows, "conv_id long, chunk long, costs array<long>")
+    ways = written(costs.repartition(spread(spark), "conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(border_rows, "chunk long, before int, after int, last boolean"))
+    return dealt(chunks.join(ways, "chunk")).mapInArrow(repaired_rows, OUT)

@@ -174,6 +174,31 @@ def cheapest(roles):
             heapq.heappush(heap, (cost + 1 + label(s - 1), i + 1, s))
 
 
+def test_chunks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """However many rows share a conversation, a turn number, or everything."""
+    rows = [(None, None, "user", "x")] * 300 + [(None, 1, "assistant", f"y{i}") for i in range(200)] + [(7, i, "user" if i % 2 else "assistant", None) for i in range(100)]
+    sizes = []
+    real = chat.written
+    monkeypatch.setattr(chat, "written", lambda df: (t := real(df), sizes.append(t.groupBy("chunk").count().agg(F.max("count")).first()[0]))[0])
+    out = chat.repair(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5), 16).collect()
+    assert len(out) == 600 and max(sizes) == 16
+    for conv in (None, 7):
+        n = collections.Counter(r.merged for r in out if r.conv_id == conv)
+        assert sum(n.values()) == (500 if conv is None else 100)
+    roles = [2] * 200 + [1] * 300
+    assert sum(r.cost for r in out if r.conv_id is None) == cheapest(roles)
+    assert sum(r.cost for r in out if r.conv_id == 7) == cheapest([1 if i % 2 else 2 for i in range(100)])
+
+
+def test_equally_cheap_repairs():
+    """Of equal costs: keep, relabel, merge, insert; and a rerun takes the same."""
+    for roles in ([1, 1, 2], [2, 2], [0, 2], [1, 2, 2, 1, 1, 2], [3, 3, 3]):
+        a, b = (chat.repaired(roles, *chat.borders([chat.matrix(roles)])[0]) for _ in range(2))
+        assert a == b
+        ways = [s for s in chat.STEPS[chat.START][roles[0]]]
+        assert [s[0] for s in ways] == sorted(s[0] for s in ways)
+
+
 @pytest.mark.parametrize("chunk", [4096, 3])
 def test_chat_repair(spark, chunk):
     rng = random.Random(1)
@@ -193,10 +218,11 @@ def test_chat_repair(spark, chunk):
 
 
 def test_chat_odd_rows(spark):
-    kind = "conv_id long, turn int, role string, text string, chunk string"
+    kind = "conv_id long, turn int, role string, text string, chunk string, h string, `row` int, before int, costs string"
     assert chat.repair(spark.createDataFrame([], kind)).count() == 0
-    rows = [(None, None, None, None, "c"), (None, 1, "user", "x", "c"), (1, 1, "user", "a", None), (1, 1, "user", "a", None)]
-    assert chat.repair(spark.createDataFrame(rows, kind)).count() == 4
+    rows = [(None, None, None, None, "c", "", 1, 1, ""), (None, 1, "user", "x" * 1_000_000, "c", "", 1, 1, ""), (1, 1, "user", "a", None, "", 1, 1, None), (1, 1, "user", "a", None, "", 1, 1, None)]
+    out = chat.repair(spark.createDataFrame(rows, kind)).collect()
+    assert len(out) == 4 and max(len(r.rendered) for r in out) > 1_000_000
 
 
 def plain_counts(t):
