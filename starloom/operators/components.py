@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ FEW_EDGES = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Only a local master gets a temporary one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         own = tempfile.mkdtemp(prefix="starloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"
@@ -26,11 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Paths of the tables written inside each open scope, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Paths of the tables written inside, for release() once nothing reads them any more."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield mine
+    finally:
+        _scopes.remove(mine)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes the tables at these paths; all of this application's if none are given, which no result may need any more."""
+    paths = [f"{shared_dir(spark)}/starloom-{spark.sparkContext.applicationId}"] if paths is None else paths
+    jvm = spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there and lost executors don't take it along."""
-    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: its lineage ends there and lost executors don't take it along.
+
+    Tables lie in a folder of the application and stay until release(), since results that are yet to be computed read them.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/starloom-{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(at)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 60) -> DataFrame:
