@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.operators.components import written
+from starloom.operators.components import release, scope, written
 
-__all__ = ["BATCH", "WORD_JAVA", "free_name", "read", "small_batches", "spread", "written"]
+__all__ = ["BATCH", "WORD_JAVA", "free_name", "read", "release", "scope", "small_batches", "spread", "written"]
 
 #: A word, as the contracts define it, for Java: a maximal run without blank, tab, LF, VT, FF and CR.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
@@ -21,7 +21,10 @@ BATCH = 512
 
 
 def small_batches(df: DataFrame, rows: int = BATCH) -> DataFrame:
-    """df; its session hands Python at most so many rows at a time from now on."""
+    """df; its session hands Python at most so many rows at a time from now on.
+
+    Spark takes the setting when a plan is run, after the operator has returned, so it can't be put back here.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     known = int(df.sparkSession.conf.get(key))
     if known <= 0 or known > rows:

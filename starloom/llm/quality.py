@@ -4,10 +4,11 @@ Statistics of each whole text feed rules that sequential covering learns from la
 condition that gains most information, is pruned back from its end on rows held aside, and is kept if it is precise enough there;
 the rows that it covers leave, and the next rule grows. The list becomes one conditional Spark expression, in the rules' order.
 
-Fitting uses the LABELLED labelled rows with the smallest hash of doc_id, or all if there are fewer; statistics and verdicts
-are those of all documents. The driver holds the statistics of that sample.
+Fitting uses the LABELLED labelled rows with the smallest hash of doc_id, or all if there are fewer, and as many of their documents, should
+a doc_id have several; statistics and verdicts are those of all documents. The driver holds the statistics of that sample.
 
-Defined results: a null text has no words; ratios over no words or lines are 0. Labels that are null or of unknown documents teach
+Defined results: a null text has no words; texts count whole; rows alike have results alike; of conditions that gain alike the first
+ratio and the lowest limit are taken; an empty table gives an empty result; ratios over no words or lines are 0. Labels that are null or of unknown documents teach
 nothing; several labels of a document all count. Without labels of both kinds there are no rules and every document that passes
 the base checks is kept. Columns of the input are kept by assess(); clashing new ones get underscores before them.
 """
@@ -205,7 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `most` rows of two numbers
     stats, names = measured(rows, keep=["doc_id", "good"])
-    found = stats.select("doc_id", "good", *[ratio(r, names).alias(r) for r in RATIOS]).collect()
+    # Where documents share a doc_id there may be more rows than labels.
+    order = [F.xxhash64("doc_id"), "doc_id", "good", *names.values()]
+    found = stats.orderBy(*order).limit(most).select("doc_id", "good", *[ratio(r, names).alias(r) for r in RATIOS]).collect()
     found.sort()
     if not found:
         return []

@@ -265,6 +265,31 @@ def test_quality_odd_tables(spark):
     assert quality.assess(docs.limit(0), labels).count() == 0
 
 
+def test_fitting_is_bounded_where_documents_share_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, f"w{i} " * (i % 40 + 1)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda x, bad: (seen.append(len(bad)), [])[1])
+    assert quality.fit(docs, labels, most=50) == [] and seen == [50]
+
+
+def test_very_long_texts():
+    t = "one two three, " * 200_000
+    assert quality.statistics(t)[:1] == (600_000,)
+    assert langid.Profiles([("a", [ord("e")]), ("b", [ord("x")])], 400).predict(t)[0] == "a"
+
+
+def test_languages_equally_near(spark):
+    """Ties go to the first by code point, repeated rows alike."""
+    p = langid.Profiles([("de", [ord("a")]), ("en", [ord("a")])], 400)
+    assert p.predict("aaa")[0] == "de"
+    df = spark.createDataFrame([(i, "der und die", "de") for i in (1, 1, 3, 4)] + [(i, "the of and", "en") for i in (5, 6, 6, 9)], "doc_id long, text string, lang string")
+    by = collections.defaultdict(set)
+    for r in langid.digest(df).collect():
+        by[r.doc_id].add(tuple(r))
+    assert len(by) == 6 and all(len(v) == 1 for v in by.values())
+
+
 def test_learned_rules_are_precise():
     rng = np.random.default_rng(0)
     x = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}
