@@ -71,10 +71,20 @@ class Segment:
         self.low, self.gap = low, (high - low) * 2 + 1
         # One ascending array: each projection's values begin a gap higher than the last one's.
         self.flat = (sorted_values - low + np.arange(len(axes))[:, None] * self.gap).ravel()
+        self.squares = (vectors * vectors).sum(axis=1)
         self.typical = float(values.std()) or 1.0
         #: The least distance to a k-th best vector that a search here ended with.
         self.least = 0.0
 
+    def _maybe(self, query: np.ndarray, of: np.ndarray, limit: float, k: int) -> np.ndarray:
+        """Which of these vectors may be among the k nearest, by a product whose rounding is allowed for."""
+        if not np.isfinite(self.squares.max(initial=0.0)):
+            return np.arange(len(of))
+        off = self.squares[of] - 2 * (self.vectors[of] @ query)
+        own = float(query @ query)
+        most = limit * limit - own if np.isfinite(limit) else np.partition(off, k - 1)[k - 1] if len(off) > k else np.inf
+        return np.flatnonzero(off <= most + 1e-9 * (own + self.squares.max()))
+
     def search(self, query: np.ndarray, own: int, at: np.ndarray, k: int, threshold: int, z: float, best_d: np.ndarray, best_i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances and ids of the k nearest found, here or before (best_d, best_i), in order."""
         n, m = len(self.ids), len(at)
@@ -97,6 +107,7 @@ class Segment:
             if len(fresh):
                 checked[fresh] = True
                 fresh = fresh[self.ids[fresh] != own]
+                fresh = fresh[self._maybe(query, fresh, best_d[-1] if len(best_d) == k else np.inf, k)]
                 off = self.vectors[fresh] - query
                 best_d, best_i = np.r_[best_d, np.sqrt((off * off).sum(axis=1))], np.r_[best_i, self.ids[fresh]]
                 order = np.lexsort((best_i, best_d))
