@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a backtracking encoder.
 
-An Aho-Corasick automaton finds, at every position of a word, the longest token that starts there. The encoder takes it if
+An Aho-Corasick automaton finds, at each position of a word that the encoder comes to, the longest token that starts there. The encoder takes it if
 it is compatible with the token before, else tries the token's longest proper prefix that is a token itself, else steps back.
 Two tokens are compatible if merging them from scratch gives those two tokens back. A word has one segmentation in which all
 neighbours are compatible, and it is the one that the merge rules give; positions found to lead nowhere are never tried again,
@@ -16,10 +16,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -37,9 +37,12 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 WORD_END = "</w>"
 #: Added to the code point of a word's last symbol.
 LAST = 0x1000
-#: Chunks that an encoder remembers at least; it remembers twice as many at most.
+#: Chunks, and pieces of chunks, that an encoder remembers at least; it remembers twice as many at most.
 REMEMBERED = 250_000
 NEVER = float("inf")
+NONE = -1
+#: Chunks in lower case that are one word, or a word and a mark: ASCII and Latin letters only, about which all versions of Unicode agree.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+([.,;:!?])?\\Z").match
 
 
 def byte_alphabet() -> list[str]:
@@ -84,7 +87,7 @@ class Codec:
         names = [""] * size
         for name, i in [*vocab.items(), *self.special.items()]:
             names[i] = name
-        self.alphabet = byte_alphabet()
+        self.symbols = dict(enumerate(byte_alphabet()))
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         #: (left id, right id) -> (rank, merged id)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -110,7 +113,7 @@ class Codec:
         #: The longest proper prefix of a token that is a token.
         self.shorter = {i: next((reached[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in reached), None) for s, i in reached.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.chunks = Memo(self.chunk)
+        self.chunks, self.pieces = Memo(self.chunk), Memo(self.piece)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.names = self._table([n.encode() for n in names])
         self.digits = self._table([str(i).encode() for i in range(size)])
@@ -139,58 +142,67 @@ class Codec:
                     return m[0]
         return None
 
-    def fits(self, a: int, b: int) -> bool:
-        known = self.compatible.get((a, b))
-        if known is None:
-            if len(self.compatible) > REMEMBERED:
-                self.compatible.clear()
-            known = self.compatible[a, b] = self._crossing(a, b, NEVER) is None
+    def fits(self, pair: tuple[int, int]) -> bool:
+        if len(self.compatible) > REMEMBERED:
+            self.compatible.clear()
+        known = self.compatible[pair] = self._crossing(*pair, NEVER) is None
         return known
 
     def word(self, symbols: str) -> list[int]:
         """Ids of one word."""
-        longest = [0] * len(symbols)
-        for end, (n, i) in self.automaton.iter(symbols):
-            longest[end - n + 1] = i  # ends ascend, so the longest stays
+        n = len(symbols)
+        matches = self.automaton.iter_long
+        # The longest match at each place where the one before ends; at other places it is looked for when a step back leads there.
+        longest = {end - size + 1: i for end, (size, i) in matches(symbols)}
         out: list[int] = []
         nowhere: set[int] = set()
-        at, token, n = 0, longest[0], len(symbols)
+        length, shorter, known = self.length, self.shorter, self.compatible.get
+
+        def fits(a: int, b: int) -> bool:
+            found = known((a, b))
+            return self.fits((a, b)) if found is None else found
+
+        at, token = 0, longest[0]
         while at < n:
-            after = at + self.length[token]
-            if after not in nowhere and (not out or self.fits(out[-1], token)):
+            after = at + length[token]
+            if after not in nowhere and (not out or fits(out[-1], token)):
                 out.append(token)
                 at = after
                 if at < n:
-                    token = longest[at]
-            elif (less := self.shorter[token]) is not None:
+                    token = longest.get(at, NONE)
+                    if token == NONE:
+                        token = longest[at] = next(matches(symbols, at))[1][1]
+            elif (less := shorter[token]) is not None:
                 token = less
             else:
                 nowhere.add(at)
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
         return out
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a chunk without white space."""
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece in lower case, as 32-bit numbers."""
+        s = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.symbols)
+        return array("i", self.word(s[:-1] + chr(ord(s[-1]) + LAST))).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk without white space, as 32-bit numbers."""
         text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
         # Lower case character by character: str.lower() would give a final sigma its own form.
         text = text.lower() if "\u03a3" not in text else "".join([c.lower() for c in text])
-        pieces = [text] if text.isascii() and text.isalpha() else PIECE.findall(text)
-        symbols, out = self.alphabet, []
-        for piece in pieces:
-            s = piece if piece.isascii() and piece.isprintable() else "".join([symbols[b] for b in piece.encode()])
-            out += self.word(s[:-1] + chr(ord(s[-1]) + LAST))
-        return tuple(out)
+        if plain := PLAIN(text):
+            return self.pieces[text[:-1]] + self.pieces[text[-1]] if plain[1] else self.pieces[text]
+        return b"".join([self.pieces[p] for p in PIECE.findall(text)])
 
     def encode(self, text: str | None) -> np.ndarray:
-        out: list[int] = []
+        out: list[bytes] = []
         parts = self.cut.split(text or "") if self.cut and "<" in (text or "") else [text or ""]
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
             else:
-                out += chain.from_iterable(map(self.chunks.__getitem__, CHUNK.findall(part)))
-        return np.array(out, np.int32)
+                out += map(self.chunks.__getitem__, CHUNK.findall(part))
+        return np.frombuffer(b"".join(out), np.int32)
 
     @staticmethod
     def gather(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
@@ -221,6 +233,7 @@ def borrowed(path: str) -> Iterator[Codec]:
         yield c
     finally:
         c.chunks.forget()
+        c.pieces.forget()
         c.compatible.clear()
         codec.cache_clear()
 
