@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators.components import components, written
 from starloom.operators.links import REAL_SIZE, ranked
+from starloom.operators.numbering import running_sum
 
 
 def temporal_flags(groups: DataFrame, prog: DataFrame) -> DataFrame:
@@ -29,10 +30,11 @@ def reach(spark: SparkSession, start: DataFrame, edges: DataFrame, keys: tuple[s
     found = front
     while True:
         step = front.withColumnsRenamed({"snap_ord": "from_ord", "halo_id": "from_id"}).join(edges, ["from_ord", "from_id"]).select(*cols).distinct()
+        # What was found stays where it is written; a round writes its own front only.
         front = written(step.join(found, cols, "left_anti"))
         if front.isEmpty():
             return found
-        found = written(found.unionByName(front))
+        found = found.unionByName(front)
 
 
 def cleaned_progenitors(prog: DataFrame, flags: DataFrame) -> DataFrame:
@@ -98,8 +100,13 @@ def rooted(all_graphs: DataFrame) -> DataFrame:
 
 def numbered(graph: DataFrame) -> DataFrame:
     """graph with node_id: from past to present, larger groups first."""
-    w = Window.partitionBy("graph_id").orderBy("snap_ord", F.desc("npart"), "halo_id")
-    return graph.withColumn("node_id", (F.row_number().over(w) - 1).cast("long"))
+    return running_sum(graph, ["graph_id"], ["snap_ord", F.desc("npart"), "halo_id"], "node_id")
+
+
+def forest(tree: DataFrame, groups: DataFrame) -> DataFrame:
+    """(root, node_id, snap_ord, halo_id, npart): each tree's groups in the order of a forest file, from the root back, larger ones first."""
+    sized = tree.join(groups.select("snap_ord", "halo_id", "npart"), ["snap_ord", "halo_id"])
+    return running_sum(sized, ["root"], [F.desc("snap_ord"), F.desc("npart"), "halo_id"], "node_id").select("root", "node_id", "snap_ord", "halo_id", "npart")
 
 
 def generations(nodes: DataFrame) -> DataFrame:
@@ -130,8 +137,20 @@ def layout_edges(prog: DataFrame, desc: DataFrame) -> DataFrame:
 
 def sub_attachment(subs: DataFrame) -> DataFrame:
     """subs(host_id, halo_id, npart) in the order of their hosts, with each sub's place and its host's start and count."""
-    by_host = Window.partitionBy("host_id")
-    s = subs.groupBy("host_id").agg(F.count("*").alias("n_subs"))
-    start = s.select("host_id", "n_subs", (F.sum("n_subs").over(Window.orderBy("host_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_subs")).alias("start_index"))
-    inner = F.row_number().over(by_host.orderBy(F.desc("npart"), "halo_id")) - 1
-    return subs.withColumn("inner", inner).join(start, "host_id").select("host_id", "halo_id", "npart", "start_index", "n_subs", (F.col("start_index") + F.col("inner")).alias("sub_index"))
+    placed = running_sum(subs.select("host_id", "halo_id", "npart"), [], ["host_id", F.desc("npart"), "halo_id"], "sub_index")
+    start = placed.groupBy("host_id").agg(F.min("sub_index").alias("start_index"), F.count("*").alias("n_subs"))
+    return placed.join(start, "host_id").select("host_id", "halo_id", "npart", "start_index", "n_subs", "sub_index")
+
+
+def hosts_across_graphs(subs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, n_hosts): of a graph of subgroups, subs(graph_id, snap_ord, host_id), in how many graphs of hosts, nodes(graph_id,
+    snap_ord, halo_id), its hosts lie, for those with more than one: there should be none.
+    """
+    h = nodes.select(F.col("graph_id").alias("host_graph"), "snap_ord", F.col("halo_id").alias("host_id"))
+    return subs.join(h, ["snap_ord", "host_id"]).groupBy("graph_id").agg(F.countDistinct("host_graph").alias("n_hosts")).where("n_hosts > 1")
+
+
+def drawn_nodes(graph: DataFrame, particle_mass: float, least: int = 10_000) -> DataFrame:
+    """(graph_id, snap_ord, halo_id, size): nodes for drawing, sized by log10 of their mass, of graphs whose largest group has `least` particles."""
+    big = graph.groupBy("graph_id").agg(F.max("npart").alias("m")).where(F.col("m") >= least).select("graph_id")
+    return graph.join(big, "graph_id", "left_semi").select("graph_id", "snap_ord", "halo_id", F.log10(F.col("npart") * F.lit(particle_mass)).alias("size"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.components import components
+from starloom.operators.numbering import running_sum
 
 AXES = ("x", "y", "z")
 
@@ -27,11 +28,6 @@ def with_cells(parts: DataFrame, box: float, cells: int) -> DataFrame:
     return out.withColumn("cell_id", (F.col("cz") + cells * (F.col("cy") + cells * F.col("cx").cast("long"))).cast("long"))
 
 
-def striped(parts: DataFrame, n: int) -> DataFrame:
-    """Particles in n contiguous ranges of cells."""
-    return parts.repartitionByRange(n, "cell_id")
-
-
 def cell_stripe(cells: int, ranks: int) -> Column:
     """Which of `ranks` contiguous stripes of cells a cell is in."""
     return F.floor(F.col("cell_id") * ranks / F.lit(cells**3)).cast("int")
@@ -149,3 +145,21 @@ def occupancy(subs: DataFrame, hosts: DataFrame) -> DataFrame:
     j = subs.select("pid", F.col("halo_id").alias("sub_id")).join(hosts.select("pid", F.col("halo_id").alias("host_id")), "pid")
     one = j.groupBy("sub_id").agg(F.min("host_id").alias("host_id"), F.countDistinct("host_id").alias("n"))
     return one.groupBy("host_id").agg(F.count("*").alias("n_subs"), F.max("n").alias("n_hosts"))
+
+
+def dense_ids(grouped: DataFrame) -> DataFrame:
+    """grouped with dense_id: groups numbered from 0 in the order of their first particle."""
+    ids = running_sum(grouped.where("halo_id IS NOT NULL").groupBy("halo_id").agg(F.min("pid").alias("first")), [], ["first"], "dense_id")
+    return grouped.join(ids.select("halo_id", "dense_id"), "halo_id", "left")
+
+
+def even_share(total: int, ranks: int) -> list[tuple[int, int, int]]:
+    """(rank, first, end): contiguous parts of `total` rows that differ by one at most."""
+    return [(r, total * r // ranks, total * (r + 1) // ranks) for r in range(ranks)]
+
+
+def balanced(groups: DataFrame, ranks: int) -> DataFrame:
+    """groups with a rank, of `ranks`: by size, largest first, to and fro, so that ranks get about the same number of particles."""
+    placed = running_sum(groups, [], [F.desc("npart"), "halo_id"], "turn")
+    back = (F.col("turn") / ranks).cast("long") % 2 == 1
+    return placed.withColumn("rank", F.when(back, ranks - 1 - F.col("turn") % ranks).otherwise(F.col("turn") % ranks).cast("int")).drop("turn")

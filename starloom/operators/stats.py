@@ -66,6 +66,32 @@ def scatter(members: DataFrame, groups: DataFrame, snap: int, k: int, threshold:
     return n.select(F.col("top_id").alias("halo_id"), "step", F.col("halo_id").alias("other_id"), "n")
 
 
+def scatter_rows(members: DataFrame, positions: DataFrame, groups: DataFrame, snap: int, k: int, threshold: int = 10) -> DataFrame:
+    """(halo_id, step, other_id, pid, x, y, z): the particles behind scatter(), with their positions(snap_ord, pid, x, y, z), for a picture."""
+    n = scatter(members, groups, snap, k, threshold).drop("n")
+    top = members.where(F.col("snap_ord") == snap).select("pid", "halo_id").join(n.select("halo_id").distinct(), "halo_id", "left_semi")
+    near = members.where(F.col("snap_ord").between(snap - 1, snap + 1)).select((F.col("snap_ord") - snap).alias("step"), "pid", F.col("halo_id").alias("other_id"))
+    at = positions.select((F.col("snap_ord") - snap).alias("step"), "pid", "x", "y", "z")
+    return top.join(near, "pid").join(n, ["halo_id", "step", "other_id"], "left_semi").join(at, ["step", "pid"]).select("halo_id", "step", "other_id", "pid", "x", "y", "z")
+
+
+def over_one(bound: DataFrame) -> DataFrame:
+    """(n_halos, n_over): groups with a virial ratio, and those with one above 1."""
+    return bound.agg(F.count("ratio").alias("n_halos"), F.count(F.when(F.col("ratio") > 1, 1)).alias("n_over"))
+
+
+def nested_times(rows: DataFrame) -> DataFrame:
+    """(rank, task, seconds) of rows (rank, call, parent, task, began, ended): each call's time without that of the calls inside it."""
+    inner = rows.where("parent IS NOT NULL").groupBy("rank", F.col("parent").alias("call")).agg(F.sum(F.col("ended") - F.col("began")).alias("inner"))
+    own = rows.join(inner, ["rank", "call"], "left").withColumn("own", F.col("ended") - F.col("began") - F.coalesce("inner", F.lit(0)))
+    return own.groupBy("rank", "task").agg(F.sum("own").alias("seconds"))
+
+
+def heading(text: str, width: int = 80, fill: str = "=") -> str:
+    """A line of console text with the words in its middle."""
+    return f" {text} ".center(width, fill) if text else fill * width
+
+
 def task_table(rows: DataFrame) -> DataFrame:
     """(rank, task, seconds, share) of rows (rank, task, began, ended)."""
     s = rows.groupBy("rank", "task").agg(F.sum(F.col("ended") - F.col("began")).alias("seconds"))

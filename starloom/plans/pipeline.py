@@ -49,11 +49,6 @@ def find_groups(parts: DataFrame, box: float, linking: float, velocity_factor: f
     return Catalogue(members, groups, sub_members, sub_groups)
 
 
-def assigned_hosts(c: Catalogue) -> DataFrame:
-    """(host_id, n_subs, n_hosts) of a catalogue with subgroups."""
-    return spatial.occupancy(c.sub_members, c.members)
-
-
 @dataclass(frozen=True)
 class History:
     progenitors: DataFrame

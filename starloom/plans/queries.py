@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from starloom.operators import graph, links, phase, properties, spatial, split, stats
 from starloom.operators.components import written
 from starloom.sources import sinks
-from starloom.sources.tables import cohorts, converted, load, members, neighbours, particles, row_range, species, subset, with_flow
+from starloom.sources.tables import baryons, cohorts, converted, gathered, halo_range, load, members, neighbours, particles, physical, pids, row_range, species, subset, with_flow
+from starloom.sources.tables import linked as linked_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,7 +125,9 @@ def legacy_main_descendant(spark, sf_dir):
     return links.main_descendants(m, flagged(m))
 
 
-@query()
+@query(W + PAIRED + """, big AS (SELECT snap_ord, halo_id FROM grp WHERE "real" AND npart >= 10) SELECT p.snap_ord, p.halo_id, p.other_id, p.n_shared,
+CAST(row_number() OVER (PARTITION BY p.snap_ord, p.halo_id ORDER BY p.n_shared DESC, p.other_id) AS INTEGER) AS "rank"
+FROM prog p JOIN big b USING (snap_ord, halo_id) JOIN big o ON o.snap_ord = p.snap_ord - 1 AND o.halo_id = p.other_id""")
 def legacy_real_progenitors(spark, sf_dir):
     m = members(spark, sf_dir)
     return links.real_progenitors(m, flagged(m))
@@ -142,7 +145,24 @@ def legacy_flag_chain(spark, sf_dir):
     return links.legacy_flags(g, p, d)
 
 
-@query()
+YEARS = range(1995, 2002)
+
+
+def chain_sql(years: range = YEARS) -> str:
+    """The flags year by year: who is real when its turn comes, its verdict, and whom it makes real."""
+    out = ["big AS (SELECT * FROM grp WHERE npart >= 10)", "p0 AS (SELECT CAST(NULL AS BIGINT) halo_id WHERE false)", "k0 AS (SELECT CAST(NULL AS BIGINT) halo_id WHERE false)"]
+    for i, y in enumerate(years, 1):
+        nprog = "CAST(NULL AS BIGINT)" if y == years[0] else f"(SELECT count(*) FROM prog p JOIN k{i - 1} k ON k.halo_id = p.other_id WHERE p.snap_ord = {y} AND p.halo_id = b.halo_id)"
+        desc = "CAST(NULL AS BIGINT)" if y == years[-1] else f"(SELECT d.other_id FROM des d JOIN big o ON o.snap_ord = {y + 1} AND o.halo_id = d.other_id WHERE d.snap_ord = {y} AND d.halo_id = b.halo_id ORDER BY d.n_shared DESC, d.other_id LIMIT 1)"
+        out.append(f'f{i} AS (SELECT b.snap_ord, b.halo_id, b.npart, {nprog} n_real_progs, {desc} desc_id FROM big b WHERE b.snap_ord = {y} AND (b."real" OR b.halo_id IN (SELECT halo_id FROM p{i - 1})))')
+        both = {years[0]: "false", years[-1]: "false"}.get(y, "n_real_progs = 0 AND desc_id IS NULL")
+        out.append(f"v{i} AS (SELECT *, CASE WHEN {both} THEN 'unlinked' WHEN n_real_progs = 0 AND npart < 20 THEN 'small' ELSE 'kept' END state FROM f{i})")
+        out.append(f"k{i} AS (SELECT halo_id FROM v{i} WHERE state = 'kept')")
+        out.append(f"p{i} AS (SELECT desc_id halo_id FROM v{i} WHERE state = 'kept' AND desc_id IS NOT NULL)")
+    return ", " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM v{i}" for i in range(1, len(years) + 1))
+
+
+@query(W + PAIRED + chain_sql())
 def legacy_flag_propagation(spark, sf_dir):
     _, g, p, d = linked(spark, sf_dir, kept=True)
     return links.legacy_chain(g, p, d)
@@ -300,7 +320,18 @@ def split_by_descendant(spark, sf_dir):
     return rounded(split.fragments(members(spark, sf_dir)), "fragment_mass")
 
 
-@query()
+def walk_sql(years: range = YEARS) -> str:
+    """Each year split by the groups that the next one was split into."""
+    out = [f"w{years[-1]} AS (SELECT CAST(snap_ord AS INTEGER) snap_ord, pid, halo_id original_id, halo_id FROM mem WHERE snap_ord = {years[-1]})"]
+    for y in reversed(years[:-1]):
+        out.append(f"j{y} AS (SELECT m.snap_ord, m.pid, m.halo_id o, w.halo_id d FROM mem m LEFT JOIN w{y + 1} w USING (pid) WHERE m.snap_ord = {y})")
+        out.append(f"c{y} AS (SELECT *, CASE WHEN d IS NOT NULL AND count(*) OVER (PARTITION BY o, d) >= 10 THEN d END c FROM j{y})")
+        out.append(f"s{y} AS (SELECT *, min(c) OVER (PARTITION BY o) lo, max(c) OVER (PARTITION BY o) hi FROM c{y})")
+        out.append(f"w{y} AS (SELECT CAST(snap_ord AS INTEGER) snap_ord, pid, o original_id, min(pid) OVER (PARTITION BY o, CASE WHEN lo <> hi THEN c END) halo_id FROM s{y} WHERE lo = hi OR c IS NOT NULL)")
+    return ", " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM w{y}" for y in years)
+
+
+@query(W + MEMBERS + walk_sql())
 def split_backwards(spark, sf_dir):
     return split.split_back(written(members(spark, sf_dir)))
 
@@ -698,3 +729,153 @@ def virial_ratio_hist(spark, sf_dir):
 def exit_alpha_hist(spark, sf_dir):
     g = links.halos(members(spark, sf_dir))
     return stats.histogram(g, F.lit(0.8) + ((F.col("snap_ord") * 7 + F.col("halo_id") * 37) % 93) / F.lit(10.0), ALPHA_EDGES)
+
+
+# Further readers, writers and reports.
+
+
+@query(W + PARTS + " SELECT pid FROM p WHERE part_type = 1")
+def read_pids(spark, sf_dir):
+    return pids(particles(spark, sf_dir), 1)
+
+
+@query(W + PARTS + " SELECT pid, CAST(part_type AS INTEGER) part_type, x, y, z FROM p WHERE part_type NOT IN (1, 2, 3) AND part_type < 6")
+def read_baryonic(spark, sf_dir):
+    return baryons(particles(spark, sf_dir))
+
+
+@query(W + PARTS + " SELECT pid, " + s6("x * 2.5") + " x, mass * 1e10 mass FROM p WHERE pid IN (SELECT l_partkey FROM lineitem)")
+def read_physical_subset(spark, sf_dir):
+    return rounded(physical(particles(spark, sf_dir), load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pid")), {"x": 2.5, "mass": 1e10}), "x")
+
+
+@query(WR + GROUPED + " SELECT halo_id, pid, x, y, z, " + ", ".join(f"{s6(f'v{a} + 0.7 * ({a} - 0.5)')} v{a}" for a in "xyz") + ", mass, CAST(part_type AS INTEGER) part_type FROM m")
+def gather_groups(spark, sf_dir):
+    p = particles(spark, sf_dir)
+    found = spatial.at_least(spatial.friends(p, RADIUS, BOX), 10).select("halo_id", "pid")
+    return rounded(gathered(found, p, 0.7, BOX), "vx", "vy", "vz")
+
+
+LEVELS = HOSTS + SUBS + """, oc AS (SELECT host, count(DISTINCT halo_id) n FROM sub GROUP BY host),
+lev AS (SELECT CAST(0 AS INTEGER) AS "level", host halo_id, CAST(NULL AS BIGINT) host_id, count(*) npart, CAST(coalesce(any_value(n), 0) AS BIGINT) occupancy FROM hp LEFT JOIN oc USING (host) GROUP BY host
+UNION ALL SELECT 1, halo_id, host, count(*), NULL FROM sub GROUP BY halo_id, host)"""
+
+
+@query(WR + PARTS + ", " + LEVELS + """ SELECT *, npart stride, CAST(sum(npart) OVER (PARTITION BY "level" ORDER BY halo_id) - npart AS BIGINT) start_index FROM lev""")
+def catalogue_export(spark, sf_dir):
+    subs, hosts = subgroups(spark, sf_dir)
+    return sinks.catalogue_lists(hosts, subs)[0]
+
+
+@query(WR + PARTS + ", " + LEVELS + """ SELECT "level", halo_id, host_id, npart FROM lev WHERE "level" = 1 ORDER BY halo_id LIMIT 6 OFFSET 1""")
+def halo_range_of_level(spark, sf_dir):
+    subs, hosts = subgroups(spark, sf_dir)
+    return halo_range(sinks.levels(hosts, subs).select("level", "halo_id", "host_id", "npart"), 1, 1, 7)
+
+
+@query(WR + PAIRED + REAL + """, cl AS (SELECT p.snap_ord, p.halo_id FROM prog p JOIN really r ON r.snap_ord = p.snap_ord - 1 AND r.halo_id = p.other_id),
+a AS (SELECT g.snap_ord, g.halo_id, r.halo_id IS NOT NULL "real", (SELECT count(*) FROM cl WHERE cl.snap_ord = g.snap_ord AND cl.halo_id = g.halo_id) n_progs,
+(SELECT count(*) FROM des d WHERE d.snap_ord = g.snap_ord AND d.halo_id = g.halo_id) n_descs FROM grp g LEFT JOIN really r USING (snap_ord, halo_id))
+SELECT snap_ord, halo_id, "real", n_progs, n_descs, CAST(CASE WHEN n_progs > 0 THEN sum(n_progs) OVER w - n_progs ELSE 1073741824 END AS BIGINT) prog_start,
+CAST(CASE WHEN n_descs > 0 THEN sum(n_descs) OVER w - n_descs ELSE 1073741824 END AS BIGINT) desc_start FROM a WINDOW w AS (PARTITION BY snap_ord ORDER BY halo_id)""")
+def exported_cleaned_links(spark, sf_dir):
+    _, g, p, d = linked(spark, sf_dir, kept=True)
+    flags = graph.temporal_flags(g, p)
+    return sinks.cleaned_export(flags, graph.cleaned_progenitors(p, flags), d)
+
+
+@query(W + PARTS + " SELECT CAST(part_type AS INTEGER) part_type, pid, row_number() OVER (PARTITION BY part_type ORDER BY pid) - 1 place, row_number() OVER (ORDER BY pid) - 1 all_place FROM p")
+def converted_particles(spark, sf_dir):
+    return sinks.sorted_particles(particles(spark, sf_dir).select("part_type", "pid"))
+
+
+@query(WR + PAIRED + TREE + """ SELECT root, row_number() OVER (PARTITION BY root ORDER BY snap_ord DESC, npart DESC, halo_id) - 1 node_id, CAST(snap_ord AS INTEGER) snap_ord, halo_id, npart FROM tree JOIN grp USING (snap_ord, halo_id)""")
+def forest_rows(spark, sf_dir):
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
+    return graph.forest(graph.trees(g, p), g)
+
+
+@query(W + PAIRED + """, big AS (SELECT * FROM grp WHERE "real" AND npart >= 20), n AS (SELECT b.snap_ord, b.halo_id, count(p.n_shared) n_descs FROM big b LEFT JOIN (SELECT * FROM des WHERE n_shared >= 12) p USING (snap_ord, halo_id) GROUP BY ALL)
+SELECT n_descs, count(*) n_halos FROM n GROUP BY n_descs""")
+def descendant_link_hist(spark, sf_dir):
+    """Of real groups of 20 particles and links of 12."""
+    _, g, _, d = linked(spark, sf_dir)
+    n = d.where("n_shared >= 12").groupBy("snap_ord", "halo_id").agg(F.count("*").alias("n"))
+    big = g.where("real AND npart >= 20").join(n, ["snap_ord", "halo_id"], "left").withColumn("n_descs", F.coalesce("n", F.lit(0)))
+    return stats.value_counts(big, "n_descs")
+
+
+@query(WR + ENERGY + " SELECT count(*) n_halos, count(*) FILTER (ke / ge > 1) n_over FROM ke JOIN ge USING (halo_id)")
+def virial_over_one(spark, sf_dir):
+    return stats.over_one(properties.bound(properties.centred(grouped(spark, sf_dir)), SOFT, FACTOR))
+
+
+@query(W + MEMBERS + """, top AS (SELECT halo_id FROM grp WHERE snap_ord = 1998 ORDER BY npart DESC, halo_id LIMIT 3),
+own AS (SELECT pid, halo_id top_id FROM mem WHERE snap_ord = 1998 AND halo_id IN (FROM top)),
+n AS (SELECT top_id, m.snap_ord - 1998 step, m.halo_id other_id, m.pid, count(*) OVER (PARTITION BY top_id, m.snap_ord, m.halo_id) c FROM mem m JOIN own USING (pid) WHERE m.snap_ord BETWEEN 1997 AND 1999)
+SELECT top_id halo_id, step, other_id, pid, CAST(pid % 97 AS DOUBLE) x, CAST(pid % 89 AS DOUBLE) y, CAST(pid % 83 AS DOUBLE) z FROM n WHERE c >= 10""")
+def halo_scatter_rows(spark, sf_dir):
+    """Positions made from ids."""
+    m = written(members(spark, sf_dir))
+    at = m.select("snap_ord", "pid", *[(F.col("pid") % k).cast("double").alias(a) for a, k in zip("xyz", (97, 89, 83), strict=True)])
+    return stats.scatter_rows(m, at, links.halos(m), 1998, 3)
+
+
+@query(WR + PAIRED + GRAPH + """ SELECT graph_id, snap_ord, halo_id, """ + s6("log10(npart * 2.5)") + """ size FROM gra WHERE graph_id IN (SELECT graph_id FROM gra GROUP BY graph_id HAVING max(npart) >= 100)""")
+def graph_layout_nodes(spark, sf_dir):
+    return rounded(graph.drawn_nodes(merged(spark, sf_dir)[0], 2.5, 100), "size")
+
+
+@query(WR + PAIRED + GRAPH + """, sg AS (SELECT halo_id % 5 graph_id, snap_ord, halo_id host_id FROM grp)
+SELECT s.graph_id, count(DISTINCT g.graph_id) n_hosts FROM sg s JOIN gra g ON g.snap_ord = s.snap_ord AND g.halo_id = s.host_id GROUP BY s.graph_id HAVING count(DISTINCT g.graph_id) > 1""")
+def hosts_across_graphs(spark, sf_dir):
+    """With graphs of subgroups made from their hosts' ids."""
+    g, _ = merged(spark, sf_dir)
+    return graph.hosts_across_graphs(g.select((F.col("halo_id") % 5).alias("graph_id"), "snap_ord", F.col("halo_id").alias("host_id")), g)
+
+
+@query("""WITH e AS (SELECT event_id // 10 % 8 "rank", event_id "call", CASE WHEN event_id % 10 > 0 THEN event_id - event_id % 10 END parent, event_type task, CASE WHEN event_id % 10 > 0 THEN event_id % 7 ELSE 100 END ended FROM events),
+i AS (SELECT "rank", parent "call", sum(ended) inner_ FROM e WHERE parent IS NOT NULL GROUP BY ALL) SELECT e."rank", task, CAST(sum(ended - coalesce(inner_, 0)) AS BIGINT) AS "seconds" FROM e LEFT JOIN i USING ("rank", "call") GROUP BY ALL""")
+def nested_task_times(spark, sf_dir):
+    inside = F.col("event_id") % 10 > 0
+    e = load(spark, sf_dir, "events").select(
+        (F.floor(F.col("event_id") / 10) % 8).alias("rank"), F.col("event_id").alias("call"), F.when(inside, F.col("event_id") - F.col("event_id") % 10).alias("parent"),
+        F.col("event_type").alias("task"), F.lit(0).cast("long").alias("began"), F.when(inside, F.col("event_id") % 7).otherwise(100).alias("ended"))
+    return stats.nested_times(e)
+
+
+@query(W + PAIRED + """ SELECT g.snap_ord, g.halo_id, count(p.other_id) n_links, string_agg(CAST(p.other_id AS VARCHAR), ',' ORDER BY p."rank") own FROM grp g LEFT JOIN prog p USING (snap_ord, halo_id) GROUP BY ALL""")
+def link_slices(spark, sf_dir):
+    _, g, p, _ = linked(spark, sf_dir, kept=True)
+    flat = p.groupBy("snap_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("halo_id", "rank", "other_id"))), lambda x: x["other_id"]).alias("links"))  # a list a snapshot, as a file has it
+    rows = sinks.exported_links(g, p).join(flat, "snap_ord", "left")
+    return linked_lists(rows).select("snap_ord", "halo_id", "n_links", F.array_join("own", ",").alias("own"))
+
+
+@query(WR + PARTS + ", " + friends_sql("f", "p", near(RADIUS)) + ", d AS (SELECT halo_id, row_number() OVER (ORDER BY halo_id) - 1 dense_id FROM (SELECT DISTINCT halo_id FROM f)) SELECT pid, halo_id, dense_id FROM p LEFT JOIN f ON node = pid LEFT JOIN d USING (halo_id)")
+def dense_halo_ids(spark, sf_dir):
+    return spatial.dense_ids(spatial.friends(particles(spark, sf_dir), RADIUS, BOX)).select("pid", "halo_id", "dense_id")
+
+
+@query(W + MEMBERS + """, r AS (SELECT halo_id, npart, row_number() OVER (ORDER BY npart DESC, halo_id) - 1 t FROM grp WHERE snap_ord = 1998) SELECT halo_id, npart, CAST(CASE WHEN t // 4 % 2 = 1 THEN 3 - t % 4 ELSE t % 4 END AS INTEGER) AS "rank" FROM r""")
+def balanced_groups(spark, sf_dir):
+    g = links.halos(members(spark, sf_dir)).where("snap_ord = 1998").select("halo_id", "npart")
+    return spatial.balanced(g, 4)
+
+
+@query("WITH n AS (SELECT count(*) n FROM embeddings) SELECT CAST(r AS BIGINT) AS \"rank\", n * r // 7 AS \"first\", n * (r + 1) // 7 AS \"end\" FROM n, (SELECT unnest(range(0, 7)) r)")
+def even_parts(spark, sf_dir):
+    return spark.createDataFrame(spatial.even_share(load(spark, sf_dir, "embeddings").count(), 7), '`rank` long, `first` long, `end` long')
+
+
+@query(W + CELLED + f", o AS (SELECT unnest([-1, 0, 1]) o) SELECT CAST(part_type AS INTEGER) part_type, CAST((cx + ox.o + {CELLS}) % {CELLS} AS INTEGER) gx, CAST((cy + oy.o + {CELLS}) % {CELLS} AS INTEGER) gy, CAST((cz + oz.o + {CELLS}) % {CELLS} AS INTEGER) gz, count(*) n FROM c, o ox, o oy, o oz WHERE part_type NOT IN (1, 2, 3) GROUP BY ALL")
+def baryon_ghosts(spark, sf_dir):
+    b = species(particles(spark, sf_dir)).where("part_type <> 1")
+    return spatial.ghosts(b, BOX, CELLS).groupBy("part_type", "gx", "gy", "gz").agg(F.count("*").alias("n"))
+
+
+@query(W + CELLED + " SELECT CAST(label % 3 AS INTEGER) snap_ord, cell_id, count(*) n, min(pid) first_id FROM c GROUP BY ALL")
+def cells_of_three_snapshots(spark, sf_dir):
+    """With labels for snapshots: groups of three snapshots by the cell of their place."""
+    c = spatial.with_cells(particles(spark, sf_dir), BOX, CELLS)
+    return c.groupBy((F.col("label") % 3).alias("snap_ord"), "cell_id").agg(F.count("*").alias("n"), F.min("pid").alias("first_id"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.operators.components import written
+from starloom.operators.numbering import running_sum
+
 #: Written where there is nothing to point at, and for particles in no group.
 NO_DATA = 1 << 30
 NO_GROUP = -2
@@ -18,14 +21,12 @@ def write_snapshots(table: DataFrame, path: str) -> None:
 def ragged(members: DataFrame, *keys: str) -> DataFrame:
     """(keys, halo_id, stride, start_index): where each group's members begin in the list of all, sorted by group, and how many they are."""
     n = members.groupBy(*keys, "halo_id").agg(F.count("*").alias("stride"))
-    w = Window.partitionBy(*keys).orderBy("halo_id").rowsBetween(Window.unboundedPreceding, 0)
-    return n.withColumn("start_index", F.sum("stride").over(w) - F.col("stride"))
+    return running_sum(n, [*keys], ["halo_id"], "start_index", "stride")
 
 
 def member_list(members: DataFrame, *keys: str) -> DataFrame:
     """The list itself: a place for each member."""
-    w = Window.partitionBy(*keys).orderBy("halo_id", "pid")
-    return members.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+    return running_sum(members, [*keys], ["halo_id", "pid"], "place")
 
 
 def particle_map(particles: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -37,11 +38,55 @@ def exported_links(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(snap_ord, halo_id, n_links, start_index): NO_DATA where a group has no links."""
     n = links.groupBy("snap_ord", "halo_id").agg(F.count("*").alias("n"))
     g = groups.select("snap_ord", "halo_id").join(n, ["snap_ord", "halo_id"], "left").withColumn("n_links", F.coalesce("n", F.lit(0)))
-    w = Window.partitionBy("snap_ord").orderBy("halo_id").rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("start_index", F.when(F.col("n_links") > 0, F.sum("n_links").over(w) - F.col("n_links")).otherwise(F.lit(NO_DATA))).drop("n")
+    g = running_sum(g.drop("n"), ["snap_ord"], ["halo_id"], "start_index", "n_links")
+    return g.withColumn("start_index", F.when(F.col("n_links") > 0, F.col("start_index")).otherwise(F.lit(NO_DATA)))
 
 
 def replace_flags(catalogue: DataFrame, flags: DataFrame) -> DataFrame:
     """catalogue with real replaced by the flags' linked_real, for write_snapshots()."""
     f = flags.select("snap_ord", "halo_id", "linked_real")
     return catalogue.drop("linked_real").join(f, ["snap_ord", "halo_id"], "left").withColumn("real", F.coalesce("linked_real", "real")).drop("linked_real")
+
+
+def levels(hosts: DataFrame, subs: DataFrame) -> DataFrame:
+    """(level, halo_id, host_id, npart, occupancy) of members hosts(pid, halo_id) and subs(pid, halo_id, host): hosts are level 0 with the
+    number of their subgroups, subgroups level 1 with their host.
+    """
+    n_subs = subs.select("halo_id", "host").distinct().groupBy(F.col("host").alias("halo_id")).agg(F.count("*").alias("occupancy"))
+    h = hosts.groupBy("halo_id").agg(F.count("*").alias("npart")).join(n_subs, "halo_id", "left")
+    host = h.select(F.lit(0).alias("level"), "halo_id", F.lit(None).cast("long").alias("host_id"), "npart", F.coalesce("occupancy", F.lit(0)).alias("occupancy"))
+    sub = subs.groupBy("halo_id", F.col("host").alias("host_id")).agg(F.count("*").alias("npart"))
+    return host.unionByName(sub.select(F.lit(1).alias("level"), "halo_id", "host_id", "npart", F.lit(None).cast("long").alias("occupancy")))
+
+
+def catalogue_lists(hosts: DataFrame, subs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a catalogue file holds: groups of both levels with where their members begin, and the members' list (level, halo_id, pid, place)."""
+    members = hosts.select(F.lit(0).alias("level"), "halo_id", "pid").unionByName(subs.select(F.lit(1).alias("level"), "halo_id", "pid"))
+    groups = levels(hosts, subs).join(ragged(members, "level"), ["level", "halo_id"])
+    return groups, member_list(members, "level")
+
+
+def write_catalogue(spark: SparkSession, path: str, snap_ord: int, particles: DataFrame, hosts: DataFrame, subs: DataFrame, properties: DataFrame | None = None) -> None:
+    """One snapshot of a catalogue: tables halos, members and particle_map under path, other snapshots left as they are.
+
+    properties(level, halo_id, ...), if given, are columns of halos.
+    """
+    hosts, subs = written(hosts), written(subs)
+    groups, members = catalogue_lists(hosts, subs)
+    groups = groups if properties is None else groups.join(properties, ["level", "halo_id"], "left")
+    where = subs.select("pid", F.col("halo_id").alias("sub_id"))
+    in_map = particle_map(particles, hosts).join(where, "pid", "left").withColumn("sub_id", F.coalesce("sub_id", F.lit(NO_GROUP)))
+    for name, table in {"halos": groups, "members": members, "particle_map": in_map}.items():
+        write_snapshots(table.withColumn("snap_ord", F.lit(snap_ord)), f"{path}/{name}")
+
+
+def cleaned_export(groups: DataFrame, prog: DataFrame, desc: DataFrame) -> DataFrame:
+    """(snap_ord, halo_id, real, n_progs, prog_start, n_descs, desc_start): links after cleaning as lists, for groups with linked_real."""
+    p = exported_links(groups, prog).withColumnsRenamed({"n_links": "n_progs", "start_index": "prog_start"})
+    d = exported_links(groups, desc).withColumnsRenamed({"n_links": "n_descs", "start_index": "desc_start"})
+    return groups.select("snap_ord", "halo_id", F.col("linked_real").alias("real")).join(p, ["snap_ord", "halo_id"]).join(d, ["snap_ord", "halo_id"])
+
+
+def sorted_particles(particles: DataFrame) -> DataFrame:
+    """particles with their place among those of their species in the order of pid, and among all (`all_place`): the converted snapshot's order."""
+    return running_sum(running_sum(particles, ["part_type"], ["pid"], "place"), [], ["pid"], "all_place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from starloom.operators.numbering import running_sum
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -34,9 +36,41 @@ def subset(particles: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
 
 def row_range(particles: DataFrame, low: int, high: int) -> DataFrame:
     """Rows low .. high - 1 in the order of pid, by a stored row_idx if there is one."""
-    if "row_idx" in particles.columns:
-        return particles.where((F.col("row_idx") >= low) & (F.col("row_idx") < high))
-    return particles.orderBy("pid").offset(low).limit(high - low)
+    if "row_idx" not in particles.columns:
+        return running_sum(particles, [], ["pid"], "row_idx").where((F.col("row_idx") >= low) & (F.col("row_idx") < high)).drop("row_idx")
+    return particles.where((F.col("row_idx") >= low) & (F.col("row_idx") < high))
+
+
+def pids(particles: DataFrame, kind: int) -> DataFrame:
+    """The ids of all particles of a species."""
+    return particles.where(F.col("part_type") == kind).select("pid")
+
+
+def baryons(particles: DataFrame) -> DataFrame:
+    """Positions of all species that are read but dark matter."""
+    return species(particles).where("part_type <> 1").select("pid", "part_type", "x", "y", "z")
+
+
+def physical(particles: DataFrame, wanted: DataFrame, factors: dict[str, float]) -> DataFrame:
+    """The columns named by factors of the particles in wanted(pid), in physical units: each times the factor stored with it."""
+    return subset(particles.select("pid", *[in_units(c, f).alias(c) for c, f in factors.items()]), wanted, *factors)
+
+
+def gathered(members: DataFrame, particles: DataFrame, hubble: float, box: float) -> DataFrame:
+    """(halo_id, pid, x .. vz, mass, part_type) of the particles of many groups, over all species, velocities with the expansion's part."""
+    j = members.select("halo_id", "pid").join(particles, "pid")
+    return with_flow(j, hubble, box).select("halo_id", "pid", "x", "y", "z", "vx", "vy", "vz", "mass", "part_type")
+
+
+def halo_range(catalogue: DataFrame, level: int, low: int, high: int) -> DataFrame:
+    """Rows low .. high - 1 of a catalogue's hosts (level 0) or subgroups (level 1), in the order of halo_id."""
+    placed = running_sum(catalogue.where(F.col("level") == level), [], ["halo_id"], "row_idx")
+    return placed.where((F.col("row_idx") >= low) & (F.col("row_idx") < high)).drop("row_idx")
+
+
+def linked(lists: DataFrame, links: str = "links", start: str = "start_index", count: str = "n_links") -> DataFrame:
+    """lists with `own`: each row's part of its flat list of links, by start and count; null where there is none."""
+    return lists.withColumn("own", F.when(F.col(count) > 0, F.slice(links, F.col(start).cast("int") + 1, F.col(count).cast("int"))))
 
 
 def with_flow(particles: DataFrame, hubble: float, box: float) -> DataFrame:
