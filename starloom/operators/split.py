@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators import properties
 from starloom.operators.components import written
 from starloom.operators.links import shared
 
@@ -91,3 +92,53 @@ def split_back(members: DataFrame, threshold: int = 10) -> DataFrame:
         out = out.unionByName(now)
     return out
 
+
+def split_walk(members: DataFrame, groups: DataFrame, box: float, softening: float, particle_mass: float, redshift: float = 0.0, h: float = 1.0, g: float = 1.0, threshold: int = 10) -> tuple[DataFrame, DataFrame]:
+    """split_back() with energies: of each group's fragments, those that overlap the main one while one of both is unbound are glued to it.
+
+    members(snap_ord, halo_id, pid, x .. vz) and groups(snap_ord, halo_id, real) give (snap_ord, pid, original_id, halo_id) and the catalogue of
+    all snapshots but the last: (snap_ord, halo_id, original_id, npart, n_persist, split, ke, ge, e, real). npart is a fragment's share
+    of its group, particles in no counted descendant shared out by what the descendants took; n_persist counts the particles in
+    the descendant; split is the number of the group's fragments after glueing. Energies are those of the persistent particles, of
+    one mass. A fragment is real if bound (e <= 0), and a group with one descendant, which stays whole, as it was before.
+    """
+    columns = ["snap_ord", "pid", "original_id", "halo_id"]
+    first, last = members.agg(F.min("snap_ord"), F.max("snap_ord")).first()
+    now = written(members.where(F.col("snap_ord") == last).select("snap_ord", "pid", F.col("halo_id").alias("original_id"), "halo_id"))
+    out, catalogue = now, None
+
+    def energies(parts: DataFrame, key: str) -> DataFrame:
+        return properties.equal_mass_energy(properties.wrapped(parts, box, key), softening, particle_mass, redshift, h, g, key)
+
+    for snap in range(last - 1, first - 1, -1) if first is not None else ():
+        here = members.where(F.col("snap_ord") == snap).select("snap_ord", "pid", F.col("halo_id").alias("original_id"), *SPACE, *SPEED)
+        with_next = here.join(now.select("pid", F.col("halo_id").alias("desc_id")), "pid", "left")
+        n = F.when(F.col("desc_id").isNotNull(), F.count("*").over(Window.partitionBy("original_id", "desc_id")))
+        w = Window.partitionBy("original_id")
+        counted = with_next.withColumn("counted", F.when(n >= threshold, F.col("desc_id")))
+        counted = counted.withColumns({"single": F.min("counted").over(w) == F.max("counted").over(w), "whole": F.count("*").over(w), "took": F.count("counted").over(w)})
+        kept = counted.where(F.col("single") | F.col("counted").isNotNull()).withColumn("part", F.when(~F.col("single"), F.col("counted")))
+        rows = written(kept.withColumn("fragment", F.min("pid").over(Window.partitionBy("original_id", "part"))))
+        persistent = rows.where("counted IS NOT NULL")
+        several = persistent.where("NOT single")
+        energy = written(energies(persistent, "fragment"))
+        of_several = several.select("original_id", "fragment").distinct().join(energy.select("fragment", "e"), "fragment")
+        names = written(glued(properties.wrapped(several, box, "fragment"), of_several, box, "original_id"))
+        named = rows.join(names.select("fragment", "glued"), "fragment", "left").withColumn("halo_id", F.coalesce("glued", "fragment"))
+        named = written(named.select(*columns, "single", "whole", "took", "counted", *SPACE, *SPEED))
+        # Energies of fragments that were glued are those of the whole; all others are known.
+        new = names.groupBy("glued").agg(F.count("*").alias("n")).where("n > 1").select(F.col("glued").alias("halo_id"))
+        again = energies(named.where("counted IS NOT NULL").join(new, "halo_id", "left_semi"), "halo_id")
+        all_energies = energy.withColumnRenamed("fragment", "halo_id").join(new, "halo_id", "left_anti").unionByName(again)
+        sizes = named.groupBy("snap_ord", "halo_id", "original_id").agg(F.count("counted").alias("n_persist"), F.first("single").alias("single"), F.first("whole").alias("whole"), F.first("took").alias("took"))
+        share = F.when(F.col("single"), F.col("whole").cast("double")).otherwise(F.col("n_persist") + (F.col("whole") - F.col("took")) * (F.col("n_persist") / F.col("took")))
+        was = groups.where(F.col("snap_ord") == snap).select(F.col("halo_id").alias("original_id"), F.col("real").alias("was_real"))
+        step = sizes.withColumn("split", F.count("*").over(Window.partitionBy("original_id"))).join(all_energies, "halo_id").join(was, "original_id", "left")
+        real = F.when(F.col("single"), F.col("was_real")).otherwise(F.col("e") <= 0)
+        step = written(step.select("snap_ord", "halo_id", "original_id", share.alias("npart"), "n_persist", "split", "ke", "ge", "e", real.alias("real")))
+        catalogue = step if catalogue is None else catalogue.unionByName(step)
+        now = named.select(*columns)
+        out = out.unionByName(now)
+    if catalogue is None:
+        catalogue = members.sparkSession.createDataFrame([], "snap_ord int, halo_id long, original_id long, npart double, n_persist long, split long, ke double, ge double, e double, real boolean")
+    return out, catalogue

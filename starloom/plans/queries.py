@@ -879,3 +879,54 @@ def cells_of_three_snapshots(spark, sf_dir):
     """With labels for snapshots: groups of three snapshots by the cell of their place."""
     c = spatial.with_cells(particles(spark, sf_dir), BOX, CELLS)
     return c.groupBy((F.col("label") % 3).alias("snap_ord"), "cell_id").agg(F.count("*").alias("n"), F.min("pid").alias("first_id"))
+
+
+# Splitting with energies. Places and velocities are made from ids, in a box that none of them wraps around.
+
+SPLIT_BOX, SPLIT_SOFT, SPLIT_MASS, SPLIT_G = 4.0, 0.05, 2.0, 0.0048
+MADE = {"x": (37, 97), "y": (59, 89), "z": (11, 83), "vx": (7, 31), "vy": (5, 29), "vz": (3, 23)}
+
+
+def placed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    m = written(members(spark, sf_dir))
+    return m.withColumns({a: (F.col("pid") * k % n) / F.lit(float(n)) for a, (k, n) in MADE.items()}), flagged(m)
+
+
+SPLIT = """, spots AS (SELECT snap_ord, halo_id, pid, """ + ", ".join(f"(pid * {k} % {n}) / {n}.0 {a}" for a, (k, n) in MADE.items()) + """ FROM mem),
+j AS (SELECT a.*, n.halo_id d FROM spots a LEFT JOIN (SELECT pid, halo_id FROM mem WHERE snap_ord = 2001) n USING (pid) WHERE a.snap_ord = 2000),
+c AS (SELECT *, CASE WHEN d IS NOT NULL AND count(*) OVER (PARTITION BY halo_id, d) >= 10 THEN d END c FROM j),
+s AS (SELECT *, min(c) OVER w = max(c) OVER w single, count(*) OVER w whole, count(c) OVER w took FROM c WINDOW w AS (PARTITION BY halo_id)),
+t AS (SELECT *, min(pid) OVER (PARTITION BY halo_id, CASE WHEN NOT single THEN c END) fragment FROM s WHERE single OR c IS NOT NULL),
+pe AS (SELECT * FROM t WHERE c IS NOT NULL),
+""" + f"""ke1 AS (SELECT fragment, {0.5 * SPLIT_MASS} * count(*) * (var_pop(vx) + var_pop(vy) + var_pop(vz)) ke FROM pe GROUP BY fragment),
+ge1 AS (SELECT a.fragment, sum(1 / sqrt({D2} + {SPLIT_SOFT} * {SPLIT_SOFT})) * {SPLIT_G * SPLIT_MASS**2} ge FROM pe a JOIN pe b ON a.fragment = b.fragment AND a.pid < b.pid GROUP BY a.fragment),
+e1 AS (SELECT fragment, ke - coalesce(ge, 0) e FROM ke1 LEFT JOIN ge1 USING (fragment)),
+mn AS (SELECT halo_id, fragment, count(*) n, """ + ", ".join(f"avg({a}) m{a}" for a in MADE) + """ FROM pe WHERE NOT single GROUP BY ALL),
+ex AS (SELECT p.fragment, sqrt(5.0 / 3 * avg((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) r, sqrt(5.0 / 3 * avg((vx-mvx)*(vx-mvx)+(vy-mvy)*(vy-mvy)+(vz-mvz)*(vz-mvz))) vr FROM pe p JOIN mn USING (fragment) GROUP BY p.fragment),
+fr AS (SELECT *, row_number() OVER (PARTITION BY halo_id ORDER BY n DESC, fragment) rn FROM mn JOIN ex USING (fragment) JOIN e1 USING (fragment)),
+lk AS (SELECT a.halo_id, a.fragment main, b.fragment other FROM fr a JOIN fr b ON a.halo_id = b.halo_id AND a.rn = 1 AND b.rn > 1 AND (a.e > 0 OR b.e > 0)
+  AND sqrt(pow(a.mx-b.mx, 2) + pow(a.my-b.my, 2) + pow(a.mz-b.mz, 2)) / (a.r + b.r) + sqrt(pow(a.mvx-b.mvx, 2) + pow(a.mvy-b.mvy, 2) + pow(a.mvz-b.mvz, 2)) / (a.vr + b.vr) < 0.85),
+gl AS (SELECT halo_id, least(main, min(other)) glued FROM lk GROUP BY halo_id, main),
+nm AS (SELECT t.*, CASE WHEN fragment IN (SELECT main FROM lk UNION SELECT other FROM lk) THEN glued ELSE fragment END fid FROM t LEFT JOIN gl USING (halo_id)),
+pf AS (SELECT * FROM nm WHERE c IS NOT NULL),
+""" + f"""ke AS (SELECT fid, {0.5 * SPLIT_MASS} * count(*) * (var_pop(vx) + var_pop(vy) + var_pop(vz)) ke FROM pf GROUP BY fid),
+ge AS (SELECT a.fid, sum(1 / sqrt({D2} + {SPLIT_SOFT} * {SPLIT_SOFT})) * {SPLIT_G * SPLIT_MASS**2} ge FROM pf a JOIN pf b ON a.fid = b.fid AND a.pid < b.pid GROUP BY a.fid),
+sz AS (SELECT snap_ord, halo_id original_id, fid halo_id, count(c) n_persist, any_value(single) single, any_value(whole) whole, any_value(took) took FROM nm GROUP BY ALL)
+SELECT CAST(z.snap_ord AS INTEGER) snap_ord, z.halo_id, z.original_id, """ + s6("CASE WHEN single THEN whole ELSE n_persist + (whole - took) * (n_persist / took) END") + """ npart, n_persist, count(*) OVER (PARTITION BY z.original_id) split,
+""" + s6("ke") + " ke, " + s6("coalesce(ge, 0)") + " ge, " + s6("ke - coalesce(ge, 0)") + """ e, CASE WHEN single THEN g."real" ELSE ke - coalesce(ge, 0) <= 0 END "real"
+FROM sz z JOIN ke ON ke.fid = z.halo_id LEFT JOIN ge ON ge.fid = z.halo_id JOIN grp g ON g.snap_ord = z.snap_ord AND g.halo_id = z.original_id"""
+
+
+@query(W + MEMBERS + SPLIT)
+def split_with_energies(spark, sf_dir):
+    """One step of the walk, from the last snapshot to the one before."""
+    m, g = placed(spark, sf_dir)
+    _, c = split.split_walk(m.where("snap_ord >= 2000"), g, SPLIT_BOX, SPLIT_SOFT, SPLIT_MASS, g=SPLIT_G)
+    return rounded(c, "npart", "ke", "ge", "e")
+
+
+@query()
+def split_catalogue(spark, sf_dir):
+    """The whole walk."""
+    m, g = placed(spark, sf_dir)
+    return rounded(split.split_walk(m, g, SPLIT_BOX, SPLIT_SOFT, SPLIT_MASS, g=SPLIT_G)[1], "npart", "ke", "ge", "e")

@@ -120,6 +120,83 @@ def walked_back(rows, threshold):
     return out, whole
 
 
+def walked_with_energies(rows, real, box, soft, mass, g, threshold):
+    """The splitter with energies and glueing by plain loops: {(snap, pid): new id}, {(snap, new id): catalogue row}."""
+    import numpy as np
+
+    groups, at = {}, {}
+    for s, h, p, *phase in rows:
+        groups.setdefault(s, {}).setdefault(h, set()).add(p)
+        at[s, p] = np.array(phase)
+
+    def energy(s, pids):
+        x = np.array([at[s, p] for p in sorted(pids)])
+        pos = np.where(x[:, :3].max(0) - x[:, :3] > box / 2, x[:, :3] + box, x[:, :3])
+        ke = 0.5 * mass * len(x) * x[:, 3:].var(axis=0).sum()
+        ge = sum(1 / np.sqrt(((pos[i] - pos[j]) ** 2).sum() + soft**2) for i in range(len(x)) for j in range(i)) * g * mass**2
+        return ke, ge, ke - ge
+
+    def extent(s, pids):
+        x = np.array([at[s, p] for p in sorted(pids)])
+        x[:, :3] = np.where(x[:, :3].max(0) - x[:, :3] > box / 2, x[:, :3] + box, x[:, :3])
+        m = x.mean(0)
+        return m, np.sqrt(5 / 3 * ((x - m)[:, :3] ** 2).sum(1).mean()), np.sqrt(5 / 3 * ((x - m)[:, 3:] ** 2).sum(1).mean())
+
+    out, cat, after, stuck = {}, {}, {}, 0
+    for s in sorted(groups, reverse=True):
+        now = {}
+        for h, pids in groups[s].items():
+            if s == max(groups):
+                now |= dict.fromkeys(pids, h)
+                continue
+            descs = {}
+            for p in pids & after.keys():
+                descs.setdefault(after[p], set()).add(p)
+            parts = [d for d in descs.values() if len(d) >= threshold]
+            took = sum(map(len, parts))
+            if len(parts) == 1:
+                now |= dict.fromkeys(pids, min(pids))
+                cat[s, min(pids)] = (h, len(pids), len(parts[0]), 1, energy(s, parts[0])[2], real(s, h))
+            elif parts:
+                parts.sort(key=lambda d: (-len(d), min(d)))
+                main, rest = parts[0], []
+                e_main, (m, r, v) = energy(s, main)[2], extent(s, main)
+                joined = set(main)
+                for d in parts[1:]:
+                    m2, r2, v2 = extent(s, d)
+                    gap = np.abs(m - m2)[:3]
+                    off = np.sqrt((np.minimum(gap, box - gap) ** 2).sum()) / (r + r2) + np.sqrt(((m - m2)[3:] ** 2).sum()) / (v + v2)
+                    if (e_main > 0 or energy(s, d)[2] > 0) and off < 0.85:
+                        joined |= d
+                    else:
+                        rest.append(d)
+                stuck += joined != main
+                for d in [joined, *rest]:
+                    now |= dict.fromkeys(d, min(d))
+                    e = energy(s, d)[2]
+                    cat[s, min(d)] = (h, len(d) + (len(pids) - took) * len(d) / took, len(d), 1 + len(rest), e, e <= 0)
+        out |= {(s, p): i for p, i in now.items()}
+        after = now
+    return out, cat, stuck
+
+
+@pytest.mark.parametrize("g", [0.002, 0.02])
+def test_split_walk_with_energies(spark, g):
+    rng = random.Random(11)
+    rows = [(s, h, p, *(rng.gauss(h / 8, 0.05) % 1.0 for _ in range(3)), *(rng.gauss(0, 0.2) for _ in range(3))) for s, h, p, *_ in history(4, snaps=3)]
+    m = spark.createDataFrame(rows, "snap_ord int, halo_id long, pid long, x double, y double, z double, vx double, vy double, vz double")
+    groups = m.select("snap_ord", "halo_id").distinct().selectExpr("*", "halo_id % 2 = 0 AS real")
+    got, cat = split.split_walk(m, groups, 1.0, 0.02, 1.5, g=g, threshold=2)
+    want, rows_, stuck = walked_with_energies(rows, lambda s, h: h % 2 == 0, 1.0, 0.02, 1.5, g, 2)
+    assert {(r.snap_ord, r.pid): r.halo_id for r in got.collect()} == want
+    found = {(r.snap_ord, r.halo_id): (r.original_id, r.npart, r.n_persist, r.split, r.e, r.real) for r in cat.collect()}
+    assert found.keys() == rows_.keys() and len(found) > 10
+    for k, (h, n, persist, count, e, real) in rows_.items():
+        assert found[k][0] == h and found[k][2:4] == (persist, count) and found[k][5] == real
+        assert found[k][1] == pytest.approx(n) and found[k][4] == pytest.approx(e, abs=1e-9)
+    assert stuck or g > 0.01
+
+
 @pytest.mark.parametrize("seed, threshold", [(1, 10), (2, 8), (3, 3)])
 def test_split_back_follows_the_walk(spark, seed, threshold):
     rows = history(seed)
