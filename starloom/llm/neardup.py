@@ -352,7 +352,8 @@ def candidates(classes: DataFrame, threshold: float, trees: int, depth: int, tar
     nodes = written(tries.mapInArrow(node_rows(floor, depth), "depth int, key long, node long"))
 
     def met_at(members: DataFrame, several: DataFrame) -> DataFrame:
-        pairs = block_pairs(members, several, "key", tree_block).join(classes, "node")
+        # Written, so that Spark shuffles both sides of the join by key and can split a hot one.
+        pairs = block_pairs(members, written(several), "key", tree_block).join(classes, "node")
         return written(together(pairs, ["key", "one", "two"]).mapInArrow(met(least, size), "src long, dst long, agree long, n long"))
 
     deepest = nodes.where(F.col("depth") == depth).select("key", "node")
