@@ -46,6 +46,24 @@ def test_suffix(spark, hot):
     assert got == plain_bytes(rows, 40)
 
 
+def test_suffix_at_full_size(spark):
+    """The contract's 400 bytes on whole documents, some of them very long, against a count of all windows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digest(docs).collect()}
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    count = collections.Counter(hash(b[s : s + 400]) for _, b in texts for s in range(len(b) - 399))
+    wrong = 0
+    for i, b in texts:
+        gone = np.zeros(len(b) + 1, int)
+        for s in range(len(b) - 399):
+            if count[hash(b[s : s + 400])] > 1:
+                gone[s : s + 400] = 1
+        spans = int((np.diff(np.r_[0, gone]) == 1).sum())
+        wrong += got[i] != (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[gone[:-1] == 0].tobytes()).hexdigest())
+    assert len(got) == len(rows) and wrong == 0 and max(len(b) for _, b in texts) > 20_000
+
+
 def test_columns_find_windows_of_other_pieces():
     rng = random.Random(8)
     for _ in range(60):
