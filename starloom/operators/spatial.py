@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.components import components
+from starloom.operators.components import components, written
 from starloom.operators.numbering import running_sum
 
 AXES = ("x", "y", "z")
@@ -91,9 +92,95 @@ def near_pairs(parts: DataFrame, radius: float, box: float, periodic: bool = Tru
     return out if half else out.distinct()
 
 
+#: Products of two cells' rows beyond which a few outermost points are tried before all that may be near.
+TRIED = 256
+OUTER = [d for d in product((-1, 0, 1), repeat=3) if sum(map(abs, d)) in (1, 3)]
+
+
+def contracts(radius: float, box: float) -> bool:
+    """Whether half of a cell is narrow enough for all particles in it to be friends: always from 7 cells an axis."""
+    cells = cell_count(box, radius)
+    return cells >= 3 and math.sqrt(3) * box / (2 * cells) <= radius * (1 - 1e-9)
+
+
+def _gaps(a: str, b: str, box: float, periodic: bool) -> tuple[Column, Column]:
+    """Least and largest squared distance that rows of the boxes <axis>_lo_<a>, <axis>_hi_<a> and those of b can have.
+
+    Both are monotone in floating point: no pair of rows comes out nearer or farther than they say.
+    """
+    least, most = F.lit(0.0), F.lit(0.0)
+    for x in AXES:
+        ahead, behind = F.col(f"{x}_lo_{b}") - F.col(f"{x}_hi_{a}"), F.col(f"{x}_lo_{a}") - F.col(f"{x}_hi_{b}")
+        near = F.greatest(F.lit(0.0), ahead, behind)
+        far = F.greatest(F.col(f"{x}_hi_{b}") - F.col(f"{x}_lo_{a}"), F.col(f"{x}_hi_{a}") - F.col(f"{x}_lo_{b}"))
+        low = F.least(near, F.greatest(F.lit(0.0), F.lit(box) - far)) if periodic else near
+        high = F.least(far, F.greatest(F.abs(F.lit(box) - near), F.abs(F.lit(box) - far))) if periodic else far
+        least, most = least + low * low, most + high * high
+    return least, most
+
+
+def _apart(p: Column, q: Column, box: float, periodic: bool) -> Column:
+    total = F.lit(0.0)
+    for x in AXES:
+        d = F.abs(p[x] - q[x])
+        d = F.least(d, F.lit(box) - d) if periodic else d
+        total = total + d * d
+    return total
+
+
+def friend_edges(parts: DataFrame, radius: float, box: float, periodic: bool = True, within: str | None = None, tried: int = TRIED) -> DataFrame:
+    """(src, dst): edges with the components of near_pairs(), about as many as particles however dense a cell is.
+
+    Cells of half the width of near_pairs()' are narrower than radius / sqrt(3), so all particles of one are friends: each is linked to
+    the cell's smallest pid, and two cells need one edge at most. Pairs of cells (never more than 107 a cell) are settled by their
+    bounding boxes where these are near or far enough, then, if they hold many rows, by their outermost points in 14 directions. What is
+    left is joined row by row, with only those rows of a cell that lie within the radius of the other's box. Rows with a null, NaN or
+    infinite coordinate have no friends.
+    """
+    if not contracts(radius, box):
+        return near_pairs(parts, radius, box, periodic, within).select("src", "dst")
+    cells, r2, more = cell_count(box, radius), radius * radius, [within] if within else []
+    wrap = (lambda c, n: F.pmod(c, F.lit(n))) if periodic else (lambda c, n: c)
+    finite = " AND ".join(f"abs({a}) < double('infinity')" for a in AXES)
+    p = parts.select("pid", *AXES, *more).where(finite).withColumns({f"f{a}": wrap(F.floor(F.col(a) / F.lit(box / (2 * cells))), 2 * cells) for a in AXES})
+    if within:
+        p = p.where(F.col(within).isNotNull())
+    fine = [*more, "fx", "fy", "fz"]
+    point = F.struct("pid", *AXES)
+    outer = F.array(*[F.min_by(point, sum((d * F.col(a) for d, a in zip(o, AXES, strict=True)), F.lit(0.0))) for o in OUTER])
+    boxes = [f(a).alias(f"{a}_{n}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    rep = written(p.groupBy(*fine).agg(F.min("pid").alias("rep"), F.count("*").alias("n"), outer.alias("outer"), *boxes))
+    members = p.join(rep.where("n > 1").select(*fine, "rep"), fine).where("pid <> rep").select(F.col("pid").alias("src"), F.col("rep").alias("dst"))
+
+    wide = rep.withColumns({f"g{a}": F.floor(F.col(f"f{a}") / 2) for a in AXES})
+    moves = F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip(AXES, o, strict=True)]) for o in offsets(cells, True)])
+    moved = wide.withColumn("o", F.explode(moves))
+    moved = moved.withColumn("own", (F.col("o")["ox"] == 0) & (F.col("o")["oy"] == 0) & (F.col("o")["oz"] == 0))
+    moved = moved.withColumns({f"g{a}": wrap(F.col(f"g{a}") + F.col("o")[f"o{a}"], cells) for a in AXES}).drop("o")
+    keys = [*more, "gx", "gy", "gz"]
+    held = ["rep", "n", "outer", "fx", "fy", "fz", *[f"{a}_{n}" for a in AXES for n in ("lo", "hi")]]
+    named = [d.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in held], *rest) for d, s, rest in ((wide, "a", []), (moved, "b", ["own"]))]
+    least, most = _gaps("a", "b", box, periodic)
+    pairs = named[0].join(named[1], keys).where((~F.col("own") | (F.col("rep_a") < F.col("rep_b"))) & (least <= r2)).withColumn("most", most)
+    tries = F.exists("outer_a", lambda u: F.exists("outer_b", lambda v: _apart(u, v, box, periodic) <= r2))
+    sure = (F.col("n_a") * F.col("n_b") == 1) | (F.col("most") <= r2) | F.when(F.col("n_a") * F.col("n_b") > tried, tries).otherwise(False)
+    settled = written(pairs.withColumn("sure", sure).drop("outer_a", "outer_b", "own", "most", *keys[len(more) :]))
+
+    # Rows of either cell that may reach the other, then those joined: a row is a box of no width.
+    def reaching(s: str, t: str) -> DataFrame:
+        rows = p.select(*more, *[F.col(f"f{a}").alias(f"f{a}_{s}") for a in AXES], *[F.col(a).alias(f"{a}_at_{s}") for a in AXES])
+        j = settled.where(~F.col("sure")).drop(*[f"{a}_{n}_{s}" for a in AXES for n in ("lo", "hi")]).join(rows, [*more, *[f"f{a}_{s}" for a in AXES]])
+        j = j.withColumns({f"{a}_{n}_{s}": F.col(f"{a}_at_{s}") for a in AXES for n in ("lo", "hi")})
+        return j.where(_gaps(s, t, box, periodic)[0] <= r2).select("rep_a", "rep_b", *[F.col(f"{a}_at_{s}").alias(f"{a}_{s}") for a in AXES])
+
+    near = reaching("a", "b").join(reaching("b", "a"), ["rep_a", "rep_b"]).where(separation("a", "b", box, periodic) <= r2).select("rep_a", "rep_b").distinct()
+    across = settled.where("sure").select("rep_a", "rep_b").unionByName(near).where("rep_a <> rep_b")
+    return members.unionByName(across.select(F.least("rep_a", "rep_b").alias("src"), F.greatest("rep_a", "rep_b").alias("dst")))
+
+
 def friends(parts: DataFrame, radius: float, box: float, periodic: bool = True, within: str | None = None) -> DataFrame:
     """parts with halo_id: the smallest pid of the friends-of-friends group, null for particles alone."""
-    c = components(near_pairs(parts, radius, box, periodic, within))
+    c = components(friend_edges(parts, radius, box, periodic, within))
     return parts.join(c.withColumnsRenamed({"node": "pid", "component": "halo_id"}), "pid", "left")
 
 

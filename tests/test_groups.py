@@ -55,6 +55,30 @@ def test_friends(spark, radius, box, periodic):
     assert got == {r[0]: want.get(r[0]) for r in rows}
 
 
+@pytest.mark.parametrize("periodic", [True, False])
+@pytest.mark.parametrize("tried", [0, 4, 256])
+def test_contracted_cells_have_the_components_of_all_pairs(spark, periodic, tried):
+    rng = np.random.default_rng(9)
+    dense = [(1000 + i, *map(float, c + rng.normal(0, 0.02, 3)), 0.0, 0.0, 0.0, 1.0, 1) for i, c in enumerate(np.repeat(rng.random((4, 3)) * 0.8 + 0.1, 50, 0))]
+    rows = cloud(250, 8) + dense + [at(2001, 0.0), at(2002, 1.0), at(2003, 0.999), at(2004, float("nan")), at(2005, float("inf")), at(2006, None)]
+    radius = 0.06
+    assert spatial.contracts(radius, 1.0)
+    df = spark.createDataFrame(rows, COLUMNS)
+    finite = [r for r in rows if r[0] < 2004]
+    edges = {(r.src, r.dst) for r in spatial.friend_edges(df, radius, 1.0, periodic, tried=tried).collect()}
+    linked = {x for e in edges for x in e}
+    assert partition(edges, linked) == brute(finite, radius, 1.0, periodic)
+    assert not linked & {2004, 2005, 2006}
+
+
+def test_contracted_cells_keep_groups_apart_and_few_edges(spark):
+    rows = [at(i, 0.5 + 0.00001 * i) for i in range(600)]
+    df = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "if(pid % 3 = 0, null, pid % 3) AS kind")
+    assert spatial.friend_edges(df, 0.1, 1.0).count() < 2 * len(rows)
+    got = {r.pid: r.halo_id for r in spatial.friends(df, 0.1, 1.0, True, "kind").collect()}
+    assert got == {i: None if i % 3 == 0 else i % 3 for i in range(600)}
+
+
 def at(pid, x, y=0.5, z=0.5, v=0.0, m=1.0):
     return (pid, x, y, z, v, 0.0, 0.0, m, 1)
 
