@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.components import components
+from starloom.operators.components import components, written
+from starloom.operators.properties import bound, centred
 from starloom.operators.spatial import near_pairs
 
 SPEED = ("vx", "vy", "vz")
 #: Groups below this size end in phase space.
 LEAST = 10
+#: Particles up to which a group is refined in one task; larger ones go through distributed rounds.
+WHOLE = 5_000
 
 
 def step(parts: DataFrame, alpha: float, velocity_factor: float, linking: float, box: float, key: str = "halo_id") -> DataFrame:
@@ -64,10 +68,10 @@ def energies(x: np.ndarray, v: np.ndarray, m: np.ndarray, softening: float, fact
     return float(0.5 * (v * v).sum()), ge * factor
 
 
-def refined(x: np.ndarray, v: np.ndarray, m: np.ndarray, linking: float, velocity_factor: float, softening: float, factor: float, start: float, end: float, decrement: float, least: int) -> list[tuple[np.ndarray, float, float, float, bool]]:
-    """(rows, ke, ge, alpha, real) of what a group (rows by pid) falls apart into."""
+def refined(x: np.ndarray, v: np.ndarray, m: np.ndarray, linking: float, velocity_factor: float, softening: float, factor: float, start: float, end: float, decrement: float, least: int, energy: tuple[float, float] | None = None) -> list[tuple[np.ndarray, float, float, float, bool]]:
+    """(rows, ke, ge, alpha, real) of what a group (rows by pid) falls apart into; `energy` is that of the whole, if known."""
     done = []
-    pending = [(np.arange(len(x)), start, None)]
+    pending = [(np.arange(len(x)), start, energy)]
     while pending:
         rows, alpha, known = pending.pop()
         a, b, d2, w2 = _reach(x[rows], v[rows], linking)
@@ -104,18 +108,59 @@ def _reach(x: np.ndarray, v: np.ndarray, linking: float, block: int = 1024) -> t
 REFINED = "host_id long, pid long, halo_id long, ke double, ge double, exit_alpha double, real boolean"
 
 
-def refine(parts: DataFrame, linking: float, velocity_factor: float, softening: float, factor: float, start: float = 10.0, end: float = 0.8, decrement: float = 0.01, least: int = LEAST, key: str = "halo_id") -> DataFrame:
+def refine(parts: DataFrame, linking: float, velocity_factor: float, softening: float, factor: float, start: float = 10.0, end: float = 0.8, decrement: float = 0.01, least: int = LEAST, key: str = "halo_id", whole: int = WHOLE) -> DataFrame:
     """Each group (wrapped positions) refined on its own: the velocity linking length shrinks for what is not bound yet.
 
-    How often depends on the data, so groups are mapped as wholes; particles that end in no group are left out. The smallest pid names a
-    group. Several groups share a call of Python through Arrow; a group's work is its pairs in reach.
+    How often depends on the data, so groups of at most `whole` particles are mapped as wholes, several in a call of Python; a group's work
+    is its pairs in reach. Larger ones take the same steps side by side as DataFrames, a round for each length, until what is left
+    of them is done or small enough. Particles that end in no group, or had none, are left out. The smallest pid names a group.
     """
+    p = parts.select(F.col(key).cast("long").alias("host_id"), "pid", "x", "y", "z", *SPEED, "mass").where(F.col("host_id").isNotNull())
+    none = F.lit(None).cast("double")
+    fresh = p.withColumns({"group": F.col("host_id"), "alpha": F.lit(float(start)), "ke": none, "ge": none})
+    sized = written(fresh.join(p.groupBy("host_id").agg(F.count("*").alias("n")), "host_id"))
+    at = (linking, velocity_factor, softening, factor, end, decrement, least)
+    pending, alpha = written(sized.where(F.col("n") > whole)), float(start)
+    small, done = [sized.where(F.col("n") <= whole)], []
+    while not pending.isEmpty():
+        found = written(_round(pending, alpha, linking, velocity_factor, softening, factor, least))
+        real = (F.col("ge") > 0) & F.coalesce(F.col("ke") / F.nullif("ge", F.lit(0.0)) <= 1, F.lit(False))
+        over = real if alpha >= end else F.lit(True)
+        done.append(found.where(over).select("host_id", "pid", F.col("group").alias("halo_id"), "ke", "ge", "alpha", real.alias("real")))
+        alpha = lowered(alpha, decrement)
+        left = found.where(~over).withColumn("alpha", F.lit(alpha))
+        small.append(left.where(F.col("n") <= whole))
+        pending = written(left.where(F.col("n") > whole))
+    out = _mapped(_all(small), at)
+    return out.unionByName(_all(done).withColumnRenamed("alpha", "exit_alpha")) if done else out
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _round(pending: DataFrame, alpha: float, linking: float, velocity_factor: float, softening: float, factor: float, least: int) -> DataFrame:
+    """pending after a step at alpha: rows of new groups of at least `least`, with their size and energies (the known ones if nothing left)."""
+    # Not periodic: the box only sets the width of cells, which must not be below the reach.
+    split = written(step(pending, alpha, velocity_factor, linking, 1e3 * linking, "group").withColumnRenamed("n", "before"))
+    size = split.groupBy("phase_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    kept = written(split.join(size, "phase_id").drop("group").withColumnRenamed("phase_id", "group"))
+    whole = (F.col("n") == F.col("before")) & F.col("ke").isNotNull()
+    anew = centred(kept.where(~whole).select("group", "pid", "x", "y", "z", *SPEED, "mass"), "group")
+    energy = bound(anew, softening, factor, "group").select("group", F.col("ke").alias("new_ke"), F.col("ge").alias("new_ge"))
+    out = kept.join(energy, "group", "left").withColumns({e: F.when(whole, F.col(e)).otherwise(F.col(f"new_{e}")) for e in ("ke", "ge")})
+    return out.select(*pending.columns)
+
+
+def _mapped(groups: DataFrame, at: tuple) -> DataFrame:
+    linking, velocity_factor, softening, factor, end, decrement, least = at
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("pid", kind="stable")
-        pid = t["pid"].to_numpy()
-        found = refined(t[["x", "y", "z"]].to_numpy(float), t[[*SPEED]].to_numpy(float), t["mass"].to_numpy(float), linking, velocity_factor, softening, factor, start, end, decrement, least)
-        rows = [pd.DataFrame({"host_id": t[key].iloc[0], "pid": pid[i], "halo_id": pid[i].min(), "ke": ke, "ge": ge, "exit_alpha": alpha, "real": real}) for i, ke, ge, alpha, real in found]
+        pid, first = t["pid"].to_numpy(), t.iloc[0]
+        energy = None if pd.isna(first["ke"]) else (float(first["ke"]), float(first["ge"]))
+        found = refined(t[["x", "y", "z"]].to_numpy(float), t[[*SPEED]].to_numpy(float), t["mass"].to_numpy(float), linking, velocity_factor, softening, factor, float(first["alpha"]), end, decrement, least, energy)
+        rows = [pd.DataFrame({"host_id": t["host_id"].iloc[0], "pid": pid[i], "halo_id": pid[i].min(), "ke": ke, "ge": ge, "exit_alpha": alpha, "real": real}) for i, ke, ge, alpha, real in found]
         return pd.concat(rows) if rows else pd.DataFrame(columns=[c.split()[0] for c in REFINED.split(", ")])
 
-    return parts.select(key, "pid", "x", "y", "z", *SPEED, "mass").groupBy(key).applyInPandas(run, REFINED)
+    return groups.groupBy("host_id", "group").applyInPandas(run, REFINED)

@@ -175,6 +175,20 @@ def test_refinement(spark, seed, factor):
     assert {(frozenset(m), real) for m, real in groups.values()} == plain_refine(rows, *args)
 
 
+@pytest.mark.parametrize("whole", [0, 30])
+def test_refinement_in_rounds(spark, whole):
+    rows = cloud(45, 5, 0.2, 0.2) + [(100 + i, *[x + 0.02 for x in r[1:4]], r[4] + 3.0, *r[5:]) for i, r in enumerate(cloud(25, 55, 0.1, 0.05))]
+    args = (0.25, 0.05, 0.01, 3e-3, 10.0, 0.8, 0.4, 5)
+    parts = spark.createDataFrame(rows, COLUMNS).selectExpr("7L AS halo_id", "*")
+    got, mapped = (phase.refine(parts, *args, whole=n).collect() for n in (whole, 1000))
+    groups = {}
+    for r in got:
+        groups.setdefault(r.halo_id, (set(), r.real))[0].add(r.pid)
+    assert {(frozenset(m), real) for m, real in groups.values()} == plain_refine(rows, *args)
+    exact = lambda rs: {r.pid: (r.host_id, r.halo_id, r.real, round(r.ke, 9), round(r.ge, 9), round(r.exit_alpha, 9)) for r in rs}
+    assert exact(got) == exact(mapped)
+
+
 def test_step_splits_clumps_of_different_velocity(spark):
     rows = [at(i, 0.5 + 0.001 * i) for i in range(5)] + [at(10 + i, 0.5 + 0.001 * i, v=100.0) for i in range(5)]
     got = phase.step(spark.createDataFrame(rows, COLUMNS).selectExpr("1L AS halo_id", "*"), 1.0, 1.0, 0.1, 1.0).collect()
