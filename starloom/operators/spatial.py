@@ -132,7 +132,7 @@ def friend_edges(parts: DataFrame, radius: float, box: float, periodic: bool = T
     """(src, dst): edges with the components of near_pairs(), about as many as particles however dense a cell is.
 
     Cells of half the width of near_pairs()' are narrower than radius / sqrt(3), so all particles of one are friends: each is linked to
-    the cell's smallest pid, and two cells need one edge at most. Pairs of cells (never more than 107 a cell) are settled by their
+    the cell's smallest pid, and two cells need one edge at most. Pairs of cells (at most 111 a cell) are settled by their
     bounding boxes where these are near or far enough, then, if they hold many rows, by their outermost points in 14 directions. What is
     left is joined row by row, with only those rows of a cell that lie within the radius of the other's box. Rows with a null, NaN or
     infinite coordinate have no friends.
