@@ -43,21 +43,26 @@ def cleaned_progenitors(prog: DataFrame, flags: DataFrame) -> DataFrame:
     return ranked(prog.drop("rank").join(real, ["snap_ord", "other_id"], "left_semi"))
 
 
-def main_branches(groups: DataFrame, prog: DataFrame) -> DataFrame:
-    """(halo_id, npart, length): steps along first progenitors from each group of the last snapshot. One join a snapshot, on shrinking rows."""
+def main_branches(groups: DataFrame, prog: DataFrame, report: dict | None = None) -> DataFrame:
+    """(halo_id, npart, length): steps along first progenitors from each group of the last snapshot.
+
+    Jumps of all groups double until each ends where a branch does, so rounds are the logarithm of the longest branch; report gets their number.
+    """
     last = groups.agg(F.max("snap_ord")).first()[0]
-    first = written(prog.where("rank = 1").select("snap_ord", "halo_id", "other_id"))
-    at = groups.where(F.col("snap_ord") == last).select(F.col("halo_id").alias("root"), "npart", F.col("halo_id").alias("at"))
-    front, out, length = at.withColumn("snap_ord", F.lit(last)), None, 0
+    one = prog.where("rank = 1").select("snap_ord", "halo_id", (F.col("snap_ord") - 1).alias("to_ord"), F.col("other_id").alias("to_id"), F.lit(1).cast("long").alias("length"))
+    jumps, rounds = written(one), 0
     while True:
-        step = front.join(first.withColumnRenamed("halo_id", "at"), ["snap_ord", "at"], "left")
-        step = written(step)
-        ended = step.where("other_id IS NULL").select(F.col("root").alias("halo_id"), "npart", F.lit(length).cast("long").alias("length"))
-        out = ended if out is None else out.unionByName(ended)
-        front = step.where("other_id IS NOT NULL").select("root", "npart", F.col("other_id").alias("at"), (F.col("snap_ord") - 1).alias("snap_ord"))
-        if front.isEmpty():
-            return out
-        length += 1
+        ahead = jumps.select(F.col("snap_ord").alias("to_ord"), F.col("halo_id").alias("to_id"), F.col("to_ord").alias("next_ord"), F.col("to_id").alias("next_id"), F.col("length").alias("more"))
+        longer = jumps.join(ahead, ["to_ord", "to_id"], "left")
+        moved = F.col("more").isNotNull()
+        new = written(longer.select("snap_ord", "halo_id", F.coalesce("next_ord", "to_ord").alias("to_ord"), F.coalesce("next_id", "to_id").alias("to_id"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), moved.alias("moved")))
+        jumps, rounds = new.drop("moved"), rounds + 1
+        if new.where("moved").isEmpty():
+            break
+    if report is not None:
+        report["rounds"] = rounds
+    roots = groups.where(F.col("snap_ord") == last).select("snap_ord", "halo_id", "npart")
+    return roots.join(jumps, ["snap_ord", "halo_id"], "left").select("halo_id", "npart", F.coalesce("length", F.lit(0)).alias("length"))
 
 
 def trees(groups: DataFrame, prog: DataFrame, least: int = REAL_SIZE) -> DataFrame:
@@ -68,8 +73,39 @@ def trees(groups: DataFrame, prog: DataFrame, least: int = REAL_SIZE) -> DataFra
     return reach(groups.sparkSession, roots, edges, ("root",))
 
 
-def appearances(tree: DataFrame) -> DataFrame:
+#: Roots that share one number of bits.
+BITS = 64
+
+
+def root_bits(groups: DataFrame, prog: DataFrame, least: int = REAL_SIZE) -> DataFrame:
+    """(snap_ord, halo_id, word, bits): whose trees a group is in, as bits of the roots' numbers, BITS of them in a word.
+
+    What trees() says with a row for each root and group. Roots are numbered along the smallest descendant-side id of their first progenitor, so
+    those that share a past mostly share a word; words pass from a snapshot to the one before and are merged there, one row a group and word.
+    """
+    first, last = groups.agg(F.min("snap_ord"), F.max("snap_ord")).first()
+    links = written(prog.select("snap_ord", "halo_id", "other_id", "rank"))
+    roots = groups.where((F.col("snap_ord") == last) & F.col("real") & (F.col("npart") >= least)).select("snap_ord", "halo_id")
+    main = links.where("rank = 1").select("snap_ord", "halo_id", "other_id")
+    placed = running_sum(roots.join(main, ["snap_ord", "halo_id"], "left"), [], ["other_id", "halo_id"], "number").drop("other_id")
+    word, bit = F.floor(F.col("number") / BITS), (F.col("number") % BITS).cast("int")
+    front = written(placed.select("snap_ord", "halo_id", word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")))
+    out = front
+    for snap in range(last, first, -1) if first is not None else ():
+        step = front.join(links.where(F.col("snap_ord") == snap).drop("rank"), ["snap_ord", "halo_id"])
+        front = written(step.groupBy((F.col("snap_ord") - 1).alias("snap_ord"), F.col("other_id").alias("halo_id"), "word").agg(F.bit_or("bits").alias("bits")))
+        out = out.unionByName(front)
+    return out
+
+
+def appearances(groups: DataFrame, prog: DataFrame, least: int = REAL_SIZE) -> DataFrame:
     """(n_trees, n_halos): how many groups appear in how many trees."""
+    n = root_bits(groups, prog, least).groupBy("snap_ord", "halo_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_trees"))
+    return n.groupBy("n_trees").agg(F.count("*").alias("n_halos"))
+
+
+def row_appearances(tree: DataFrame) -> DataFrame:
+    """The same from trees()."""
     return tree.groupBy("snap_ord", "halo_id").agg(F.count("*").alias("n_trees")).groupBy("n_trees").agg(F.count("*").alias("n_halos"))
 
 
@@ -91,6 +127,26 @@ def graphs(groups: DataFrame, prog: DataFrame, desc: DataFrame) -> DataFrame:
     return written(g.join(c, "node", "left").select(F.coalesce("component", "node").alias("graph_id"), "snap_ord", "halo_id", "npart", "real"))
 
 
+def grown(nodes: DataFrame, names: DataFrame, groups: DataFrame, prog: DataFrame, desc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new nodes, new names): stored graphs after one more snapshot, found from its groups and links alone.
+
+    nodes(snap_ord, halo_id, npart, real, root) are never changed: root is the graph a group was in when it came. names(root, graph_id) says which graph
+    that is by now, a row for each graph that ever was. Links with what is stored are contracted onto graphs, so that old links are not looked at again.
+    """
+    known = nodes.select("snap_ord", "halo_id", "root").join(names, "root").select("snap_ord", "halo_id", "graph_id")
+    new = groups.select("snap_ord", "halo_id", "npart", "real").withColumn("node", node())
+    ends = lambda links, by: links.select("snap_ord", "halo_id", (F.col("snap_ord") + by).cast(groups.schema["snap_ord"].dataType).alias("to_ord"), F.col("other_id").alias("to_id"))
+    backwards = ends(prog, -1)
+    forwards = ends(desc, 1).select(F.col("to_ord").alias("snap_ord"), F.col("to_id").alias("halo_id"), F.col("snap_ord").alias("to_ord"), F.col("halo_id").alias("to_id"))
+    pairs = backwards.unionByName(forwards).distinct().join(new.select("snap_ord", "halo_id", "node"), ["snap_ord", "halo_id"])
+    old = known.withColumnsRenamed({"snap_ord": "to_ord", "halo_id": "to_id"})
+    c = written(components(pairs.join(old, ["to_ord", "to_id"]).select(F.col("node").alias("src"), F.col("graph_id").alias("dst"))))
+    placed = written(new.join(c, "node", "left").select("snap_ord", "halo_id", "npart", "real", F.coalesce("component", "node").alias("root")))
+    moved = names.join(c, F.col("graph_id") == F.col("node"), "left").select("root", F.coalesce("component", "graph_id").alias("graph_id"))
+    fresh = placed.select("root").distinct().join(names, "root", "left_anti").withColumn("graph_id", F.col("root"))
+    return placed, written(moved.unionByName(fresh))
+
+
 def rooted(all_graphs: DataFrame) -> DataFrame:
     """Graphs that hold a real group of the last snapshot, all of their nodes."""
     last = all_graphs.agg(F.max("snap_ord")).first()[0]
@@ -98,6 +154,20 @@ def rooted(all_graphs: DataFrame) -> DataFrame:
     return all_graphs.join(roots, "graph_id", "left_semi")
 
 
+def hosted(all_graphs: DataFrame, subs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Graphs of subgroups that hold a subgroup of a host in one of the hosts' graphs, nodes(snap_ord, halo_id, ...); subs has each one's host_id."""
+    seeds = subs.select("snap_ord", "halo_id", "host_id").join(nodes.select("snap_ord", F.col("halo_id").alias("host_id")), ["snap_ord", "host_id"], "left_semi")
+    seeded = all_graphs.join(seeds.select("snap_ord", "halo_id"), ["snap_ord", "halo_id"], "left_semi").select("graph_id").distinct()
+    return all_graphs.join(seeded, "graph_id", "left_semi")
+
+
+def host_graphs(sub_nodes: DataFrame, subs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, host_graph, n_subs): in which graphs of hosts the hosts of each graph of subgroups lie, and how many subgroups of it; null for hosts in none."""
+    of = sub_nodes.select("graph_id", "snap_ord", "halo_id").join(subs.select("snap_ord", "halo_id", "host_id"), ["snap_ord", "halo_id"])
+    h = nodes.select("snap_ord", F.col("halo_id").alias("host_id"), F.col("graph_id").alias("host_graph"))
+    return of.join(h, ["snap_ord", "host_id"], "left").groupBy("graph_id", "host_graph").agg(F.count("*").alias("n_subs"))
+
+
 def numbered(graph: DataFrame) -> DataFrame:
     """graph with node_id: from past to present, larger groups first."""
     return running_sum(graph, ["graph_id"], ["snap_ord", F.desc("npart"), "halo_id"], "node_id")

@@ -1,4 +1,8 @@
-"""Groups in phase space: splitting groups until what is left is bound."""
+"""Groups in phase space: splitting groups until what is left is bound.
+
+The velocity linking length of a group only shrinks, so its minimum spanning forest (forest.py) holds all that it can fall apart into: a length
+cuts the forest's edges above it. Pairs of particles are looked at once, whatever the number of lengths.
+"""
 
 from __future__ import annotations
 
@@ -10,30 +14,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.blocks import ROWS
+from starloom.operators.bounds import bound_flags, exact_sums, is_bound, packed, summed
 from starloom.operators.components import components, written
-from starloom.operators.properties import bound, centred
-from starloom.operators.spatial import near_pairs
+from starloom.operators.forest import forest
+from starloom.operators.properties import centred, kinetic
 
 SPEED = ("vx", "vy", "vz")
 #: Groups below this size end in phase space.
 LEAST = 10
-#: Particles up to which a group is refined in one task; larger ones go through distributed rounds.
-WHOLE = 5_000
+#: Particles up to which the forest of a group is cut in one task (which holds its rows and as many edges); larger ones go through distributed rounds.
+WHOLE = 20_000
+
+
+def with_length(parts: DataFrame, alpha: float, velocity_factor: float, key: str) -> DataFrame:
+    """parts with vl = alpha * factor * (mass of the group)^(1/3)."""
+    # Written, so that Spark can split a group that holds most rows.
+    mass = written(parts.where(F.col(key).isNotNull()).groupBy(key).agg((alpha * velocity_factor * F.pow(F.sum("mass"), F.lit(1 / 3))).alias("vl")))
+    return parts.join(mass, key)
 
 
-def step(parts: DataFrame, alpha: float, velocity_factor: float, linking: float, box: float, key: str = "halo_id") -> DataFrame:
+def step(parts: DataFrame, alpha: float, velocity_factor: float, linking: float, key: str = "halo_id", rows: int = ROWS) -> DataFrame:
     """parts with phase_id: within each group, friends linked if 4 dx^2 / l^2 + dv^2 / vl^2 <= 2, vl = alpha * factor * mass^(1/3).
 
     The smallest pid names a group; a particle alone is one. Not periodic: positions must be on one side of the box.
     """
-    mass = parts.groupBy(key).agg(F.sum("mass").alias("group_mass"))
-    vl = alpha * velocity_factor * F.pow("group_mass", F.lit(1 / 3))
-    p = parts.join(mass, key).withColumn("vl2", vl * vl)
-    dv2 = sum(((F.col(f"{v}_a") - F.col(f"{v}_b")) * (F.col(f"{v}_a") - F.col(f"{v}_b")) for v in SPEED), F.lit(0.0))
-    linked = F.lit(4.0) * F.col("d2") / (linking * linking) + dv2 / F.col("vl2_a") <= 2
-    # With equal velocities the reach is linking / sqrt(2), a little more to be safe from rounding.
-    pairs = near_pairs(p, linking / math.sqrt(2) * (1 + 1e-9), box, False, key, (*SPEED, "vl2"), linked)
-    c = components(pairs).withColumnsRenamed({"node": "pid", "component": "phase_id"})
+    edges = forest(with_length(parts, alpha, velocity_factor, key), linking, key, "vl", rows)
+    c = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "pid", "component": "phase_id"})
     return parts.join(c, "pid", "left").withColumn("phase_id", F.coalesce("phase_id", "pid"))
 
 
@@ -55,112 +62,145 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def energies(x: np.ndarray, v: np.ndarray, m: np.ndarray, softening: float, factor: float, block: int = 1024) -> tuple[float, float]:
+def lengths(start: float, end: float, decrement: float) -> list[float]:
+    """The coefficients of the velocity linking length in turn; what isn't bound at the last one, the first below `end`, stays so."""
+    out = [float(start)]
+    while out[-1] >= end:
+        out.append(lowered(out[-1], decrement))
+    return out
+
+
+def energies(x: np.ndarray, v: np.ndarray, m: np.ndarray, softening: float, factor: float) -> tuple[float, float]:
     """Kinetic and potential term of a group whose rows are in the order of pid; memory is linear in it."""
-    x = x - (m[:, None] * x).sum(0) / m.sum()
+    return kinetic_of(v, m), factor * summed(x, m, softening)
+
+
+def kinetic_of(v: np.ndarray, m: np.ndarray) -> float:
     v = v - (m[:, None] * v).sum(0) / m.sum()
-    ge = 0.0
-    for at in range(0, len(x), block):
-        part = x[at : at + block]
-        d = np.sqrt(((part[:, None] - x[None, : at + len(part)]) ** 2).sum(-1) + softening**2)
-        earlier = np.arange(at + len(part))[None] < np.arange(at, at + len(part))[:, None]
-        ge += float((np.where(earlier, m[None, : at + len(part)], 0.0) / d).sum())
-    return float(0.5 * (v * v).sum()), ge * factor
-
-
-def refined(x: np.ndarray, v: np.ndarray, m: np.ndarray, linking: float, velocity_factor: float, softening: float, factor: float, start: float, end: float, decrement: float, least: int, energy: tuple[float, float] | None = None) -> list[tuple[np.ndarray, float, float, float, bool]]:
-    """(rows, ke, ge, alpha, real) of what a group (rows by pid) falls apart into; `energy` is that of the whole, if known."""
-    done = []
-    pending = [(np.arange(len(x)), start, energy)]
+    return float(0.5 * (v * v).sum())
+
+
+def refined(x: np.ndarray, v: np.ndarray, m: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray], alphas: list[float], velocity_factor: float, softening: float, factor: float, least: int, turn: int = 0, tested: bool = False) -> list[tuple[np.ndarray, int, bool]]:
+    """(rows, turn, real) of what a group (rows by pid) falls apart into; edges (a, b, w^2) are its forest, a and b being rows.
+
+    A group that has been tested and isn't bound stays as it is until a length cuts its heaviest edge, so turns before that are skipped.
+    """
+    a, b, w2 = edges
+    scale = (np.array(alphas) * velocity_factor) ** 2
+    last, done = len(alphas) - 1, []
+    pending = [(np.arange(len(x)), np.arange(len(a)), turn, tested)]
     while pending:
-        rows, alpha, known = pending.pop()
-        a, b, d2, w2 = _reach(x[rows], v[rows], linking)
-        vl = alpha * velocity_factor * m[rows].sum() ** (1 / 3)
-        keep = 4 * d2 / linking**2 + w2 / vl**2 <= 2
-        label = labels(len(rows), a[keep], b[keep])
-        for top in np.unique(label):
-            inside = rows[label == top]
-            if len(inside) < least:
+        rows, e, turn, tested = pending.pop()
+        vl2 = scale * m[rows].sum() ** (2 / 3)
+        if tested:
+            cuts = np.flatnonzero(vl2[turn:] < w2[e].max(initial=-1.0))
+            turn = turn + int(cuts[0]) if len(cuts) else last
+        kept = e[w2[e] <= vl2[turn]]
+        label = labels(len(rows), np.searchsorted(rows, a[kept]), np.searchsorted(rows, b[kept]))
+        order = np.argsort(label, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(label[order]) > 0, True])
+        of_edge = label[np.searchsorted(rows, a[kept])]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi - lo < least:
                 continue
-            if known is None or len(inside) != len(rows):
-                values = energies(x[inside], v[inside], m[inside], softening, factor)
+            inside = rows[order[lo:hi]]
+            known = tested and len(inside) == len(rows)
+            real = False if known else is_bound(x[inside], m[inside], kinetic_of(v[inside], m[inside]), softening, factor)[0]
+            if real or turn == last:
+                done.append((inside, turn, real))
             else:
-                values = known
-            ke, ge = values
-            real = ge > 0 and ke / ge <= 1
-            if real or alpha < end:
-                done.append((inside, ke, ge, alpha, real))
-            else:
-                pending.append((inside, lowered(alpha, decrement), values))
+                pending.append((inside, kept[of_edge == label[order[lo]]], turn + 1, True))
     return done
 
 
-def _reach(x: np.ndarray, v: np.ndarray, linking: float, block: int = 1024) -> tuple[np.ndarray, ...]:
-    """Pairs near enough in space to be friends, with squared distances in space and velocity."""
-    out = []
-    for at in range(0, len(x), block):
-        d2 = ((x[at : at + block, None] - x[None]) ** 2).sum(-1)
-        i, j = np.nonzero((4 * d2 <= 2 * linking**2) & (np.arange(len(x))[None] > np.arange(at, min(at + block, len(x)))[:, None]))
-        out.append((i + at, j, d2[i, j], ((v[i + at] - v[j]) ** 2).sum(-1)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int),) * 2 + (np.empty(0),) * 2
-
-
 REFINED = "host_id long, pid long, halo_id long, ke double, ge double, exit_alpha double, real boolean"
+PENDING = ["host_id", "group", "turn", "tested"]
 
 
-def refine(parts: DataFrame, linking: float, velocity_factor: float, softening: float, factor: float, start: float = 10.0, end: float = 0.8, decrement: float = 0.01, least: int = LEAST, key: str = "halo_id", whole: int = WHOLE) -> DataFrame:
+def refine(parts: DataFrame, linking: float, velocity_factor: float, softening: float, factor: float, start: float = 10.0, end: float = 0.8, decrement: float = 0.01, least: int = LEAST, key: str = "halo_id", whole: int = WHOLE, rows: int = ROWS, report: dict | None = None) -> DataFrame:
     """Each group (wrapped positions) refined on its own: the velocity linking length shrinks for what is not bound yet.
 
-    How often depends on the data, so groups of at most `whole` particles are mapped as wholes, several in a call of Python; a group's work
-    is its pairs in reach. Larger ones take the same steps side by side as DataFrames, a round for each length, until what is left
-    of them is done or small enough. Particles that end in no group, or had none, are left out. The smallest pid names a group.
+    All groups' forests are made first. The forest of a group of at most `whole` particles is then cut by one call of Python; larger ones are cut side by
+    side, a round for each length that splits any of them, until what is left is done or small enough. Whether a group is bound is settled by
+    bounds of its pair sum where they suffice. Particles that end in no group, or had none, are left out. The smallest pid names a group.
     """
+    alphas = lengths(start, end, decrement)
     p = parts.select(F.col(key).cast("long").alias("host_id"), "pid", "x", "y", "z", *SPEED, "mass").where(F.col("host_id").isNotNull())
-    none = F.lit(None).cast("double")
-    fresh = p.withColumns({"group": F.col("host_id"), "alpha": F.lit(float(start)), "ke": none, "ge": none})
-    sized = written(fresh.join(p.groupBy("host_id").agg(F.count("*").alias("n")), "host_id"))
-    at = (linking, velocity_factor, softening, factor, end, decrement, least)
-    pending, alpha = written(sized.where(F.col("n") > whole)), float(start)
-    small, done = [sized.where(F.col("n") <= whole)], []
-    while not pending.isEmpty():
-        found = written(_round(pending, alpha, linking, velocity_factor, softening, factor, least))
-        real = (F.col("ge") > 0) & F.coalesce(F.col("ke") / F.nullif("ge", F.lit(0.0)) <= 1, F.lit(False))
-        over = real if alpha >= end else F.lit(True)
-        done.append(found.where(over).select("host_id", "pid", F.col("group").alias("halo_id"), "ke", "ge", "alpha", real.alias("real")))
-        alpha = lowered(alpha, decrement)
-        left = found.where(~over).withColumn("alpha", F.lit(alpha))
-        small.append(left.where(F.col("n") <= whole))
-        pending = written(left.where(F.col("n") > whole))
-    out = _mapped(_all(small), at)
-    return out.unionByName(_all(done).withColumnRenamed("alpha", "exit_alpha")) if done else out
+    long = written(with_length(p, alphas[0], velocity_factor, "host_id"))
+    found = written(forest(long, linking, "host_id", "vl", rows, report))
+    n = written(long.groupBy("host_id").agg(F.count("*").alias("n")))
+    fresh = {"group": F.col("host_id"), "turn": F.lit(0), "tested": F.lit(False)}
+    members, edges = long.drop("vl").join(n, "host_id").withColumns(fresh), found.join(n, "host_id").withColumns(fresh)
+    small, done = [(members.where(F.col("n") <= whole).drop("n"), edges.where(F.col("n") <= whole).drop("n"))], []
+    members, edges = written(members.where(F.col("n") > whole).drop("n")), written(edges.where(F.col("n") > whole).drop("n"))
+    turns = 0
+    while not members.isEmpty():
+        turns += 1
+        new, kept = _cut(members, edges, alphas, velocity_factor, softening, factor, least, rows)
+        over = F.col("real") | (F.col("turn") == len(alphas) - 1)
+        done.append(new.where(over))
+        left = new.where(~over).withColumns({"turn": F.col("turn") + 1, "tested": F.lit(True)})
+        state = left.select("group", "turn", "n").distinct()
+        left_edges = kept.drop("turn", "tested").join(state, "group").withColumn("tested", F.lit(True))
+        small.append((left.where(F.col("n") <= whole).select(*members.columns), left_edges.where(F.col("n") <= whole).select(*edges.columns)))
+        members = written(left.where(F.col("n") > whole).select(*members.columns))
+        edges = written(left_edges.where(F.col("n") > whole).select(*edges.columns))
+    if report is not None:
+        report["turns"] = turns
+    out = _mapped(_all([s[0] for s in small]), _all([s[1] for s in small]), alphas, velocity_factor, softening, factor, least)
+    return out.unionByName(_accepted(_all(done), alphas, softening, factor, rows)) if done else out
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def _round(pending: DataFrame, alpha: float, linking: float, velocity_factor: float, softening: float, factor: float, least: int) -> DataFrame:
-    """pending after a step at alpha: rows of new groups of at least `least`, with their size and energies (the known ones if nothing left)."""
-    # Not periodic: the box only sets the width of cells, which must not be below the reach.
-    split = written(step(pending, alpha, velocity_factor, linking, 1e3 * linking, "group").withColumnRenamed("n", "before"))
-    size = split.groupBy("phase_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    kept = written(split.join(size, "phase_id").drop("group").withColumnRenamed("phase_id", "group"))
-    whole = (F.col("n") == F.col("before")) & F.col("ke").isNotNull()
-    anew = centred(kept.where(~whole).select("group", "pid", "x", "y", "z", *SPEED, "mass"), "group")
-    energy = bound(anew, softening, factor, "group").select("group", F.col("ke").alias("new_ke"), F.col("ge").alias("new_ge"))
-    out = kept.join(energy, "group", "left").withColumns({e: F.when(whole, F.col(e)).otherwise(F.col(f"new_{e}")) for e in ("ke", "ge")})
-    return out.select(*pending.columns)
-
-
-def _mapped(groups: DataFrame, at: tuple) -> DataFrame:
-    linking, velocity_factor, softening, factor, end, decrement, least = at
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
+def _cut(members: DataFrame, edges: DataFrame, alphas: list[float], velocity_factor: float, softening: float, factor: float, least: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """What each group falls apart into at its next length that splits it: members with n, turn and real, and the edges left in each."""
+    size = members.groupBy("group", "turn", "tested").agg(F.count("*").alias("before"), F.sum("mass").alias("group_mass"))
+    top = edges.groupBy("group").agg(F.max("w2").alias("top"))
+    squares = F.array(*[F.lit((a * velocity_factor) ** 2) for a in alphas])
+    vl2 = lambda turn: F.element_at(squares, turn + 1) * F.pow("group_mass", F.lit(2 / 3))
+    cuts = F.filter(F.sequence(F.col("turn"), F.lit(len(alphas) - 1)), lambda t: vl2(t) < F.coalesce("top", F.lit(-1.0)))
+    at = F.when(F.col("tested"), F.coalesce(F.get(cuts, F.lit(0)), F.lit(len(alphas) - 1))).otherwise(F.col("turn"))
+    state = size.join(top, "group", "left").withColumn("turn", at)
+    state = written(state.withColumn("vl2", vl2(F.col("turn"))).select("group", "turn", F.col("tested").alias("was_tested"), "before", "vl2"))
+    kept = written(edges.drop("turn").join(state, "group").where(F.col("w2") <= F.col("vl2")).select("host_id", "group", "turn", "tested", "a", "b", "w2"))
+    named = written(components(kept.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    split = members.drop("turn", "tested").join(named, F.col("pid") == F.col("node"), "left").withColumn("into", F.coalesce("component", "pid")).drop("node", "component")
+    count = written(split.groupBy("group", "into").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(state, "group"))
+    fit = written(split.drop("group").join(count.select("into", "n"), "into").withColumnRenamed("into", "group"))
+    known = count.where(F.col("was_tested") & (F.col("n") == F.col("before"))).select(F.col("into").alias("group"))
+    c = centred(fit.join(known, "group", "left_anti"), "group")
+    c = written(c.select("group", "pid", "x", "y", "z", *SPEED, "mass"))
+    flags = bound_flags(c, kinetic(c, "group"), softening, factor, "group", rows).select("group", "real")
+    judged = written(count.select(F.col("into").alias("group"), "turn").join(flags, "group", "left").select("group", "turn", F.coalesce("real", F.lit(False)).alias("real")))
+    new = written(fit.join(judged, "group").withColumn("tested", F.lit(True)))
+    edges_of = kept.drop("group").join(named.select(F.col("node").alias("a"), F.col("component").alias("group")), "a")
+    return new, edges_of.select("host_id", "group", "turn", "tested", "a", "b", "w2")
+
+
+def _accepted(done: DataFrame, alphas: list[float], softening: float, factor: float, rows: int) -> DataFrame:
+    c = written(centred(done.select("group", "pid", "x", "y", "z", *SPEED, "mass"), "group").select("group", "pid", "x", "y", "z", *SPEED, "mass"))
+    energy = kinetic(c, "group").join(exact_sums(packed(c, "group", rows), softening, "group"), "group", "left")
+    exits = F.element_at(F.array(*[F.lit(a) for a in alphas]), F.col("turn") + 1)
+    return done.join(written(energy), "group").select("host_id", "pid", F.col("group").alias("halo_id"), "ke", (F.coalesce("s", F.lit(0.0)) * factor).alias("ge"), exits.alias("exit_alpha"), "real")
+
+
+def _mapped(members: DataFrame, edges: DataFrame, alphas: list[float], velocity_factor: float, softening: float, factor: float, least: int) -> DataFrame:
+    def run(t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(t):
+            return pd.DataFrame(columns=[c.split()[0] for c in REFINED.split(", ")])
         t = t.sort_values("pid", kind="stable")
         pid, first = t["pid"].to_numpy(), t.iloc[0]
-        energy = None if pd.isna(first["ke"]) else (float(first["ke"]), float(first["ge"]))
-        found = refined(t[["x", "y", "z"]].to_numpy(float), t[[*SPEED]].to_numpy(float), t["mass"].to_numpy(float), linking, velocity_factor, softening, factor, float(first["alpha"]), end, decrement, least, energy)
-        rows = [pd.DataFrame({"host_id": t["host_id"].iloc[0], "pid": pid[i], "halo_id": pid[i].min(), "ke": ke, "ge": ge, "exit_alpha": alpha, "real": real}) for i, ke, ge, alpha, real in found]
+        x, v, m = t[["x", "y", "z"]].to_numpy(float), t[[*SPEED]].to_numpy(float), t["mass"].to_numpy(float)
+        ends = np.searchsorted(pid, e["a"].to_numpy()), np.searchsorted(pid, e["b"].to_numpy()), e["w2"].to_numpy(float)
+        found = refined(x, v, m, ends, alphas, velocity_factor, softening, factor, least, int(first["turn"]), bool(first["tested"]))
+        rows = []
+        for i, turn, real in found:
+            ke, ge = energies(x[i], v[i], m[i], softening, factor)
+            rows.append(pd.DataFrame({"host_id": t["host_id"].iloc[0], "pid": pid[i], "halo_id": pid[i].min(), "ke": ke, "ge": ge, "exit_alpha": alphas[turn], "real": real}))
         return pd.concat(rows) if rows else pd.DataFrame(columns=[c.split()[0] for c in REFINED.split(", ")])
 
-    return groups.groupBy("host_id", "group").applyInPandas(run, REFINED)
+    by = ["host_id", "group"]
+    return members.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(run, REFINED)

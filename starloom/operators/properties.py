@@ -5,21 +5,27 @@ Masses sum to exact numbers if they are integral. Where the order of a group's r
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.bounds import exact_sums, packed
+from starloom.operators.components import written
+from starloom.operators.numbering import running_sums
+
 SPACE, SPEED = ("x", "y", "z"), ("vx", "vy", "vz")
 #: Members up to which the pair sum of a group is a join; it is summed in blocks of rows beyond.
 PAIRS = 2_000
-ROWS = 512
 
 
-def wrapped(parts: DataFrame, box: float, key: str = "halo_id") -> DataFrame:
-    """Positions on one side of the box: a coordinate more than half a box below its group's largest moves up by the box."""
-    w = Window.partitionBy(key)
-    return parts.withColumns({a: F.when(F.max(a).over(w) - F.col(a) > box / 2, F.col(a) + box).otherwise(F.col(a)) for a in SPACE})
+def wrapped(parts: DataFrame, box: float | tuple[float, float, float], key: str = "halo_id") -> DataFrame:
+    """Positions on one side of the box: a coordinate more than half a side below its group's largest moves up by the side.
+
+    The largest ones are a written table, so that Spark can split the join of a group that holds most rows.
+    """
+    lengths = box if isinstance(box, (tuple, list)) else (box,) * 3
+    far = written(parts.groupBy(key).agg(*[F.max(a).alias(f"_far_{a}") for a in SPACE]))
+    moved = {a: F.when(F.col(f"_far_{a}") - F.col(a) > s / 2, F.col(a) + s).otherwise(F.col(a)) for a, s in zip(SPACE, lengths, strict=True)}
+    return parts.join(far, key).withColumns(moved).select(*parts.columns)
 
 
 def mass_by_type(parts: DataFrame, types: tuple[int, ...], key: str = "halo_id") -> DataFrame:
@@ -34,8 +40,8 @@ def centres(parts: DataFrame, key: str = "halo_id") -> DataFrame:
 
 
 def centred(parts: DataFrame, key: str = "halo_id") -> DataFrame:
-    """parts relative to their group's centres."""
-    c = centres(parts, key).drop("npart")
+    """parts relative to their group's centres, which are a written table for the same reason as in wrapped()."""
+    c = written(centres(parts, key).drop("npart"))
     j = parts.join(c, key)
     return j.withColumns({a: F.col(a) - F.col(f"mean_{a}") for a in (*SPACE, *SPEED)}).drop(*[f"mean_{a}" for a in (*SPACE, *SPEED)])
 
@@ -52,11 +58,14 @@ def spread_of(c: DataFrame, key: str = "halo_id") -> DataFrame:
 
 
 def by_radius(c: DataFrame, axes: tuple[str, ...] = SPACE, key: str = "halo_id") -> DataFrame:
-    """Centred rows with radius r, mass within (of rows up to this one, by radius, then pid), total mass and place in that order."""
-    order = Window.partitionBy(key).orderBy("r", "pid")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    """Centred rows with radius r, mass within (of rows up to this one, by radius, then pid), total mass and place in that order.
+
+    Sums and places run over ranges (numbering.py), so that no task holds a group.
+    """
     r = c.withColumn("r", F.sqrt(squared(axes)))
-    return r.withColumns({"within": F.sum("mass").over(running), "total": F.sum("mass").over(Window.partitionBy(key)), "place": F.row_number().over(order)})
+    placed = running_sums(r, [key], ["r", "pid"], {"within": "mass", "place": None})
+    total = written(c.groupBy(key).agg(F.sum("mass").alias("total")))
+    return placed.withColumns({"within": F.col("within") + F.col("mass"), "place": F.col("place") + 1}).join(total, key)
 
 
 def half_mass_radius(c: DataFrame, axes: tuple[str, ...] = SPACE, key: str = "halo_id", to: str = "half_mass_r") -> DataFrame:
@@ -78,8 +87,8 @@ def kinetic(c: DataFrame, key: str = "halo_id") -> DataFrame:
 def potential(c: DataFrame, softening: float, factor: float = 1.0, key: str = "halo_id", pairs: int = PAIRS) -> DataFrame:
     """Sum over pairs of the earlier row's mass / sqrt(distance^2 + softening^2), times factor.
 
-    Groups of at most `pairs` rows are joined with themselves; larger ones go through blocks of rows, a pair of blocks a task, so that
-    no task holds a whole group.
+    Groups of at most `pairs` rows are joined with themselves; larger ones go through blocks of rows (blocks.py), a pair of them at a time, so
+    that no task holds a whole group. Where only the bound test is asked for, bounds.bound_flags() does with far fewer pairs.
     """
     n = c.groupBy(key).agg(F.count("*").alias("n"))
     sized = c.select(key, "pid", *SPACE, "mass").join(n, key)
@@ -88,29 +97,10 @@ def potential(c: DataFrame, softening: float, factor: float = 1.0, key: str = "h
     b = small.select(F.col(key).alias("key_b"), F.col("pid").alias("pid_b"), *[F.col(s).alias(f"{s}_b") for s in SPACE])
     d2 = sum(((F.col(f"{s}_a") - F.col(f"{s}_b")) * (F.col(f"{s}_a") - F.col(f"{s}_b")) for s in SPACE), F.lit(softening * softening))
     joined = a.join(b, (F.col(key) == F.col("key_b")) & (F.col("pid_a") < F.col("pid_b"))).groupBy(key).agg(F.sum(F.col("mass_a") / F.sqrt(d2)).alias("s"))
-    out = joined.unionByName(_blocked(sized.where(F.col("n") > pairs), softening, key)).groupBy(key).agg(F.sum("s").alias("s"))
+    out = joined.unionByName(exact_sums(packed(sized.where(F.col("n") > pairs), key), softening, key))
     return n.join(out, key, "left").select(key, (F.coalesce("s", F.lit(0.0)) * factor).alias("ge"))
 
 
-def _blocked(large: DataFrame, softening: float, key: str) -> DataFrame:
-    blocks = F.ceil(F.col("n") / ROWS).cast("int")
-    dealt = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("one"), F.greatest(F.col("block"), o).alias("two")))
-    rows = dealt.withColumn("p", F.explode(pair)).select(key, "pid", *SPACE, "mass", "block", F.col("p")["one"].alias("one"), F.col("p")["two"].alias("two"))
-    kind = dict(rows.dtypes)[key]
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        one, two = t[t["block"] == t["one"]], t[t["block"] == t["two"]]
-        x, y = one[[*SPACE]].to_numpy(), two[[*SPACE]].to_numpy()
-        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1) + softening**2)
-        p, q = one["pid"].to_numpy()[:, None], two["pid"].to_numpy()[None]
-        earlier = np.where(p < q, one["mass"].to_numpy()[:, None], two["mass"].to_numpy()[None])
-        take = (p < q) if t["one"].iloc[0] == t["two"].iloc[0] else (p != q)
-        return pd.DataFrame({key: [t[key].iloc[0]], "s": [float((earlier / d)[take].sum())]})
-
-    return rows.groupBy(key, "one", "two").applyInPandas(run, f"{key} {kind}, s double")
-
-
 def bound(c: DataFrame, softening: float, factor: float, key: str = "halo_id") -> DataFrame:
     """(key, ke, ge, ratio, real): bound if (kinetic + 0 thermal) / potential is at most 1; null ratio without potential."""
     j = kinetic(c, key).join(potential(c, softening, factor, key), key)

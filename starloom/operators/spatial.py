@@ -12,6 +12,12 @@ from starloom.operators.components import components, written
 from starloom.operators.numbering import running_sum
 
 AXES = ("x", "y", "z")
+#: A box is given by one side or by its three sides, along x, y and z.
+Box = float | tuple[float, float, float]
+
+
+def sides(box: Box) -> tuple[float, float, float]:
+    return tuple(box) if isinstance(box, (tuple, list)) else (box,) * 3
 
 
 def cell_count(box: float, radius: float) -> int:
@@ -19,14 +25,19 @@ def cell_count(box: float, radius: float) -> int:
     return max(1, int(box / radius))
 
 
+def cell_counts(box: Box, radius: float) -> tuple[int, int, int]:
+    return tuple(cell_count(s, radius) for s in sides(box))
+
+
 def cell(axis: str, box: float, cells: int, origin: float = 0.0) -> Column:
     return F.floor((F.col(axis) - F.lit(origin)) / F.lit(box / cells)).cast("int")
 
 
-def with_cells(parts: DataFrame, box: float, cells: int) -> DataFrame:
-    """parts with cx, cy, cz and cell_id = cz + cells * (cy + cells * cx)."""
-    out = parts.withColumns({f"c{a}": cell(a, box, cells) for a in AXES})
-    return out.withColumn("cell_id", (F.col("cz") + cells * (F.col("cy") + cells * F.col("cx").cast("long"))).cast("long"))
+def with_cells(parts: DataFrame, box: Box, cells: int | tuple[int, int, int]) -> DataFrame:
+    """parts with cx, cy, cz and cell_id = cz + cells_z * (cy + cells_y * cx)."""
+    n = sides(cells)
+    out = parts.withColumns({f"c{a}": cell(a, s, k) for a, s, k in zip(AXES, sides(box), n, strict=True)})
+    return out.withColumn("cell_id", (F.col("cz") + n[2] * (F.col("cy") + n[1] * F.col("cx").cast("long"))).cast("long"))
 
 
 def cell_stripe(cells: int, ranks: int) -> Column:
@@ -34,31 +45,31 @@ def cell_stripe(cells: int, ranks: int) -> Column:
     return F.floor(F.col("cell_id") * ranks / F.lit(cells**3)).cast("int")
 
 
-def offsets(cells: int, half: bool) -> list[tuple[int, int, int]]:
+def offsets(cells: int | tuple[int, int, int], half: bool) -> list[tuple[int, int, int]]:
     """Neighbouring cells; half of them (and the cell itself) if each pair of cells shall meet once."""
     around = [o for o in product((-1, 0, 1), repeat=3)]
-    return [o for o in around if o >= (0, 0, 0)] if half and cells >= 3 else around
+    return [o for o in around if o >= (0, 0, 0)] if half and min(sides(cells)) >= 3 else around
 
 
-def ghosts(parts: DataFrame, box: float, cells: int, periodic: bool = True, half: bool = False) -> DataFrame:
+def ghosts(parts: DataFrame, box: Box, cells: int | tuple[int, int, int], periodic: bool = True, half: bool = False) -> DataFrame:
     """A copy of each particle for each cell (gx, gy, gz) around its own where it may have neighbours, with the offset."""
     moves = F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip(AXES, o, strict=True)]) for o in offsets(cells, half)])
     out = with_cells(parts, box, cells).withColumn("o", F.explode(moves))
     g = {f"g{a}": F.col(f"c{a}") + F.col("o")[f"o{a}"] for a in AXES}
     if periodic:
-        g = {k: F.pmod(v, F.lit(cells)) for k, v in g.items()}
+        g = {f"g{a}": F.pmod(g[f"g{a}"], F.lit(n)) for a, n in zip(AXES, sides(cells), strict=True)}
     out = out.withColumns(g)
     if not periodic:
-        return out.where(" AND ".join(f"g{a} BETWEEN 0 AND {cells - 1}" for a in AXES))
-    return out if cells >= 3 else out.dropDuplicates(["pid", "gx", "gy", "gz"])
+        return out.where(" AND ".join(f"g{a} BETWEEN 0 AND {n - 1}" for a, n in zip(AXES, sides(cells), strict=True)))
+    return out if min(sides(cells)) >= 3 else out.dropDuplicates(["pid", "gx", "gy", "gz"])
 
 
-def separation(a: str, b: str, box: float, periodic: bool) -> Column:
+def separation(a: str, b: str, box: Box, periodic: bool) -> Column:
     """Squared distance of rows with columns <axis>_<a> and <axis>_<b>, to the nearest image if periodic."""
     total = F.lit(0.0)
-    for axis in AXES:
+    for axis, length in zip(AXES, sides(box), strict=True):
         d = F.abs(F.col(f"{axis}_{a}") - F.col(f"{axis}_{b}"))
-        d = F.least(d, F.lit(box) - d) if periodic else d
+        d = F.least(d, F.lit(length) - d) if periodic else d
         total = total + d * d
     return total
 
@@ -67,20 +78,20 @@ def side(parts: DataFrame, s: str, keys: list[str], more: tuple[str, ...] = ())
     return parts.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("pid", *AXES, *more)])
 
 
-def near_pairs(parts: DataFrame, radius: float, box: float, periodic: bool = True, within: str | None = None, more: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+def near_pairs(parts: DataFrame, radius: float, box: Box, periodic: bool = True, within: str | None = None, more: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
     """(src, dst, d2): pairs at most `radius` apart, each once; only pairs alike in the column `within`, if given.
 
     An equi-join on cells: every pair of neighbouring cells meets once, and distances are checked inside the join. `where` may test d2
     and the columns <name>_a and <name>_b of `more`.
     """
-    cells = cell_count(box, radius)
-    half = cells >= 3
+    cells = cell_counts(box, radius)
+    half = min(cells) >= 3
     # Beyond the box every coordinate still has a cell: without periodicity, cells are not wrapped and not cut off.
     a = with_cells(parts, box, cells).withColumnsRenamed({f"c{x}": f"g{x}" for x in AXES})
     moves = F.array(*[F.struct(*[F.lit(v).alias(f"o{x}") for x, v in zip(AXES, o, strict=True)]) for o in offsets(cells, half)])
     b = with_cells(parts, box, cells).withColumn("o", F.explode(moves))
-    wrap = (lambda c: F.pmod(c, F.lit(cells))) if periodic else (lambda c: c)
-    b = b.withColumns({f"g{x}": wrap(F.col(f"c{x}") + F.col("o")[f"o{x}"]) for x in AXES})
+    wrap = (lambda c, n: F.pmod(c, F.lit(n))) if periodic else (lambda c, n: c)
+    b = b.withColumns({f"g{x}": wrap(F.col(f"c{x}") + F.col("o")[f"o{x}"], n) for x, n in zip(AXES, cells, strict=True)})
     own = (F.col("o")["ox"] == 0) & (F.col("o")["oy"] == 0) & (F.col("o")["oz"] == 0)
     b = b.withColumn("own", own if half else F.lit(True))
     keys = ["gx", "gy", "gz", *([within] if within else [])]
@@ -97,52 +108,48 @@ TRIED = 256
 OUTER = [d for d in product((-1, 0, 1), repeat=3) if sum(map(abs, d)) in (1, 3)]
 
 
-def contracts(radius: float, box: float) -> bool:
-    """Whether half of a cell is narrow enough for all particles in it to be friends: always from 7 cells an axis."""
-    cells = cell_count(box, radius)
-    return cells >= 3 and math.sqrt(3) * box / (2 * cells) <= radius * (1 - 1e-9)
-
-
-def _gaps(a: str, b: str, box: float, periodic: bool) -> tuple[Column, Column]:
+def _gaps(a: str, b: str, box: Box, periodic: bool) -> tuple[Column, Column]:
     """Least and largest squared distance that rows of the boxes <axis>_lo_<a>, <axis>_hi_<a> and those of b can have.
 
     Both are monotone in floating point: no pair of rows comes out nearer or farther than they say.
     """
     least, most = F.lit(0.0), F.lit(0.0)
-    for x in AXES:
+    for x, length in zip(AXES, sides(box), strict=True):
         ahead, behind = F.col(f"{x}_lo_{b}") - F.col(f"{x}_hi_{a}"), F.col(f"{x}_lo_{a}") - F.col(f"{x}_hi_{b}")
         near = F.greatest(F.lit(0.0), ahead, behind)
         far = F.greatest(F.col(f"{x}_hi_{b}") - F.col(f"{x}_lo_{a}"), F.col(f"{x}_hi_{a}") - F.col(f"{x}_lo_{b}"))
-        low = F.least(near, F.greatest(F.lit(0.0), F.lit(box) - far)) if periodic else near
-        high = F.least(far, F.greatest(F.abs(F.lit(box) - near), F.abs(F.lit(box) - far))) if periodic else far
+        low = F.least(near, F.greatest(F.lit(0.0), F.lit(length) - far)) if periodic else near
+        high = F.least(far, F.greatest(F.abs(F.lit(length) - near), F.abs(F.lit(length) - far))) if periodic else far
         least, most = least + low * low, most + high * high
     return least, most
 
 
-def _apart(p: Column, q: Column, box: float, periodic: bool) -> Column:
+def _apart(p: Column, q: Column, box: Box, periodic: bool) -> Column:
     total = F.lit(0.0)
-    for x in AXES:
+    for x, length in zip(AXES, sides(box), strict=True):
         d = F.abs(p[x] - q[x])
-        d = F.least(d, F.lit(box) - d) if periodic else d
+        d = F.least(d, F.lit(length) - d) if periodic else d
         total = total + d * d
     return total
 
 
-def friend_edges(parts: DataFrame, radius: float, box: float, periodic: bool = True, within: str | None = None, tried: int = TRIED) -> DataFrame:
+def friend_edges(parts: DataFrame, radius: float, box: Box, periodic: bool = True, within: str | None = None, tried: int = TRIED) -> DataFrame:
     """(src, dst): edges with the components of near_pairs(), about as many as particles however dense a cell is.
 
-    Cells of half the width of near_pairs()' are narrower than radius / sqrt(3), so all particles of one are friends: each is linked to
-    the cell's smallest pid, and two cells need one edge at most. Pairs of cells (at most 111 a cell) are settled by their
+    Cells of half the width of near_pairs()' (a third or fourth where the box is only a few radii wide) are narrower than radius / sqrt(3), so all
+    particles of one are friends: each is linked to the cell's smallest pid, and two cells need one edge at most. Pairs of cells (mostly at most 111 a cell) are settled by their
     bounding boxes where these are near or far enough, then, if they hold many rows, by their outermost points in 14 directions. What is
     left is joined row by row, with only those rows of a cell that lie within the radius of the other's box. Rows with a null, NaN or
     infinite coordinate have no friends.
     """
-    if not contracts(radius, box):
-        return near_pairs(parts, radius, box, periodic, within).select("src", "dst")
-    cells, r2, more = cell_count(box, radius), radius * radius, [within] if within else []
+    cells, r2, more = cell_counts(box, radius), radius * radius, [within] if within else []
+    parted = 2
+    while math.sqrt(sum((s / (parted * n)) ** 2 for s, n in zip(sides(box), cells, strict=True))) > radius * (1 - 1e-9):
+        parted += 1
+    half = min(cells) >= 3
     wrap = (lambda c, n: F.pmod(c, F.lit(n))) if periodic else (lambda c, n: c)
     finite = " AND ".join(f"abs({a}) < double('infinity')" for a in AXES)
-    p = parts.select("pid", *AXES, *more).where(finite).withColumns({f"f{a}": wrap(F.floor(F.col(a) / F.lit(box / (2 * cells))), 2 * cells) for a in AXES})
+    p = parts.select("pid", *AXES, *more).where(finite).withColumns({f"f{a}": wrap(F.floor(F.col(a) / F.lit(s / (parted * n))), parted * n) for a, s, n in zip(AXES, sides(box), cells, strict=True)})
     if within:
         p = p.where(F.col(within).isNotNull())
     fine = [*more, "fx", "fy", "fz"]
@@ -152,16 +159,19 @@ def friend_edges(parts: DataFrame, radius: float, box: float, periodic: bool = T
     rep = written(p.groupBy(*fine).agg(F.min("pid").alias("rep"), F.count("*").alias("n"), outer.alias("outer"), *boxes))
     members = p.join(rep.where("n > 1").select(*fine, "rep"), fine).where("pid <> rep").select(F.col("pid").alias("src"), F.col("rep").alias("dst"))
 
-    wide = rep.withColumns({f"g{a}": F.floor(F.col(f"f{a}") / 2) for a in AXES})
+    wide = rep.withColumns({f"g{a}": F.floor(F.col(f"f{a}") / parted) for a in AXES})
     moves = F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip(AXES, o, strict=True)]) for o in offsets(cells, True)])
     moved = wide.withColumn("o", F.explode(moves))
     moved = moved.withColumn("own", (F.col("o")["ox"] == 0) & (F.col("o")["oy"] == 0) & (F.col("o")["oz"] == 0))
-    moved = moved.withColumns({f"g{a}": wrap(F.col(f"g{a}") + F.col("o")[f"o{a}"], cells) for a in AXES}).drop("o")
+    moved = moved.withColumns({f"g{a}": wrap(F.col(f"g{a}") + F.col("o")[f"o{a}"], n) for a, n in zip(AXES, cells, strict=True)}).drop("o")
+    if not half:  # all neighbours, some of them more than once
+        moved = moved.withColumn("own", F.lit(True))
     keys = [*more, "gx", "gy", "gz"]
     held = ["rep", "n", "outer", "fx", "fy", "fz", *[f"{a}_{n}" for a in AXES for n in ("lo", "hi")]]
     named = [d.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in held], *rest) for d, s, rest in ((wide, "a", []), (moved, "b", ["own"]))]
     least, most = _gaps("a", "b", box, periodic)
     pairs = named[0].join(named[1], keys).where((~F.col("own") | (F.col("rep_a") < F.col("rep_b"))) & (least <= r2)).withColumn("most", most)
+    pairs = pairs if half else pairs.dropDuplicates(["rep_a", "rep_b"])
     tries = F.exists("outer_a", lambda u: F.exists("outer_b", lambda v: _apart(u, v, box, periodic) <= r2))
     sure = (F.col("n_a") * F.col("n_b") == 1) | (F.col("most") <= r2) | F.when(F.col("n_a") * F.col("n_b") > tried, tries).otherwise(False)
     settled = written(pairs.withColumn("sure", sure).drop("outer_a", "outer_b", "own", "most", *keys[len(more) :]))
@@ -178,7 +188,7 @@ def friend_edges(parts: DataFrame, radius: float, box: float, periodic: bool = T
     return members.unionByName(across.select(F.least("rep_a", "rep_b").alias("src"), F.greatest("rep_a", "rep_b").alias("dst")))
 
 
-def friends(parts: DataFrame, radius: float, box: float, periodic: bool = True, within: str | None = None) -> DataFrame:
+def friends(parts: DataFrame, radius: float, box: Box, periodic: bool = True, within: str | None = None) -> DataFrame:
     """parts with halo_id: the smallest pid of the friends-of-friends group, null for particles alone."""
     c = components(friend_edges(parts, radius, box, periodic, within))
     return parts.join(c.withColumnsRenamed({"node": "pid", "component": "halo_id"}), "pid", "left")
@@ -190,9 +200,9 @@ def at_least(grouped: DataFrame, n: int, key: str = "halo_id") -> DataFrame:
     return grouped.join(size, key, "left_semi")
 
 
-def nearest_other(parts: DataFrame, others: DataFrame, radius: float, box: float, periodic: bool = True) -> DataFrame:
+def nearest_other(parts: DataFrame, others: DataFrame, radius: float, box: Box, periodic: bool = True) -> DataFrame:
     """(pid, other_pid, d2): the nearest of others closer than radius; ties to the smaller pid."""
-    cells = cell_count(box, radius)
+    cells = cell_counts(box, radius)
     a = ghosts(parts, box, cells, periodic)
     b = with_cells(others, box, cells).withColumnsRenamed({f"c{x}": f"g{x}" for x in AXES})
     keys = ["gx", "gy", "gz"]
@@ -201,7 +211,7 @@ def nearest_other(parts: DataFrame, others: DataFrame, radius: float, box: float
     return best.select(F.col("pid_a").alias("pid"), F.col("m")["pid_b"].alias("other_pid"), F.col("m")["d2"].alias("d2"))
 
 
-def joint_groups(one: DataFrame, two: DataFrame, radius_one: float, radius_two: float, box: float, periodic: bool = True) -> DataFrame:
+def joint_groups(one: DataFrame, two: DataFrame, radius_one: float, radius_two: float, box: Box, periodic: bool = True) -> DataFrame:
     """(pid, halo_id) over two species: groups of each, joined where a grouped particle's nearest of the other species is close.
 
     halo_id is the smallest pid of the joint group.

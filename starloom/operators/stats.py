@@ -45,6 +45,42 @@ def mass_function(groups: DataFrame, mass: Column, volume: float, edges: Sequenc
     return histogram(groups, mass, e).withColumn("density", F.col("n") / (F.lit(volume) * F.get(width, F.col("bin"))))
 
 
+def trimmed_mass_function(groups: DataFrame, mass: Column, volume: float, keys: Sequence[str], edges: Sequence[float] | None = None) -> DataFrame:
+    """mass_function() for each value of keys (species, level of hosts or subgroups): empty bins inside a range are there, those at its ends not."""
+    e = list(edges or logspace(8, 15, 50))
+    width = F.array(*[F.lit(b - a) for a, b in zip(e[:-1], e[1:], strict=True)])
+    found = histogram(groups, mass, e, *keys)
+    span = found.groupBy(*keys).agg(F.explode(F.sequence(F.min("bin"), F.max("bin"))).alias("bin"))
+    every = span.join(found, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return every.withColumn("density", F.col("n") / (F.lit(volume) * F.get(width, F.col("bin"))))
+
+
+def equal_bins(rows: DataFrame, value: str, bins: int | None = None) -> DataFrame:
+    """(bin, low, high, n) of bins of one width between the least and largest value, the last one closed; as many as the largest value by default.
+
+    Nulls are left out; where all values are one, that is the only bin.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    lo, hi = v.agg(F.min("v"), F.max("v")).first()
+    if lo is None:
+        return v.select(F.lit(0).cast("long").alias("bin"), F.col("v").alias("low"), F.col("v").alias("high"), F.lit(0).cast("long").alias("n"))
+    k = max(1, bins or int(hi))
+    place = F.least(F.floor((F.col("v") - lo) * k / (hi - lo)), F.lit(k - 1)) if hi > lo else F.lit(0)
+    edge = lambda i: F.lit(lo) + i * F.lit(hi - lo) / k
+    n = v.groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return n.select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), "n")
+
+
+def hexagons(rows: DataFrame, x: Column, y: Column, size: tuple[float, float]) -> DataFrame:
+    """(x, y, n): rows by hexagon, named by its centre: the nearer centre of two lattices of these sides, one offset by half of both."""
+    u, v = x / F.lit(size[0]), y / F.lit(size[1])
+    at = rows.select(u.alias("u"), v.alias("v")).withColumns({"u1": F.floor(F.col("u") + 0.5), "v1": F.floor(F.col("v") + 0.5), "u2": F.floor("u") + 0.5, "v2": F.floor("v") + 0.5})
+    away = lambda k: F.pow(F.col("u") - F.col(f"u{k}"), F.lit(2)) + 3 * F.pow(F.col("v") - F.col(f"v{k}"), F.lit(2))
+    first = away(1) < away(2)
+    centre = [(F.when(first, F.col(f"{c}1").cast("double")).otherwise(F.col(f"{c}2")) * F.lit(s)).alias(n) for c, s, n in (("u", size[0], "x"), ("v", size[1], "y"))]
+    return at.where("u IS NOT NULL AND v IS NOT NULL").groupBy(*centre).agg(F.count("*").alias("n"))
+
+
 def value_counts(rows: DataFrame, column: str, to: str = "n_halos") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias(to))
 
@@ -87,11 +123,6 @@ def nested_times(rows: DataFrame) -> DataFrame:
     return own.groupBy("rank", "task").agg(F.sum("own").alias("seconds"))
 
 
-def heading(text: str, width: int = 80, fill: str = "=") -> str:
-    """A line of console text with the words in its middle."""
-    return f" {text} ".center(width, fill) if text else fill * width
-
-
 def task_table(rows: DataFrame) -> DataFrame:
     """(rank, task, seconds, share) of rows (rank, task, began, ended)."""
     s = rows.groupBy("rank", "task").agg(F.sum(F.col("ended") - F.col("began")).alias("seconds"))

@@ -258,7 +258,7 @@ def progenitor_tree(spark, sf_dir):
 @query(WR + PAIRED + TREE + " SELECT n_trees, count(*) n_halos FROM (SELECT count(*) n_trees FROM tree GROUP BY snap_ord, halo_id) GROUP BY ALL")
 def tree_appearances(spark, sf_dir):
     _, g, p, _ = linked(spark, sf_dir, kept=True)
-    return graph.appearances(graph.trees(g, p))
+    return graph.appearances(g, p)
 
 
 SPAN = graph.SPAN
@@ -643,7 +643,7 @@ DV2 = "((a.vx-b.vx)*(a.vx-b.vx) + (a.vy-b.vy)*(a.vy-b.vy) + (a.vz-b.vz)*(a.vz-b.
 
 @query(WR + GROUPED + ", mm AS (SELECT m.*, gm FROM m JOIN mean USING (halo_id)), " + friends_sql("ph", "mm", f"a.halo_id = b.halo_id AND 4 * {D2} / ({RADIUS} * {RADIUS}) + {DV2} / {VL2} <= 2") + " SELECT m.halo_id, pid, coalesce(ph.halo_id, pid) phase_id FROM m LEFT JOIN ph ON node = pid")
 def phase_space_step(spark, sf_dir):
-    return phase.step(grouped(spark, sf_dir), ALPHA, VFACTOR, RADIUS, BOX).select("halo_id", "pid", "phase_id")
+    return phase.step(grouped(spark, sf_dir), ALPHA, VFACTOR, RADIUS).select("halo_id", "pid", "phase_id")
 
 
 @query()
@@ -725,6 +725,36 @@ def virial_ratio_hist(spark, sf_dir):
     return stats.histogram(properties.bound(c, SOFT, FACTOR).join(n, "halo_id"), F.col("ratio"), [0.0, 0.5, 1.0, 2.0, 4.0], "size_bin")
 
 
+LATTICE = (1.0, 0.25)
+
+
+@query(WR + ENERGY + f""", v AS (SELECT log10(npart) / {LATTICE[0]} x, log10(ke / ge) / {LATTICE[1]} y FROM ke JOIN ge USING (halo_id) WHERE ke > 0 AND ge > 0),
+l AS (SELECT x, y, floor(x + 0.5) x1, floor(y + 0.5) y1, floor(x) x2, floor(y) y2 FROM v),
+h AS (SELECT *, pow(x - x1, 2) + 3 * pow(y - y1, 2) < pow(x - x2 - 0.5, 2) + 3 * pow(y - y2 - 0.5, 2) even FROM l)
+SELECT {s6(f"CASE WHEN even THEN x1 ELSE x2 + 0.5 END * {LATTICE[0]}")} log_npart, {s6(f"CASE WHEN even THEN y1 ELSE y2 + 0.5 END * {LATTICE[1]}")} log_ratio, count(*) n FROM h GROUP BY ALL""")
+def virial_ratio_hexagons(spark, sf_dir):
+    c = properties.centred(grouped(spark, sf_dir))
+    e = properties.bound(c, SOFT, FACTOR).where("ke > 0 AND ge > 0").join(c.groupBy("halo_id").agg(F.count("*").alias("npart")), "halo_id")
+    return rounded(stats.hexagons(e, F.log10("npart"), F.log10("ratio"), LATTICE).withColumnsRenamed({"x": "log_npart", "y": "log_ratio"}), "log_npart", "log_ratio")
+
+
+@query(W + PAIRED + COUNTED + """, b AS (SELECT min(n_progs) lo, max(n_progs) hi FROM cnt WHERE n_progs IS NOT NULL), k AS (SELECT CAST(least(floor((n_progs - lo) * hi / (hi - lo)), hi - 1) AS BIGINT) bin, lo, hi FROM cnt, b WHERE n_progs IS NOT NULL)
+SELECT bin, """ + s6("lo + bin * (hi - lo) / hi") + " low, " + s6("lo + (bin + 1) * (hi - lo) / hi") + " high, count(*) n FROM k GROUP BY ALL")
+def progenitor_bins(spark, sf_dir):
+    """As many bins of one width between the smallest and largest number of progenitors as that largest number."""
+    _, g, p, d = linked(spark, sf_dir)
+    return rounded(stats.equal_bins(links.link_counts(g, p, d), "n_progs"), "low", "high")
+
+
+@query(W + MEMBERS + ", sp AS (SELECT part_type, sum(mass) mass FROM mem GROUP BY snap_ord, halo_id, part_type), b AS (SELECT CAST(part_type AS INTEGER) part_type, " + bin_sql("mass", MASS_EDGES) + f""" bin FROM sp),
+n AS (SELECT part_type, bin, count(*) n FROM b WHERE bin IS NOT NULL GROUP BY ALL), r AS (SELECT part_type, min(bin) lo, max(bin) hi FROM n GROUP BY part_type), w AS (SELECT unnest({[b - a for a, b in zip(MASS_EDGES[:-1], MASS_EDGES[1:], strict=True)]}) width, unnest(range(0, {len(MASS_EDGES) - 1})) bin)
+SELECT r.part_type, CAST(w.bin AS INTEGER) bin, CAST(coalesce(n, 0) AS BIGINT) n, """ + s6("coalesce(n, 0) / (2.0 * width)") + " density FROM r JOIN w ON w.bin BETWEEN lo AND hi LEFT JOIN n ON n.part_type = r.part_type AND n.bin = w.bin")
+def mass_function_by_species(spark, sf_dir):
+    """Empty bins within a species' range count, those at its ends are cut off."""
+    m = members(spark, sf_dir).groupBy("snap_ord", "halo_id", "part_type").agg(F.sum("mass").alias("mass"))
+    return rounded(stats.trimmed_mass_function(m, F.col("mass"), 2.0, ["part_type"], MASS_EDGES), "density")
+
+
 @query(W + MEMBERS + ", a AS (SELECT 0.8 + ((snap_ord * 7 + halo_id * 37) % 93) / 10.0 v FROM grp), b AS (SELECT " + bin_sql("CAST(v AS DOUBLE)", ALPHA_EDGES) + " bin FROM a) SELECT bin, count(*) n FROM b WHERE bin IS NOT NULL GROUP BY bin")
 def exit_alpha_hist(spark, sf_dir):
     g = links.halos(members(spark, sf_dir))

@@ -7,8 +7,9 @@ import random
 import numpy as np
 import pytest
 
-from starloom.operators import phase, properties, spatial
+from starloom.operators import bounds, phase, properties, spatial
 from starloom.operators.components import components, connected_components
+from starloom.operators.forest import forest
 from starloom.sources import sinks, tables
 
 COLUMNS = "pid long, x double, y double, z double, vx double, vy double, vz double, mass double, part_type int"
@@ -37,7 +38,7 @@ def distance2(a, b, box, periodic):
     total = 0.0
     for i in range(1, 4):
         d = abs(a[i] - b[i])
-        total += min(d, box - d) ** 2 if periodic else d * d
+        total += min(d, spatial.sides(box)[i - 1] - d) ** 2 if periodic else d * d
     return total
 
 
@@ -47,9 +48,12 @@ def brute(rows, radius, box, periodic):
     return {n: g for n, g in partition(pairs, linked).items()}
 
 
-@pytest.mark.parametrize("radius,box,periodic", [(0.09, 1.0, True), (0.09, 1.0, False), (0.4, 1.0, True), (0.7, 1.0, True)])
+SIDES = (1.0, 0.35, 2.5)
+
+
+@pytest.mark.parametrize("radius,box,periodic", [(0.09, 1.0, True), (0.09, 1.0, False), (0.4, 1.0, True), (0.17, 1.0, True), (0.7, 1.0, True), (0.3, 1.0, False), (0.09, SIDES, True), (0.09, SIDES, False), (0.2, SIDES, True)])
 def test_friends(spark, radius, box, periodic):
-    rows = cloud(150, 1)
+    rows = [(r[0], *(c * s for c, s in zip(r[1:4], spatial.sides(box), strict=True)), *r[4:]) for r in cloud(150, 1)]
     got = {r.pid: r.halo_id for r in spatial.friends(spark.createDataFrame(rows, COLUMNS), radius, box, periodic).collect()}
     want = brute(rows, radius, box, periodic)
     assert got == {r[0]: want.get(r[0]) for r in rows}
@@ -62,7 +66,6 @@ def test_contracted_cells_have_the_components_of_all_pairs(spark, periodic, trie
     dense = [(1000 + i, *map(float, c + rng.normal(0, 0.02, 3)), 0.0, 0.0, 0.0, 1.0, 1) for i, c in enumerate(np.repeat(rng.random((4, 3)) * 0.8 + 0.1, 50, 0))]
     rows = cloud(250, 8) + dense + [at(2001, 0.0), at(2002, 1.0), at(2003, 0.999), at(2004, float("nan")), at(2005, float("inf")), at(2006, None)]
     radius = 0.06
-    assert spatial.contracts(radius, 1.0)
     df = spark.createDataFrame(rows, COLUMNS)
     finite = [r for r in rows if r[0] < 2004]
     edges = {(r.src, r.dst) for r in spatial.friend_edges(df, radius, 1.0, periodic, tried=tried).collect()}
@@ -83,6 +86,24 @@ def at(pid, x, y=0.5, z=0.5, v=0.0, m=1.0):
     return (pid, x, y, z, v, 0.0, 0.0, m, 1)
 
 
+def test_zoom_box(spark):
+    """Friends in the cube around a far-off region, whose side comes from zoom_region()."""
+    rows = [(r[0], r[1] * 0.2 + 70.0, r[2] * 0.1 - 3.0, r[3] * 0.3 + 12.0, *r[4:]) for r in cloud(120, 14)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    side = spatial.zoom_region(df, 8).first()["side"]
+    got = {r.pid: r.halo_id for r in spatial.friends(df, 0.02, side, False).where("halo_id IS NOT NULL").collect()}
+    assert got == brute(rows, 0.02, side, False) and len(set(got.values())) > 3
+
+
+@pytest.mark.parametrize("box,periodic", [(1.0, True), (SIDES, True), (SIDES, False)])
+def test_nearest_other(spark, box, periodic):
+    rows = [(r[0], *(c * s for c, s in zip(r[1:4], spatial.sides(box), strict=True)), *r[4:]) for r in cloud(160, 15)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = {r.pid: r.other_pid for r in spatial.nearest_other(df.where("pid < 80"), df.where("pid >= 80"), 0.12, box, periodic).collect()}
+    want = {a[0]: min((distance2(a, b, box, periodic), b[0]) for b in rows[80:]) for a in rows[:80]}
+    assert got == {a: b for a, (d, b) in want.items() if d < 0.12**2} and len(got) > 20
+
+
 def test_boundaries(spark):
     exact = spark.createDataFrame([at(1, 0.25), at(2, 0.5)], COLUMNS)
     assert {r.halo_id for r in spatial.friends(exact, 0.25, 1.0, False).collect()} == {1}
@@ -175,23 +196,88 @@ def test_refinement(spark, seed, factor):
     assert {(frozenset(m), real) for m, real in groups.values()} == plain_refine(rows, *args)
 
 
-@pytest.mark.parametrize("whole", [0, 30])
-def test_refinement_in_rounds(spark, whole):
-    rows = cloud(45, 5, 0.2, 0.2) + [(100 + i, *[x + 0.02 for x in r[1:4]], r[4] + 3.0, *r[5:]) for i, r in enumerate(cloud(25, 55, 0.1, 0.05))]
+@pytest.mark.parametrize("whole,rows", [(0, 8), (30, 512)])
+def test_refinement_in_rounds(spark, whole, rows):
+    """Groups cut in distributed rounds, with forests of many blocks and of one, give what one call of Python gives."""
+    rows_ = cloud(45, 5, 0.2, 0.2) + [(100 + i, *[x + 0.02 for x in r[1:4]], r[4] + 3.0, *r[5:]) for i, r in enumerate(cloud(25, 55, 0.1, 0.05))]
     args = (0.25, 0.05, 0.01, 3e-3, 10.0, 0.8, 0.4, 5)
-    parts = spark.createDataFrame(rows, COLUMNS).selectExpr("7L AS halo_id", "*")
-    got, mapped = (phase.refine(parts, *args, whole=n).collect() for n in (whole, 1000))
+    parts = spark.createDataFrame(rows_, COLUMNS).selectExpr("7L AS halo_id", "*")
+    report = {}
+    got = phase.refine(parts, *args, whole=whole, rows=rows, report=report).collect()
+    mapped = phase.refine(parts, *args, whole=1000).collect()
     groups = {}
     for r in got:
         groups.setdefault(r.halo_id, (set(), r.real))[0].add(r.pid)
-    assert {(frozenset(m), real) for m, real in groups.values()} == plain_refine(rows, *args)
+    assert {(frozenset(m), real) for m, real in groups.values()} == plain_refine(rows_, *args)
     exact = lambda rs: {r.pid: (r.host_id, r.halo_id, r.real, round(r.ke, 9), round(r.ge, 9), round(r.exit_alpha, 9)) for r in rs}
-    assert exact(got) == exact(mapped)
+    assert exact(got) == exact(mapped) and report["turns"] > 0
+
+
+def plain_forest(rows, linking, most2=math.inf):
+    """Kruskal's edges (a, b) among the rows of one group."""
+    edges = []
+    for a, b in itertools.combinations(sorted(rows), 2):
+        room = 2 - 4 * distance2(a, b, 1, False) / linking**2
+        dv2 = sum((a[i] - b[i]) ** 2 for i in (4, 5, 6))
+        if room > 0 and dv2 / room <= most2:
+            edges.append((dv2 / room, a[0], b[0]))
+    up, out = {r[0]: r[0] for r in rows}, []
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for w2, a, b in sorted(edges):
+        x, y = top(a), top(b)
+        if x != y:
+            up[x] = y
+            out.append((a, b, w2))
+    return out
+
+
+@pytest.mark.parametrize("rows", [512, 16, 3])
+def test_forest_is_the_minimum_one(spark, rows):
+    """In one block and in many; with equal weights, and a bound on weights for one of the groups."""
+    one = cloud(80, 21, 0.5, 0.2) + [(200 + i, *r[1:4], 0.5, 0.25, 0.125, *r[7:]) for i, r in enumerate(cloud(30, 22, 0.5))]
+    two = [(1000 + r[0], *r[1:]) for r in cloud(60, 23, 0.5, 0.2)]
+    df = spark.createDataFrame([(7, 10.0, *r) for r in one] + [(8, 0.6, *r) for r in two] + [(None, 1.0, *two[0])], "halo_id long, most double, " + COLUMNS)
+    report = {}
+    got = {(r.halo_id, r.a, r.b, round(r.w2, 9)) for r in forest(df, 0.3, most="most", rows=rows, report=report).collect()}
+    want = {(7, a, b, round(w, 9)) for a, b, w in plain_forest(one, 0.3, 100.0)} | {(8, a, b, round(w, 9)) for a, b, w in plain_forest(two, 0.3, 0.36)}
+    assert got == want
+    assert rows > 110 or report["rounds"] <= 7  # at least half of the components go in each
+
+
+def test_bounds_hold_and_settle_the_test(spark):
+    rng = np.random.default_rng(3)
+    for n, equal in ((2, True), (40, False), (700, True), (700, False)):
+        x, m = rng.normal(0, 1, (n, 3)), np.ones(n) if equal else rng.integers(1, 4, n).astype(float)
+        total = bounds.summed(x, m, 0.01)
+        for close in (20.0, 4.0, 1.5):
+            low, high, tested = bounds.interval(x, m, 0.01, close)
+            assert low <= total <= high and tested <= n * n
+        for ratio in (0.2, 0.999999, 1.000001, 5.0):
+            assert bounds.is_bound(x, m, ratio * total, 0.01, 1.0)[0] == (ratio < 1)
+    assert bounds.is_bound(x, m, 5 * total, 0.01, 1.0)[1] < n * n / 2
+    assert bounds.is_bound(x[:1], m[:1], 0.0, 0.01, 1.0) == (False, 0)
+
+
+@pytest.mark.parametrize("rows", [512, 16])
+def test_bound_flags_are_those_of_exact_sums(spark, rows):
+    groups = [(g, *r[:4], *(s * (0.02 + 0.09 * g) for s in r[4:7]), *r[7:]) for g in range(8) for r in ((1000 * g + q[0], *q[1:]) for q in cloud(2 + 25 * g, g, 0.5))]
+    c = properties.centred(spark.createDataFrame(groups, "halo_id long, " + COLUMNS)).persist()
+    want = {r.halo_id: r for r in properties.bound(c, 0.01, 4e-4).collect()}
+    got = bounds.bound_flags(c, properties.kinetic(c), 0.01, 4e-4, rows=rows).collect()
+    assert {r.halo_id: r.real for r in got} == {k: r.real for k, r in want.items()} and len({r.real for r in got}) == 2
+    for r in got:
+        assert r.ge_low <= want[r.halo_id].ge * (1 + 1e-9) and want[r.halo_id].ge <= r.ge_high * (1 + 1e-9)
+    c.unpersist()
 
 
 def test_step_splits_clumps_of_different_velocity(spark):
     rows = [at(i, 0.5 + 0.001 * i) for i in range(5)] + [at(10 + i, 0.5 + 0.001 * i, v=100.0) for i in range(5)]
-    got = phase.step(spark.createDataFrame(rows, COLUMNS).selectExpr("1L AS halo_id", "*"), 1.0, 1.0, 0.1, 1.0).collect()
+    got = phase.step(spark.createDataFrame(rows, COLUMNS).selectExpr("1L AS halo_id", "*"), 1.0, 1.0, 0.1).collect()
     assert {r.pid: r.phase_id for r in got} == {i: 0 for i in range(5)} | {10 + i: 10 for i in range(5)}
 
 
