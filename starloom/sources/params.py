@@ -25,6 +25,7 @@ class Params:
     simulation: dict = field(default_factory=dict)
 
 
+# The sections, keys and defaults of the parameter file.
 DEFAULTS = {
     "inputs": {},
     "flags": {"DMO": 1, "find_subs": 0, "clean_real_flags": 0, "graphdirect": 0, "subgraphdirect": 0, "graph": 0, "subgraph": 0, "debug_mode": 0, "verbose": 1, "profile": 0},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators.components import written
 from starloom.operators.numbering import running_sum
+from starloom.sources.publish import publish
 
 #: Written where there is nothing to point at, and for particles in no group.
 NO_DATA = 1 << 30
@@ -60,14 +61,17 @@ def levels(hosts: DataFrame, subs: DataFrame) -> DataFrame:
 
 
 def catalogue_lists(hosts: DataFrame, subs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a catalogue file holds: groups of both levels with where their members begin, and the members' list (level, halo_id, pid, place)."""
-    members = hosts.select(F.lit(0).alias("level"), "halo_id", "pid").unionByName(subs.select(F.lit(1).alias("level"), "halo_id", "pid"))
+    """What a catalogue file holds: groups of both levels with where their members begin, and the members' list (level, halo_id, pid, place),
+    with the members' species and masses where both tables have them.
+    """
+    more = [c for c in ("part_type", "mass") if c in hosts.columns and c in subs.columns]
+    members = hosts.select(F.lit(0).alias("level"), "halo_id", "pid", *more).unionByName(subs.select(F.lit(1).alias("level"), "halo_id", "pid", *more))
     groups = levels(hosts, subs).join(ragged(members, "level"), ["level", "halo_id"])
     return groups, member_list(members, "level")
 
 
-def write_catalogue(spark: SparkSession, path: str, snap_ord: int, particles: DataFrame, hosts: DataFrame, subs: DataFrame, properties: DataFrame | None = None) -> None:
-    """One snapshot of a catalogue: tables halos, members and particle_map under path, other snapshots left as they are.
+def write_catalogue(spark: SparkSession, path: str, snap_ord: int, particles: DataFrame, hosts: DataFrame, subs: DataFrame, properties: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> int:
+    """One snapshot of a catalogue in one step (publish.py): tables halos, members and particle_map, and `more`; others are left as they are.
 
     properties(level, halo_id, ...), if given, are columns of halos.
     """
@@ -76,8 +80,7 @@ def write_catalogue(spark: SparkSession, path: str, snap_ord: int, particles: Da
     groups = groups if properties is None else groups.join(properties, ["level", "halo_id"], "left")
     where = subs.select("pid", F.col("halo_id").alias("sub_id"))
     in_map = particle_map(particles, hosts).join(where, "pid", "left").withColumn("sub_id", F.coalesce("sub_id", F.lit(NO_GROUP)))
-    for name, table in {"halos": groups, "members": members, "particle_map": in_map}.items():
-        write_snapshots(table.withColumn("snap_ord", F.lit(snap_ord)), f"{path}/{name}")
+    return publish(spark, path, {"halos": groups, "members": members, "particle_map": in_map} | (more or {}), snap_ord)
 
 
 def cleaned_export(groups: DataFrame, prog: DataFrame, desc: DataFrame) -> DataFrame:

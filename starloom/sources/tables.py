@@ -56,7 +56,7 @@ def physical(particles: DataFrame, wanted: DataFrame, factors: dict[str, float])
     return subset(particles.select("pid", *[in_units(c, f).alias(c) for c, f in factors.items()]), wanted, *factors)
 
 
-def gathered(members: DataFrame, particles: DataFrame, hubble: float, box: float) -> DataFrame:
+def gathered(members: DataFrame, particles: DataFrame, hubble: float, box: float | tuple[float, float, float]) -> DataFrame:
     """(halo_id, pid, x .. vz, mass, part_type) of the particles of many groups, over all species, velocities with the expansion's part."""
     j = members.select("halo_id", "pid").join(particles, "pid")
     return with_flow(j, hubble, box).select("halo_id", "pid", "x", "y", "z", "vx", "vy", "vz", "mass", "part_type")
@@ -73,9 +73,10 @@ def linked(lists: DataFrame, links: str = "links", start: str = "start_index", c
     return lists.withColumn("own", F.when(F.col(count) > 0, F.slice(links, F.col(start).cast("int") + 1, F.col(count).cast("int"))))
 
 
-def with_flow(particles: DataFrame, hubble: float, box: float) -> DataFrame:
-    """Velocities with the expansion's part: v + H (x - L / 2)."""
-    return particles.withColumns({f"v{a}": F.col(f"v{a}") + F.lit(hubble) * (F.col(a) - F.lit(box / 2)) for a in "xyz"})
+def with_flow(particles: DataFrame, hubble: float, box: float | tuple[float, float, float]) -> DataFrame:
+    """Velocities with the expansion's part: v + H (x - L / 2), L being the box's side along each axis."""
+    sides = box if isinstance(box, (tuple, list)) else (box,) * 3
+    return particles.withColumns({f"v{a}": F.col(f"v{a}") + F.lit(hubble) * (F.col(a) - F.lit(s / 2)) for a, s in zip("xyz", sides, strict=True)})
 
 
 def in_units(column: str, factor: float) -> Column:
