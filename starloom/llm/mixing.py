@@ -11,8 +11,9 @@ still in reach isn't dealt by lot.
 
 Defined results: a null text has no words; a document without words is taken 0 words, whatever its copies. Documents without a
 source form a source of their own, the last; a null doc_id is an id as any other. Texts count whole, of any length. Documents of
-one length are in the order of their hashes. Rows alike in doc_id, source and text are taken alike. Reruns agree: blocks, order
-and random numbers come from hashes of the rows. An empty table gives an empty result. mix() keeps the
+one length are in the order of their hashes. Rows alike in doc_id, source and text are counted: as many of them as their share says are taken
+once more, the first by the hash of the row, and only what is left of the share is dealt by lot. Long documents fly along the words alone, so that
+the number of documents taken is balanced only among the others. Reruns agree: blocks, order and random numbers come from hashes of the rows. An empty table gives an empty result. mix() keeps the
 columns of the input.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.common import WORD_JAVA, written
+from starloom.operators.numbering import running_sum
 
 #: Documents of a block, about.
 BLOCK = 4096
@@ -188,25 +190,44 @@ def small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= SMALL else table
 
 
-def plan(base: DataFrame, weights: Sequence[float], most: float, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """For base(doc_id, source, size, h): copies of each unit (doc_id, h, source, copies) and the sources' table.
+def plan(base: DataFrame, weights: Sequence[float], most: float, seed: int, block: int) -> DataFrame:
+    """For base(doc_id, source, size, h): (doc_id, h, source, source_size, target, whole, rows, extra) of each unit, the rows alike in doc_id, h and
+    source: each of its rows is taken `whole` times, and `extra` of them once more.
 
     The driver holds one row for each source, not for each document.
     """
     spark = base.sparkSession
-    units = base.groupBy("doc_id", "source", "h").agg((F.first("size") * F.count("*")).alias("words"), F.count("*").alias("m"))
+    units = base.groupBy("doc_id", "source", "h").agg(F.first("size").alias("words"), F.count("*").alias("rows"))
     # Rows of units, so that those without a doc_id count as well: a block holds as many of them as of any others.
-    found = units.groupBy("source").agg(F.sum("words").alias("size"), F.count("*").alias("n")).collect()
+    found = units.groupBy("source").agg(F.sum(F.col("words") * F.col("rows")).alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"] or 0) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
     ratio = [g / n if n else 0.0 for g, n in zip(goal, sizes, strict=True)]
     rows = [(i, r["source"], n, g, int(q + NEAR), max(0.0, q - int(q + NEAR))) for i, (r, n, g, q) in enumerate(zip(found, sizes, goal, ratio, strict=True))]
-    table = small(spark.createDataFrame(rows, "sid int, source string, source_size long, target double, whole int, p double"), len(rows))
+    table = small(spark.createDataFrame(rows, "sid int, source string, source_size long, target double, whole int, share double"), len(rows))
     named = units.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    sampled = decide(named.select("doc_id", "h", "sid", "words", "m", "p"), {i: max(r["n"], 1) for i, r in enumerate(found)}, seed, block)
-    copies = sampled.join(table.drop("p"), "sid").select("doc_id", "h", "source", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
-    return copies, table
+    # Of rows alike, as many as their share says are taken once more for sure; one of them is dealt by lot for what is left of it.
+    sure = F.floor(F.col("rows") * F.col("share") + NEAR)
+    dealt = named.select("doc_id", "h", "sid", "words", F.lit(1).cast("long").alias("m"), F.greatest(F.lit(0.0), F.col("rows") * F.col("share") - sure).alias("p"), "rows", sure.alias("sure"))
+    sampled = decide(dealt, {i: max(r["n"], 1) for i, r in enumerate(found)}, seed, block)
+    return sampled.join(table.drop("share"), "sid").select("doc_id", "h", "source", "source_size", "target", "whole", "rows", (F.col("sure") + F.col("p").cast("long")).alias("extra"))
+
+
+def numbered(rows: DataFrame, copies: DataFrame, order: Column) -> DataFrame:
+    """rows(doc_id, h, ...) with copies, source_size and target, from plan()'s table: the first `extra` of rows alike, in this order, are taken once more.
+
+    Only rows alike that are not all taken alike are numbered, by ranges, so that no task holds all copies of a row.
+    """
+    c = copies.select(F.col("doc_id").alias("_c_id"), F.col("h").alias("_c_h"), "source_size", "target", "whole", F.col("rows").alias("_rows"), "extra")
+    j = rows.join(c, rows["doc_id"].eqNullSafe(c["_c_id"]) & (rows["h"] == c["_c_h"]))
+    alike = (F.col("extra") == 0) | (F.col("extra") >= F.col("_rows"))
+    out = [*rows.columns, "source_size", "target"]
+    even = j.where(alike).select(*out, (F.col("whole") + (F.col("extra") > 0).cast("int")).alias("copies"))
+    if copies.where("extra > 0 AND extra < rows").isEmpty():
+        return even
+    part = running_sum(j.where(~alike).withColumn("_order", order), ["_c_id", "_c_h"], ["_order"], "_number")
+    return even.unionByName(part.select(*out, (F.col("whole") + (F.col("_number") < F.col("extra")).cast("int")).alias("copies")))
 
 
 def row_hash() -> Column:
@@ -220,10 +241,7 @@ def base_of(docs: DataFrame) -> DataFrame:
 def allot(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, h: one row for each row of docs, without its text."""
     base = written(base_of(docs))
-    copies, _ = plan(base, weights, most, seed, block)
-    c = copies.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "source_size", "target", "copies")
-    joined = base.join(c, base["doc_id"].eqNullSafe(c["c_id"]) & (base["h"] == c["c_h"]))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", "h")
+    return numbered(base, plan(base, weights, most, seed, block), F.col("size")).select("doc_id", "source", "size", "source_size", "target", "copies", "h")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -232,9 +250,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """Rows of docs as often as the mix takes them, with all their columns."""
-    copies, _ = plan(written(base_of(docs)), weights, most, seed, block)
-    c = copies.where("copies > 0").select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "copies")
+    copies = plan(written(base_of(docs)), weights, most, seed, block)
     # The input's columns travel in a struct, where their names can't clash with those used here.
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", row_hash().alias("h"))
-    kept = rows.join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")))
+    kept = numbered(rows, copies, F.xxhash64("row")).where("copies > 0")
     return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
