@@ -50,10 +50,12 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and the digest of what they decode to.
 
-    A null or empty text has no ids; repeated rows have the same ids; an empty table stays empty.
+    A null or empty text has no ids; repeated rows are encoded once and have the same ids; an empty table stays empty.
     """
-    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), decoded="decoded")
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    distinct = docs.groupBy("doc_id", "lang", "source", "text").agg(F.count("*").cast("int").alias("times"))
+    out = bpe.encode(distinct, tokenizer_path(), decoded="decoded")
+    out = out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.explode(F.sequence(F.lit(1), "times")))
+    return out.drop("col")
 
 
 STAGES = [
