@@ -15,13 +15,10 @@ from starloom.operators.numbering import running_sum
 ROWS = 512
 
 
-def interleaved(cells: list[Column], bits: int) -> Column:
-    """One number from cells of `bits` bits each, their highest bits first: cells that are near mostly have near numbers."""
-    out = F.lit(0).cast("long")
-    for bit in range(bits - 1, -1, -1):
-        for c in cells:
-            out = out * 2 + F.shiftright(c, bit).bitwiseAND(F.lit(1))
-    return out
+def interleaved(cells: list[str], bits: int) -> Column:
+    """One number from columns of `bits` bits each, their highest bits first: cells that are near mostly have near numbers."""
+    each = (f"shiftleft(shiftright({c}, {bit}) & 1L, {bit * len(cells) + len(cells) - 1 - k})" for bit in range(bits) for k, c in enumerate(cells))
+    return F.expr(" | ".join(each))
 
 
 def blocks(parts: DataFrame, key: str, axes: tuple[str, ...], more: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
@@ -33,8 +30,9 @@ def blocks(parts: DataFrame, key: str, axes: tuple[str, ...], more: tuple[str, .
     bits = 60 // len(axes)
     p = parts.select(key, "pid", *axes, *more).where(F.col(key).isNotNull()).dropna(subset=[*axes])
     ends = written(p.groupBy(key).agg(*[f(a).alias(f"{a}_{n}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]))
-    cells = [F.coalesce(F.least(((F.col(a) - F.col(f"{a}_lo")) / F.nullif(F.col(f"{a}_hi") - F.col(f"{a}_lo"), F.lit(0.0)) * (1 << bits)).cast("long"), F.lit((1 << bits) - 1)), F.lit(0)) for a in axes]
-    placed = running_sum(p.join(ends, key).withColumn("_code", interleaved(cells, bits)).select(*p.columns, "_code"), [key], ["_code", "pid"], "_place")
+    cells = [F.expr(f"coalesce(least(cast(({a} - {a}_lo) / nullif({a}_hi - {a}_lo, 0D) * {1 << bits} AS long), {(1 << bits) - 1}L), 0L)").alias(f"_c{a}") for a in axes]
+    coded = p.join(ends, key).select(*p.columns, *cells).select(*p.columns, interleaved([f"_c{a}" for a in axes], bits).alias("_code"))
+    placed = running_sum(coded, [key], ["_code", "pid"], "_place")
     boxes = [f(a).alias(f"{a}_{n}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]
     held = F.collect_list(F.struct("pid", *axes, *more)).alias("rows")
     return placed.withColumn("block", F.floor(F.col("_place") / rows).cast("int")).groupBy(key, "block").agg(F.count("*").cast("int").alias("n"), *boxes, held)

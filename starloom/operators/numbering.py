@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from starloom.operators.components import written
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str | None]) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str | None], totals: dict[str, str] | None = None) -> DataFrame:
     """df with, for each name in sums, the sum of a column (1 for each row if that is None) over the rows before, in this order, within its keys.
 
     Rows are dealt by range, so that a group of any size lies in several partitions; each partition sums its own rows, and what lies
     in earlier partitions is added from a table of one row for each group and partition. The order must tell rows apart, or those
     it doesn't are numbered in any order. Rows with null keys are a group like others. Numbers of rows are long, sums of the column's own kind.
+    totals names columns for the whole sums of some of these.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
@@ -23,13 +24,13 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str | Column], sums
     parts = placed.groupBy(*keys, "_part").agg(*[F.sum(w).alias(f"_sum_{to}") for to, w in what.items()])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_part").alias("_in"), *[F.coalesce(F.sum(f"_sum_{to}").over(earlier), F.lit(0)).alias(f"_before_{to}") for to in sums])
+    offsets = parts.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_part").alias("_in"), *[F.coalesce(F.sum(f"_sum_{to}").over(earlier), F.lit(0)).alias(f"_before_{to}") for to in sums], *[F.sum(f"_sum_{to}").over(Window.partitionBy(*keys)).alias(name) for to, name in (totals or {}).items()])
     inner = placed.withColumns({f"_inner_{to}": F.coalesce(F.sum(w).over(inside), F.lit(0)) for to, w in what.items()})
     same = F.col("_part") == F.col("_in")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
     out = inner.join(offsets, same)
-    return out.select(*df.columns, *[(F.col(f"_before_{to}") + F.col(f"_inner_{to}")).alias(to) for to in sums])
+    return out.select(*df.columns, *[(F.col(f"_before_{to}") + F.col(f"_inner_{to}")).alias(to) for to in sums], *(totals or {}).values())
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], to: str, value: str | None = None) -> DataFrame:

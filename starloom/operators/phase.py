@@ -131,10 +131,12 @@ def refine(parts: DataFrame, linking: float, velocity_factor: float, softening:
     n = written(long.groupBy("host_id").agg(F.count("*").alias("n")))
     fresh = {"group": F.col("host_id"), "turn": F.lit(0), "tested": F.lit(False)}
     members, edges = long.drop("vl").join(n, "host_id").withColumns(fresh), found.join(n, "host_id").withColumns(fresh)
-    small, done = [(members.where(F.col("n") <= whole).drop("n"), edges.where(F.col("n") <= whole).drop("n"))], []
-    members, edges = written(members.where(F.col("n") > whole).drop("n")), written(edges.where(F.col("n") > whole).drop("n"))
-    turns = 0
-    while not members.isEmpty():
+    small, done, turns = [(members.where(F.col("n") <= whole).drop("n"), edges.where(F.col("n") <= whole).drop("n"))], [], 0
+    members, edges = members.where(F.col("n") > whole).drop("n"), edges.where(F.col("n") > whole).drop("n")
+    pending = not n.where(F.col("n") > whole).isEmpty()
+    if pending:
+        members, edges = written(members), written(edges)
+    while pending:
         turns += 1
         new, kept = _cut(members, edges, alphas, velocity_factor, softening, factor, least, rows)
         over = F.col("real") | (F.col("turn") == len(alphas) - 1)
@@ -145,6 +147,7 @@ def refine(parts: DataFrame, linking: float, velocity_factor: float, softening:
         small.append((left.where(F.col("n") <= whole).select(*members.columns), left_edges.where(F.col("n") <= whole).select(*edges.columns)))
         members = written(left.where(F.col("n") > whole).select(*members.columns))
         edges = written(left_edges.where(F.col("n") > whole).select(*edges.columns))
+        pending = not members.isEmpty()
     if report is not None:
         report["turns"] = turns
     out = _mapped(_all([s[0] for s in small]), _all([s[1] for s in small]), alphas, velocity_factor, softening, factor, least)

@@ -5,7 +5,7 @@ Masses sum to exact numbers if they are integral. Where the order of a group's r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.bounds import exact_sums, packed
@@ -63,20 +63,26 @@ def by_radius(c: DataFrame, axes: tuple[str, ...] = SPACE, key: str = "halo_id")
     Sums and places run over ranges (numbering.py), so that no task holds a group.
     """
     r = c.withColumn("r", F.sqrt(squared(axes)))
-    placed = running_sums(r, [key], ["r", "pid"], {"within": "mass", "place": None})
-    total = written(c.groupBy(key).agg(F.sum("mass").alias("total")))
-    return placed.withColumns({"within": F.col("within") + F.col("mass"), "place": F.col("place") + 1}).join(total, key)
+    placed = running_sums(r, [key], ["r", "pid"], {"within": "mass", "place": None}, {"within": "total"})
+    return placed.withColumns({"within": F.col("within") + F.col("mass"), "place": F.col("place") + 1})
 
 
 def half_mass_radius(c: DataFrame, axes: tuple[str, ...] = SPACE, key: str = "halo_id", to: str = "half_mass_r") -> DataFrame:
     """Radius of the row whose mass within is closest to half of all; the first on ties."""
-    near = F.struct(F.abs(F.col("within") - F.col("total") / 2), "place")
-    return by_radius(c, axes, key).groupBy(key).agg(F.min_by("r", near).alias(to))
+    return by_radius(c, axes, key).groupBy(key).agg(_half_mass(to))
+
+
+def _half_mass(to: str) -> Column:
+    return F.min_by("r", F.struct(F.abs(F.col("within") - F.col("total") / 2), "place")).alias(to)
+
+
+def _vmax(g: float) -> Column:
+    return F.max(F.when(F.col("r") > 0, F.lit(g) * F.col("within") / F.col("r"))).alias("vmax")
 
 
 def vmax(c: DataFrame, g: float, key: str = "halo_id") -> DataFrame:
     """The largest g * mass within / r (no square root, as the catalogue defines it); rows at the centre are left out."""
-    return by_radius(c, SPACE, key).where("r > 0").groupBy(key).agg(F.max(F.lit(g) * F.col("within") / F.col("r")).alias("vmax"))
+    return by_radius(c, SPACE, key).where("r > 0").groupBy(key).agg(_vmax(g))
 
 
 def kinetic(c: DataFrame, key: str = "halo_id") -> DataFrame:
@@ -97,7 +103,8 @@ def potential(c: DataFrame, softening: float, factor: float = 1.0, key: str = "h
     b = small.select(F.col(key).alias("key_b"), F.col("pid").alias("pid_b"), *[F.col(s).alias(f"{s}_b") for s in SPACE])
     d2 = sum(((F.col(f"{s}_a") - F.col(f"{s}_b")) * (F.col(f"{s}_a") - F.col(f"{s}_b")) for s in SPACE), F.lit(softening * softening))
     joined = a.join(b, (F.col(key) == F.col("key_b")) & (F.col("pid_a") < F.col("pid_b"))).groupBy(key).agg(F.sum(F.col("mass_a") / F.sqrt(d2)).alias("s"))
-    out = joined.unionByName(exact_sums(packed(sized.where(F.col("n") > pairs), key), softening, key))
+    large = n.where(F.col("n") > pairs)
+    out = joined if large.isEmpty() else joined.unionByName(exact_sums(packed(sized.where(F.col("n") > pairs), key), softening, key))
     return n.join(out, key, "left").select(key, (F.coalesce("s", F.lit(0.0)) * factor).alias("ge"))
 
 
@@ -128,6 +135,7 @@ def catalogue(parts: DataFrame, softening: float, factor: float, g: float, types
     """One row a group with all of the above."""
     c = centred(parts, key)
     out = mass_by_type(parts, types, key).join(centres(parts, key).drop("npart"), key).join(spread_of(c, key), key)
-    for more in (half_mass_radius(c, SPACE, key), half_mass_radius(c, SPEED, key, "half_mass_vr"), vmax(c, g, key), bound(c, softening, factor, key)):
+    by_space = by_radius(c, SPACE, key).groupBy(key).agg(_half_mass("half_mass_r"), _vmax(g))
+    for more in (by_space, half_mass_radius(c, SPEED, key, "half_mass_vr"), bound(c, softening, factor, key)):
         out = out.join(more, key, "left")
     return out
