@@ -21,17 +21,18 @@ def interleaved(cells: list[str], bits: int) -> Column:
     return F.expr(" | ".join(each))
 
 
-def blocks(parts: DataFrame, key: str, axes: tuple[str, ...], more: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
-    """(key, block, n, <axis>_lo, <axis>_hi, rows): each group's rows in the order of a curve through their axes, cut after every `rows`.
+def blocks(parts: DataFrame, key: str, axes: tuple[str, ...], more: tuple[str, ...] = (), rows: int = ROWS, along: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, block, n, <axis>_lo, <axis>_hi, rows): each group's rows in the order of a curve through their axes (or some of them), cut after every `rows`.
 
     `rows` holds pid, the axes and `more` as an array of structs. Rows without a group, or with a null among the axes, are left out. No task
     holds a group: the order is made by ranges, and a block is all that is ever put together.
     """
-    bits = 60 // len(axes)
+    along = along or axes
+    bits = 60 // len(along)
     p = parts.select(key, "pid", *axes, *more).where(F.col(key).isNotNull()).dropna(subset=[*axes])
-    ends = written(p.groupBy(key).agg(*[f(a).alias(f"{a}_{n}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]))
-    cells = [F.expr(f"coalesce(least(cast(({a} - {a}_lo) / nullif({a}_hi - {a}_lo, 0D) * {1 << bits} AS long), {(1 << bits) - 1}L), 0L)").alias(f"_c{a}") for a in axes]
-    coded = p.join(ends, key).select(*p.columns, *cells).select(*p.columns, interleaved([f"_c{a}" for a in axes], bits).alias("_code"))
+    ends = written(p.groupBy(key).agg(*[f(a).alias(f"{a}_{n}") for a in along for n, f in (("lo", F.min), ("hi", F.max))]))
+    cells = [F.expr(f"coalesce(least(cast(({a} - {a}_lo) / nullif({a}_hi - {a}_lo, 0D) * {1 << bits} AS long), {(1 << bits) - 1}L), 0L)").alias(f"_c{a}") for a in along]
+    coded = p.join(ends, key).select(*p.columns, *cells).select(*p.columns, interleaved([f"_c{a}" for a in along], bits).alias("_code"))
     placed = running_sum(coded, [key], ["_code", "pid"], "_place")
     boxes = [f(a).alias(f"{a}_{n}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]
     held = F.collect_list(F.struct("pid", *axes, *more)).alias("rows")
@@ -68,13 +69,27 @@ def paired(kept: DataFrame, key: str, axes: tuple[str, ...], near: Column | None
     return j if near is None else j.where(near)
 
 
-def with_rows(pairs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    """pairs(key, block_a, block_b, ...) with rows_a and rows_b; the latter null where a block meets itself."""
-    a = kept.select(key, F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
-    b = kept.select(key, F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
+def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
+    """df; its session hands Python at most so many rows (blocks) at a time from now on: Spark takes the setting when a plan is run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    known = int(df.sparkSession.conf.get(name))
+    if known <= 0 or known > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
+def with_rows(pairs: DataFrame, kept: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """pairs(key, block_a, block_b, ...) with rows_a and rows_b, the latter null where a block meets itself, and more columns of both blocks.
+
+    A pair is much work in few bytes, so pairs are dealt to all partitions of a shuffle, which Spark would merge by their size otherwise.
+    """
+    held = ("rows", *more)
+    a = kept.select(key, F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in held])
+    b = kept.select(key, F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in held])
     self_, other = pairs.where("block_a = block_b"), pairs.where("block_a < block_b")
-    alone = self_.join(a, [key, "block_a"]).withColumn("rows_b", F.lit(None).cast(kept.schema["rows"].dataType))
-    return other.join(a, [key, "block_a"]).join(b, [key, "block_b"]).select(*alone.columns).unionByName(alone)
+    alone = self_.join(a, [key, "block_a"]).withColumns({f"{c}_b": F.lit(None).cast(kept.schema[c].dataType) for c in held})
+    both = other.join(a, [key, "block_a"]).join(b, [key, "block_b"]).select(*alone.columns).unionByName(alone)
+    return both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "block_a", "block_b")
 
 
 def matrices(column, axes: tuple[str, ...], more: tuple[str, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.blocks import ROWS, blocks, gap2, matrices, paired, span2, with_rows
+from starloom.operators.blocks import ROWS, blocks, gap2, matrices, paired, small_batches, span2, with_rows
 from starloom.operators.components import written
 
 SPACE = ("x", "y", "z")
@@ -215,7 +215,7 @@ def pair_rows(key: str, softening: float, whole: bool):
 def packed(c: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
     """Blocks of c with the masses' range, as a table."""
     masses = lambda f: f(F.transform("rows", lambda r: r["mass"]))
-    return written(blocks(c, key, SPACE, ("mass",), rows).withColumns({"light": masses(F.array_min), "heavy": masses(F.array_max)}))
+    return written(small_batches(blocks(c, key, SPACE, ("mass",), rows)).withColumns({"light": masses(F.array_min), "heavy": masses(F.array_max)}))
 
 
 def exact_sums(kept: DataFrame, softening: float, key: str) -> DataFrame:

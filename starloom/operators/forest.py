@@ -5,8 +5,8 @@ w^2 = dv^2 / (2 - 4 dx^2 / l^2) of pairs in reach (4 dx^2 <= 2 l^2) that is w <=
 every vl, and those of what it falls apart into at any smaller one: its edges up to vl are a forest of the friends at vl.
 
 Edges of a forest of the union of edge sets are in the union of their forests, as long as edges of one weight have one order
-everywhere (weight, then both pids). So each pair of blocks (blocks.py) whose boxes may hold friends gives the forest of its own rows, and what those
-leave goes through Boruvka's rounds: each component takes its lightest edge outwards, and at least half of the components go.
+everywhere (weight, then both pids). So each block (blocks.py) gives the forest of its own rows, each pair of blocks whose boxes may hold friends what the forest
+of both has between them, and what those leave goes through Boruvka's rounds: each component takes its lightest edge outwards, and at least half of the components go.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.blocks import ROWS, blocks, gap2, matrices, paired, with_rows
+from starloom.operators.blocks import ROWS, blocks, gap2, matrices, paired, small_batches, with_rows
 from starloom.operators.components import written
 
 SPACE, SPEED = ("x", "y", "z"), ("vx", "vy", "vz")
@@ -25,75 +25,125 @@ AXES = SPACE + SPEED
 EDGES = "a long, b long, w2 double"
 
 
-def weights(row: np.ndarray, rows: np.ndarray, linking: float) -> np.ndarray:
-    """w^2 of a particle and many others (columns x .. vz); infinite out of reach."""
-    d = rows - row
-    d *= d
-    room = 2 - 4 * (d[:, 0] + d[:, 1] + d[:, 2]) / (linking * linking)
-    w2 = d[:, 3] + d[:, 4] + d[:, 5]
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest place of each place's component, by passing minima along edges and jumping to them."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def weights(x: np.ndarray, y: np.ndarray, linking: float, most2: float) -> np.ndarray:
+    """w^2 of all pairs of rows of x and y (columns x .. vz); infinite out of reach and above most2."""
+    squares = [(x[:, k, None] - y[None, :, k]) ** 2 for k in range(6)]
+    room = 2 - 4 * (squares[0] + squares[1] + squares[2]) / (linking * linking)
+    w2 = squares[3] + squares[4] + squares[5]
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = w2 / room
-    out[room < 0] = np.inf
-    out[(room == 0) & (w2 > 0)] = np.inf
-    out[(room == 0) & (w2 == 0)] = 0.0
+        out = np.where(room > 0, w2 / room, np.where((room == 0) & (w2 == 0), 0.0, np.inf))
+    out[out > most2] = np.inf
     return out
 
 
-def local_forest(pids: np.ndarray, rows: np.ndarray, linking: float, most2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one place, other place, w^2) of the forest of these rows with weights up to most2, grown row by row; memory is linear in them."""
-    n = len(pids)
-    best, via = np.full(n, np.inf), np.full(n, -1, np.int64)
-    low, high = np.zeros(n, pids.dtype), np.zeros(n, pids.dtype)
-    left = np.ones(n, bool)
-    out = []
-    at = 0
-    for _ in range(n):
-        left[at] = False
-        w2 = weights(rows[at], rows, linking)
-        w2[w2 > most2] = np.inf
-        lo, hi = np.minimum(pids, pids[at]), np.maximum(pids, pids[at])
-        tie = (w2 == best) & ((lo < low) | ((lo == low) & (hi < high)))
-        better = left & (w2 < np.inf) & ((w2 < best) | tie)
-        best[better], via[better], low[better], high[better] = w2[better], at, lo[better], hi[better]
-        open_ = np.where(left, best, np.inf)
-        nearest = open_.min()
-        if nearest == np.inf:
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                break
-            at = int(rest[0])
-            continue
-        same = np.flatnonzero(open_ == nearest)
-        at = int(same[0]) if len(same) == 1 else int(min(same, key=lambda i: (low[i], high[i])))
-        out.append((at, int(via[at]), float(nearest)))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    a, b, w2 = zip(*out, strict=True)
-    return np.array(a), np.array(b), np.array(w2)
-
-
-def edge_rows(key: str, linking: float):
+def local_forest(pids: np.ndarray, w2: np.ndarray, rows: np.ndarray, columns: np.ndarray, more: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one place, other place, w^2) of the forest of a matrix of weights between places and of more edges (place, place, w^2).
+
+    Pids rise along the rows and along the columns, so that the first of equal weights is the first by pids, too. The matrix is used up.
+    """
+    top, out = np.arange(len(pids)), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    a, b, w = more
+    while True:
+        w2[top[rows][:, None] == top[columns][None, :]] = np.inf
+        apart = top[a] != top[b]
+        a, b, w = a[apart], b[apart], w[apart]
+        i, j = w2.argmin(1), w2.argmin(0)
+        u, v = np.concatenate([rows, rows[j], a]), np.concatenate([columns[i], columns, b])
+        weight = np.concatenate([w2[np.arange(len(rows)), i], w2[j, np.arange(len(columns))], w])
+        some = weight < np.inf
+        if not some.any():
+            return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        u, v, weight = u[some], v[some], weight[some]
+        group = np.concatenate([top[u], top[v]])
+        low, high = np.minimum(pids[u], pids[v]), np.maximum(pids[u], pids[v])
+        order = np.lexsort((np.tile(high, 2), np.tile(low, 2), np.tile(weight, 2), group))
+        best = order[np.r_[True, group[order][1:] != group[order][:-1]]] % len(u)
+        _, first = np.unique(np.stack([low[best], high[best]]), axis=1, return_index=True)
+        best = best[first]
+        out.append((u[best], v[best], weight[best]))
+        top = labels(len(pids), top[u[best]], top[v[best]])[top]
+
+
+def _sorted(matrix: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(matrix[0], kind="stable")
+    return matrix[0][order], matrix[1][order]
+
+
+INNER = "inner array<struct<a:long,b:long,w2:double>>"
+
+
+def inner_rows(linking: float):
+    """Blocks with their own forest, as an array of edges."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("w2", pa.float64())]))
+        for batch in batches:
+            most2, listed = batch.column("most2").to_pylist(), []
+            for i, m in enumerate(matrices(batch.column("rows"), AXES)):
+                pids, rows = _sorted(m)
+                all_ = np.arange(len(pids))
+                w2 = weights(rows, rows, linking, most2[i])
+                np.fill_diagonal(w2, np.inf)
+                p, q, w = local_forest(pids, w2, all_, all_, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)))
+                ends = np.minimum(pids[p], pids[q]), np.maximum(pids[p], pids[q]), w
+                listed.append([{"a": a, "b": b, "w2": x} for a, b, x in zip(*(c.tolist() for c in ends), strict=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(listed, kind)], names=[*batch.schema.names, "inner"])
+
+    return run
+
+
+def cross_rows(key: str, linking: float):
+    """(key, a, b, w2): edges between two blocks in the forest of both, their own forests included."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             groups, most2 = batch.column(key), batch.column("most2").to_pylist()
+            inner = [list(edge_lists(batch.column(f"inner_{s}"))) for s in "ab"]
             which, a, b, w2 = [], [], [], []
             for i, (one, two) in enumerate(zip(matrices(batch.column("rows_a"), AXES), matrices(batch.column("rows_b"), AXES), strict=True)):
-                pids, rows = one if two is None else (np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]]))
-                p, q, w = local_forest(pids, rows, linking, most2[i])
-                if two is not None:  # edges inside a block come from the block itself
-                    cross = (p < len(one[0])) != (q < len(one[0]))
-                    p, q, w = p[cross], q[cross], w[cross]
+                (p1, x1), (p2, x2) = _sorted(one), _sorted(two)
+                n = len(p1)
+                ends = [(np.searchsorted(p, e[0]) + at, np.searchsorted(p, e[1]) + at, e[2]) for p, e, at in ((p1, inner[0][i], 0), (p2, inner[1][i], n))]
+                more = tuple(np.concatenate(c) for c in zip(*ends, strict=True))
+                pids = np.concatenate([p1, p2])
+                p, q, w = local_forest(pids, weights(x1, x2, linking, most2[i]), np.arange(n), np.arange(n, len(pids)), more)
+                cross = (p < n) != (q < n)
+                p, q, w = p[cross], q[cross], w[cross]
                 which += [i] * len(p)
                 a.append(np.minimum(pids[p], pids[q]))
                 b.append(np.maximum(pids[p], pids[q]))
                 w2.append(w)
-            yield pa.RecordBatch.from_arrays([groups.take(pa.array(which, pa.int64())), *(pa.array(np.concatenate(c), k) for c, k in ((a, pa.int64()), (b, pa.int64()), (w2, pa.float64())))], names=[key, "a", "b", "w2"])
+            columns = [pa.array(np.concatenate(c) if c else [], k) for c, k in ((a, pa.int64()), (b, pa.int64()), (w2, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([groups.take(pa.array(which, pa.int64())), *columns], names=[key, "a", "b", "w2"])
 
     return run
 
 
+def edge_lists(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    flat, ends = column.flatten(), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    fields = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "w2")]
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        yield tuple(f[lo:hi] for f in fields)
+
+
 def forest(parts: DataFrame, linking: float, key: str = "halo_id", most: str | None = None, rows: int = ROWS, report: dict | None = None) -> DataFrame:
     """(key, a, b, w2): a minimum spanning forest of each group of parts(key, pid, x .. vz), a < b; only weights up to the column `most`, if given.
 
@@ -101,20 +151,27 @@ def forest(parts: DataFrame, linking: float, key: str = "halo_id", most: str | N
     """
     kind = dict(parts.dtypes)[key]
     p = parts.withColumn("_most2", F.col(most) * F.col(most) if most else F.lit(float("inf")))
-    b = blocks(p, key, AXES, ("_most2",), rows)
-    kept = written(b.withColumn("most2", F.array_max(F.transform("rows", lambda r: r["_most2"]))))
+    # In the order of their places: the first lengths reach over all velocities of a group.
+    b = blocks(p, key, AXES, ("_most2",), rows, SPACE)
+    b = b.withColumn("most2", F.array_max(F.transform("rows", lambda r: r["_most2"])))
+    slim = b.withColumn("rows", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in ("pid", *AXES)])))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
+    kept = written(small_batches(slim).mapInArrow(inner_rows(linking), f"{fields}, {INNER}"))
+    own = kept.select(key, F.explode("inner").alias("e")).select(key, "e.*")
+    several = written(kept.groupBy(key).agg(F.count("*").alias("blocks")).where("blocks > 1").select(key))
+    if report is not None:
+        report["blocks"] = kept.count()
+    if several.isEmpty():  # a group in one block has its forest already
+        return own
     room = 2 - 4 * gap2(SPACE) / (linking * linking)
-    near = (room >= 0) & (gap2(SPEED) <= F.least("most2_a", "most2_b") * room * (1 + 1e-9))
+    near = (room >= 0) & (gap2(SPEED) <= F.least("most2_a", "most2_b") * room * (1 + 1e-9)) & (F.col("block_a") < F.col("block_b"))
     pairs = paired(kept, key, AXES, near, ("most2",)).select(key, "block_a", "block_b", "n_a", "n_b", F.col("most2_a").alias("most2"))
     if report is not None:
         pairs = written(pairs)
-        inside = F.when(F.col("block_a") == F.col("block_b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a").cast("long") * F.col("n_b"))
-        report |= {"pairs": int(pairs.agg(F.sum(inside)).first()[0] or 0), "blocks": kept.count()}
-    slim = kept.select(key, "block", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in ("pid", *AXES)])).alias("rows"))
-    found = written(with_rows(pairs.drop("n_a", "n_b"), slim, key).mapInArrow(edge_rows(key, linking), f"{key} {kind}, {EDGES}"))
-    # A group in one block has its forest already.
-    several = kept.groupBy(key).agg(F.count("*").alias("blocks")).where("blocks > 1").select(key)
-    return found.join(several, key, "left_anti").unionByName(boruvka(found.join(several, key, "left_semi"), key, report))
+        report |= pairs.agg(F.count("*").alias("pairs_of_blocks"), F.coalesce(F.sum(F.col("n_a").cast("long") * F.col("n_b")), F.lit(0)).alias("pairs")).first().asDict()
+    across = with_rows(pairs.drop("n_a", "n_b"), kept, key, ("inner",)).mapInArrow(cross_rows(key, linking), f"{key} {kind}, {EDGES}")
+    found = written(across.unionByName(own.join(several, key, "left_semi")))
+    return own.join(several, key, "left_anti").unionByName(boruvka(found, key, report))
 
 
 def boruvka(edges: DataFrame, key: str, report: dict | None = None, most: int = 60) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from starloom.operators.blocks import ROWS
 from starloom.operators.bounds import bound_flags, exact_sums, is_bound, packed, summed
 from starloom.operators.components import components, written
-from starloom.operators.forest import forest
+from starloom.operators.forest import forest, labels
 from starloom.operators.properties import centred, kinetic
 
 SPEED = ("vx", "vy", "vz")
@@ -48,20 +48,6 @@ def lowered(alpha: float, decrement: float) -> float:
     return 10 ** (math.log10(alpha) - decrement)
 
 
-def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest place of each place's component, by passing minima along edges and jumping to them."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def lengths(start: float, end: float, decrement: float) -> list[float]:
     """The coefficients of the velocity linking length in turn; what isn't bound at the last one, the first below `end`, stays so."""
     out = [float(start)]

@@ -93,14 +93,15 @@ def split_back(members: DataFrame, threshold: int = 10) -> DataFrame:
     return out
 
 
-def split_walk(members: DataFrame, groups: DataFrame, box: float, softening: float, particle_mass: float, redshift: float = 0.0, h: float = 1.0, g: float = 1.0, threshold: int = 10) -> tuple[DataFrame, DataFrame]:
+def split_walk(members: DataFrame, groups: DataFrame, box: float, softening: float, particle_mass: float, redshift: float = 0.0, h: float = 1.0, g: float = 1.0, threshold: int = 10, glue: bool = True) -> tuple[DataFrame, DataFrame]:
     """split_back() with energies: of each group's fragments, those that overlap the main one while one of both is unbound are glued to it.
 
     members(snap_ord, halo_id, pid, x .. vz) and groups(snap_ord, halo_id, real) give (snap_ord, pid, original_id, halo_id) and the catalogue of
     all snapshots but the last: (snap_ord, halo_id, original_id, npart, n_persist, split, ke, ge, e, real). npart is a fragment's share
     of its group, particles in no counted descendant shared out by what the descendants took; n_persist counts the particles in
     the descendant; split is the number of the group's fragments after glueing. Energies are those of the persistent particles, of
-    one mass. A fragment is real if bound (e <= 0), and a group with one descendant, which stays whole, as it was before.
+    one mass. A fragment is real if bound (e <= 0), and a group with one descendant, which stays whole, as it was before. Without glue every
+    fragment stays on its own.
     """
     columns = ["snap_ord", "pid", "original_id", "halo_id"]
     first, last = members.agg(F.min("snap_ord"), F.max("snap_ord")).first()
@@ -122,8 +123,11 @@ def split_walk(members: DataFrame, groups: DataFrame, box: float, softening: flo
         persistent = rows.where("counted IS NOT NULL")
         several = persistent.where("NOT single")
         energy = written(energies(persistent, "fragment"))
-        of_several = several.select("original_id", "fragment").distinct().join(energy.select("fragment", "e"), "fragment")
-        names = written(glued(properties.wrapped(several, box, "fragment"), of_several, box, "original_id"))
+        own = several.select("original_id", "fragment").distinct()
+        if glue:
+            names = written(glued(properties.wrapped(several, box, "fragment"), own.join(energy.select("fragment", "e"), "fragment"), box, "original_id"))
+        else:
+            names = own.withColumn("glued", F.col("fragment"))
         named = rows.join(names.select("fragment", "glued"), "fragment", "left").withColumn("halo_id", F.coalesce("glued", "fragment"))
         named = written(named.select(*columns, "single", "whole", "took", "counted", *SPACE, *SPEED))
         # Energies of fragments that were glued are those of the whole; all others are known.

@@ -652,6 +652,18 @@ def phase_space_refine(spark, sf_dir):
     return phase.refine(grouped(spark, sf_dir), RADIUS * 2**0.5, VFACTOR, SOFT, FACTOR)
 
 
+@query()
+def exit_alpha_refined(spark, sf_dir):
+    """By host or not and bin, the coefficients at which groups of the real refinement were accepted."""
+    r = phase.refine(grouped(spark, sf_dir), RADIUS * 2**0.5, VFACTOR, SOFT, FACTOR).select("halo_id", "exit_alpha", "real").distinct()
+    return stats.histogram(r, F.col("exit_alpha"), [lengths_end(), *ALPHA_EDGES[1:]], "real")
+
+
+def lengths_end() -> float:
+    """Groups that are never bound end at the first coefficient below the least one: the first bin begins there."""
+    return phase.lengths(10.0, 0.8, 0.01)[-1]
+
+
 @query()
 def halo_catalogue(spark, sf_dir):
     from starloom.plans.pipeline import find_groups

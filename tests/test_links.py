@@ -120,7 +120,7 @@ def walked_back(rows, threshold):
     return out, whole
 
 
-def walked_with_energies(rows, real, box, soft, mass, g, threshold):
+def walked_with_energies(rows, real, box, soft, mass, g, threshold, glue):
     """The splitter with energies and glueing by plain loops: {(snap, pid): new id}, {(snap, new id): catalogue row}."""
     import numpy as np
 
@@ -166,7 +166,7 @@ def walked_with_energies(rows, real, box, soft, mass, g, threshold):
                     m2, r2, v2 = extent(s, d)
                     gap = np.abs(m - m2)[:3]
                     off = np.sqrt((np.minimum(gap, box - gap) ** 2).sum()) / (r + r2) + np.sqrt(((m - m2)[3:] ** 2).sum()) / (v + v2)
-                    if (e_main > 0 or energy(s, d)[2] > 0) and off < 0.85:
+                    if glue and (e_main > 0 or energy(s, d)[2] > 0) and off < 0.85:
                         joined |= d
                     else:
                         rest.append(d)
@@ -180,21 +180,21 @@ def walked_with_energies(rows, real, box, soft, mass, g, threshold):
     return out, cat, stuck
 
 
-@pytest.mark.parametrize("g", [0.002, 0.02])
-def test_split_walk_with_energies(spark, g):
+@pytest.mark.parametrize("g,glue", [(0.002, True), (0.02, True), (0.002, False)])
+def test_split_walk_with_energies(spark, g, glue):
     rng = random.Random(11)
     rows = [(s, h, p, *(rng.gauss(h / 8, 0.05) % 1.0 for _ in range(3)), *(rng.gauss(0, 0.2) for _ in range(3))) for s, h, p, *_ in history(4, snaps=3)]
     m = spark.createDataFrame(rows, "snap_ord int, halo_id long, pid long, x double, y double, z double, vx double, vy double, vz double")
     groups = m.select("snap_ord", "halo_id").distinct().selectExpr("*", "halo_id % 2 = 0 AS real")
-    got, cat = split.split_walk(m, groups, 1.0, 0.02, 1.5, g=g, threshold=2)
-    want, rows_, stuck = walked_with_energies(rows, lambda s, h: h % 2 == 0, 1.0, 0.02, 1.5, g, 2)
+    got, cat = split.split_walk(m, groups, 1.0, 0.02, 1.5, g=g, threshold=2, glue=glue)
+    want, rows_, stuck = walked_with_energies(rows, lambda s, h: h % 2 == 0, 1.0, 0.02, 1.5, g, 2, glue)
     assert {(r.snap_ord, r.pid): r.halo_id for r in got.collect()} == want
     found = {(r.snap_ord, r.halo_id): (r.original_id, r.npart, r.n_persist, r.split, r.e, r.real) for r in cat.collect()}
     assert found.keys() == rows_.keys() and len(found) > 10
     for k, (h, n, persist, count, e, real) in rows_.items():
         assert found[k][0] == h and found[k][2:4] == (persist, count) and found[k][5] == real
         assert found[k][1] == pytest.approx(n) and found[k][4] == pytest.approx(e, abs=1e-9)
-    assert stuck or g > 0.01
+    assert bool(stuck) == (glue and g < 0.01)
 
 
 @pytest.mark.parametrize("seed, threshold", [(1, 10), (2, 8), (3, 3)])

@@ -52,6 +52,7 @@ def test_same_rows(spark, db, name):
 
 #: Queries that SQL can't express, their keys, and where a brute-force version tests them.
 WITHOUT_SQL = {
+    "exit_alpha_refined": ["real", "bin"],
     "phase_space_refine": ["halo_id", "pid"],  # tests/test_groups.py
     "halo_catalogue": ["halo_id"],  # tests/test_groups.py, test_links.py
     "sub_catalogue": ["halo_id"],
