@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators import spatial
 from starloom.operators.components import written
 
 TYPES = (0, 1, 4, 5)
@@ -65,6 +66,44 @@ def ranked(links: DataFrame) -> DataFrame:
     return links.withColumn("rank", F.row_number().over(w))
 
 
+def sweep(groups: DataFrame, times: DataFrame, per_time: float = 1.0, least: float = 2.0) -> DataFrame:
+    """(snap_ord, radius): how far a group of a snapshot can be from one of the snapshot before that it shares particles with.
+
+    The fastest group's speed, groups(snap_ord, mean_vx, mean_vy, mean_vz) of either snapshot, times the time between both, times(snap_ord, since), in units of
+    length for each unit of speed and time (a little more, against rounding); at least `least`.
+    """
+    speed = F.sqrt(F.col("mean_vx") * F.col("mean_vx") + F.col("mean_vy") * F.col("mean_vy") + F.col("mean_vz") * F.col("mean_vz"))
+    top = groups.groupBy("snap_ord").agg(F.max(speed).alias("top"))
+    both = top.unionByName(top.withColumn("snap_ord", F.col("snap_ord") + 1)).groupBy("snap_ord").agg(F.max("top").alias("top"))
+    return both.join(times, "snap_ord").select("snap_ord", F.greatest(F.lit(least), F.col("top") * F.col("since") * (per_time * (1 + 1e-9))).alias("radius"))
+
+
+def within_sweep(groups: DataFrame, radii: DataFrame, box: spatial.Box, periodic: bool = True) -> DataFrame:
+    """(snap_ord, halo_id, other_id): groups(snap_ord, halo_id, mean_x, mean_y, mean_z) and those of the snapshot before within its radius.
+
+    An equi-join on snapshot and cells as wide as the largest radius; the driver holds that one number.
+    """
+    widest = radii.agg(F.max("radius")).first()[0]
+    at = [F.col(f"mean_{a}").alias(a) for a in spatial.AXES]
+    # A wrapped group's mean may lie beyond the box.
+    inside = [F.pmod(c, F.lit(float(s))).alias(a) for c, a, s in zip(at, spatial.AXES, spatial.sides(box), strict=True)] if periodic else at
+    cells = spatial.cell_counts(box, widest or min(spatial.sides(box)))
+    here = spatial.ghosts(groups.join(radii, "snap_ord").select("snap_ord", F.col("halo_id").alias("pid"), "radius", *inside), box, cells, periodic)
+    before = spatial.with_cells(groups.select((F.col("snap_ord") + 1).alias("snap_ord"), F.col("halo_id").alias("pid"), *inside), box, cells).withColumnsRenamed({f"c{a}": f"g{a}" for a in spatial.AXES})
+    keys = ["snap_ord", "gx", "gy", "gz"]
+    pairs = spatial.side(here, "a", [*keys, "radius"]).join(spatial.side(before, "b", keys), keys)
+    return pairs.where(spatial.separation("a", "b", box, periodic) <= F.col("radius") * F.col("radius")).select("snap_ord", F.col("pid_a").alias("halo_id"), F.col("pid_b").alias("other_id"))
+
+
+def progenitors_within(members: DataFrame, near: DataFrame, threshold: int = 10) -> DataFrame:
+    """progenitors() of pairs of groups near each other, near(snap_ord, halo_id, other_id): members of groups that are near none aren't joined at all."""
+    some = written(near)
+    own = some.select("snap_ord", "halo_id").unionByName(some.select((F.col("snap_ord") - 1).alias("snap_ord"), F.col("other_id").alias("halo_id"))).distinct()
+    read = members.join(own, ["snap_ord", "halo_id"], "left_semi")
+    kept = progenitors(read, threshold).drop("rank").join(some, ["snap_ord", "halo_id", "other_id"], "left_semi")
+    return ranked(kept)
+
+
 def with_other(links: DataFrame, groups: DataFrame, step: int) -> DataFrame:
     """links with size and mass of the other group, `step` snapshots away."""
     o = groups.select((F.col("snap_ord") - step).alias("snap_ord"), F.col("halo_id").alias("other_id"), F.col("npart").alias("other_npart"), F.col("mass").alias("other_mass"))

@@ -61,7 +61,8 @@ def ghosts(parts: DataFrame, box: Box, cells: int | tuple[int, int, int], period
     out = out.withColumns(g)
     if not periodic:
         return out.where(" AND ".join(f"g{a} BETWEEN 0 AND {n - 1}" for a, n in zip(AXES, sides(cells), strict=True)))
-    return out if min(sides(cells)) >= 3 else out.dropDuplicates(["pid", "gx", "gy", "gz"])
+    more = [c for c in ("snap_ord",) if c in parts.columns]
+    return out if min(sides(cells)) >= 3 else out.dropDuplicates([*more, "pid", "gx", "gy", "gz"])
 
 
 def separation(a: str, b: str, box: Box, periodic: bool) -> Column:

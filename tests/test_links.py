@@ -1,5 +1,6 @@
 """Links, flags and graphs on small random histories against plain Python."""
 
+import math
 import random
 
 import pytest
@@ -319,3 +320,37 @@ def test_snapshot_partitions_are_replaced(spark, tmp_path):
     write_snapshots(df, at)
     write_snapshots(spark.createDataFrame([(2, "c")], "snap_ord int, v string"), at)
     assert sorted((r.snap_ord, r.v) for r in spark.read.parquet(at).collect()) == [(1, "a"), (2, "c")]
+
+
+@pytest.mark.parametrize("speed,periodic", [(0.02, True), (0.4, True), (0.02, False)])
+def test_links_within_the_sweep_of_speeds(spark, speed, periodic):
+    """Groups that drift keep all links when only those within reach are looked at, and fewer members are read."""
+    rng = random.Random(21)
+    rows, means = [], []
+    for h in range(40):
+        x, v = [rng.random() for _ in range(3)], [rng.uniform(-1, 1) * speed for _ in range(3)]
+        if not periodic:
+            x = [0.3 + 0.4 * c for c in x]
+        for s in range(3):
+            alone = h >= 30 and s != h % 3  # here in one snapshot only
+            if not alone:
+                rows += [(s, h + 100 * s, 1000 * h + i, 1, 1.0) for i in range(12)]
+                means.append((s, h + 100 * s, *(c + s * d for c, d in zip(x, v, strict=True)), *v))
+    m = spark.createDataFrame(rows, MEMBERS)
+    g = spark.createDataFrame(means, "snap_ord int, halo_id long, mean_x double, mean_y double, mean_z double, mean_vx double, mean_vy double, mean_vz double")
+    times = spark.createDataFrame([(s, 1.0) for s in (1, 2)], "snap_ord int, since double")
+    radii = links.sweep(g, times, least=0.01)
+    top = max(math.dist(r[5:], (0, 0, 0)) for r in means)
+    assert all(0.01 <= r.radius <= top * (1 + 1e-6) for r in radii.collect())
+    near = links.within_sweep(g, radii, 1.0, periodic)
+    by, want = {r.snap_ord: r.radius for r in radii.collect()}, set()
+    for a in means:
+        for b in means:
+            if a[0] == b[0] + 1:
+                d = [abs(p % 1.0 - q % 1.0) if periodic else abs(p - q) for p, q in zip(a[2:5], b[2:5], strict=True)]
+                if math.sqrt(sum(min(x, 1 - x) ** 2 if periodic else x * x for x in d)) <= by[a[0]]:
+                    want.add((a[0], a[1], b[1]))
+    got = [(r.snap_ord, r.halo_id, r.other_id) for r in near.collect()]
+    assert set(got) == want and len(got) == len(want)
+    key = lambda df: sorted((r.snap_ord, r.halo_id, r.other_id, r["rank"], r.n_shared) for r in df.collect())
+    assert key(links.progenitors_within(m, near)) == key(links.progenitors(m)) != []
