@@ -21,7 +21,7 @@ SPACE = ("x", "y", "z")
 LEAF = 16
 #: Largest ratio of upper to lower bound of a pair of cells that is not opened: of the blocks' boxes, and turn by turn of cells until the test is settled.
 CLOSE = 2.0
-TURNS = (8.0, 3.0, 1.7)
+TURNS = (8.0, 3.0)
 #: Pairs of leaves evaluated at once.
 BATCH = 4096
 
@@ -137,22 +137,35 @@ def cell_sums(x: np.ndarray, m: np.ndarray, order: np.ndarray, c: Cells, softeni
     return low * (1 - 1e-9), high * (1 + 1e-9), tested
 
 
-def is_bound(x: np.ndarray, m: np.ndarray, ke: float, softening: float, factor: float) -> tuple[bool, int]:
-    """Whether ke is at most factor times the pair sum of rows in the order of pid, and how many pairs of rows that took."""
-    if len(x) < 2 or factor <= 0:
-        return False, 0
-    order = ordered(x)
-    xs, ms = x[order], m[order]
-    c, tested = Cells(xs, ms), 0
-    for close in TURNS:
-        low, high, n = cell_sums(xs, ms, order, c, softening, close)
-        tested += n
-        if low > 0 and ke <= factor * low:
-            return True, tested
-        if ke > factor * high:
-            return False, tested
+def is_bound(x: np.ndarray, m: np.ndarray, ke: float, softening: float, factor: float) -> tuple[bool, int, float | None]:
+    """Whether ke is at most factor times the pair sum of rows in the order of pid, how many pairs of rows that took, and the sum if it had to be made."""
+    n = len(x)
+    if n < 2 or factor <= 0:
+        return False, 0, None
+    tested = 0
+    if n > 32 * LEAF:  # the few pairs of fewer rows are summed as fast as bounded
+        order = ordered(x)
+        xs, ms = x[order], m[order]
+        c = Cells(xs, ms)
+        for close in TURNS:
+            low, high, k = cell_sums(xs, ms, order, c, softening, close)
+            tested += k
+            if low > 0 and ke <= factor * low:
+                return True, tested, None
+            if ke > factor * high:
+                return False, tested, None
     total = summed(x, m, softening)
-    return total > 0 and ke <= factor * total, tested + len(x) * (len(x) - 1) // 2
+    return total > 0 and ke <= factor * total, tested + n * (n - 1) // 2, total
+
+
+def crossed(x: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, softening: float, block: int = 1 << 20) -> float:
+    """The pair sum between rows a and rows b (places in the order of pid) that have none in common."""
+    total, step = 0.0, max(1, block // max(1, len(b)))
+    for at in range(0, len(a), step):
+        some = a[at : at + step]
+        d = np.sqrt(sum((x[some, None, k] - x[None, b, k]) ** 2 for k in range(3)) + softening**2)
+        total += float((np.where(some[:, None] < b[None], m[some][:, None], m[b][None]) / d).sum())
+    return total
 
 
 def summed(x: np.ndarray, m: np.ndarray, softening: float, block: int = 1024) -> float:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.blocks import ROWS
-from starloom.operators.bounds import bound_flags, exact_sums, is_bound, packed, summed
+from starloom.operators.bounds import bound_flags, crossed, exact_sums, is_bound, packed, summed
 from starloom.operators.components import components, written
 from starloom.operators.forest import forest, labels
 from starloom.operators.properties import centred, kinetic
@@ -24,7 +24,7 @@ SPEED = ("vx", "vy", "vz")
 #: Groups below this size end in phase space.
 LEAST = 10
 #: Particles up to which the forest of a group is cut in one task (which holds its rows and as many edges); larger ones go through distributed rounds.
-WHOLE = 20_000
+WHOLE = 100_000
 
 
 def with_length(parts: DataFrame, alpha: float, velocity_factor: float, key: str) -> DataFrame:
@@ -56,27 +56,23 @@ def lengths(start: float, end: float, decrement: float) -> list[float]:
     return out
 
 
-def energies(x: np.ndarray, v: np.ndarray, m: np.ndarray, softening: float, factor: float) -> tuple[float, float]:
-    """Kinetic and potential term of a group whose rows are in the order of pid; memory is linear in it."""
-    return kinetic_of(v, m), factor * summed(x, m, softening)
-
-
 def kinetic_of(v: np.ndarray, m: np.ndarray) -> float:
     v = v - (m[:, None] * v).sum(0) / m.sum()
     return float(0.5 * (v * v).sum())
 
 
-def refined(x: np.ndarray, v: np.ndarray, m: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray], alphas: list[float], velocity_factor: float, softening: float, factor: float, least: int, turn: int = 0, tested: bool = False) -> list[tuple[np.ndarray, int, bool]]:
-    """(rows, turn, real) of what a group (rows by pid) falls apart into; edges (a, b, w^2) are its forest, a and b being rows.
+def refined(x: np.ndarray, v: np.ndarray, m: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray], alphas: list[float], velocity_factor: float, softening: float, factor: float, least: int, turn: int = 0, tested: bool = False) -> list[tuple[np.ndarray, int, bool, float | None]]:
+    """(rows, turn, real, pair sum if known) of what a group (rows by pid) falls apart into; edges (a, b, w^2) are its forest, a and b being rows.
 
-    A group that has been tested and isn't bound stays as it is until a length cuts its heaviest edge, so turns before that are skipped.
+    A group that has been tested and isn't bound stays as it is until a length cuts its heaviest edge, so turns before that are skipped. Whether it is
+    bound is settled by bounds; once the whole sum had to be made, what a group loses is taken off it, which is linear in the group for each row lost.
     """
     a, b, w2 = edges
     scale = (np.array(alphas) * velocity_factor) ** 2
     last, done = len(alphas) - 1, []
-    pending = [(np.arange(len(x)), np.arange(len(a)), turn, tested)]
+    pending = [(np.arange(len(x)), np.arange(len(a)), turn, tested, None)]
     while pending:
-        rows, e, turn, tested = pending.pop()
+        rows, e, turn, tested, total = pending.pop()
         vl2 = scale * m[rows].sum() ** (2 / 3)
         if tested:
             cuts = np.flatnonzero(vl2[turn:] < w2[e].max(initial=-1.0))
@@ -86,16 +82,25 @@ def refined(x: np.ndarray, v: np.ndarray, m: np.ndarray, edges: tuple[np.ndarray
         order = np.argsort(label, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(label[order]) > 0, True])
         of_edge = label[np.searchsorted(rows, a[kept])]
+        kept = kept[np.argsort(of_edge, kind="stable")]
+        of_edge = np.sort(of_edge)
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             if hi - lo < least:
                 continue
             inside = rows[order[lo:hi]]
-            known = tested and len(inside) == len(rows)
-            real = False if known else is_bound(x[inside], m[inside], kinetic_of(v[inside], m[inside]), softening, factor)[0]
+            if tested and len(inside) == len(rows):
+                real, own = False, total
+            elif total is not None and 8 * (len(rows) - len(inside)) <= len(rows):
+                lost = np.setdiff1d(rows, inside, assume_unique=True)
+                own = total - crossed(x, m, lost, inside, softening) - summed(x[lost], m[lost], softening)
+                real = own > 0 and kinetic_of(v[inside], m[inside]) <= factor * own
+            else:
+                real, _, own = is_bound(x[inside], m[inside], kinetic_of(v[inside], m[inside]), softening, factor)
             if real or turn == last:
-                done.append((inside, turn, real))
+                done.append((inside, turn, real, own))
             else:
-                pending.append((inside, kept[of_edge == label[order[lo]]], turn + 1, True))
+                first, end = np.searchsorted(of_edge, label[order[lo]], "left"), np.searchsorted(of_edge, label[order[lo]], "right")
+                pending.append((inside, kept[first:end], turn + 1, True, own))
     return done
 
 
@@ -186,8 +191,8 @@ def _mapped(members: DataFrame, edges: DataFrame, alphas: list[float], velocity_
         ends = np.searchsorted(pid, e["a"].to_numpy()), np.searchsorted(pid, e["b"].to_numpy()), e["w2"].to_numpy(float)
         found = refined(x, v, m, ends, alphas, velocity_factor, softening, factor, least, int(first["turn"]), bool(first["tested"]))
         rows = []
-        for i, turn, real in found:
-            ke, ge = energies(x[i], v[i], m[i], softening, factor)
+        for i, turn, real, total in found:
+            ke, ge = kinetic_of(v[i], m[i]), factor * (summed(x[i], m[i], softening) if total is None else total)
             rows.append(pd.DataFrame({"host_id": t["host_id"].iloc[0], "pid": pid[i], "halo_id": pid[i].min(), "ke": ke, "ge": ge, "exit_alpha": alphas[turn], "real": real}))
         return pd.concat(rows) if rows else pd.DataFrame(columns=[c.split()[0] for c in REFINED.split(", ")])
 

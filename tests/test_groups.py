@@ -9,7 +9,7 @@ import pytest
 
 from starloom.operators import bounds, phase, properties, spatial
 from starloom.operators.components import components, connected_components
-from starloom.operators.forest import forest
+from starloom.operators.forest import forest, local_forest, weights
 from starloom.sources import sinks, tables
 
 COLUMNS = "pid long, x double, y double, z double, vx double, vy double, vz double, mass double, part_type int"
@@ -260,7 +260,41 @@ def test_bounds_hold_and_settle_the_test(spark):
         for ratio in (0.2, 0.999999, 1.000001, 5.0):
             assert bounds.is_bound(x, m, ratio * total, 0.01, 1.0)[0] == (ratio < 1)
     assert bounds.is_bound(x, m, 5 * total, 0.01, 1.0)[1] < n * n / 2
-    assert bounds.is_bound(x[:1], m[:1], 0.0, 0.01, 1.0) == (False, 0)
+    assert bounds.is_bound(x[:1], m[:1], 0.0, 0.01, 1.0) == (False, 0, None)
+
+
+def test_sums_follow_what_a_group_loses():
+    """A large group that is cut many times near the border of the bound test: sums that are carried on are those of a plain walk."""
+    rng = np.random.default_rng(9)
+    n = 450
+    x, v, m = rng.normal(0, 0.3, (n, 3)), rng.normal(0, 1, (n, 3)) * np.exp(rng.random((n, 1)) * 2), rng.integers(1, 4, n).astype(float)
+    w2 = weights(np.c_[x, v], np.c_[x, v], 3.0, np.inf)
+    np.fill_diagonal(w2, np.inf)
+    none = np.empty(0, np.int64)
+    edges = local_forest(np.arange(n), w2, np.arange(n), np.arange(n), (none, none, np.empty(0)))
+    alphas = phase.lengths(10.0, 0.8, 0.02)
+    carried, all_ = 0, phase.kinetic_of(v, m) / bounds.summed(x, m, 0.01)
+    for factor in (0.3 * all_, 0.4 * all_, 0.45 * all_):
+        got = {(tuple(r.tolist()), t, bool(real)) for r, t, real, _ in phase.refined(x, v, m, edges, alphas, 0.03, 0.01, factor, 10)}
+        want, pending = set(), [(np.arange(n), 0)]
+        while pending:
+            rows, turn = pending.pop()
+            inside = np.isin(edges[0], rows) & np.isin(edges[1], rows) & (edges[2] <= (alphas[turn] * 0.03) ** 2 * m[rows].sum() ** (2 / 3))
+            label = partition(zip(edges[0][inside].tolist(), edges[1][inside].tolist(), strict=True), rows.tolist())
+            for top in set(label.values()):
+                part = np.array([r for r in rows if label[r] == top])
+                if len(part) >= 10:
+                    real = phase.kinetic_of(v[part], m[part]) <= factor * bounds.summed(x[part], m[part], 0.01)
+                    if real or turn == len(alphas) - 1:
+                        want.add((tuple(part.tolist()), turn, bool(real)))
+                    else:
+                        pending.append((part, turn + 1))
+        assert got == want
+        for r, _, _, total in phase.refined(x, v, m, edges, alphas, 0.03, 0.01, factor, 10):
+            if total is not None:
+                carried += 1
+                assert math.isclose(total, bounds.summed(x[r], m[r], 0.01), rel_tol=1e-9)
+    assert carried
 
 
 @pytest.mark.parametrize("rows", [512, 16])
