@@ -6,7 +6,8 @@ every vl, and those of what it falls apart into at any smaller one: its edges up
 
 Edges of a forest of the union of edge sets are in the union of their forests, as long as edges of one weight have one order
 everywhere (weight, then both pids). So each block (blocks.py) gives the forest of its own rows, each pair of blocks whose boxes may hold friends what the forest
-of both has between them, and what those leave goes through Boruvka's rounds: each component takes its lightest edge outwards, and at least half of the components go.
+of both has between them, and what those leave goes through Boruvka's rounds: each component takes its lightest edge outwards, and at least half of the components go. Up to FEW_EDGES of them, counted
+first, one task takes by Kruskal's order; tests run both ways.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.blocks import ROWS, blocks, gap2, matrices, paired, small_batches, with_rows
-from starloom.operators.components import written
+from starloom.operators.components import FEW_EDGES, written
 
 SPACE, SPEED = ("x", "y", "z"), ("vx", "vy", "vz")
 AXES = SPACE + SPEED
@@ -144,7 +145,7 @@ def edge_lists(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield tuple(f[lo:hi] for f in fields)
 
 
-def forest(parts: DataFrame, linking: float, key: str = "halo_id", most: str | None = None, rows: int = ROWS, report: dict | None = None) -> DataFrame:
+def forest(parts: DataFrame, linking: float, key: str = "halo_id", most: str | None = None, rows: int = ROWS, report: dict | None = None, few: int = FEW_EDGES) -> DataFrame:
     """(key, a, b, w2): a minimum spanning forest of each group of parts(key, pid, x .. vz), a < b; only weights up to the column `most`, if given.
 
     Positions must be on one side of the box. report gets how many pairs of rows the boxes left over.
@@ -171,7 +172,39 @@ def forest(parts: DataFrame, linking: float, key: str = "halo_id", most: str | N
         report |= pairs.agg(F.count("*").alias("pairs_of_blocks"), F.coalesce(F.sum(F.col("n_a").cast("long") * F.col("n_b")), F.lit(0)).alias("pairs")).first().asDict()
     across = with_rows(pairs.drop("n_a", "n_b"), kept, key, ("inner",)).mapInArrow(cross_rows(key, linking), f"{key} {kind}, {EDGES}")
     found = written(across.unionByName(own.join(several, key, "left_semi")))
-    return own.join(several, key, "left_anti").unionByName(boruvka(found, key, report))
+    whole = boruvka(found, key, report) if found.count() > few else found.coalesce(1).mapInArrow(kruskal(key), f"{key} {kind}, {EDGES}")
+    return own.join(several, key, "left_anti").unionByName(whole)
+
+
+def kruskal(key: str):
+    """The forest of edges (key, a, b, w2) that one task holds, by their order."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        a, b, w2 = (t.column(c).to_numpy() for c in ("a", "b", "w2"))
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        kept = []
+        for i in np.lexsort((b, a, w2)).tolist():
+            x, y = top(int(a[i])), top(int(b[i]))
+            if x != y:
+                up[x] = y
+                kept.append(i)
+        yield from t.take(pa.array(kept, pa.int64())).select([key, "a", "b", "w2"]).to_batches()
+
+    return run
 
 
 def boruvka(edges: DataFrame, key: str, report: dict | None = None, most: int = 60) -> DataFrame:

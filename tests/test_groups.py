@@ -236,17 +236,17 @@ def plain_forest(rows, linking, most2=math.inf):
     return out
 
 
-@pytest.mark.parametrize("rows", [512, 16, 3])
-def test_forest_is_the_minimum_one(spark, rows):
+@pytest.mark.parametrize("rows,few", [(512, 0), (16, 0), (16, 10_000), (3, 0)])
+def test_forest_is_the_minimum_one(spark, rows, few):
     """In one block and in many; with equal weights, and a bound on weights for one of the groups."""
     one = cloud(80, 21, 0.5, 0.2) + [(200 + i, *r[1:4], 0.5, 0.25, 0.125, *r[7:]) for i, r in enumerate(cloud(30, 22, 0.5))]
     two = [(1000 + r[0], *r[1:]) for r in cloud(60, 23, 0.5, 0.2)]
     df = spark.createDataFrame([(7, 10.0, *r) for r in one] + [(8, 0.6, *r) for r in two] + [(None, 1.0, *two[0])], "halo_id long, most double, " + COLUMNS)
     report = {}
-    got = {(r.halo_id, r.a, r.b, round(r.w2, 9)) for r in forest(df, 0.3, most="most", rows=rows, report=report).collect()}
+    got = {(r.halo_id, r.a, r.b, round(r.w2, 9)) for r in forest(df, 0.3, most="most", rows=rows, report=report, few=few).collect()}
     want = {(7, a, b, round(w, 9)) for a, b, w in plain_forest(one, 0.3, 100.0)} | {(8, a, b, round(w, 9)) for a, b, w in plain_forest(two, 0.3, 0.36)}
     assert got == want
-    assert rows > 110 or report["rounds"] <= 7  # at least half of the components go in each
+    assert rows > 110 or few or report["rounds"] <= 7  # at least half of the components go in each
 
 
 def test_bounds_hold_and_settle_the_test(spark):
