@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -201,12 +202,54 @@ def at_least(grouped: DataFrame, n: int, key: str = "halo_id") -> DataFrame:
     return grouped.join(size, key, "left_semi")
 
 
-def nearest_other(parts: DataFrame, others: DataFrame, radius: float, box: Box, periodic: bool = True) -> DataFrame:
-    """(pid, other_pid, d2): the nearest of others closer than radius; ties to the smaller pid."""
-    cells = cell_counts(box, radius)
-    a = ghosts(parts, box, cells, periodic)
-    b = with_cells(others, box, cells).withColumnsRenamed({f"c{x}": f"g{x}" for x in AXES})
+#: Distinct others of the fullest cell beyond which nearest_other() tries half the radius first, and how often it is halved at most.
+CROWD, HALVINGS = 8, 20
+
+
+def nearest_other(parts: DataFrame, others: DataFrame, radius: float, box: Box, periodic: bool = True, crowd: int = CROWD) -> DataFrame:
+    """(pid, other_pid, d2): the nearest of others closer than radius; ties to the smaller pid.
+
+    Radii grow from one whose cells hold few others: who finds any within a radius has found the nearest, and only the rest goes on to twice
+    that radius. So rows meet a bounded number of others where these thin out smoothly, not all within the radius. Others at one place are one. Rows with a null, NaN
+    or infinite coordinate have no neighbours. Coordinates may lie beyond the box.
+    """
+    finite = " AND ".join(f"abs({a}) < double('infinity')" for a in AXES)
+    spots = written(others.where(finite).groupBy(*AXES).agg(F.min("pid").alias("pid")))
+    halvings = 0
+    while halvings < HALVINGS:
+        cells = _search_cells(spots, radius / 2**halvings, box, periodic).groupBy("gx", "gy", "gz").count()
+        if (cells.agg(F.max("count")).first()[0] or 0) <= crowd:
+            break
+        halvings += 1
+    left, found = parts.select("pid", *AXES).where(finite), []
+    for k in range(halvings, -1, -1):
+        best = _nearest_within(left, spots, radius / 2**k, box, periodic)
+        if k == 0:
+            found.append(best)
+            break
+        found.append(written(best))
+        left = written(left.join(found[-1].select("pid"), "pid", "left_anti"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search_cells(parts: DataFrame, radius: float, box: Box, periodic: bool, around: bool = False) -> DataFrame:
+    """parts with the cell (gx, gy, gz) of each row, no narrower than the radius, or a row for each cell around it."""
+    wide = radius * (1 + 1e-9)
+    n = cell_counts(box, wide)
+    at = {a: F.floor(F.col(a) / F.lit(s / k if periodic else wide)) for a, s, k in zip(AXES, sides(box), n, strict=True)}
+    if around:
+        moves = F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip(AXES, o, strict=True)]) for o in offsets(n, False)])
+        parts = parts.withColumn("o", F.explode(moves))
+        at = {a: c + F.col("o")[f"o{a}"] for a, c in at.items()}
+    # In a box of fewer than three cells some are met twice, which a minimum may.
+    return parts.withColumns({f"g{a}": F.pmod(at[a], F.lit(k)) if periodic else at[a] for a, k in zip(AXES, n, strict=True)})
+
+
+def _nearest_within(parts: DataFrame, others: DataFrame, radius: float, box: Box, periodic: bool) -> DataFrame:
     keys = ["gx", "gy", "gz"]
+    a, b = _search_cells(parts, radius, box, periodic, True), _search_cells(others, radius, box, periodic)
     pairs = side(a, "a", keys).join(side(b, "b", keys), keys).withColumn("d2", separation("a", "b", box, periodic)).where(F.col("d2") < radius * radius)
     best = pairs.groupBy("pid_a").agg(F.min(F.struct("d2", "pid_b")).alias("m"))
     return best.select(F.col("pid_a").alias("pid"), F.col("m")["pid_b"].alias("other_pid"), F.col("m")["d2"].alias("d2"))

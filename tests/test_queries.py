@@ -1,6 +1,7 @@
 """Every query that has SQL gives the rows that DuckDB gives for it."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -90,3 +91,40 @@ def test_bins_of_equal_counts(spark, counts):
     df = stats.equal_bins(spark.createDataFrame([(n,) for n in counts], "n_progs long"), "n_progs")
     mine = [tuple(r) for r in queries.rounded(df, "low", "high").collect()]
     assert sorted(map(str, mine)) == sorted(map(str, there))  # NaN equals itself only as text
+
+
+EDGES = ["cross_species_neighbours", "joint_species_groups", "fof_groups", "particle_map", "fof_within_group", "gather_groups", "group_centres", "bound_flag", "phase_space_step"]
+
+
+@pytest.mark.parametrize("name", EDGES)
+def test_beyond_the_box(spark, tmp_path, name):
+    """Rows at both ends of the box and beyond it: the SQL's distances end at no box."""
+    rng = random.Random(5)
+    ends = [[rng.choice([-0.52, -0.48, -0.5, 0.49, 0.51, 0.0]) + rng.uniform(-0.02, 0.02), rng.uniform(-0.03, 0.03), rng.uniform(-0.03, 0.03)] for _ in range(240)]
+    rows = [(i, [*e, *(rng.uniform(-0.2, 0.2) for _ in range(3))], rng.randrange(10)) for i, e in enumerate(ends)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    q = c.execute(f"SELECT {', '.join(f'"{n}"' for n in df.columns)} FROM ({SQL[name]})")
+    assert sorted(map(tuple, df.collect())) == sorted(q.fetchall())
+
+
+def test_nearest_of_a_crowd(spark):
+    """Several radii in turn give what all pairs give, with and without the box, with others at one place and ties."""
+    rng = random.Random(6)
+    at = lambda: [round(rng.choice([0.01, 0.5, 0.98, 1.01]) + rng.gauss(0, 0.02), 3) for _ in range(3)]
+    two = [at() for _ in range(300)]
+    two += two[:60]
+    one, two = [(i, *at()) for i in range(200)], [(1000 + i, *p) for i, p in enumerate(two)]
+    kind = "pid long, x double, y double, z double"
+    for periodic in (True, False):
+        def apart(p, q):
+            d = [abs(a - b) for a, b in zip(p[1:], q[1:], strict=True)]
+            d = [min(v, 1.0 - v) for v in d] if periodic else d  # noqa: B023
+            return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+        want = [(p[0], *reversed(min((apart(p, q), q[0]) for q in two))) for p in one]
+        want = sorted(w for w in want if w[2] < 0.1 * 0.1)
+        got = spatial.nearest_other(spark.createDataFrame(one, kind), spark.createDataFrame(two, kind), 0.1, 1.0, periodic, crowd=2)
+        assert len(want) > 100 and sorted(map(tuple, got.collect())) == want
