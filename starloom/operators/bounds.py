@@ -168,14 +168,41 @@ def crossed(x: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, softenin
     return total
 
 
-def summed(x: np.ndarray, m: np.ndarray, softening: float, block: int = 1024) -> float:
-    """The exact pair sum of rows in the order of pid; memory is linear in them."""
-    total = 0.0
+def inverse(x: np.ndarray, y: np.ndarray, s2: float) -> np.ndarray:
+    """1 / sqrt(d^2 + s2) of all pairs of rows of x and y, infinite at no distance; two matrices are held at a time."""
+    d = x[:, 0, None] - y[None, :, 0]
+    d *= d
+    e = np.empty_like(d)
+    for k in (1, 2):
+        np.subtract(x[:, k, None], y[None, :, k], out=e)
+        e *= e
+        d += e
+    d += s2
+    np.sqrt(d, out=d)
+    with np.errstate(divide="ignore"):
+        return np.reciprocal(d, out=d)
+
+
+def pair_sum(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray], s2: float) -> float:
+    """The pair sum between two sets (pids, rows x, y, z, mass) that have no row in common."""
+    v = inverse(p[1], q[1], s2)
+    mass = np.empty_like(v)
+    mass[:] = p[1][:, 3, None]
+    np.copyto(mass, q[1][None, :, 3], where=q[0][None] < p[0][:, None])
+    mass *= v
+    return float(mass.sum())
+
+
+def summed(x: np.ndarray, m: np.ndarray, softening: float, block: int = 512) -> float:
+    """The exact pair sum of rows in the order of pid, a tile of `block` rows by as many at a time, whatever their number."""
+    total, s2 = 0.0, softening * softening
     for at in range(0, len(x), block):
         part = x[at : at + block]
-        d = np.sqrt(sum((part[:, None, k] - x[None, : at + len(part), k]) ** 2 for k in range(3)) + softening**2)
-        earlier = np.arange(at + len(part))[None] < np.arange(at, at + len(part))[:, None]
-        total += float((np.where(earlier, m[None, : at + len(part)], 0.0) / np.where(earlier, d, 1.0)).sum())
+        for before in range(0, at, block):
+            total += float(m[before : before + block] @ inverse(x[before : before + block], part, s2).sum(1))
+        own = inverse(part, part, s2)
+        own[np.tril_indices(len(part))] = 0.0
+        total += float(m[at : at + block] @ own.sum(1))
     return total
 
 
@@ -211,14 +238,12 @@ def pair_rows(key: str, softening: float, whole: bool):
                     order = np.argsort(one[0], kind="stable")
                     out.append(interval(one[1][order, :3], one[1][order, 3], softening))
                     continue
-                p, q = one, one if two is None else two
-                d = np.sqrt(((p[1][:, None, :3] - q[1][None, :, :3]) ** 2).sum(-1) + s2)
-                first = p[0][:, None] < q[0][None]
                 if two is None:
-                    value = float((np.where(first, p[1][:, None, 3], 0.0) / np.where(first, d, 1.0)).sum())
+                    order = np.argsort(one[0], kind="stable")
+                    value = summed(one[1][order, :3], one[1][order, 3], softening)
                 else:
-                    value = float((np.where(first, p[1][:, None, 3], q[1][None, :, 3]) / d).sum())
-                out.append((value, value, d.size))
+                    value = pair_sum(one, two, s2)
+                out.append((value, value, len(one[0]) * len((two or one)[0])))
             low, high, tested = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(low, pa.float64()), pa.array(high, pa.float64()), pa.array(tested, pa.int64())], names=[key, "low", "high", "tested"])
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -325,3 +326,27 @@ def test_particle_map_and_ragged(spark):
 def test_snapshot_list(spark, tmp_path):
     (tmp_path / "s.txt").write_text("002\n000\n\n001\n")
     assert [(r.snap_ord, r.snap) for r in tables.snapshot_list(spark, str(tmp_path / "s.txt")).orderBy("snap_ord").collect()] == [(0, "000"), (1, "001"), (2, "002")]
+
+
+@pytest.mark.parametrize("n", [1, 2, 511, 512, 1300])
+def test_pair_sums_in_tiles(n):
+    """Sums over tiles and between two sets are those of all pairs."""
+    rng = np.random.default_rng(n)
+    x, m = rng.normal(size=(n, 3)), rng.integers(1, 11, n).astype(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1) + 0.01**2)
+    want = np.triu(m[:, None] / d, 1)
+    assert np.isclose(bounds.summed(x, m, 0.01), want.sum(), rtol=1e-12)
+    some, rows = rng.permutation(n), np.column_stack([x, m])
+    p, q = some[: n // 2], some[n // 2 :]
+    between = want[np.ix_(p, q)].sum() + want[np.ix_(q, p)].sum()
+    assert np.isclose(bounds.pair_sum((p, rows[p]), (q, rows[q]), 1e-4), between, rtol=1e-12)
+
+
+def test_a_large_pair_sum_takes_little_memory():
+    """It held matrices of a block by all rows: 20,000 rows took 500 MB and more."""
+    x, m = np.random.default_rng(1).normal(size=(20_000, 3)), np.ones(20_000)
+    tracemalloc.start()
+    bounds.summed(x, m, 0.01)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
