@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators.blocks import ROWS, blocks, gap2, matrices, paired, small_batches, span2, with_rows
 from starloom.operators.components import written
+from starloom.operators.numbering import running_sums
 
 SPACE = ("x", "y", "z")
 #: Rows of a cell that isn't halved any more.
@@ -24,6 +25,8 @@ CLOSE = 2.0
 TURNS = (8.0, 3.0)
 #: Pairs of leaves evaluated at once.
 BATCH = 4096
+#: Ranges of pid that a group's exact sum is cut into, and the fewest and most rows of one.
+CHUNKS, CHUNK = 48, (8192, 65_536)
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
@@ -193,16 +196,48 @@ def pair_sum(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray],
     return float(mass.sum())
 
 
-def summed(x: np.ndarray, m: np.ndarray, softening: float, block: int = 512) -> float:
-    """The exact pair sum of rows in the order of pid, a tile of `block` rows by as many at a time, whatever their number."""
+def not_cancelled(x: np.ndarray, y: np.ndarray, s2: float) -> bool:
+    """Whether |x|^2 - 2 x y + |y|^2 + s2 keeps its digits: rounding makes some 1e-16 of the squares, which is nowhere above 1e-10 of s2 then."""
+    return bool(s2 >= 1e-5 * max((x * x).sum(1).max(initial=0.0), (y * y).sum(1).max(initial=0.0)))
+
+
+#: Rows of a strip and of a tile: their matrix stays in a core's cache.
+STRIP, TILE = 64, 512
+
+
+def crossed_in_order(x: np.ndarray, m: np.ndarray, y: np.ndarray, softening: float) -> float:
+    """The pair sum between rows x with masses m and rows y that all come later in the order of pid, a strip by a tile at a time."""
+    if not len(x) or not len(y):
+        return 0.0
+    total, s2, centre = 0.0, softening * softening, (x.mean(0) + y.mean(0)) / 2
+    x, y = x - centre, y - centre
+    fast = not_cancelled(x, y, s2)
+    if fast:  # d^2 + s2 as one product of matrices
+        left, right = np.column_stack([-2 * x, (x * x).sum(1) + s2, np.ones(len(x))]), np.vstack([y.T, np.ones(len(y)), (y * y).sum(1)])
+    held = np.empty(STRIP * TILE)
+    for at in range(0, len(x), STRIP):
+        strip = slice(at, min(at + STRIP, len(x)))
+        for to in range(0, len(y), TILE):
+            tile = slice(to, min(to + TILE, len(y)))
+            if fast:
+                v = held[: (strip.stop - at) * (tile.stop - to)].reshape(strip.stop - at, -1)
+                np.dot(left[strip], right[:, tile], out=v)
+                np.sqrt(v, out=v)
+                np.divide(1.0, v, out=v)
+            else:
+                v = inverse(x[strip], y[tile], s2)
+            total += float(m[strip] @ v.sum(1))
+    return total
+
+
+def summed(x: np.ndarray, m: np.ndarray, softening: float, block: int = TILE) -> float:
+    """The exact pair sum of rows in the order of pid, a tile at a time, whatever their number."""
     total, s2 = 0.0, softening * softening
     for at in range(0, len(x), block):
         part = x[at : at + block]
-        for before in range(0, at, block):
-            total += float(m[before : before + block] @ inverse(x[before : before + block], part, s2).sum(1))
         own = inverse(part, part, s2)
         own[np.tril_indices(len(part))] = 0.0
-        total += float(m[at : at + block] @ own.sum(1))
+        total += float(m[at : at + block] @ own.sum(1)) + crossed_in_order(part, m[at : at + block], x[at + block :], softening)
     return total
 
 
@@ -224,8 +259,8 @@ def bounded_sums(kept: DataFrame, softening: float, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.sum(low).alias("low"), F.sum(high).alias("high"))
 
 
-def pair_rows(key: str, softening: float, whole: bool):
-    """(key, low, high, tested) of pairs of blocks: exact sums if `whole`, else bounds by the hierarchy inside them."""
+def pair_rows(key: str, softening: float):
+    """(key, low, high, tested) of pairs of blocks: bounds by the hierarchy inside a block, exact sums of two."""
     s2 = softening * softening
 
     def run(batches: Iterator) -> Iterator:
@@ -234,16 +269,12 @@ def pair_rows(key: str, softening: float, whole: bool):
         for batch in batches:
             out = []
             for one, two in zip(matrices(batch.column("rows_a"), SPACE, ("mass",)), matrices(batch.column("rows_b"), SPACE, ("mass",)), strict=True):
-                if two is None and not whole:
+                if two is None:
                     order = np.argsort(one[0], kind="stable")
                     out.append(interval(one[1][order, :3], one[1][order, 3], softening))
                     continue
-                if two is None:
-                    order = np.argsort(one[0], kind="stable")
-                    value = summed(one[1][order, :3], one[1][order, 3], softening)
-                else:
-                    value = pair_sum(one, two, s2)
-                out.append((value, value, len(one[0]) * len((two or one)[0])))
+                value = pair_sum(one, two, s2)
+                out.append((value, value, len(one[0]) * len(two[0])))
             low, high, tested = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(low, pa.float64()), pa.array(high, pa.float64()), pa.array(tested, pa.int64())], names=[key, "low", "high", "tested"])
 
@@ -256,12 +287,46 @@ def packed(c: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
     return written(small_batches(blocks(c, key, SPACE, ("mass",), rows)).withColumns({"light": masses(F.array_min), "heavy": masses(F.array_max)}))
 
 
-def exact_sums(kept: DataFrame, softening: float, key: str) -> DataFrame:
-    """(key, s): the pair sum of each group, a pair of blocks at a time."""
-    kind = dict(kept.dtypes)[key]
-    pairs = paired(kept, key, SPACE).select(key, "block_a", "block_b")
-    sums = with_rows(pairs, kept, key).mapInArrow(pair_rows(key, softening, True), f"{key} {kind}, low double, high double, tested long")
-    return sums.groupBy(key).agg(F.sum("low").alias("s"))
+def chunk_sums(key: str, softening: float):
+    """(key, s, tested) of two chunks of a group, or of one with itself, from their rows in the order of pid."""
+
+    def run(t):
+        import pyarrow as pa
+
+        t = t.sort_by("_place")
+        chunk, x, m = t.column("_chunk").to_numpy(), np.column_stack([t.column(a).to_numpy() for a in SPACE]), t.column("mass").to_numpy()
+        n = int(np.searchsorted(chunk, chunk[0], "right"))
+        if n == len(x):
+            value, tested = summed(x, m, softening), n * (n - 1) // 2
+        else:
+            value, tested = crossed_in_order(x[:n], m[:n], x[n:], softening), n * (len(x) - n)
+        return pa.table({key: t.column(key)[:1], "s": pa.array([value], pa.float64()), "tested": pa.array([tested], pa.int64())})
+
+    return run
+
+
+def sent_to_ranges(c: DataFrame, key: str, chunks: int = CHUNKS, chunk: tuple[int, int] = CHUNK) -> DataFrame:
+    """(key, x, y, z, mass, _place, _chunk, _a, _b): each row of c once for every pair of ranges of pid (_a, _b) that its own one is in.
+
+    A group is cut into `chunks` ranges at most, so what is shuffled grows with the rows, not with the pairs. Ranges have between chunk[0] and
+    chunk[1] rows, so that tasks stay bounded: only groups of more than chunks * chunk[1] rows are cut into more. Rows with a null among their
+    places are left out, as in blocks().
+    """
+    there = c.select(key, "pid", *SPACE, "mass").where(F.col(key).isNotNull()).dropna(subset=[*SPACE])
+    placed = running_sums(there, [key], ["pid"], {"_place": None}, {"_place": "_rows"})
+    size = F.greatest(F.lit(chunk[0]), F.least(F.lit(chunk[1]), F.ceil(F.col("_rows") / chunks)))
+    cut = placed.withColumns({"_chunk": F.floor(F.col("_place") / size), "_last": F.floor((F.col("_rows") - 1) / size)})
+    sent = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    return sent.select(key, *SPACE, "mass", "_place", "_chunk", F.least("_chunk", "_other").alias("_a"), F.greatest("_chunk", "_other").alias("_b"))
+
+
+def exact_sums(c: DataFrame, softening: float, key: str, chunks: int = CHUNKS, chunk: tuple[int, int] = CHUNK) -> DataFrame:
+    """(key, s, tested): the pair sum of each group of c(key, pid, x, y, z, mass), two ranges of its rows at a time, and the number of pairs."""
+    kind, by = dict(c.dtypes)[key], [key, "_a", "_b"]
+    # Much work in few bytes: Spark would merge partitions by their size otherwise.
+    dealt = sent_to_ranges(c, key, chunks, chunk).repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    sums = dealt.groupBy(*by).applyInArrow(chunk_sums(key, softening), f"{key} {kind}, s double, tested long")
+    return sums.groupBy(key).agg(F.sum("s").alias("s"), F.sum("tested").alias("tested"))
 
 
 def bound_flags(c: DataFrame, kinetic: DataFrame, softening: float, factor: float, key: str = "halo_id", rows: int = ROWS) -> DataFrame:
@@ -285,12 +350,15 @@ def bound_flags(c: DataFrame, kinetic: DataFrame, softening: float, factor: floa
         state = state.where(verdict.isNull())
         if state.isEmpty():
             break
-        some = kept.join(state.select(key), key, "left_semi")
-        pairs = paired(some, key, SPACE, more=("light", "heavy"))
-        far = pairs.where(close & F.lit(not whole)).groupBy(key).agg(F.sum(far_low).alias("low"), F.sum(far_high).alias("high")).withColumn("tested", F.lit(0).cast("long"))
-        near = pairs.where(~close | F.lit(whole)).select(key, "block_a", "block_b")
-        sums = with_rows(near, some, key).mapInArrow(pair_rows(key, softening, whole), f"{key} {kind}, low double, high double, tested long")
-        total = sums.unionByName(far).groupBy(key).agg(*[F.sum(x).alias(x) for x in ("low", "high", "tested")])
+        if whole:
+            total = exact_sums(c.join(state.select(key), key, "left_semi"), softening, key).select(key, F.col("s").alias("low"), F.col("s").alias("high"), "tested")
+        else:
+            some = kept.join(state.select(key), key, "left_semi")
+            pairs = paired(some, key, SPACE, more=("light", "heavy"))
+            far = pairs.where(close).groupBy(key).agg(F.sum(far_low).alias("low"), F.sum(far_high).alias("high")).withColumn("tested", F.lit(0).cast("long"))
+            near = pairs.where(~close).select(key, "block_a", "block_b")
+            sums = with_rows(near, some, key).mapInArrow(pair_rows(key, softening), f"{key} {kind}, low double, high double, tested long")
+            total = sums.unionByName(far).groupBy(key).agg(*[F.sum(x).alias(x) for x in ("low", "high", "tested")])
         # Rounded sums of the bounds; a whole sum is taken as it is.
         slack = (1.0, 1.0) if whole else (1 - 1e-9, 1 + 1e-9)
         old = state.select(key, "ke", F.col("tested").alias("before"))

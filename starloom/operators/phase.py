@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.blocks import ROWS
-from starloom.operators.bounds import bound_flags, crossed, exact_sums, is_bound, packed, summed
+from starloom.operators.bounds import bound_flags, crossed, exact_sums, is_bound, summed
 from starloom.operators.components import components, written
 from starloom.operators.forest import forest, labels
 from starloom.operators.properties import centred, kinetic
@@ -142,7 +142,7 @@ def refine(parts: DataFrame, linking: float, velocity_factor: float, softening:
     if report is not None:
         report["turns"] = turns
     out = _mapped(_all([s[0] for s in small]), _all([s[1] for s in small]), alphas, velocity_factor, softening, factor, least)
-    return out.unionByName(_accepted(_all(done), alphas, softening, factor, rows)) if done else out
+    return out.unionByName(_accepted(_all(done), alphas, softening, factor)) if done else out
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -174,9 +174,9 @@ def _cut(members: DataFrame, edges: DataFrame, alphas: list[float], velocity_fac
     return new, edges_of.select("host_id", "group", "turn", "tested", "a", "b", "w2")
 
 
-def _accepted(done: DataFrame, alphas: list[float], softening: float, factor: float, rows: int) -> DataFrame:
+def _accepted(done: DataFrame, alphas: list[float], softening: float, factor: float) -> DataFrame:
     c = written(centred(done.select("group", "pid", "x", "y", "z", *SPEED, "mass"), "group").select("group", "pid", "x", "y", "z", *SPEED, "mass"))
-    energy = kinetic(c, "group").join(exact_sums(packed(c, "group", rows), softening, "group"), "group", "left")
+    energy = kinetic(c, "group").join(exact_sums(c, softening, "group").select("group", "s"), "group", "left")
     exits = F.element_at(F.array(*[F.lit(a) for a in alphas]), F.col("turn") + 1)
     return done.join(written(energy), "group").select("host_id", "pid", F.col("group").alias("halo_id"), "ke", (F.coalesce("s", F.lit(0.0)) * factor).alias("ge"), exits.alias("exit_alpha"), "real")
 

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.bounds import exact_sums, packed
+from starloom.operators.bounds import exact_sums
 from starloom.operators.components import written
 from starloom.operators.numbering import running_sums
 
 SPACE, SPEED = ("x", "y", "z"), ("vx", "vy", "vz")
-#: Members up to which the pair sum of a group is a join; it is summed in blocks of rows beyond.
+#: Members up to which the pair sum of a group is a join; it is summed in ranges of rows beyond.
 PAIRS = 2_000
 
 
@@ -93,8 +93,8 @@ def kinetic(c: DataFrame, key: str = "halo_id") -> DataFrame:
 def potential(c: DataFrame, softening: float, factor: float = 1.0, key: str = "halo_id", pairs: int = PAIRS) -> DataFrame:
     """Sum over pairs of the earlier row's mass / sqrt(distance^2 + softening^2), times factor.
 
-    Groups of at most `pairs` rows are joined with themselves; larger ones go through blocks of rows (blocks.py), a pair of them at a time, so
-    that no task holds a whole group. Where only the bound test is asked for, bounds.bound_flags() does with far fewer pairs.
+    Groups of at most `pairs` rows are joined with themselves; larger ones go through ranges of rows (bounds.exact_sums), two of them at a
+    time, so that no task holds a whole group. Where only the bound test is asked for, bounds.bound_flags() does with far fewer pairs.
     """
     n = c.groupBy(key).agg(F.count("*").alias("n"))
     sized = c.select(key, "pid", *SPACE, "mass").join(n, key)
@@ -104,7 +104,7 @@ def potential(c: DataFrame, softening: float, factor: float = 1.0, key: str = "h
     d2 = sum(((F.col(f"{s}_a") - F.col(f"{s}_b")) * (F.col(f"{s}_a") - F.col(f"{s}_b")) for s in SPACE), F.lit(softening * softening))
     joined = a.join(b, (F.col(key) == F.col("key_b")) & (F.col("pid_a") < F.col("pid_b"))).groupBy(key).agg(F.sum(F.col("mass_a") / F.sqrt(d2)).alias("s"))
     large = n.where(F.col("n") > pairs)
-    out = joined if large.isEmpty() else joined.unionByName(exact_sums(packed(sized.where(F.col("n") > pairs), key), softening, key))
+    out = joined if large.isEmpty() else joined.unionByName(exact_sums(sized.where(F.col("n") > pairs), softening, key).select(key, "s"))
     return n.join(out, key, "left").select(key, (F.coalesce("s", F.lit(0.0)) * factor).alias("ge"))
 
 

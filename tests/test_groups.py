@@ -342,6 +342,23 @@ def test_pair_sums_in_tiles(n):
     assert np.isclose(bounds.pair_sum((p, rows[p]), (q, rows[q]), 1e-4), between, rtol=1e-12)
 
 
+@pytest.mark.parametrize("softening", [0.01, 1e-6])
+@pytest.mark.parametrize("chunks,chunk", [(3, (4, 10_000)), (5, (1, 7)), (48, (8192, 65_536))])
+def test_pair_sums_send_each_row_to_few_ranges(spark, chunks, chunk, softening):
+    """Sums over ranges of pid are those of all pairs; a row went to every block of its group before, and goes to about `chunks` ranges now."""
+    groups = {1: cloud(90, 31, 0.5), 2: cloud(1, 32, 0.5), 3: cloud(8, 33, 0.5)}
+    rows = [(g, 1000 * g + r[0], *r[1:]) for g, part in groups.items() for r in part]
+    df = spark.createDataFrame([*rows, (None, 9000, *rows[0][2:]), (1, 9001, None, *rows[0][3:])], "halo_id long, " + COLUMNS)
+    got = {r.halo_id: (r.s, r.tested) for r in bounds.exact_sums(df, softening, "halo_id", chunks, chunk).collect()}
+    assert set(got) == set(groups)
+    for g, part in groups.items():
+        pairs = list(itertools.combinations(sorted(part), 2))
+        want = sum(a[7] / math.sqrt(distance2(a, b, 1, False) + softening**2) for a, b in pairs)
+        assert math.isclose(got[g][0], want, rel_tol=1e-12) and got[g][1] == len(pairs)
+    sent = bounds.sent_to_ranges(df, "halo_id", chunks, chunk).groupBy("halo_id").count().collect()
+    assert all(r["count"] <= len(groups[r.halo_id]) * max(chunks, math.ceil(len(groups[r.halo_id]) / chunk[1])) for r in sent)
+
+
 def test_a_large_pair_sum_takes_little_memory():
     """It held matrices of a block by all rows: 20,000 rows took 500 MB and more."""
     x, m = np.random.default_rng(1).normal(size=(20_000, 3)), np.ones(20_000)
