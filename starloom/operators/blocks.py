@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -78,9 +78,11 @@ def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     return df
 
 
-def with_rows(pairs: DataFrame, kept: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+def with_rows(pairs: DataFrame, kept: DataFrame, key: str, more: tuple[str, ...] = (), trim: Callable[[Column, str], Column] | None = None) -> DataFrame:
     """pairs(key, block_a, block_b, ...) with rows_a and rows_b, the latter null where a block meets itself, and more columns of both blocks.
 
+    trim(row, side) says which rows of two blocks are needed, by columns of pairs; it is asked before they are shuffled, and pairs that it leaves without rows go.
+
     A pair is much work in few bytes, so pairs are dealt to all partitions of a shuffle, which Spark would merge by their size otherwise.
     """
     held = ("rows", *more)
@@ -88,7 +90,8 @@ def with_rows(pairs: DataFrame, kept: DataFrame, key: str, more: tuple[str, ...]
     b = kept.select(key, F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in held])
     self_, other = pairs.where("block_a = block_b"), pairs.where("block_a < block_b")
     alone = self_.join(a, [key, "block_a"]).withColumns({f"{c}_b": F.lit(None).cast(kept.schema[c].dataType) for c in held})
-    both = other.join(a, [key, "block_a"]).join(b, [key, "block_b"]).select(*alone.columns).unionByName(alone)
+    needed = lambda df, s: df if trim is None else df.withColumn(f"rows_{s}", F.filter(f"rows_{s}", lambda r: trim(r, s))).where(F.size(f"rows_{s}") > 0)
+    both = needed(needed(other.join(a, [key, "block_a"]), "a").join(b, [key, "block_b"]), "b").select(*alone.columns).unionByName(alone)
     return both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "block_a", "block_b")
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.blocks import ROWS, blocks, gap2, matrices, paired, small_batches, with_rows
@@ -121,11 +121,13 @@ def cross_rows(key: str, linking: float):
             which, a, b, w2 = [], [], [], []
             for i, (one, two) in enumerate(zip(matrices(batch.column("rows_a"), AXES), matrices(batch.column("rows_b"), AXES), strict=True)):
                 (p1, x1), (p2, x2) = _sorted(one), _sorted(two)
-                n = len(p1)
-                ends = [(np.searchsorted(p, e[0]) + at, np.searchsorted(p, e[1]) + at, e[2]) for p, e, at in ((p1, inner[0][i], 0), (p2, inner[1][i], n))]
+                # Rows out of the other block's reach are there as ends of their own block's forest only.
+                all1, all2 = (np.unique(np.concatenate([p, e[0], e[1]])) for p, e in ((p1, inner[0][i]), (p2, inner[1][i])))
+                n = len(all1)
+                ends = [(np.searchsorted(p, e[0]) + at, np.searchsorted(p, e[1]) + at, e[2]) for p, e, at in ((all1, inner[0][i], 0), (all2, inner[1][i], n))]
                 more = tuple(np.concatenate(c) for c in zip(*ends, strict=True))
-                pids = np.concatenate([p1, p2])
-                p, q, w = local_forest(pids, weights(x1, x2, linking, most2[i]), np.arange(n), np.arange(n, len(pids)), more)
+                pids = np.concatenate([all1, all2])
+                p, q, w = local_forest(pids, weights(x1, x2, linking, most2[i]), np.searchsorted(all1, p1), np.searchsorted(all2, p2) + n, more)
                 cross = (p < n) != (q < n)
                 p, q, w = p[cross], q[cross], w[cross]
                 which += [i] * len(p)
@@ -166,16 +168,30 @@ def forest(parts: DataFrame, linking: float, key: str = "halo_id", most: str | N
         return own
     room = 2 - 4 * gap2(SPACE) / (linking * linking)
     near = (room >= 0) & (gap2(SPEED) <= F.least("most2_a", "most2_b") * room * (1 + 1e-9)) & (F.col("block_a") < F.col("block_b"))
-    pairs = paired(kept, key, AXES, near, ("most2",)).select(key, "block_a", "block_b", "n_a", "n_b", F.col("most2_a").alias("most2"))
+    boxes = [f"{x}_{e}_{s}" for s in "ab" for x in AXES for e in ("lo", "hi")]
+    pairs = paired(kept, key, AXES, near, ("most2",)).select(key, "block_a", "block_b", "n_a", "n_b", F.col("most2_a").alias("most2"), *boxes)
     if report is not None:
         pairs = written(pairs)
         report |= pairs.agg(F.count("*").alias("pairs_of_blocks"), F.coalesce(F.sum(F.col("n_a").cast("long") * F.col("n_b")), F.lit(0)).alias("pairs")).first().asDict()
-    across = with_rows(pairs.drop("n_a", "n_b"), kept, key, ("inner",)).mapInArrow(cross_rows(key, linking), f"{key} {kind}, {EDGES}")
+    across = with_rows(pairs.drop("n_a", "n_b"), kept, key, ("inner",), reaching(linking)).mapInArrow(cross_rows(key, linking), f"{key} {kind}, {EDGES}")
     found = written(across.unionByName(own.join(several, key, "left_semi")))
     whole = boruvka(found, key, report) if found.count() > few else found.coalesce(1).mapInArrow(kruskal(key), f"{key} {kind}, {EDGES}")
     return own.join(several, key, "left_anti").unionByName(whole)
 
 
+def reaching(linking: float):
+    """Which rows of a block may have a friend in the other block's box: of the others no weight is finite."""
+
+    def trim(row: Column, side: str) -> Column:
+        o = "b" if side == "a" else "a"
+        gaps = {x: F.greatest(F.lit(0.0), F.col(f"{x}_lo_{o}") - row[x], row[x] - F.col(f"{x}_hi_{o}")) for x in AXES}
+        dx2, dv2 = (sum((gaps[x] * gaps[x] for x in axes), F.lit(0.0)) for axes in (SPACE, SPEED))
+        room = 2 - 4 * dx2 / (linking * linking)
+        return (room >= 0) & (dv2 <= F.col("most2") * room * (1 + 1e-9))
+
+    return trim
+
+
 def kruskal(key: str):
     """The forest of edges (key, a, b, w2) that one task holds, by their order."""
 

@@ -7,10 +7,11 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from starloom.operators import bounds, phase, properties, spatial
+from starloom.operators import blocks, bounds, phase, properties, spatial
 from starloom.operators.components import components, connected_components
-from starloom.operators.forest import forest, local_forest, weights
+from starloom.operators.forest import AXES, forest, local_forest, reaching, weights
 from starloom.sources import sinks, tables
 
 COLUMNS = "pid long, x double, y double, z double, vx double, vy double, vz double, mass double, part_type int"
@@ -250,6 +251,21 @@ def test_forest_is_the_minimum_one(spark, rows, few):
     assert rows > 110 or few or report["rounds"] <= 7  # at least half of the components go in each
 
 
+def test_forest_sends_rows_in_reach_alone(spark):
+    """A long thread of particles in blocks of 64: two blocks need the few rows near their border (all of them were sent before), and the forest is the same."""
+    line = [(i, 0.01 * i, 0.0, 0.0, 0.05 * (i % 5), 0.02 * (i % 3), 0.0, 1.0, 1) for i in range(256)]
+    df = spark.createDataFrame([(1, *r) for r in line], "halo_id long, " + COLUMNS)
+    kept = blocks.blocks(df, "halo_id", AXES, rows=64, along=("x", "y", "z")).withColumn("most2", F.lit(math.inf)).persist()
+    room = 2 - 4 * blocks.gap2(("x", "y", "z")) / 0.1**2
+    sides = [f"{x}_{e}_{s}" for s in "ab" for x in AXES for e in ("lo", "hi")]
+    pairs = blocks.paired(kept, "halo_id", AXES, (room >= 0) & (F.col("block_a") < F.col("block_b"))).withColumn("most2", F.lit(math.inf)).select("halo_id", "block_a", "block_b", "most2", *sides)
+    sent = blocks.with_rows(pairs, kept, "halo_id", trim=reaching(0.1)).select((F.size("rows_a") + F.size("rows_b")).alias("n")).collect()
+    assert sent and max(r.n for r in sent) < 32
+    kept.unpersist()
+    got = {(r.a, r.b, round(r.w2, 9)) for r in forest(df, 0.1, rows=64).collect()}
+    assert got == {(a, b, round(w, 9)) for a, b, w in plain_forest(line, 0.1)}
+
+
 def test_bounds_hold_and_settle_the_test(spark):
     rng = np.random.default_rng(3)
     for n, equal in ((2, True), (40, False), (700, True), (700, False)):
