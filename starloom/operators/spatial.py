@@ -172,7 +172,8 @@ def friend_edges(parts: DataFrame, radius: float, box: Box, periodic: bool = Tru
     held = ["rep", "n", "outer", "fx", "fy", "fz", *[f"{a}_{n}" for a in AXES for n in ("lo", "hi")]]
     named = [d.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in held], *rest) for d, s, rest in ((wide, "a", []), (moved, "b", ["own"]))]
     least, most = _gaps("a", "b", box, periodic)
-    pairs = named[0].join(named[1], keys).where((~F.col("own") | (F.col("rep_a") < F.col("rep_b"))) & (least <= r2)).withColumn("most", most)
+    # As in _nearest_within(): the table of moved cells is larger than Spark takes it for.
+    pairs = named[0].join(named[1].hint("merge"), keys).where((~F.col("own") | (F.col("rep_a") < F.col("rep_b"))) & (least <= r2)).withColumn("most", most)
     pairs = pairs if half else pairs.dropDuplicates(["rep_a", "rep_b"])
     tries = F.exists("outer_a", lambda u: F.exists("outer_b", lambda v: _apart(u, v, box, periodic) <= r2))
     sure = (F.col("n_a") * F.col("n_b") == 1) | (F.col("most") <= r2) | F.when(F.col("n_a") * F.col("n_b") > tried, tries).otherwise(False)
@@ -250,7 +251,8 @@ def _search_cells(parts: DataFrame, radius: float, box: Box, periodic: bool, aro
 def _nearest_within(parts: DataFrame, others: DataFrame, radius: float, box: Box, periodic: bool) -> DataFrame:
     keys = ["gx", "gy", "gz"]
     a, b = _search_cells(parts, radius, box, periodic, True), _search_cells(others, radius, box, periodic)
-    pairs = side(a, "a", keys).join(side(b, "b", keys), keys).withColumn("d2", separation("a", "b", box, periodic)).where(F.col("d2") < radius * radius)
+    # Spark takes a's rows for as few as before explode() and would send them all to every task; sorted by cell, they may be spilled.
+    pairs = side(a, "a", keys).hint("merge").join(side(b, "b", keys), keys).withColumn("d2", separation("a", "b", box, periodic)).where(F.col("d2") < radius * radius)
     best = pairs.groupBy("pid_a").agg(F.min(F.struct("d2", "pid_b")).alias("m"))
     return best.select(F.col("pid_a").alias("pid"), F.col("m")["pid_b"].alias("other_pid"), F.col("m")["d2"].alias("d2"))
 

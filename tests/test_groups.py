@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starloom.operators import blocks, bounds, phase, properties, spatial
-from starloom.operators.components import components, connected_components
+from starloom.operators.components import components, connected_components, written
 from starloom.operators.forest import AXES, forest, local_forest, reaching, weights
 from starloom.sources import sinks, tables
 
@@ -383,3 +383,33 @@ def test_a_large_pair_sum_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 50e6
+
+
+def sent_whole(plan):
+    """Lines of a plan below a broadcast."""
+    out, depth = [], None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-*"))
+        depth = None if depth is not None and at <= depth else depth
+        if depth is not None:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            depth = at
+    return out
+
+
+def test_rows_around_are_not_sent_whole(spark, tmp_path, monkeypatch):
+    """Rows repeated for each cell around them are many more than Spark takes them for, so no join may send them to every task."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(spatial, "written", noted)
+    table = written(spark.createDataFrame([r[:4] for r in cloud(400, seed=8)], "pid long, x double, y double, z double"))
+    one, two = table.where("pid < 200"), table.where("pid >= 200")
+    for df in (spatial.friend_edges(table, 0.1, 1.0), spatial.nearest_other(one, two, 0.2, 1.0, crowd=2)):
+        noted(df)
+    assert sum("Generate explode" in p for p in plans) >= 2
+    assert not [line for p in plans for line in sent_whole(p) if "Generate explode" in line]
