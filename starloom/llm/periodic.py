@@ -30,6 +30,7 @@ from fractions import Fraction
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from starloom.llm.common import free_name, small_batches
 from starloom.llm.words import rows_of
@@ -211,7 +212,8 @@ def runs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def stretches(ids: np.ndarray, doc: np.ndarray, least: int, ratio: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, end) of the stretches of words that may hold a run: no run reaches out of one, and no document border lies in one."""
-    gram = min(max(least, ratio * q) - q for q in range(1, least + 1))
+    # The longest gram that each place of any run has again q words before or behind it in the run.
+    gram = min(max(least, ratio * q) - 2 * q + 1 for q in range(1, least + 1))
     n = len(ids) - gram + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -230,9 +232,10 @@ def stretches(ids: np.ndarray, doc: np.ndarray, least: int, ratio: int) -> tuple
     gap[place[1:]] = apart
     gap[place[:-1]] = np.minimum(gap[place[:-1]], apart)
     open_ = (gap < n) & (doc[:n] == doc[gram - 1 :])
+    border = doc[1:n] != doc[: n - 1]
     while True:
-        edge = np.diff(np.r_[False, open_, False].astype(np.int8))
-        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + gram - 1
+        first = np.flatnonzero(open_ & np.r_[True, ~open_[:-1] | border])
+        end = np.flatnonzero(open_ & np.r_[~open_[1:] | border, True]) + gram
         near = np.repeat((end - first) // ratio, end - first - gram + 1)
         inside = np.flatnonzero(open_)
         far = gap[inside] > near
@@ -355,5 +358,6 @@ def periodic_runs(docs: DataFrame, least: int = LEAST, ratio: int = RATIO) -> Da
             kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(listed, kind), pa.array([t if ok else None for t, ok in zip(out, there, strict=True)], pa.string())], names=["row", "runs", "collapsed"])
 
-    schema = kept.select("row").schema.add("runs", "array<struct<start:long,length:long,period:long>>").add("collapsed", "string")
+    listed_ = ArrayType(StructType([StructField(c, LongType()) for c in ("start", "length", "period")]))
+    schema = kept.select("row").schema.add("runs", listed_).add("collapsed", "string")
     return kept.mapInArrow(run, schema).select("row.*", F.col("runs").alias(runs_), F.col("collapsed").alias(text_))
