@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.llm import anchors, neardup, repeats, substring, suffix
 
@@ -70,6 +71,17 @@ def test_suffix_of_passages_of_over_fifty_words(spark):
     assert got == {i: (least if least >= 400 else 0, hashlib.sha256(kept.encode()).hexdigest()) for i, (least, kept) in size.items()}
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_suffix_of_frequent_strings(spark, monkeypatch, hot):
+    """Strings of many rows are looked up in a broadcast table, with the same results, and no task gets all rows of one."""
+    monkeypatch.setattr(suffix, "MANY", 3)
+    test_suffix(spark, hot)
+    rows = spark.range(4000, numPartitions=8).selectExpr("if(id % 2 = 0, -1, id) AS h", "1L AS k", "id", "unhex('00') AS tag", "id AS place")
+    kept = suffix.again(rows, rows.groupBy("h", "k").agg(F.count("*").alias("n")))
+    size = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(size) == 2000 and max(size) < 500
+
+
 def test_suffix_at_full_size(spark):
     """The contract's 400 bytes on whole documents, some of them very long, against a count of all windows."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
